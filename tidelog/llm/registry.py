@@ -5,6 +5,16 @@ from __future__ import annotations
 from tidelog.llm import sql
 from tidelog.llm.common import read
 from tidelog.llm.exact_dedup import exact_dedup
+from tidelog.llm.line_dedup import line_dedup
+from tidelog.llm.mixing import mix
+
+
+def op4_line_dedup(spark, sf_dir):
+    return line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op5_mixing(spark, sf_dir):
+    return mix(read(spark, sf_dir, "documents")).drop("ranges")
 
 
 def op10_exact_dedup(spark, sf_dir):
@@ -13,11 +23,15 @@ def op10_exact_dedup(spark, sf_dir):
 
 def queries():
     return {
+        "op4_line_dedup": op4_line_dedup,
+        "op5_mixing": op5_mixing,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql():
     return {
+        "op4_line_dedup": sql.LINE_DEDUP,
+        "op5_mixing": sql.MIXING,
         "op10_exact_dedup": sql.EXACT_DEDUP,
     }

@@ -6,3 +6,83 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
 FROM d JOIN g USING (text_sha256)
 """
+
+LINE_DEDUP = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+p AS (SELECT doc_id, lines, unnest(range(0, len(lines) - 2)) AS pos FROM d),
+w AS (
+  SELECT doc_id, pos, array_to_string(lines[pos + 1:pos + 3], chr(10)) AS key FROM p
+  WHERE len(list_filter(lines[pos + 1:pos + 3], lambda x: trim(x, ' ') != '')) > 0
+),
+f AS (SELECT key, min({'d': doc_id, 'p': pos}) AS first FROM w GROUP BY key HAVING count(*) > 1),
+later AS (SELECT doc_id, pos FROM w JOIN f USING (key) WHERE {'d': doc_id, 'p': pos} > first),
+gone AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS line FROM later),
+g AS (SELECT doc_id, list(line) AS gone FROM gone GROUP BY doc_id)
+SELECT doc_id,
+  CASE WHEN gone IS NULL THEN text ELSE coalesce(array_to_string(
+    [x.l for x in list_zip(lines, range(len(lines))) if NOT list_contains(gone, x.i)], chr(10)), '') END AS text,
+  coalesce(len(lines), 0) AS n_lines, coalesce(len(gone), 0) AS n_removed
+FROM d LEFT JOIN g USING (doc_id)
+""".replace("list_zip(lines, range(len(lines)))", "list_transform(lines, lambda l, i: {'l': l, 'i': i - 1})")
+
+MIXING = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(len(list_filter(
+    regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda w: w != '')), 0) AS size,
+    md5('17:' || coalesce(doc_id::VARCHAR, '')) AS place
+  FROM documents
+),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM d GROUP BY source
+),
+fill(round, source, source_size, weight, stopped, level) AS (
+  SELECT 0, source, source_size, weight, false,
+    sum(source_size) OVER ()::DOUBLE / sum(weight) OVER ()::DOUBLE FROM s
+  UNION ALL
+  SELECT round + 1, source, source_size, weight, now_stopped,
+    ((sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (now_stopped) OVER (), 0))::DOUBLE
+      / nullif(sum(weight) FILTER (NOT now_stopped) OVER (), 0)::DOUBLE)
+  FROM (SELECT *, stopped OR 3 * source_size <= level * weight AS now_stopped FROM fill)
+  WHERE round < (SELECT count(*) FROM s)
+),
+t AS (
+  SELECT source, source_size, CASE WHEN stopped THEN (3 * source_size)::DOUBLE ELSE level * weight END AS target
+  FROM fill WHERE round = (SELECT count(*) FROM s)
+),
+b AS (
+  SELECT sum(source_size)::BIGINT AS total, greatest(1, floor(min(target) / 200)::BIGINT,
+    ceil(sum(source_size) / 1048576)::BIGINT) AS block FROM t WHERE target > 0
+),
+quotients AS (
+  SELECT source, target / (2 * k + 1) AS quotient, k
+  FROM (SELECT source, target, unnest(range(0, (SELECT round(total / block)::BIGINT FROM b))) AS k FROM t WHERE target > 0)
+),
+won AS (
+  SELECT source, count(*) AS quota FROM (
+    SELECT source, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST, k) AS place FROM quotients
+  ) WHERE place <= (SELECT round(total / block)::BIGINT FROM b) GROUP BY source
+),
+plan AS (
+  SELECT t.source, source_size, target, coalesce(quota, 0) AS quota,
+    ceil(source_size / (SELECT block FROM b))::BIGINT AS blocks
+  FROM t LEFT JOIN won ON t.source IS NOT DISTINCT FROM won.source
+),
+rates AS (SELECT *, least(quota // greatest(blocks, 1), 3) AS n_passes FROM plan),
+picks AS (SELECT *, CASE WHEN n_passes < 3 THEN quota - n_passes * blocks ELSE 0 END AS picks FROM rates),
+placed AS (
+  SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size
+    ROWS UNBOUNDED PRECEDING)::BIGINT - size AS a FROM d
+),
+x AS (
+  SELECT doc_id, size, source_size, target, n_passes, picks, blocks, a, (SELECT block FROM b) AS block
+  FROM placed p JOIN picks q ON p.source IS NOT DISTINCT FROM q.source
+)
+SELECT doc_id, size, source_size, target, n_passes::BIGINT AS n_passes,
+  (n_passes * size + CASE WHEN size > 0 AND picks > 0 THEN coalesce(list_sum(list_transform(
+    range(a // block, (a + size - 1) // block + 1),
+    lambda j: CASE WHEN (j * 2147483647 + 17) % blocks < picks
+      THEN least(a + size, (j + 1) * block) - greatest(a, j * block) ELSE 0 END)), 0) ELSE 0 END)::BIGINT AS taken
+FROM x
+"""
