@@ -17,16 +17,18 @@ from tidelog.llm.common import checkpoint, pick
 def frequent_digests(rows: DataFrame, k: int = 1024, tracked: int = 8192, fan_in: int = 64) -> DataFrame:
     """At most k candidate digests with their estimated counts.
 
-    Every digest with more than about rows / tracked * 4 occurrences is
-    among the tracked ones. Sketches are merged in two steps, so that the
-    last task merges fan_in of them at any input size.
+    Input partitions share fan_in sketches; a digest with more than about
+    4 / tracked of all rows has at least that part of some sketch's rows, and
+    is tracked there. Sketches merge by adding estimates per digest.
     """
     sketches = rows.groupBy((F.spark_partition_id() % fan_in).alias("_g")).agg(
-        F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("sketch")
+        F.expr(f"approx_top_k(digest, {k}, {tracked})").alias("top")
     )
-    merged = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
-    top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {k})")).alias("top"))
-    return top.select(F.col("top.item").alias("digest"), F.col("top.count").alias("estimate"))
+    top = sketches.select(F.explode("top").alias("top")).select(
+        F.col("top.item").alias("digest"), F.col("top.count").alias("n")
+    )
+    found = top.groupBy("digest").agg(F.sum("n").alias("estimate"))
+    return found.orderBy(F.col("estimate").desc(), "digest").limit(k)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 1024) -> DataFrame:
