@@ -47,3 +47,26 @@ def fold(doc_id: Column, modulus: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Rows that a Python task handles at once; keeps its memory to a few texts.
+SLICE = 64
+
+
+def map_texts(df: DataFrame, columns: list[str], work, schema: dict[str, tuple[str, object]]) -> DataFrame:
+    """Apply work to lists of the columns, a few rows at a time, on Arrow batches.
+
+    work(*lists) returns a dict of lists or arrays. schema maps each name to
+    its Spark and its Arrow type.
+    """
+    import pyarrow as pa
+
+    out = pa.schema([(name, kind) for name, (_, kind) in schema.items()])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_pydict(work(*(c.to_pylist() for c in part.columns)), schema=out)
+
+    return df.select(*columns).mapInArrow(run, ", ".join(f"{name} {kind}" for name, (kind, _) in schema.items()))

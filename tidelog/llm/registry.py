@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from tidelog.llm import sql
+from tidelog.llm.bpe import round_trip
 from tidelog.llm.common import read
 from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.line_dedup import line_dedup
@@ -17,6 +20,10 @@ def op5_mixing(spark, sf_dir):
     return mix(read(spark, sf_dir, "documents")).drop("ranges")
 
 
+def op6_bpe(spark, sf_dir):
+    return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -25,6 +32,7 @@ def queries():
     return {
         "op4_line_dedup": op4_line_dedup,
         "op5_mixing": op5_mixing,
+        "op6_bpe": op6_bpe,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
