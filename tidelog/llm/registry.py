@@ -7,11 +7,17 @@ import public_tokenizers
 from tidelog.llm import sql
 from tidelog.llm.bpe import round_trip
 from tidelog.llm.common import read
+from tidelog.llm.embedding_dedup import near_vectors
 from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.line_dedup import line_dedup
+from tidelog.llm.minhash import near_duplicates
 from tidelog.llm.mixing import mix
 
 
+def op1_minhash(spark, sf_dir):
+    return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op4_line_dedup(spark, sf_dir):
     return line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -24,22 +30,30 @@ def op6_bpe(spark, sf_dir):
     return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_embedding_dedup(spark, sf_dir):
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
 def queries():
     return {
+        "op1_minhash": op1_minhash,
         "op4_line_dedup": op4_line_dedup,
         "op5_mixing": op5_mixing,
         "op6_bpe": op6_bpe,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql():
     return {
+        "op1_minhash": sql.MINHASH,
         "op4_line_dedup": sql.LINE_DEDUP,
         "op5_mixing": sql.MIXING,
+        "op7_embedding_dedup": sql.EMBEDDING_DEDUP,
         "op10_exact_dedup": sql.EXACT_DEDUP,
     }

@@ -86,3 +86,44 @@ SELECT doc_id, size, source_size, target, n_passes::BIGINT AS n_passes,
       THEN least(a + size, (j + 1) * block) - greatest(a, j * block) ELSE 0 END)), 0) ELSE 0 END)::BIGINT AS taken
 FROM x
 """
+
+MINHASH = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS shingle
+  FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+  GROUP BY ALL
+),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 85 * (x.n + y.n - same)
+),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, at) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b FROM r JOIN both_ways ON a = at
+),
+c AS (SELECT doc_id, min(at) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
+
+EMBEDDING_DEDUP = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+e AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id != y.vec_id
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.98
+),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a),
+r(vec_id, at) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, b FROM r JOIN e ON a = at),
+c AS (SELECT vec_id, min(at) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v LEFT JOIN n USING (vec_id) JOIN c USING (vec_id)
+"""
