@@ -107,10 +107,10 @@ e AS (
   SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 85 * (x.n + y.n - same)
 ),
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r(doc_id, at) AS (
-  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b FROM r JOIN both_ways ON a = at
+r(doc_id, reached) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b FROM r JOIN both_ways ON a = reached
 ),
-c AS (SELECT doc_id, min(at) AS component_id FROM r GROUP BY doc_id)
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
@@ -122,8 +122,8 @@ e AS (
   WHERE list_cosine_similarity(x.v, y.v) >= 0.98
 ),
 n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a),
-r(vec_id, at) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, b FROM r JOIN e ON a = at),
-c AS (SELECT vec_id, min(at) AS component_id FROM r GROUP BY vec_id)
+r(vec_id, reached) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, b FROM r JOIN e ON a = reached),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM v LEFT JOIN n USING (vec_id) JOIN c USING (vec_id)
 """
