@@ -222,8 +222,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_texts(encoded, ["doc_id", "ids"], work, {"doc_id": ("long", pa.int64()), "decoded": ("string", pa.string())})
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode and decode each text in one pass."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ids if asked for: each text encoded and decoded in one pass.
+
+    A null text counts as empty; an empty table gives no rows.
+    """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_text(path))
 
     def work(doc_id, text):
@@ -234,12 +237,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             "n_tokens": [len(i) for i in ids],
             "ids_sha256": [hashlib.sha256(i.tobytes()).hexdigest() for i in ids],
             "decoded_sha256": [hashlib.sha256(c.decode(i)).hexdigest() for i in ids],
-        }
+        } | ({"ids": [i.astype(np.int32) for i in ids]} if with_ids else {})
 
     schema = {
         "doc_id": ("long", pa.int64()),
         "n_tokens": ("long", pa.int64()),
         "ids_sha256": ("string", pa.string()),
         "decoded_sha256": ("string", pa.string()),
-    }
+    } | ({"ids": ("array<int>", pa.list_(pa.int32()))} if with_ids else {})
     return map_texts(pick(docs, id_col, text_col), ["doc_id", "text"], work, schema)

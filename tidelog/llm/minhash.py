@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import checkpoint, map_texts, pick
-from tidelog.llm.links import link, only
+from tidelog.llm.links import BROADCAST_IDS, link, only
 
 BITS = 4
 MISS = 1e-6
@@ -240,3 +240,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without those of whose group a smaller id stays; all columns unchanged, null ids stay."""
+    found = near_duplicates(docs, width, percent, id_col, text_col)
+    gone = checkpoint(found.where("NOT kept").select(F.col("doc_id").alias("id")).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(side, docs[id_col] == side["id"], "left_anti")

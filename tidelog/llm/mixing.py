@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import checkpoint, n_words
+from tidelog.llm.common import WORD_GAP, checkpoint, n_words
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -167,3 +167,23 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
         "n_passes",
         "ranges",
     )
+
+
+def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
+    """The rows of the mix with the columns of docs: whole copies, and one row of a document's picked words.
+
+    Rows that repeat an id follow the plan of one of them; a document that
+    the mix takes no word of has no row.
+    """
+    plan = mix(docs, id_col, text_col, source_col, **options).select(F.col("doc_id").alias("_id"), "n_passes", "ranges")
+    plan = plan.where((F.col("n_passes") > 0) | (F.size("ranges") > 0)).dropDuplicates(["_id"])
+    text = docs[text_col]
+    found = docs.join(plan, docs[id_col].eqNullSafe(F.col("_id")))
+    words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
+    found = found.withColumn("_words", F.when(F.size("ranges") > 0, words))
+    parts = F.flatten(F.transform("ranges", lambda r: F.slice("_words", r["from"] + 1, r["to"] - r["from"])))
+    copies = F.array_repeat(text, F.col("n_passes").cast("int"))
+    texts = F.when(F.size("ranges") > 0, F.concat(copies, F.array(F.array_join(parts, " ")))).otherwise(copies)
+    return found.withColumn("_mixed", F.explode(texts)).select(
+        *[F.col("_mixed").alias(c) if c == text_col else docs[c] for c in docs.columns]
+    )

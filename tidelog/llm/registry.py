@@ -4,20 +4,32 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tidelog.llm import sql
+import corpus_pipeline
+from tidelog.llm import language, sql, toxicity
 from tidelog.llm.bpe import round_trip
 from tidelog.llm.common import read
 from tidelog.llm.embedding_dedup import near_vectors
 from tidelog.llm.exact_dedup import exact_dedup
+from tidelog.llm.lattice_lm import lm_scores
 from tidelog.llm.line_dedup import line_dedup
 from tidelog.llm.minhash import near_duplicates
 from tidelog.llm.mixing import mix
+from tidelog.llm.secrets_scan import scan
 
 
 def op1_minhash(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return lm_scores(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op3_toxicity(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_line_dedup(spark, sf_dir):
     return line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
@@ -34,6 +46,15 @@ def op7_embedding_dedup(spark, sf_dir):
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op8_secret_scan(spark, sf_dir):
+    return scan(read(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -41,11 +62,16 @@ def op10_exact_dedup(spark, sf_dir):
 def queries():
     return {
         "op1_minhash": op1_minhash,
+        "op2_lm_scoring": op2_lm_scoring,
+        "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
         "op5_mixing": op5_mixing,
         "op6_bpe": op6_bpe,
         "op7_embedding_dedup": op7_embedding_dedup,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
