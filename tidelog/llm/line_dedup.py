@@ -35,8 +35,9 @@ def _windows(lines: Column, span: int) -> Column:
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, span: int = SPAN) -> DataFrame:
     """(row_id, cut): for each row with later occurrences, their sorted positions."""
-    lines = F.split(F.col(text_col), "\n")
-    windows = docs.select(F.col(id_col).alias("doc_id"), "_row", F.explode(_windows(lines, span)).alias("w"))
+    # A column of its own, so that the text is split once and not for each window.
+    split = docs.select(F.col(id_col).alias("doc_id"), "_row", F.split(F.col(text_col), "\n").alias("lines"))
+    windows = split.select("doc_id", "_row", F.explode(_windows(F.col("lines"), span)).alias("w"))
     windows = windows.select("doc_id", "_row", F.col("w.pos").alias("pos"), F.col("w.key").alias("key"))
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row", "pos")
     firsts = windows.groupBy("key").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -63,12 +64,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = docs.withColumn("_row", row).join(
         cuts, docs[id_col].eqNullSafe(F.col("_cut_id")) & (F.col("_row") == F.col("_cut_row")), "left"
     )
-    lines = F.split(F.col(text_col), "\n")
-    cut = F.col("_cut")
+    found = found.withColumn("_lines", F.split(F.col(text_col), "\n"))
+    lines, cut = F.col("_lines"), F.col("_cut")
     # Kept ranges lie between the end of one covered window and the start of the next.
     begins = F.concat(F.array(F.lit(0)), F.transform(cut, lambda p: p + span))
     ends = F.concat(cut, F.array(F.size(lines)))
-    gaps = F.filter(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda g: g["b"] > g["a"])
+    found = found.withColumn("_gaps", F.filter(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda g: g["b"] > g["a"]))
+    gaps = F.col("_gaps")
     left = F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["a"] + 1, g["b"] - g["a"])))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
     n_left = F.aggregate(gaps, F.lit(0), lambda s, g: s + g["b"] - g["a"])
