@@ -38,16 +38,16 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def dense_entropy(share: Column, present: Column, buckets: Column) -> Column:
+def dense_entropy(share: Column, buckets: Column) -> Column:
     """Entropy in nats over a fixed number of buckets, of which only the used ones have rows.
 
     Every share is raised by EPSILON and the shares are scaled to one; the
-    empty buckets are added in closed form.
+    empty buckets are added in closed form. buckets is a column or literal,
+    the same in all rows of a group.
     """
-    whole = 1 + buckets * EPSILON
-    used = F.sum(-(share + EPSILON) / whole * F.log((share + EPSILON) / whole))
-    empty = (buckets - present) * (-(EPSILON / whole) * F.log(F.lit(EPSILON) / whole))
-    return used + empty
+    used = F.sum(-(share + EPSILON) / (1 + buckets * EPSILON) * F.log((share + EPSILON) / (1 + buckets * EPSILON)))
+    one = F.lit(EPSILON) / (1 + F.max(buckets) * EPSILON)
+    return used - (F.max(buckets) - F.count(F.lit(1))) * one * F.log(one)
 
 
 def gini(sorted_values: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.columns import EPSILON, clip, dense_entropy, gini, rank_percent, ratio
+from tidelog.functions.columns import EPSILON, clip, dense_entropy, rank_percent, ratio
 from tidelog.grains import Grains
 from tidelog.schema import LogSchema
 
@@ -48,7 +48,6 @@ def yearly(g: Grains) -> DataFrame:
     rows = years.join(F.broadcast(span))
     mine = Window.partitionBy(LOC)
     rows = rows.withColumn("total", F.sum("n").over(mine)).withColumn("share", F.col("n") / F.col("total"))
-    rows = rows.withColumn("present", F.count(F.lit(1)).over(mine))
     latest = F.col("year") == F.col("latest")
     found = rows.groupBy(LOC).agg(
         F.first("total").alias("total"),
@@ -59,7 +58,7 @@ def yearly(g: Grains) -> DataFrame:
         F.sum(F.when(latest, F.col("n")).otherwise(0)).alias("latest_year_downloads"),
         F.sum(F.when(~latest, F.col("n")).otherwise(0)).alias("before"),
         F.sum(F.when(~latest, 1).otherwise(0)).alias("years_before_latest"),
-        dense_entropy(F.col("share"), F.first("present"), F.first("all_years")).alias("yearly_entropy"),
+        dense_entropy(F.col("share"), F.col("all_years")).alias("yearly_entropy"),
         F.max("share").alias("peak_year_concentration"),
         F.sum(F.col("share") * F.col("share")).alias("squares"),
     )
@@ -97,7 +96,7 @@ def time_of_day(g: Grains, schema: LogSchema | None = None) -> DataFrame:
         F.sqrt(F.greatest(squares, F.lit(0.0))).alias("hourly_download_std"),
         F.max("share").alias("peak_hour_concentration"),
         F.sum(F.when(work, F.col("share")).otherwise(0.0)).alias("working_hours_ratio"),
-        dense_entropy(F.col("share"), F.count(F.lit(1)), F.lit(24)).alias("hourly_entropy"),
+        dense_entropy(F.col("share"), F.lit(24)).alias("hourly_entropy"),
         F.sum(F.when(night, F.col("share")).otherwise(0.0)).alias("night_activity_ratio"),
     )
 
