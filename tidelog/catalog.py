@@ -1,15 +1,547 @@
-"""Registry of the engine's queries and their DuckDB counterparts."""
+"""Registry of the engine's queries and their DuckDB counterparts.
+
+Each query names its columns by kind: k for text, i for whole numbers, d for
+doubles. Both sides cast whole numbers to 64 bits and round doubles to six
+places, so that the last bits of floating-point sums don't matter.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog import oracle as q
+from tidelog.fixtures import LOG_A, LOG_B, view_a, view_b
+
+from tidelog.grains import Grains
+from tidelog.operators import analytics, annotate, evaluate, models, ordered, profile, reporting, rules, scores
+from tidelog.plans import pipeline
+from tidelog.sources import readers
+
+
+LOC = "geo_location"
+#: Rule bounds on counts assume busier locations than the small fixture has.
+FACTOR = 0.05
+VIEW_B_YEAR = 1990
+
+
+@dataclass(frozen=True)
+class Query:
+    build: Callable[[SparkSession, str], DataFrame]
+    k: str = LOC
+    i: str = ""
+    d: str = ""
+    sql: str | None = None
+
+    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = self.build(spark, sf_dir)
+        columns = [F.col(c).cast("string").alias(c) for c in self.k.split()]
+        columns += [F.col(c).cast("long").alias(c) for c in self.i.split()]
+        columns += [(F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) for c in self.d.split()]
+        return df.select(*columns)
+
+    def oracle(self) -> str | None:
+        if self.sql is None:
+            return None
+        columns = [f"CAST({c} AS VARCHAR) AS {c}" for c in self.k.split()]
+        columns += [f"CAST({c} AS BIGINT) AS {c}" for c in self.i.split()]
+        columns += [f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in self.d.split()]
+        head, _, body = self.sql.rpartition("|||")
+        return f"{head} SELECT {', '.join(columns)} FROM ({body}) result"
+
+
+def a(spark, sf):
+    return Grains(view_a(spark, sf))
+
+
+def b(spark, sf):
+    return Grains(view_b(spark, sf), VIEW_B_YEAR)
+
+
+def qa(*ctes: str) -> str:
+    return q.ctes(LOG_A, *ctes) + " ||| "
+
+
+def qb(*ctes: str) -> str:
+    return q.ctes(LOG_B, *ctes) + " ||| "
+
+
+def labelled(spark, sf) -> DataFrame:
+    """Location profile of view A with labels by the scaled rules."""
+    g = a(spark, sf)
+    out = profile.basic(g).join(profile.time_of_day(g), LOC, "left").join(ordered.base_behavior(g).drop("unique_files"), LOC, "left")
+    return rules.classify(out, rules.scaled_taxonomy(FACTOR))
+
+
+LABEL_CTES = (q.BASIC, q.HOURS, q.CLOCK, q.DENSE, q.DAYS, q.FILES, q.SESSIONS, q.sampled(50), q.BASE, q.LABELS.format(factor=FACTOR))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label every location of view A, join labels onto the log, and count events by label."""
+    log = annotate.annotate(view_a(spark, sf_dir), labelled(spark, sf_dir))
+    rows = log.groupBy(evaluate.unified(log).alias("label"))
+    return rows.agg(F.count(F.lit(1)).alias("downloads"), F.count_distinct(LOC).alias("locations"))
+
+
+def composite_profile(spark, sf) -> DataFrame:
+    g = a(spark, sf)
+    out = profile.protocol(g)
+    for part in (ordered.file_diversity(g), ordered.user_authenticity(g), ordered.version_targeting(g), profile.persistence(g)):
+        out = out.join(part, LOC)
+    return scores.composite(out)
+
+
+def small_profile(spark, sf) -> DataFrame:
+    g = a(spark, sf)
+    return profile.basic(g).join(profile.time_of_day(g), LOC)
+
+
+def ground(spark, sf):
+    return rules.ground_truth(small_profile(spark, sf))
+
+
+def judged(spark, sf) -> DataFrame:
+    """Two labellings of view A's locations: by scaled rules, and by working hours alone."""
+    rows = labelled(spark, sf)
+    other = F.when(F.col("working_hours_ratio") < 0.32, "bot").otherwise("organic")
+    third = F.when(F.col("unique_users") >= 2, "hub").otherwise("organic")
+    return rows.select(LOC, other.alias("truth"), evaluate.unified(rows).alias("predicted"), third.alias("third"), "total_downloads")
+
+
+JUDGED = """judged AS (SELECT geo_location, CASE WHEN working_hours_ratio < 0.32 THEN 'bot' ELSE 'organic' END AS truth,
+  CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS predicted,
+  CASE WHEN unique_users >= 2 THEN 'hub' ELSE 'organic' END AS third, total_downloads FROM labels)"""
+
+
+def seeded(spark, sf) -> DataFrame:
+    g = a(spark, sf)
+    out = profile.basic(g)
+    for part in (profile.time_of_day(g), profile.protocol(g), profile.burst(g), profile.coordination(g), profile.yearly(g)):
+        out = out.join(part, LOC)
+    return rules.seeds(out)
+
+
+def protected(spark, sf) -> DataFrame:
+    rows = labelled(spark, sf).join(profile.protocol(a(spark, sf)).select(LOC, "aspera_ratio", "globus_ratio"), LOC)
+    return rules.protect_hubs(rows)
+
+
+def temporal(spark, sf) -> DataFrame:
+    g = b(spark, sf)
+    return rules.temporal_anomaly(profile.yearly(g).join(profile.recency(g), LOC))
+
+
+RECENCY = """edge AS (SELECT *, max(d) OVER (PARTITION BY geo_location) AS last FROM days),
+rs AS (SELECT geo_location, avg(n) AS mean, stddev_samp(n) AS sd, sum(n) AS total, avg(n) FILTER (d >= last - INTERVAL 30 DAYS) AS rmean,
+  stddev_samp(n) FILTER (d >= last - INTERVAL 30 DAYS) AS rsd, sum(n) FILTER (d >= last - INTERVAL 30 DAYS) AS rtotal FROM edge GROUP BY 1),
+wk AS (SELECT *, row_number() OVER (PARTITION BY geo_location ORDER BY w DESC) - 1 AS back FROM weeks),
+mo AS (SELECT geo_location, count(*) AS k, avg(n) FILTER (back < 3) AS now, avg(n) FILTER (back >= 3) AS past,
+  sum(pow(0.7, back) * n) / sum(pow(0.7, back)) AS weighted FROM wk GROUP BY 1),
+recency AS (SELECT rs.geo_location, rmean / mean AS recent_activity_ratio,
+  coalesce(CASE WHEN sd > 0 AND rmean > 0 THEN (rsd / rmean) / (sd / mean) ELSE 1 END, 1) AS recent_volatility_ratio,
+  rtotal / total AS recency_concentration,
+  CASE WHEN k < 3 THEN 0 ELSE greatest(-5, least(5, (now - CASE WHEN k > 3 THEN past ELSE weighted END)
+    / (CASE WHEN k > 3 THEN past ELSE weighted END + 1e-10))) END AS momentum_score FROM rs JOIN mo USING (geo_location))"""
+
+OUTBURST = """od AS (SELECT *, avg(n) OVER w AS mean, stddev_samp(n) OVER w AS sd FROM days WINDOW w AS (PARTITION BY geo_location)),
+oz AS (SELECT *, (n - mean) / sd AS z, row_number() OVER (PARTITION BY geo_location ORDER BY d DESC) AS back FROM od WHERE sd > 0),
+orun AS (SELECT *, sum(CASE WHEN z > 2 THEN 0 ELSE 1 END) OVER (PARTITION BY geo_location ORDER BY d) AS run FROM oz),
+om AS (SELECT geo_location, count(*) FILTER (abs(z) > 2) AS outburst_count, coalesce(avg(z) FILTER (z > 2), 0) AS outburst_intensity,
+  max(z) AS max_outburst_zscore, coalesce(sum(n) FILTER (z > 2), 0) / sum(n) AS outburst_ratio,
+  coalesce(min(back) FILTER (z > 2) / max(back), 1) AS time_since_last_outburst FROM orun GROUP BY 1),
+ol AS (SELECT geo_location, max(k) AS longest_outburst_streak FROM (SELECT geo_location, run, count(*) AS k FROM orun WHERE z > 2 GROUP BY 1, 2) GROUP BY 1)"""
+
+MONTHS = "mths AS (SELECT geo_location, date_trunc('month', ts) AS m, count(*) AS n, count(DISTINCT usr) AS users FROM log GROUP BY 1, 2)"
+COUNTS = "counts AS (SELECT accession, count(*) AS downloads FROM log WHERE accession IS NOT NULL GROUP BY 1)"
+COUNTRY_ROWS = "country, count(*) AS downloads, count(DISTINCT usr) AS users, count(DISTINCT accession) AS datasets FROM log WHERE country <> '' AND country NOT LIKE '%\\%{%' ESCAPE '\\'"
+NATIONS = ["CHINA", "FRANCE", "GERMANY", "JAPAN", "NATION_1", "NATION_2"]
+
+
+def q_region() -> str:
+    cases = " ".join(f"WHEN country IN ({', '.join(repr(c) for c in m.split(', '))}) THEN '{r}'" for r, m in analytics.REGIONS.items())
+    return f"CASE {cases} ELSE 'Other' END"
+
+
+def spatial(spark, sf):
+    places = view_a(spark, sf).groupBy(LOC, "country").agg(F.count(F.lit(1)).alias("total_downloads"))
+    return places
+
+
+def citations(spark, sf):
+    """A stand-in table of citations: dataset numbers modulo 9."""
+    rows = view_a(spark, sf).select("accession").distinct()
+    return rows.select("accession", (F.substring("accession", 3, 6).cast("long") % 9).alias("citations"))
+
+
+FEATURES = {
+    "feat_basic_location": Query(
+        lambda s, d: profile.basic(a(s, d)), f"{LOC} country city", "unique_users total_downloads active_hours years_active first_year last_year unique_projects", "downloads_per_user",
+        qa(q.BASIC) + "SELECT * FROM basic"),
+    "feat_basic_multi_year": Query(
+        lambda s, d: profile.basic(b(s, d), 200), f"{LOC} country", "unique_users total_downloads active_hours years_active first_year last_year unique_projects", "downloads_per_user",
+        qb(q.BASIC) + "SELECT * FROM basic WHERE total_downloads >= 200"),
+    "feat_hourly_density": Query(
+        lambda s, d: profile.hourly_density(g := a(s, d), profile.basic(g)), LOC, "max_users_per_hour", "avg_users_per_hour user_cv users_per_active_hour projects_per_user",
+        qa(q.BASIC, q.HOURS, "r AS (SELECT geo_location, avg(users) AS avg_users_per_hour, max(users) AS max_users_per_hour FROM hours GROUP BY 1)")
+        + "SELECT *, avg_users_per_hour / (avg(avg_users_per_hour) OVER () + 1e-10) AS user_cv, unique_users / active_hours AS users_per_active_hour, unique_projects / greatest(unique_users, 1) AS projects_per_user FROM basic JOIN r USING (geo_location)"),
+    "feat_yearly_pattern": Query(
+        lambda s, d: profile.yearly(b(s, d)), LOC, "latest_year_downloads is_new_location years_before_latest years_span",
+        "fraction_latest_year spike_ratio yearly_entropy peak_year_concentration year_over_year_cv downloads_per_year", qb(q.YEARLY) + "SELECT * FROM years"),
+    "feat_time_of_day": Query(
+        lambda s, d: profile.time_of_day(a(s, d)), LOC, "", "hourly_download_std peak_hour_concentration working_hours_ratio hourly_entropy night_activity_ratio",
+        qa(q.CLOCK, q.DENSE) + "SELECT * FROM tod"),
+    "feat_country_context": Query(
+        lambda s, d: profile.country_context(profile.basic(g := b(s, d)), profile.yearly(g)), LOC,
+        "locations_per_country country_latest_year_dl country_total_dl country_new_locations country_high_spike_locations country_low_dl_user_locations country_total_users",
+        "country_avg_fraction_latest country_fraction_latest country_new_location_ratio country_suspicious_location_ratio",
+        qb(q.BASIC, q.YEARLY, """c AS (SELECT country, count(*) AS locations_per_country, sum(latest_year_downloads) AS country_latest_year_dl, sum(total_downloads) AS country_total_dl,
+          avg(fraction_latest_year) AS country_avg_fraction_latest, sum(is_new_location) AS country_new_locations, count(*) FILTER (spike_ratio > 1.5) AS country_high_spike_locations,
+          count(*) FILTER (downloads_per_user < 30) AS country_low_dl_user_locations, sum(unique_users) AS country_total_users FROM basic JOIN years USING (geo_location) GROUP BY 1)""")
+        + "SELECT *, country_latest_year_dl / country_total_dl AS country_fraction_latest, country_new_locations / locations_per_country AS country_new_location_ratio, (country_high_spike_locations + country_low_dl_user_locations) / (locations_per_country * 2) AS country_suspicious_location_ratio FROM basic JOIN c USING (country)"),
+    "feat_protocol": Query(
+        lambda s, d: profile.protocol(a(s, d)), LOC, "protocol_diversity", "http_ratio ftp_ratio aspera_ratio globus_ratio protocol_legitimacy_score", qa(q.PROTOCOL) + "SELECT * FROM protocol"),
+    "feat_user_distribution": Query(
+        lambda s, d: profile.user_distribution(b(s, d)), LOC, "", "user_entropy single_download_user_ratio power_user_ratio user_gini_coefficient",
+        qb(q.USERS, """u AS (SELECT *, sum(n) OVER w AS total, count(*) OVER w AS kinds, row_number() OVER (PARTITION BY geo_location ORDER BY n DESC, usr) AS place,
+          row_number() OVER (PARTITION BY geo_location ORDER BY n, usr DESC) AS up FROM users WINDOW w AS (PARTITION BY geo_location))""")
+        + """SELECT geo_location, -sum(n / total * log2(n / total + 1e-10)) AS user_entropy, avg((n = 1)::INT) AS single_download_user_ratio,
+          sum(n / total) FILTER (place <= greatest(0.1 * kinds, 1)) AS power_user_ratio,
+          CASE WHEN max(kinds) > 1 THEN 2 * sum(up * n) / (max(kinds) * max(total)) - (max(kinds) + 1) / max(kinds) ELSE 0.5 END AS user_gini_coefficient FROM u GROUP BY 1"""),
+    "feat_timing_precision": Query(
+        lambda s, d: ordered.timing_precision(a(s, d)), LOC, "", "request_interval_mode round_second_ratio millisecond_variance interval_entropy",
+        qa(q.sampled(100), """t AS (SELECT geo_location, gap, second(ts) AS sec, (epoch_us(ts) % 60000000) // 1000 AS ms FROM sgaps WHERE gap > 0 AND gap < 86400),
+          st AS (SELECT geo_location, avg(CASE WHEN sec IN (0, 15, 30, 45) THEN 1.0 ELSE 0.0 END) AS round_second_ratio, var_samp(ms) AS millisecond_variance, avg(gap) AS mean, stddev_samp(gap) AS sd, count(*) AS k FROM t GROUP BY 1),
+          bn AS (SELECT geo_location, round(gap / 10) * 10 AS request_interval_mode, count(*) AS n FROM t GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY geo_location ORDER BY count(*) DESC, round(gap / 10) * 10) = 1)""")
+        + """SELECT l.geo_location, coalesce(request_interval_mode, 0) AS request_interval_mode, coalesce(round_second_ratio, 0.25) AS round_second_ratio, coalesce(millisecond_variance, 250000) AS millisecond_variance,
+          coalesce(log2(greatest(sd / mean + 1, 1)), 1) AS interval_entropy FROM (SELECT DISTINCT geo_location FROM log) l LEFT JOIN (SELECT * FROM st JOIN bn USING (geo_location) WHERE k >= 5) x USING (geo_location)"""),
+    "feat_session": Query(
+        lambda s, d: ordered.session_behavior(a(s, d)), LOC, "", "session_duration_cv inter_session_regularity downloads_per_session_cv session_start_hour_entropy",
+        qa(q.SESSIONS, """ss AS (SELECT geo_location, coalesce(CASE WHEN avg(duration) > 0 THEN stddev_samp(duration) / avg(duration) END, 0) AS session_duration_cv,
+          coalesce(CASE WHEN stddev_samp(before) > 0 THEN avg(before) / stddev_samp(before) END, 0) AS inter_session_regularity,
+          coalesce(stddev_samp(n) / avg(n), 0) AS downloads_per_session_cv, count(*) AS k FROM sessions GROUP BY 1),
+          sh AS (SELECT geo_location, hr, count(*) AS n FROM sessions GROUP BY 1, 2), sp AS (SELECT geo_location, n / sum(n) OVER (PARTITION BY geo_location) AS p FROM sh),
+          se AS (SELECT geo_location, -sum(p * log2(p + 1e-10)) AS session_start_hour_entropy FROM sp GROUP BY 1)""")
+        + """SELECT l.geo_location, coalesce(session_duration_cv, 1) AS session_duration_cv, coalesce(inter_session_regularity, 0) AS inter_session_regularity, coalesce(downloads_per_session_cv, 1) AS downloads_per_session_cv,
+          coalesce(session_start_hour_entropy, 2) AS session_start_hour_entropy FROM (SELECT DISTINCT geo_location FROM log) l LEFT JOIN (SELECT * FROM ss JOIN se USING (geo_location) WHERE k >= 2) x USING (geo_location)"""),
+    "feat_access_pattern": Query(
+        lambda s, d: ordered.access_pattern(a(s, d)), LOC, "", "alphabetical_access_score sequential_file_ratio directory_traversal_score retry_ratio unique_file_ratio",
+        qa(q.FILES, """ac AS (SELECT *, row_number() OVER t AS at, dense_rank() OVER (PARTITION BY geo_location ORDER BY filename) AS place, regexp_extract(filename, '([0-9]+)', 1) AS digits FROM log WINDOW t AS (PARTITION BY geo_location ORDER BY ts, event_id)),
+          nx AS (SELECT *, try_cast(digits AS INTEGER) AS num, lead(try_cast(digits AS INTEGER)) OVER t AS nxt, lead(at) OVER t IS NULL AS last FROM ac WINDOW t AS (PARTITION BY geo_location ORDER BY at)),
+          od AS (SELECT geo_location, coalesce(CASE WHEN stddev_samp(at) * stddev_samp(place) > 0 THEN (avg(at * place) - avg(at) * avg(place)) / (stddev_samp(at) * stddev_samp(place)) END, 0) AS alphabetical_access_score,
+          coalesce(avg(CASE WHEN abs(nxt - num) = 1 THEN 1.0 ELSE 0.0 END) FILTER (digits <> '' AND NOT last), 0) AS sequential_file_ratio FROM nx GROUP BY 1),
+          ag AS (SELECT geo_location, avg((n > 1)::INT) AS retry_ratio FROM files GROUP BY 1)""")
+        + "SELECT *, alphabetical_access_score AS directory_traversal_score, 1.0 AS unique_file_ratio FROM od JOIN ag USING (geo_location)"),
+    "feat_benford": Query(
+        lambda s, d: profile.statistical(a(s, d)), LOC, "", "benford_deviation hourly_uniformity_score weekday_pattern_score",
+        qa(q.DAYS, q.CLOCK, """digit AS (SELECT geo_location, n, d, left(n::VARCHAR, 1)::INT AS g FROM days), e AS (SELECT unnest([0.301, 0.176, 0.125, 0.097, 0.079, 0.067, 0.058, 0.051, 0.046]) AS e, unnest(range(1, 10)) AS g),
+          lo AS (SELECT geo_location, count(*) AS k FROM days GROUP BY 1), pd AS (SELECT lo.geo_location, e.e, k, (SELECT count(*) FROM digit x WHERE x.geo_location = lo.geo_location AND x.g = e.g) / k AS p FROM lo CROSS JOIN e),
+          be AS (SELECT geo_location, CASE WHEN max(k) >= 10 THEN sum((p - e) ** 2 / (e + 0.01)) ELSE 0 END AS benford_deviation FROM pd GROUP BY 1),
+          hu AS (SELECT geo_location, greatest(0, least(1, coalesce(1 - var_samp(n) / (avg(n) ** 2 + 0.01), 0))) AS hourly_uniformity_score FROM clock GROUP BY 1),
+          wp AS (SELECT geo_location, abs(sum(CASE WHEN dayofweek(d) IN (0, 6) THEN 0 ELSE n END) / sum(n) - 0.714) / 0.714 AS weekday_pattern_score FROM days GROUP BY 1)""")
+        + "SELECT * FROM be JOIN hu USING (geo_location) JOIN wp USING (geo_location)"),
+    "feat_comparative": Query(
+        lambda s, d: profile.comparative(profile.basic(g := b(s, d)).join(profile.yearly(g), LOC)), LOC, "", "country_zscore temporal_trend_anomaly peer_similarity global_rank_percentile",
+        qb(q.BASIC, q.YEARLY, """p AS (SELECT * FROM basic JOIN years USING (geo_location)), ed AS (SELECT unnest(list_sort(list_distinct(quantile_cont(unique_users, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])))) AS e, min(unique_users) AS lo, max(unique_users) AS hi FROM p),
+          bi AS (SELECT *, (SELECT count(*) FROM ed WHERE p.unique_users > e AND e > lo AND e < hi) AS bin FROM p), pe AS (SELECT bin, median(downloads_per_user) AS peer FROM bi GROUP BY 1),
+          z AS (SELECT *, avg(downloads_per_user) OVER w AS cm, stddev_samp(downloads_per_user) OVER w AS cs, rank() OVER (ORDER BY total_downloads) AS r, count(*) OVER (PARTITION BY total_downloads) AS same, count(*) OVER () AS k
+            FROM bi JOIN pe USING (bin) WINDOW w AS (PARTITION BY country))""")
+        + """SELECT geo_location, coalesce(CASE WHEN cs > 0 THEN (downloads_per_user - cm) / cs END, 0) AS country_zscore, CASE WHEN years_before_latest > 0 THEN ln(1 + spike_ratio) / ln(2 + years_before_latest) ELSE 0 END AS temporal_trend_anomaly,
+          1 / (1 + abs(downloads_per_user - peer) / (peer + 1)) AS peer_similarity, (r + (same - 1) / 2) / k AS global_rank_percentile FROM z"""),
+    "feat_outburst": Query(
+        lambda s, d: profile.outburst(a(s, d)), LOC, "outburst_count longest_outburst_streak", "outburst_intensity max_outburst_zscore outburst_ratio time_since_last_outburst",
+        qa(q.DAYS, OUTBURST) + """SELECT l.geo_location, coalesce(outburst_count, 0) AS outburst_count, coalesce(longest_outburst_streak, 0) AS longest_outburst_streak, coalesce(outburst_intensity, 0) AS outburst_intensity,
+          coalesce(max_outburst_zscore, 0) AS max_outburst_zscore, coalesce(outburst_ratio, 0) AS outburst_ratio, coalesce(time_since_last_outburst, 1) AS time_since_last_outburst
+          FROM (SELECT DISTINCT geo_location FROM log) l LEFT JOIN om USING (geo_location) LEFT JOIN ol USING (geo_location)"""),
+    "feat_weekly_autocorr": Query(
+        lambda s, d: ordered.weekly_autocorrelation(a(s, d)), LOC, "", "weekly_autocorr",
+        qa(q.DAYS, "z AS (SELECT *, (n - avg(n) OVER w) / nullif(stddev_pop(n) OVER w, 0) AS z FROM days WINDOW w AS (PARTITION BY geo_location)), x AS (SELECT *, lead(z, 7) OVER (PARTITION BY geo_location ORDER BY d) AS nx FROM z)")
+        + "SELECT geo_location, coalesce(CASE WHEN count(*) >= 14 AND stddev_pop(n) > 0 THEN sum(z * nx) / (count(*) - 7) ELSE 0 END, 0) AS weekly_autocorr FROM x GROUP BY 1"),
+    "feat_periodicity": Query(lambda s, d: ordered.periodicity(a(s, d)), LOC, "", "weekly_autocorr dominant_period_days periodicity_strength period_regularity"),
+    "feat_trend": Query(
+        lambda s, d: profile.trend(b(s, d)), LOC, "", "trend_slope trend_strength trend_acceleration detrended_volatility trend_direction",
+        qb(q.WEEKS, """x AS (SELECT geo_location, n::DOUBLE AS y, (row_number() OVER (PARTITION BY geo_location ORDER BY w) - 1 - (count(*) OVER (PARTITION BY geo_location) - 1) / 2)::DOUBLE AS x FROM weeks),
+          m AS (SELECT geo_location, count(*) AS k, avg(y) AS mean, regr_slope(y, x) AS slope, coalesce(regr_r2(y, x), 0) AS r2, var_pop(y) AS sp, sum(x ** 2) AS x2, sum(x ** 4) AS x4, sum(y) AS y1, sum(x ** 2 * y) AS x2y FROM x GROUP BY 1),
+          t AS (SELECT geo_location, CASE WHEN k >= 4 THEN greatest(-10, least(10, slope / (mean + 1e-10))) ELSE 0 END AS trend_slope, CASE WHEN k >= 4 AND sp > 0 THEN r2 ELSE 0 END AS trend_strength,
+            CASE WHEN k >= 5 THEN greatest(-10, least(10, 2 * ((k * x2y - x2 * y1) / (k * x4 - x2 * x2)) / (mean + 1e-10))) ELSE 0 END AS trend_acceleration,
+            CASE WHEN k >= 4 AND sp > 0 THEN least(10, sqrt(greatest(0, sp * (1 - r2))) / (mean + 1e-10)) ELSE 0 END AS detrended_volatility FROM m)""")
+        + "SELECT *, CASE WHEN abs(trend_slope) < 0.01 THEN 0 ELSE sign(trend_slope) END AS trend_direction FROM t"),
+    "feat_recency": Query(
+        lambda s, d: profile.recency(b(s, d)), LOC, "", "recent_activity_ratio recent_volatility_ratio recency_concentration momentum_score", qb(q.DAYS, q.WEEKS, RECENCY) + "SELECT * FROM recency"),
+    "feat_shape": Query(
+        lambda s, d: profile.shape(a(s, d)), LOC, "", "download_skewness download_kurtosis tail_heaviness_ratio zero_day_ratio",
+        qa(q.DAYS, "c AS (SELECT *, avg(n) OVER (PARTITION BY geo_location) AS mean FROM days), m AS (SELECT geo_location, count(*) AS k, avg((n - mean) ** 2) AS m2, avg((n - mean) ** 3) AS m3, avg((n - mean) ** 4) AS m4, quantile_cont(n, 0.99) AS p99, median(n) AS mid FROM c GROUP BY 1)")
+        + """SELECT geo_location, CASE WHEN k >= 5 AND m2 > 0 THEN greatest(-10, least(10, m3 / m2 ** 1.5)) ELSE 0 END AS download_skewness, CASE WHEN k >= 5 AND m2 > 0 THEN greatest(-10, least(50, m4 / m2 ** 2 - 3)) ELSE 0 END AS download_kurtosis,
+          CASE WHEN k >= 5 THEN least(100, p99 / (mid + 1e-10)) ELSE 1 END AS tail_heaviness_ratio, 0 AS zero_day_ratio FROM m"""),
+    "feat_window_series": Query(
+        lambda s, d: ordered.window_series(b(s, d)), LOC, "place", " ".join(ordered.SEQUENCE),
+        qb(MONTHS, """r AS (SELECT *, row_number() OVER (PARTITION BY geo_location ORDER BY m DESC) AS back FROM mths), t AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY geo_location) AS k, coalesce(n / nullif(users, 0), 0) AS dpu FROM r WHERE back <= 12 WINDOW w AS (PARTITION BY geo_location ORDER BY m)),
+          v AS (SELECT *, least(k, 3) AS span, lag(n, 2) OVER w AS y2, lag(n) OVER w AS y1, lag(users) OVER w AS u1, lag(dpu) OVER w AS d1, min(n) OVER f AS lo, max(n) OVER f AS hi, stddev_samp(n) OVER f AS sd, median(n) OVER f AS med, avg(n) OVER f AS mean, stddev_pop(n) OVER f AS sp
+            FROM t WINDOW w AS (PARTITION BY geo_location ORDER BY place), f AS (PARTITION BY geo_location ORDER BY place ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))""")
+        + """SELECT geo_location, place, n AS downloads_in_window, users AS unique_users_in_window, dpu AS downloads_per_user_in_window, coalesce(n / y1 - 1, 0) AS dl_rate_change, coalesce(users / nullif(u1, 0) - 1, 0) AS users_rate_change,
+          coalesce(dpu / nullif(d1, 0) - 1, 0) AS dl_per_user_rate_change, lo AS dl_rolling_min, hi AS dl_rolling_max, coalesce(sd, 0) AS dl_rolling_std, med AS dl_rolling_median,
+          coalesce(CASE WHEN place >= span AND span > 1 THEN (n - CASE WHEN span = 3 THEN y2 ELSE y1 END) / (span - 1) END, 0) AS trend_slope, CASE WHEN place >= span AND mean > 0 THEN sp / mean ELSE 0 END AS volatility_cv FROM v"""),
+    "feat_window_sequence": Query(
+        lambda s, d: ordered.window_sequence(b(s, d)).select(LOC, F.size("time_series_features").alias("windows"), F.aggregate(F.flatten("time_series_features"), F.lit(0.0), lambda x, y: x + y).alias("total")), LOC, "windows", "total"),
+    "feat_burst": Query(
+        lambda s, d: profile.burst(a(s, d)), LOC, "", "burst_pattern_score hourly_cv_burst spike_intensity",
+        qa(q.HOURS, "m AS (SELECT geo_location, avg(n) AS mean, stddev_samp(n) AS sd, max(n) AS top, count(*) AS k FROM hours GROUP BY 1)")
+        + "SELECT geo_location, CASE WHEN k > 1 AND sd > 0 THEN (top - mean) / sd ELSE 0 END AS burst_pattern_score, CASE WHEN k > 1 THEN sd / mean ELSE 1 END AS hourly_cv_burst, CASE WHEN k > 1 THEN top / mean ELSE 1 END AS spike_intensity FROM m"),
+    "feat_circadian": Query(
+        lambda s, d: profile.circadian(a(s, d)), LOC, "", "circadian_rhythm_deviation night_ratio_advanced work_ratio_advanced evening_ratio morning_ratio",
+        qa("r AS (SELECT geo_location, avg((hour(ts) BETWEEN 0 AND 5)::INT) AS night_ratio_advanced, avg((hour(ts) BETWEEN 9 AND 17)::INT) AS work_ratio_advanced, avg((hour(ts) BETWEEN 18 AND 23)::INT) AS evening_ratio, avg((hour(ts) BETWEEN 6 AND 8)::INT) AS morning_ratio FROM log GROUP BY 1)")
+        + "SELECT *, abs(night_ratio_advanced - 0.10) + abs(work_ratio_advanced - 0.50) + abs(evening_ratio - 0.25) + abs(morning_ratio - 0.15) AS circadian_rhythm_deviation FROM r"),
+    "feat_coordination": Query(
+        lambda s, d: profile.coordination(a(s, d)), LOC, "max_concurrent_users", "user_coordination_std avg_concurrent_users user_coordination_score user_peak_ratio",
+        qa(q.HOURS, "m AS (SELECT geo_location, stddev_samp(users) AS sd, avg(users) AS mean, max(users) AS top, count(*) AS k FROM hours GROUP BY 1)")
+        + "SELECT geo_location, top AS max_concurrent_users, sd AS user_coordination_std, mean AS avg_concurrent_users, CASE WHEN sd > 0 THEN mean / sd ELSE 0 END AS user_coordination_score, top / mean AS user_peak_ratio FROM m WHERE k > 1"),
+    "feat_file_diversity": Query(
+        lambda s, d: ordered.file_diversity(a(s, d)), LOC, "unique_files", "avg_users_per_file file_entropy true_file_entropy file_exploration_score file_mirroring_score",
+        qa(q.FILES, "p AS (SELECT *, n / sum(n) OVER (PARTITION BY geo_location) AS p FROM files)")
+        + "SELECT geo_location, count(*) AS unique_files, avg(users) AS avg_users_per_file, log2(count(*) / count(DISTINCT filename)) AS file_entropy, -sum(p * log2(p)) AS true_file_entropy, 0 AS file_exploration_score, 10 AS file_mirroring_score FROM p GROUP BY 1"),
+    "feat_user_authenticity": Query(
+        lambda s, d: ordered.user_authenticity(a(s, d)), LOC, "", "user_homogeneity_score avg_active_days_per_user avg_files_per_user bot_farm_score user_authenticity_score",
+        qa("u AS (SELECT geo_location, usr, count(*) AS n, count(DISTINCT filename) AS files, count(DISTINCT date_trunc('day', ts)) AS dd FROM log WHERE usr IS NOT NULL AND filename IS NOT NULL GROUP BY 1, 2), m AS (SELECT geo_location, count(*) AS k, coalesce(CASE WHEN stddev_samp(n) > 0 THEN avg(n) / stddev_samp(n) END, 0) AS h, avg(dd) AS ad, avg(files) AS af FROM u GROUP BY 1)")
+        + "SELECT geo_location, h AS user_homogeneity_score, ad AS avg_active_days_per_user, af AS avg_files_per_user, CASE WHEN k > 100 AND h > 2 THEN h * ln(k + 1) ELSE 0 END AS bot_farm_score, ad * af AS user_authenticity_score FROM m"),
+    "feat_version": Query(
+        lambda s, d: ordered.version_targeting(a(s, d)), LOC, "unique_versions targets_latest_only", "version_concentration",
+        qa("v AS (SELECT geo_location, count(DISTINCT regexp_extract(filename, '[0-9]+\\.[0-9]+\\.[0-9]+', 0)) AS unique_versions FROM log GROUP BY 1)")
+        + "SELECT *, 1.0 / unique_versions AS version_concentration, (1.0 / unique_versions > 0.5)::INT AS targets_latest_only FROM v"),
+    "feat_persistence": Query(
+        lambda s, d: profile.persistence(b(s, d)), LOC, "active_days active_weeks persistence_score", "lifespan_days activity_density",
+        qb("p AS (SELECT geo_location, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / 86400 AS lifespan_days, count(DISTINCT date_trunc('day', ts)) AS active_days, count(DISTINCT date_trunc('week', ts)) AS active_weeks FROM log GROUP BY 1)")
+        + "SELECT *, active_weeks * active_days AS persistence_score, CASE WHEN lifespan_days > 0 THEN active_days / lifespan_days ELSE 1 END AS activity_density FROM p"),
+    "feat_clock_signature": Query(lambda s, d: profile.clock_signature(a(s, d)), LOC, "", "autocorrelation_lag1 circadian_deviation request_timing_entropy",
+        qa(q.CLOCK, q.DENSE, """hp AS (SELECT unnest(range(24)) AS h, unnest([0.01, 0.005, 0.003, 0.002, 0.005, 0.01, 0.02, 0.04, 0.06, 0.07, 0.08, 0.08, 0.07, 0.07, 0.08, 0.07, 0.06, 0.05, 0.04, 0.04, 0.04, 0.03, 0.02, 0.015]) AS w),
+          hq AS (SELECT h, w / sum(w) OVER () AS w FROM hp), hr AS (SELECT h, (w + 1e-10) / sum(w + 1e-10) OVER () AS r FROM hq),
+          pr AS (SELECT geo_location, h, p, q, r, lead(p) OVER (PARTITION BY geo_location ORDER BY h) AS nx FROM dq JOIN hr USING (h))""")
+        + """SELECT geo_location, coalesce(corr(p, nx) FILTER (nx IS NOT NULL), 0) AS autocorrelation_lag1, sqrt(greatest(0, sum(q * ln(2 * q / (q + r)) + r * ln(2 * r / (q + r))) / 2)) AS circadian_deviation,
+          -sum(p * ln(p + 1e-10)) / ln(24) AS request_timing_entropy FROM pr GROUP BY 1"""),
+    "feat_base_behavior": Query(
+        lambda s, d: ordered.base_behavior(a(s, d)), LOC, "unique_days_of_week unique_files num_sessions",
+        "mean_interval std_interval interval_cv regularity_score weekend_ratio file_concentration file_diversity_ratio downloads_per_session is_mechanical is_weekday_biased is_single_file is_bursty",
+        qa(q.DAYS, q.FILES, q.SESSIONS, q.sampled(50), q.BASE) + "SELECT * FROM base_behavior"),
+    "feat_composite": Query(
+        composite_profile, LOC, "is_likely_malicious is_likely_legitimate_automation", "geographic_stability malicious_bot_score legitimate_automation_score bot_vs_legitimate_score"),
+    "feat_interaction": Query(
+        lambda s, d: scores.interaction(small_profile(s, d)), LOC, "", "dl_user_per_log_users user_scarcity_score download_concentration temporal_irregularity bot_composite_score",
+        qa(q.BASIC, q.CLOCK, q.DENSE, """x AS (SELECT geo_location, downloads_per_user / ln(unique_users + 2) AS dl_user_per_log_users, CASE WHEN downloads_per_user > 20 THEN exp(-unique_users / 100) ELSE 0 END AS user_scarcity_score,
+          downloads_per_user / (unique_users + 1) AS download_concentration, 1 / (hourly_entropy + 0.1) * ln(downloads_per_user + 1) AS temporal_irregularity FROM basic JOIN tod USING (geo_location))""")
+        + """SELECT *, (0.3 * greatest(0, least(1, dl_user_per_log_users / (SELECT quantile_cont(dl_user_per_log_users, 0.95) FROM x))) + 0.25 * user_scarcity_score
+          + 0.25 * greatest(0, least(1, download_concentration / (SELECT quantile_cont(download_concentration, 0.95) FROM x)))) / 0.8 AS bot_composite_score FROM x"""),
+    "feat_signature": Query(
+        lambda s, d: scores.signature(small_profile(s, d)), LOC, "", "access_regularity ua_per_user request_velocity ip_concentration session_anomaly request_pattern_anomaly weekend_weekday_imbalance",
+        qa(q.BASIC, q.CLOCK, q.DENSE, "x AS (SELECT *, max(unique_users) OVER () AS top, median(downloads_per_user) OVER () AS mid FROM basic JOIN tod USING (geo_location))")
+        + """SELECT geo_location, 1 / (hourly_entropy + 0.1) AS access_regularity, 1 / (unique_users / (total_downloads + 1) + 0.01) AS ua_per_user, total_downloads / (working_hours_ratio * 168 + 1) AS request_velocity,
+          1 - ln(1 + unique_users) / ln(2 + top) AS ip_concentration, abs(downloads_per_user - mid) / (mid + 1) AS session_anomaly, 1 / (downloads_per_user / (ln(1 + unique_users) + 1) + 0.1) AS request_pattern_anomaly,
+          abs(working_hours_ratio - 0.5) AS weekend_weekday_imbalance FROM x"""),
+    "feat_script_locations": Query(
+        lambda s, d: analytics.script_locations(view_a(s, d)), f"{LOC} country", "total_downloads unique_users unique_projects distinct_hours http_downloads ftp_downloads aspera_downloads globus_downloads",
+        "working_hours_ratio night_activity_ratio downloads_per_user users_per_project hourly_entropy",
+        qa() + """SELECT geo_location, max(country) AS country, count(*) AS total_downloads, count(DISTINCT usr) AS unique_users, count(DISTINCT accession) AS unique_projects, count(DISTINCT hour(ts)) AS distinct_hours,
+          count(*) FILTER (method = 'http') AS http_downloads, count(*) FILTER (method = 'ftp') AS ftp_downloads, count(*) FILTER (method = 'fasp-aspera') AS aspera_downloads, count(*) FILTER (method = 'gridftp-globus') AS globus_downloads,
+          avg((hour(ts) BETWEEN 9 AND 17)::INT) AS working_hours_ratio, avg((hour(ts) >= 22 OR hour(ts) <= 5)::INT) AS night_activity_ratio, count(*) / count(DISTINCT usr) AS downloads_per_user,
+          count(DISTINCT usr) / count(DISTINCT accession) AS users_per_project, ln(count(DISTINCT hour(ts))) / ln(24) AS hourly_entropy FROM log GROUP BY 1"""),
+}
+
+CLASSES = {
+    "class_rules": Query(labelled, f"{LOC} behavior_type automation_category is_bot is_hub is_organic", sql=qa(*LABEL_CTES) + "SELECT * FROM labels"),
+    "class_ground_truth": Query(
+        ground, f"{LOC} ground_truth_label ground_truth_criteria", "", "ground_truth_confidence",
+        qa(q.BASIC, q.CLOCK, q.DENSE, """g AS (SELECT geo_location, CASE WHEN unique_users >= 10000 AND downloads_per_user <= 10 THEN 1 WHEN unique_users >= 5000 AND downloads_per_user <= 25 THEN 2 WHEN unique_users >= 1000 AND downloads_per_user <= 50 AND working_hours_ratio <= 0.3 THEN 3
+          WHEN unique_users <= 5 AND downloads_per_user >= 1000 THEN 4 WHEN unique_users <= 20 AND downloads_per_user >= 500 THEN 5 WHEN unique_users BETWEEN 10 AND 200 AND downloads_per_user >= 200 AND total_downloads >= 100000 AND working_hours_ratio >= 0.2 THEN 6
+          WHEN unique_users <= 3 AND downloads_per_user <= 20 AND working_hours_ratio >= 0.4 THEN 7 WHEN unique_users BETWEEN 3 AND 30 AND downloads_per_user BETWEEN 5 AND 100 AND working_hours_ratio >= 0.35 THEN 8 WHEN unique_users <= 5 AND downloads_per_user <= 50 AND night_activity_ratio <= 0.3 THEN 9 ELSE 10 END AS c FROM basic JOIN tod USING (geo_location))""")
+        + """SELECT geo_location, ['bot','bot','bot','hub','hub','hub','organic','organic','organic','uncertain'][c] AS ground_truth_label, [0.99,0.95,0.90,0.95,0.90,0.85,0.95,0.90,0.85,0.0][c] AS ground_truth_confidence,
+          ['users>=10000 dpu<=10','users>=5000 dpu<=25','users>=1000 dpu<=50 working<=0.3','users<=5 dpu>=1000','users<=20 dpu>=500','users 10-200 dpu>=200 total>=100000 working>=0.2','users<=3 dpu<=20 working>=0.4','users 3-30 dpu 5-100 working>=0.35','users<=5 dpu<=50 night<=0.3',''][c] AS ground_truth_criteria FROM g"""),
+    "class_hub_protection": Query(
+        protected, f"{LOC} behavior_type automation_category user_category is_protected_hub is_bot is_hub is_organic",
+        sql=qa(*LABEL_CTES, q.PROTOCOL, """h AS (SELECT *, CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'download_hub' ELSE 'normal' END AS uc, ((downloads_per_user > 500 AND unique_users <= 200) OR (unique_users <= 100 AND downloads_per_user > 100) OR (unique_users <= 1 AND downloads_per_user > 50)
+          OR (unique_users <= 10 AND downloads_per_user > 200) OR aspera_ratio > 0.3 OR globus_ratio > 0.1) AND NOT (working_hours_ratio < 0.1 AND night_activity_ratio > 0.7) AND NOT (unique_projects > 15000) AS keep FROM labels JOIN protocol USING (geo_location))""")
+        + """SELECT geo_location, CASE WHEN keep THEN 'automated' ELSE behavior_type END AS behavior_type, CASE WHEN keep THEN 'legitimate_automation' ELSE automation_category END AS automation_category,
+          CASE WHEN keep AND uc = 'bot' THEN 'download_hub' ELSE uc END AS user_category, keep AS is_protected_hub, NOT keep AND is_bot AS is_bot, keep OR is_hub AS is_hub, NOT keep AND is_organic AS is_organic FROM h"""),
+    "class_seeds": Query(
+        seeded, LOC, "", "organic_seed bot_seed hub_seed",
+        qa(q.BASIC, q.CLOCK, q.DENSE, q.PROTOCOL, q.HOURS, q.YEARLY, """bu AS (SELECT geo_location, coalesce(CASE WHEN stddev_samp(n) > 0 THEN (max(n) - avg(n)) / stddev_samp(n) END, 0) AS bp, coalesce(CASE WHEN stddev_samp(users) > 0 THEN avg(users) / stddev_samp(users) END, 0) AS uc FROM hours GROUP BY 1),
+          s AS (SELECT *, unique_users AS u, downloads_per_user AS dp, working_hours_ratio AS wh, night_activity_ratio AS nt FROM basic JOIN tod USING (geo_location) JOIN protocol USING (geo_location) JOIN bu USING (geo_location) JOIN years USING (geo_location))""")
+        + """SELECT geo_location, CASE WHEN u <= 10 AND dp <= 5 AND total_downloads < 200 AND wh > 0.3 AND nt < 0.5 AND years_span >= 2 THEN 1.0 WHEN u <= 50 AND dp <= 10 AND total_downloads < 1000 AND wh > 0.25 AND hourly_entropy > 1.5 AND bp < 0.5 THEN 0.7
+          WHEN u <= 200 AND dp <= 20 AND uc < 0.3 AND protocol_legitimacy_score > 0.3 THEN 0.4 END AS organic_seed,
+          CASE WHEN u > 5000 AND dp < 50 AND nt > 0.8 AND wh < 0.1 THEN 0.95 WHEN ((u > 5000 AND dp < 50) OR (nt > 0.8 AND wh < 0.1) OR (u > 10000 AND dp < 20) OR unique_projects > 15000) AND u > 10000 THEN 0.9
+            WHEN (u > 5000 AND dp < 50) OR (nt > 0.8 AND wh < 0.1) OR (u > 10000 AND dp < 20) OR unique_projects > 15000 THEN 0.7 END AS bot_seed,
+          CASE WHEN dp > 500 AND u < 100 AND NOT (wh < 0.1 AND nt > 0.7) THEN CASE WHEN aspera_ratio > 0.3 OR globus_ratio > 0.1 THEN 0.95 ELSE 0.8 END END AS hub_seed FROM s"""),
+    "class_temporal_anomaly": Query(
+        temporal, f"{LOC} has_temporal_spike", "", "temporal_anomaly_score",
+        qb(q.YEARLY, q.DAYS, q.WEEKS, RECENCY, """t AS (SELECT geo_location, (greatest(0, least(1, (fraction_latest_year - 0.5) * 2)) + 1 - 1 / (1 + spike_ratio / 5) + greatest(0, least(1, (least(recent_activity_ratio, 100) - 1) / 10))
+          + greatest(0, least(1, year_over_year_cv / 3)) + greatest(0, least(1, abs(momentum_score) / 5))) / 5 AS temporal_anomaly_score FROM years JOIN recency USING (geo_location))""")
+        + "SELECT *, temporal_anomaly_score > 0.6 AS has_temporal_spike FROM t"),
+    "class_monthly_mad_spike": Query(
+        lambda s, d: rules.monthly_spikes(b(s, d).bucket("month")), LOC, "", "spike_score",
+        qb(MONTHS, "m AS (SELECT geo_location, median(n) AS mid, count(*) AS k FROM mths GROUP BY 1), o AS (SELECT geo_location, abs(n - mid) AS off, k FROM mths JOIN m USING (geo_location)), z AS (SELECT geo_location, 0.6745 * max(off) / greatest(median(off), 1) AS z, max(k) AS k FROM o GROUP BY 1)")
+        + "SELECT geo_location, CASE WHEN k >= 3 AND z > 3.5 THEN least(z / 10, 1) ELSE 0 END AS spike_score FROM z"),
+    "annotate_join": Query(
+        lambda s, d: annotate.annotate(view_a(s, d), labelled(s, d)), f"{LOC} is_bot is_hub is_organic", "event_id",
+        sql=qa(*LABEL_CTES) + "SELECT geo_location, event_id, coalesce(is_bot, false) AS is_bot, coalesce(is_hub, false) AS is_hub, coalesce(is_organic, true) AS is_organic FROM log LEFT JOIN labels USING (geo_location)"),
+    "annotate_legacy": Query(
+        lambda s, d: annotate.annotate_sets(view_a(s, d), (x := labelled(s, d)).where("is_bot"), x.where("is_hub")), f"{LOC} is_bot is_hub is_organic", "event_id",
+        sql=qa(*LABEL_CTES) + "SELECT geo_location, event_id, coalesce(is_bot, false) AS is_bot, coalesce(is_hub, false) AS is_hub, NOT coalesce(is_bot OR is_hub, false) AS is_organic FROM log LEFT JOIN labels USING (geo_location)"),
+    "clean_semi_join": Query(
+        lambda s, d: annotate.clean(view_a(s, d), labelled(s, d)), LOC, "event_id",
+        sql=qa(*LABEL_CTES) + "SELECT geo_location, event_id FROM log WHERE geo_location IN (SELECT geo_location FROM labels WHERE NOT is_bot)"),
+    "flagship_labels": Query(
+        flagship, "label", "downloads locations",
+        sql=qa(*LABEL_CTES) + "SELECT CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS label, count(*) AS downloads, count(DISTINCT geo_location) AS locations FROM log JOIN labels USING (geo_location) GROUP BY 1"),
+}
+
+ANALYTICS = {
+    "ana_by_country": Query(lambda s, d: analytics.by_country(view_a(s, d)), "country region", "downloads users datasets", sql=qa() + f"SELECT {q_region()} AS region, {COUNTRY_ROWS} GROUP BY country"),
+    "ana_by_region": Query(
+        lambda s, d: analytics.by_region(analytics.by_country(view_a(s, d))), "region", "downloads countries",
+        sql=qa(f"c AS (SELECT {COUNTRY_ROWS} GROUP BY country)") + f"SELECT {q_region()} AS region, sum(downloads) AS downloads, count(*) AS countries FROM c GROUP BY 1"),
+    "ana_yearly": Query(
+        lambda s, d: analytics.trend(view_b(s, d), "year", 1995, 2000), "", "yr downloads users datasets",
+        sql=qb() + "SELECT year(ts) AS yr, count(*) AS downloads, count(DISTINCT usr) AS users, count(DISTINCT accession) AS datasets FROM log WHERE year(ts) BETWEEN 1995 AND 2000 GROUP BY 1"),
+    "ana_monthly": Query(
+        lambda s, d: analytics.trend(view_b(s, d), "month", 1990, 2005), "", "yr mon downloads users datasets",
+        sql=qb() + "SELECT year(ts) AS yr, month(ts) AS mon, count(*) AS downloads, count(DISTINCT usr) AS users, count(DISTINCT accession) AS datasets FROM log GROUP BY 1, 2"),
+    "ana_protocol_year": Query(
+        lambda s, d: analytics.protocol_trend(view_a(s, d)), "method", "yr downloads", "share",
+        qa() + "SELECT year(ts) AS yr, method, count(*) AS downloads, count(*) / sum(count(*)) OVER (PARTITION BY year(ts)) AS share FROM log GROUP BY 1, 2"),
+    "ana_protocol_month": Query(
+        lambda s, d: analytics.protocol_trend(view_a(s, d), "month"), "method", "yr mon downloads", "share",
+        qa() + "SELECT year(ts) AS yr, month(ts) AS mon, method, count(*) AS downloads, count(*) / sum(count(*)) OVER (PARTITION BY year(ts), month(ts)) AS share FROM log GROUP BY 1, 2, 3"),
+    "ana_protocol_overall": Query(
+        lambda s, d: analytics.protocol_trend(view_a(s, d), None), "method", "downloads", "share",
+        qa() + "SELECT method, count(*) AS downloads, count(*) / sum(count(*)) OVER () AS share FROM log GROUP BY 1"),
+    "ana_top_datasets": Query(
+        lambda s, d: analytics.top_datasets(view_a(s, d), 25, citations(s, d)), "accession", "downloads users countries citations",
+        sql=qa() + "SELECT accession, count(*) AS downloads, count(DISTINCT usr) AS users, count(DISTINCT country) AS countries, substr(accession, 3, 6)::BIGINT % 9 AS citations FROM log GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25"),
+    "ana_gini": Query(
+        lambda s, d: analytics.concentration(analytics.dataset_counts(view_b(s, d))), "", "items", "gini top_1_share top_10_share top_50_share",
+        qb(COUNTS, "r AS (SELECT downloads AS x, row_number() OVER (ORDER BY downloads) AS up, row_number() OVER (ORDER BY downloads DESC) AS dn, count(*) OVER () AS n, sum(downloads) OVER () AS t FROM counts)")
+        + """SELECT max(n) AS items, 2 * sum(up * x) / (max(n) * max(t)) - (max(n) + 1) / max(n) AS gini, sum(x) FILTER (dn <= greatest(1, floor(n * 0.01))) / max(t) AS top_1_share,
+          sum(x) FILTER (dn <= greatest(1, floor(n * 0.1))) / max(t) AS top_10_share, sum(x) FILTER (dn <= greatest(1, floor(n * 0.5))) / max(t) AS top_50_share FROM r"""),
+    "ana_lorenz": Query(
+        lambda s, d: analytics.lorenz(analytics.dataset_counts(view_b(s, d))), "", "", "item_share download_share",
+        qb(COUNTS, """r AS (SELECT row_number() OVER (ORDER BY downloads) AS up, count(*) OVER () AS n, downloads AS x, sum(downloads) OVER (ORDER BY downloads ROWS UNBOUNDED PRECEDING) AS cum, sum(downloads) OVER () AS t FROM counts),
+          p AS (SELECT unnest(range(101)) / 100 AS f), j AS (SELECT f, f * n AS at, up, x, cum, t FROM p, r WHERE up = greatest(1, ceil(f * n - 1e-9)))""")
+        + "SELECT f AS item_share, (cum - x + (at - (up - 1)) * x) / t AS download_share FROM j"),
+    "ana_rank_frequency": Query(
+        lambda s, d: analytics.rank_frequency(analytics.dataset_counts(view_b(s, d)), 50), "accession", "downloads place",
+        sql=qb(COUNTS) + "SELECT *, row_number() OVER (ORDER BY downloads DESC, accession) AS place FROM counts ORDER BY place LIMIT 50"),
+    "ana_hour_dow": Query(
+        lambda s, d: analytics.hour_by_weekday(view_a(s, d)), "", "hr dow downloads", sql=qa() + "SELECT coalesce(hour(ts), 12) AS hr, dayofweek(ts) AS dow, count(*) AS downloads FROM log GROUP BY 1, 2"),
+    "ana_country_year": Query(
+        lambda s, d: analytics.country_year(view_b(s, d), NATIONS), "country", "yr downloads", "share",
+        qb("c AS (SELECT year(ts) AS yr, country, count(*) AS downloads, count(*) / sum(count(*)) OVER (PARTITION BY year(ts)) AS share FROM log GROUP BY 1, 2)") + f"SELECT * FROM c WHERE country IN ({', '.join(map(repr, NATIONS))})"),
+    "ana_dataset_years": Query(
+        lambda s, d: analytics.dataset_years(view_b(s, d)), "accession", "yr downloads active_years", "log_downloads",
+        qb(COUNTS, "t AS (SELECT accession FROM counts ORDER BY downloads DESC, accession LIMIT 25)") + "SELECT accession, year(ts) AS yr, count(*) AS downloads, count(*) OVER (PARTITION BY accession) AS active_years, log10(count(*) + 1) AS log_downloads FROM log WHERE accession IN (SELECT accession FROM t) GROUP BY 1, 2"),
+    "ana_consistency": Query(
+        lambda s, d: analytics.consistency(view_b(s, d)), "accession", "years downloads", "consistency_score",
+        qb("y AS (SELECT accession, year(ts) AS yr, count(*) AS n FROM log GROUP BY 1, 2)") + "SELECT accession, count(*) AS years, sum(n) AS downloads, (1 - least(stddev_pop(n) / avg(n), 1)) * count(*) / 5 AS consistency_score FROM y GROUP BY 1 HAVING count(*) >= 3"),
+    "ana_files_hist": Query(
+        lambda s, d: analytics.files_histogram(view_a(s, d)), "", "bin files downloads",
+        sql=qa("f AS (SELECT accession, filename, count(*) AS n FROM log GROUP BY 1, 2)") + "SELECT floor(log10(n)) AS bin, count(*) AS files, sum(n) AS downloads FROM f GROUP BY 1"),
+    "ana_country_bubbles": Query(
+        lambda s, d: analytics.country_bubbles(view_a(s, d), 300), "country", "downloads users", "downloads_per_user",
+        qa() + f"SELECT *, downloads / users AS downloads_per_user FROM (SELECT {COUNTRY_ROWS} GROUP BY country) WHERE downloads > 300"),
+    "ana_before_after": Query(
+        lambda s, d: analytics.before_after(annotate.annotate(view_a(s, d), labelled(s, d))), "country", "before after", "removed_share",
+        qa(*LABEL_CTES) + "SELECT log.country, count(*) AS before, count(*) FILTER (NOT is_bot) AS after, 1 - count(*) FILTER (NOT is_bot) / count(*) AS removed_share FROM log JOIN labels USING (geo_location) GROUP BY 1"),
+    "ana_file_types": Query(
+        lambda s, d: analytics.file_types(view_a(s, d)), "region kind", "downloads", "share",
+        qa() + f"SELECT {q_region()} AS region, 'raw' AS kind, count(*) AS downloads, 1.0 AS share FROM log GROUP BY 1"),
+    "ana_reuse": Query(
+        lambda s, d: analytics.reuse_correlation(analytics.dataset_counts(view_a(s, d)), citations(s, d)), "", "items", "spearman slope intercept",
+        qa(COUNTS, """c AS (SELECT downloads AS x, greatest(substr(accession, 3, 6)::BIGINT % 9 - 1, 0) AS y FROM counts), r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM c)""")
+        + "SELECT count(*) AS items, corr(rx, ry) AS spearman, regr_slope(log10(x), log10(y)) FILTER (y > 0) AS slope, regr_intercept(log10(x), log10(y)) FILTER (y > 0) AS intercept FROM r"),
+    "ana_label_breakdown": Query(
+        lambda s, d: analytics.label_breakdown(labelled(s, d)), "country", "locations bot_locations hub_locations organic_locations bot_downloads hub_downloads organic_downloads",
+        sql=qa(*LABEL_CTES) + """SELECT country, count(*) AS locations, count(*) FILTER (is_bot) AS bot_locations, count(*) FILTER (is_hub) AS hub_locations, count(*) FILTER (is_organic) AS organic_locations,
+          coalesce(sum(total_downloads) FILTER (is_bot), 0) AS bot_downloads, coalesce(sum(total_downloads) FILTER (is_hub), 0) AS hub_downloads, coalesce(sum(total_downloads) FILTER (is_organic), 0) AS organic_downloads FROM labels GROUP BY 1"""),
+    "ana_overview": Query(
+        lambda s, d: analytics.overview(view_b(s, d)), "", "events first_year last_year countries locations datasets users",
+        sql=qb() + "SELECT count(*) AS events, min(year(ts)) AS first_year, max(year(ts)) AS last_year, count(DISTINCT country) AS countries, count(DISTINCT geo_location) AS locations, count(DISTINCT accession) AS datasets, count(DISTINCT usr) AS users FROM log"),
+}
+
+EVALUATION = {
+    "eval_confusion": Query(lambda s, d: evaluate.confusion(judged(s, d)), "truth predicted", "n", sql=qa(*LABEL_CTES, JUDGED) + "SELECT truth, predicted, count(*) AS n FROM judged GROUP BY 1, 2"),
+    "eval_class_metrics": Query(
+        lambda s, d: evaluate.class_metrics(judged(s, d)), "label", "tp fp fn support", "precision recall f1",
+        qa(*LABEL_CTES, JUDGED, """c AS (SELECT l AS label, count(*) FILTER (truth = l AND predicted = l) AS tp, count(*) FILTER (truth <> l AND predicted = l) AS fp, count(*) FILTER (truth = l AND predicted <> l) AS fn, count(*) FILTER (truth = l) AS support
+          FROM judged, (SELECT unnest(['bot', 'hub', 'organic']) AS l) GROUP BY 1), m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS "precision", coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM c)""")
+        + 'SELECT *, coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0) AS f1 FROM m'),
+    "eval_kappa": Query(
+        lambda s, d: evaluate.agreement(judged(s, d)), "", "items", "agreement kappa jaccard_bot jaccard_hub jaccard_organic",
+        qa(*LABEL_CTES, JUDGED, """p AS (SELECT count(*) AS items, avg((truth = predicted)::INT) AS agreement, avg((truth = 'bot')::INT) * avg((predicted = 'bot')::INT) + avg((truth = 'hub')::INT) * avg((predicted = 'hub')::INT) + avg((truth = 'organic')::INT) * avg((predicted = 'organic')::INT) AS c,
+          coalesce(count(*) FILTER (truth = 'bot' AND predicted = 'bot') / nullif(count(*) FILTER (truth = 'bot' OR predicted = 'bot'), 0), 0) AS jaccard_bot, coalesce(count(*) FILTER (truth = 'hub' AND predicted = 'hub') / nullif(count(*) FILTER (truth = 'hub' OR predicted = 'hub'), 0), 0) AS jaccard_hub,
+          coalesce(count(*) FILTER (truth = 'organic' AND predicted = 'organic') / nullif(count(*) FILTER (truth = 'organic' OR predicted = 'organic'), 0), 0) AS jaccard_organic FROM judged)""")
+        + "SELECT *, CASE WHEN c < 1 THEN (agreement - c) / (1 - c) ELSE 1 END AS kappa FROM p"),
+    "eval_mcnemar": Query(
+        lambda s, d: evaluate.mcnemar(judged(s, d), "predicted", "third"), "", "both only_a only_b neither", "chi2",
+        qa(*LABEL_CTES, JUDGED, "o AS (SELECT count(*) FILTER (predicted = truth AND third = truth) AS both, count(*) FILTER (predicted = truth AND third <> truth) AS only_a, count(*) FILTER (predicted <> truth AND third = truth) AS only_b, count(*) FILTER (predicted <> truth AND third <> truth) AS neither FROM judged)")
+        + "SELECT *, coalesce(greatest(abs(only_a - only_b) - 1, 0) ** 2 / nullif(only_a + only_b, 0), 0) AS chi2 FROM o"),
+    "eval_discovery": Query(
+        lambda s, d: evaluate.discovery(judged(s, d), ["truth", "predicted", "third"], "organic"), "", '"unique" consensus majority only_truth only_predicted only_third'.replace('"unique" ', ""), "",
+        qa(*LABEL_CTES, JUDGED, "v AS (SELECT *, (truth = 'organic')::INT + (predicted = 'organic')::INT + (third = 'organic')::INT AS votes FROM judged)")
+        + "SELECT count(*) FILTER (votes = 3) AS consensus, count(*) FILTER (votes >= 2) AS majority, count(*) FILTER (votes = 1 AND truth = 'organic') AS only_truth, count(*) FILTER (votes = 1 AND predicted = 'organic') AS only_predicted, count(*) FILTER (votes = 1 AND third = 'organic') AS only_third FROM v"),
+    "eval_impact": Query(
+        lambda s, d: evaluate.impact(labelled(s, d)), "label", "locations downloads", "location_share download_share",
+        qa(*LABEL_CTES, JUDGED) + "SELECT predicted AS label, count(*) AS locations, sum(total_downloads) AS downloads, count(*) / sum(count(*)) OVER () AS location_share, sum(total_downloads) / sum(sum(total_downloads)) OVER () AS download_share FROM judged GROUP BY 1"),
+    "stat_feature_quantiles": Query(
+        lambda s, d: reporting.feature_statistics(labelled(s, d), ["total_downloads", "hourly_entropy", "working_hours_ratio"]), "feature", "n", "mean sd least q25 median q75 top bot_mean other_mean",
+        qa(*LABEL_CTES, "f AS (UNPIVOT (SELECT is_bot, total_downloads::DOUBLE AS total_downloads, hourly_entropy, working_hours_ratio FROM labels) ON total_downloads, hourly_entropy, working_hours_ratio INTO NAME feature VALUE x)")
+        + "SELECT feature, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS least, quantile_cont(x, 0.25) AS q25, median(x) AS median, quantile_cont(x, 0.75) AS q75, max(x) AS top, avg(x) FILTER (is_bot) AS bot_mean, avg(x) FILTER (NOT is_bot) AS other_mean FROM f GROUP BY 1"),
+    "stat_corr": Query(
+        lambda s, d: reporting.correlations(judged_flag(s, d), ["total_downloads", "hourly_entropy", "working_hours_ratio"]), "feature", "", "correlation",
+        qa(*LABEL_CTES, "f AS (UNPIVOT (SELECT (unique_users >= 2)::INT AS y, total_downloads::DOUBLE AS total_downloads, hourly_entropy, working_hours_ratio FROM labels) ON total_downloads, hourly_entropy, working_hours_ratio INTO NAME feature VALUE x)")
+        + "SELECT feature, corr(x, y) AS correlation FROM f GROUP BY 1"),
+    "stat_effect_size": Query(
+        lambda s, d: reporting.effect_sizes(judged_flag(s, d), ["total_downloads", "hourly_entropy", "working_hours_ratio"]), "feature", "", "effect_size",
+        qa(*LABEL_CTES, "f AS (UNPIVOT (SELECT unique_users >= 2 AS y, total_downloads::DOUBLE AS total_downloads, hourly_entropy, working_hours_ratio FROM labels) ON total_downloads, hourly_entropy, working_hours_ratio INTO NAME feature VALUE x)")
+        + "SELECT feature, (avg(x) FILTER (y) - avg(x) FILTER (NOT y)) / sqrt(((count(*) FILTER (y) - 1) * var_samp(x) FILTER (y) + (count(*) FILTER (NOT y) - 1) * var_samp(x) FILTER (NOT y)) / (count(*) - 2)) AS effect_size FROM f GROUP BY 1"),
+    "stat_city_rollup": Query(
+        lambda s, d: reporting.city_rollup(profile.basic(a(s, d)), 50), "country city", "downloads users locations", "downloads_per_user",
+        qa(q.BASIC) + "SELECT country, city, sum(total_downloads) AS downloads, sum(unique_users) AS users, count(*) AS locations, sum(total_downloads) / sum(unique_users) AS downloads_per_user FROM basic GROUP BY 1, 2 HAVING sum(total_downloads) > 50 ORDER BY 6 DESC, 1, 2 LIMIT 50"),
+    "stat_hierarchy": Query(
+        lambda s, d: reporting.hierarchy(labelled(s, d)), "behavior_type automation_category", "locations users downloads",
+        sql=qa(*LABEL_CTES) + "SELECT behavior_type, coalesce(automation_category, '') AS automation_category, count(*) AS locations, sum(unique_users) AS users, sum(total_downloads) AS downloads FROM labels GROUP BY 1, 2"),
+    "stat_histogram": Query(
+        lambda s, d: reporting.histogram(profile.basic(a(s, d)), "total_downloads", 10), "", "bin n",
+        sql=qa(q.BASIC, "e AS (SELECT min(total_downloads)::DOUBLE AS lo, max(total_downloads)::DOUBLE AS hi FROM basic)") + "SELECT least(9, floor((total_downloads - lo) / (hi - lo) * 10)) AS bin, count(*) AS n FROM basic, e GROUP BY 1"),
+    "stat_correlation_matrix": Query(
+        lambda s, d: reporting.correlation_matrix(small_profile(s, d), ["total_downloads", "hourly_entropy", "working_hours_ratio"]), "a b", "", "correlation",
+        qa(q.BASIC, q.CLOCK, q.DENSE, "p AS (SELECT total_downloads AS x, hourly_entropy AS y, working_hours_ratio AS z FROM basic JOIN tod USING (geo_location))")
+        + """SELECT 'total_downloads' AS a, 'total_downloads' AS b, corr(x, x) AS correlation FROM p UNION ALL SELECT 'total_downloads', 'hourly_entropy', corr(x, y) FROM p UNION ALL SELECT 'total_downloads', 'working_hours_ratio', corr(x, z) FROM p
+          UNION ALL SELECT 'hourly_entropy', 'hourly_entropy', corr(y, y) FROM p UNION ALL SELECT 'hourly_entropy', 'working_hours_ratio', corr(y, z) FROM p UNION ALL SELECT 'working_hours_ratio', 'working_hours_ratio', corr(z, z) FROM p"""),
+    "geo_near_pairs": Query(
+        lambda s, d: reporting.near_pairs(spatial(s, d), 120.0, 1.1), "a b", "", "km",
+        qa("p AS (SELECT DISTINCT geo_location AS g, country, radians(split_part(geo_location, ',', 1)::DOUBLE) AS la, radians(split_part(geo_location, ',', 2)::DOUBLE) AS lo FROM log), j AS (SELECT x.g AS a, y.g AS b, 2 * 6371.0 * asin(sqrt(least(1, sin((y.la - x.la) / 2) ** 2 + cos(x.la) * cos(y.la) * sin((y.lo - x.lo) / 2) ** 2))) AS km FROM p x JOIN p y ON x.country = y.country AND x.g < y.g)")
+        + "SELECT * FROM j WHERE km <= 120"),
+    "geo_proximity_groups": Query(lambda s, d: reporting.proximity_groups(spatial(s, d), 120.0), f"{LOC} country group"),
+}
+
+
+def judged_flag(spark, sf) -> DataFrame:
+    return small_profile(spark, sf).withColumn("is_bot", F.col("unique_users") >= 2)
+
+
+OTHERS = {
+    "sample_exact": Query(lambda s, d: readers.sample_exact(view_a(s, d), 500, ["event_id"]), LOC, "event_id"),
+    "sample_per_location": Query(lambda s, d: ordered.sampled(a(s, d), 20), LOC, "event_id", sql=qa(q.sampled(20)) + "SELECT geo_location, event_id FROM sampled"),
+    "ml_anomaly": Query(lambda s, d: models.add_anomaly(small_profile(s, d), ["unique_users", "downloads_per_user", "hourly_entropy", "working_hours_ratio"], trees=50), f"{LOC} is_anomaly", "", "anomaly_score"),
+    "pipeline_rules": Query(lambda s, d: pipeline.classify_by_rules(pipeline.location_profile(view_a(s, d))), f"{LOC} behavior_type automation_category is_bot is_hub is_organic", "total_downloads", "user_entropy weekly_autocorr peer_similarity"),
+}
+
 
-def queries():
-    return {}
+def _all() -> dict[str, Query]:
+    return FEATURES | CLASSES | ANALYTICS | EVALUATION | OTHERS
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query.run for name, query in _all().items()}
 
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, query in _all().items() if (sql := query.oracle()) is not None}
