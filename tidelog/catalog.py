@@ -228,9 +228,9 @@ FEATURES = {
           coalesce(session_start_hour_entropy, 2) AS session_start_hour_entropy FROM (SELECT DISTINCT geo_location FROM log) l LEFT JOIN (SELECT * FROM ss JOIN se USING (geo_location) WHERE k >= 2) x USING (geo_location)"""),
     "feat_access_pattern": Query(
         lambda s, d: ordered.access_pattern(a(s, d)), LOC, "", "alphabetical_access_score sequential_file_ratio directory_traversal_score retry_ratio unique_file_ratio",
-        qa(q.FILES, """ac AS (SELECT *, row_number() OVER t AS at, dense_rank() OVER (PARTITION BY geo_location ORDER BY filename) AS place, regexp_extract(filename, '([0-9]+)', 1) AS digits FROM log WINDOW t AS (PARTITION BY geo_location ORDER BY ts, event_id)),
-          nx AS (SELECT *, try_cast(digits AS INTEGER) AS num, lead(try_cast(digits AS INTEGER)) OVER t AS nxt, lead(at) OVER t IS NULL AS last FROM ac WINDOW t AS (PARTITION BY geo_location ORDER BY at)),
-          od AS (SELECT geo_location, coalesce(CASE WHEN stddev_samp(at) * stddev_samp(place) > 0 THEN (avg(at * place) - avg(at) * avg(place)) / (stddev_samp(at) * stddev_samp(place)) END, 0) AS alphabetical_access_score,
+        qa(q.FILES, """ac AS (SELECT *, row_number() OVER t AS ord, dense_rank() OVER (PARTITION BY geo_location ORDER BY filename) AS place, regexp_extract(filename, '([0-9]+)', 1) AS digits FROM log WINDOW t AS (PARTITION BY geo_location ORDER BY ts, event_id)),
+          nx AS (SELECT *, try_cast(digits AS INTEGER) AS num, lead(try_cast(digits AS INTEGER)) OVER t AS nxt, lead(ord) OVER t IS NULL AS last FROM ac WINDOW t AS (PARTITION BY geo_location ORDER BY ord)),
+          od AS (SELECT geo_location, coalesce(CASE WHEN stddev_samp(ord) * stddev_samp(place) > 0 THEN (avg(ord * place) - avg(ord) * avg(place)) / (stddev_samp(ord) * stddev_samp(place)) END, 0) AS alphabetical_access_score,
           coalesce(avg(CASE WHEN abs(nxt - num) = 1 THEN 1.0 ELSE 0.0 END) FILTER (digits <> '' AND NOT last), 0) AS sequential_file_ratio FROM nx GROUP BY 1),
           ag AS (SELECT geo_location, avg((n > 1)::INT) AS retry_ratio FROM files GROUP BY 1)""")
         + "SELECT *, alphabetical_access_score AS directory_traversal_score, 1.0 AS unique_file_ratio FROM od JOIN ag USING (geo_location)"),
@@ -424,8 +424,8 @@ ANALYTICS = {
     "ana_lorenz": Query(
         lambda s, d: analytics.lorenz(analytics.dataset_counts(view_b(s, d))), "", "", "item_share download_share",
         qb(COUNTS, """r AS (SELECT row_number() OVER (ORDER BY downloads) AS up, count(*) OVER () AS n, downloads AS x, sum(downloads) OVER (ORDER BY downloads ROWS UNBOUNDED PRECEDING) AS cum, sum(downloads) OVER () AS t FROM counts),
-          p AS (SELECT unnest(range(101)) / 100 AS f), j AS (SELECT f, f * n AS at, up, x, cum, t FROM p, r WHERE up = greatest(1, ceil(f * n - 1e-9)))""")
-        + "SELECT f AS item_share, (cum - x + (at - (up - 1)) * x) / t AS download_share FROM j"),
+          p AS (SELECT unnest(range(101)) / 100 AS f), j AS (SELECT f, f * n AS want, up, x, cum, t FROM p, r WHERE up = greatest(1, ceil(f * n - 1e-9)))""")
+        + "SELECT f AS item_share, (cum - x + (want - (up - 1)) * x) / t AS download_share FROM j"),
     "ana_rank_frequency": Query(
         lambda s, d: analytics.rank_frequency(analytics.dataset_counts(view_b(s, d)), 50), "accession", "downloads place",
         sql=qb(COUNTS) + "SELECT *, row_number() OVER (ORDER BY downloads DESC, accession) AS place FROM counts ORDER BY place LIMIT 50"),
@@ -479,8 +479,8 @@ EVALUATION = {
           coalesce(count(*) FILTER (truth = 'organic' AND predicted = 'organic') / nullif(count(*) FILTER (truth = 'organic' OR predicted = 'organic'), 0), 0) AS jaccard_organic FROM judged)""")
         + "SELECT *, CASE WHEN c < 1 THEN (agreement - c) / (1 - c) ELSE 1 END AS kappa FROM p"),
     "eval_mcnemar": Query(
-        lambda s, d: evaluate.mcnemar(judged(s, d), "predicted", "third"), "", "both only_a only_b neither", "chi2",
-        qa(*LABEL_CTES, JUDGED, "o AS (SELECT count(*) FILTER (predicted = truth AND third = truth) AS both, count(*) FILTER (predicted = truth AND third <> truth) AS only_a, count(*) FILTER (predicted <> truth AND third = truth) AS only_b, count(*) FILTER (predicted <> truth AND third <> truth) AS neither FROM judged)")
+        lambda s, d: evaluate.mcnemar(judged(s, d), "predicted", "third"), "", "both_right only_a only_b neither", "chi2",
+        qa(*LABEL_CTES, JUDGED, "o AS (SELECT count(*) FILTER (predicted = truth AND third = truth) AS both_right, count(*) FILTER (predicted = truth AND third <> truth) AS only_a, count(*) FILTER (predicted <> truth AND third = truth) AS only_b, count(*) FILTER (predicted <> truth AND third <> truth) AS neither FROM judged)")
         + "SELECT *, coalesce(greatest(abs(only_a - only_b) - 1, 0) ** 2 / nullif(only_a + only_b, 0), 0) AS chi2 FROM o"),
     "eval_discovery": Query(
         lambda s, d: evaluate.discovery(judged(s, d), ["truth", "predicted", "third"], "organic"), "", '"unique" consensus majority only_truth only_predicted only_third'.replace('"unique" ', ""), "",

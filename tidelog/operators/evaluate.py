@@ -70,7 +70,7 @@ def mcnemar(rows: DataFrame, a: str, b: str, truth: str = "truth") -> DataFrame:
     """One row: outcomes of two methods against the truth, and chi-squared with continuity correction."""
     right_a, right_b = F.col(a) == F.col(truth), F.col(b) == F.col(truth)
     out = rows.agg(
-        F.count_if(right_a & right_b).alias("both"),
+        F.count_if(right_a & right_b).alias("both_right"),
         F.count_if(right_a & ~right_b).alias("only_a"),
         F.count_if(~right_a & right_b).alias("only_b"),
         F.count_if(~right_a & ~right_b).alias("neither"),
