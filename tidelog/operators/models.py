@@ -260,9 +260,9 @@ def fuse(df: DataFrame, columns: list[str], iterations: int = 200, depth: int =
             continue
         own = train.withColumn("y", (F.col("k") == kind).cast("double"))
         gbt = GBTClassifier(
-            featuresCol="_x", labelCol="y", weightCol="w", maxIter=iterations, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=10, seed=seed,
-            rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_y",
-        ).fit(own)
+            featuresCol="_x", labelCol="y", weightCol="w", maxIter=iterations, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=10, seed=seed, predictionCol="_y"
+        )
+        gbt = gbt.setRawPredictionCol("_raw").setProbabilityCol("_p").fit(own)
         sigmoid = LogisticRegression(featuresCol="_raw", labelCol="y", weightCol="w", probabilityCol="_q", rawPredictionCol="_r2", predictionCol="_y2", regParam=1e-3)
         platt = sigmoid.fit(gbt.transform(own))
         keep = [c for c in scored.columns]

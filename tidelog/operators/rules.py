@@ -171,9 +171,11 @@ def ground_truth(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def _bounds(df: DataFrame, *tests: tuple[str, str, float]) -> Column:
-    """Tests on columns; one on a column that df lacks counts as met."""
+def _bounds(df: DataFrame, *tests: tuple[str, str, float], skip_absent: bool = False) -> Column:
+    """Tests on columns, all of them; with skip_absent one on a column that df lacks counts as met, else as failed."""
     compare = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
+    if not skip_absent and any(c not in df.columns for c, _, _ in tests):
+        return F.lit(False)
     met = [F.coalesce(compare[how](F.col(c), F.lit(bound)), F.lit(False)) for c, how, bound in tests if c in df.columns]
     return all_of(met) if met else F.lit(True)
 
@@ -184,7 +186,7 @@ def seeds(df: DataFrame) -> DataFrame:
     small = [("unique_users", "<=", 10), ("downloads_per_user", "<=", 5), ("total_downloads", "<", 200), ("working_hours_ratio", ">", 0.3), ("night_activity_ratio", "<", 0.5), ("years_span", ">=", 2)]
     middle = [("unique_users", "<=", 50), ("downloads_per_user", "<=", 10), ("total_downloads", "<", 1000), ("working_hours_ratio", ">", 0.25), ("hourly_entropy", ">", 1.5), ("burst_pattern_score", "<", 0.5)]
     wide = [("unique_users", "<=", 200), ("downloads_per_user", "<=", 20), ("user_coordination_score", "<", 0.3), ("protocol_legitimacy_score", ">", 0.3)]
-    organic = F.when(_bounds(df, *small), 1.0).when(_bounds(df, *middle), 0.7).when(_bounds(df, *wide), 0.4)
+    organic = F.when(_bounds(df, *small, skip_absent=True), 1.0).when(_bounds(df, *middle, skip_absent=True), 0.7).when(_bounds(df, *wide, skip_absent=True), 0.4)
     farm = _bounds(df, ("unique_users", ">", 5000), ("downloads_per_user", "<", 50))
     nocturnal = _bounds(df, ("night_activity_ratio", ">", 0.8), ("working_hours_ratio", "<", 0.1))
     coordinated = _bounds(df, ("unique_users", ">", 10000), ("downloads_per_user", "<", 20))
