@@ -23,7 +23,7 @@ TEXTS = 80
 MAX_CHARS = 1 << 15
 DICTIONARY = 112 << 10
 PIECE = 8 << 10
-LEVEL = 3
+LEVEL = 12
 NARROW = 0.02
 UNKNOWN = "und"
 
