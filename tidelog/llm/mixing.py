@@ -78,8 +78,9 @@ def shard_quotas(targets: DataFrame, block: int, n_shards: int = 1) -> DataFrame
         F.sum("target").over(every).alias("_sum"),
         F.sum("source_size").over(every).alias("_t"),
         F.count(F.lit(1)).over(every).alias("_n"),
-        F.explode(F.sequence(F.lit(1), F.lit(n_shards))).alias("shard"),
     )
+    # Apart from the sums above, which would else count each source once a shard.
+    base = base.withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(n_shards))))
     base = base.withColumn("_seats", F.round(F.col("_t") / block * F.col("shard") / n_shards).cast("long"))
     exact = F.col("target") / F.col("_sum") * F.col("_seats")
     slack = F.ceil(F.col("target") / F.col("_sum") * F.col("_n") / 2) + 2
@@ -177,13 +178,15 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
     """
     plan = mix(docs, id_col, text_col, source_col, **options).select(F.col("doc_id").alias("_id"), "n_passes", "ranges")
     plan = plan.where((F.col("n_passes") > 0) | (F.size("ranges") > 0)).dropDuplicates(["_id"])
-    text = docs[text_col]
-    found = docs.join(plan, docs[id_col].eqNullSafe(F.col("_id")))
+    # The row travels as one struct, so that its names meet no others.
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"))
+    found = rows.join(plan, F.col("_doc")[id_col].eqNullSafe(F.col("_id")))
+    text = F.col("_doc")[text_col]
     words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
     found = found.withColumn("_words", F.when(F.size("ranges") > 0, words))
     parts = F.flatten(F.transform("ranges", lambda r: F.slice("_words", r["from"] + 1, r["to"] - r["from"])))
     copies = F.array_repeat(text, F.col("n_passes").cast("int"))
     texts = F.when(F.size("ranges") > 0, F.concat(copies, F.array(F.array_join(parts, " ")))).otherwise(copies)
     return found.withColumn("_mixed", F.explode(texts)).select(
-        *[F.col("_mixed").alias(c) if c == text_col else docs[c] for c in docs.columns]
+        *[F.col("_mixed").alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns]
     )
