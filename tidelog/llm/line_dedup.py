@@ -56,15 +56,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each of them. A null id comes after all others. Columns of docs keep
     their names; n_lines and n_removed replace ones of that name.
     """
-    row = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    keys = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    keys = keys.withColumn("_row", F.xxhash64(F.coalesce(F.col("_text"), F.lit(""))))
+    row = F.xxhash64(F.coalesce(F.col("_text"), F.lit("")))
+    keys = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_row", row)
     cuts = checkpoint(repeated_windows(keys, "_id", "_text", span))
     cuts = cuts.select(F.col("doc_id").alias("_cut_id"), F.col("_row").alias("_cut_row"), F.col("cut").alias("_cut"))
-    found = docs.withColumn("_row", row).join(
-        cuts, docs[id_col].eqNullSafe(F.col("_cut_id")) & (F.col("_row") == F.col("_cut_row")), "left"
+    # The row travels as one struct, so that its names meet no others.
+    found = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text_col).alias("_text")).withColumn("_row", row)
+    found = found.drop("_text").join(
+        cuts, F.col("_doc")[id_col].eqNullSafe(F.col("_cut_id")) & (F.col("_row") == F.col("_cut_row")), "left"
     )
-    found = found.withColumn("_lines", F.split(F.col(text_col), "\n"))
+    text = F.col("_doc")[text_col]
+    found = found.withColumn("_lines", F.split(text, "\n"))
     lines, cut = F.col("_lines"), F.col("_cut")
     # Kept ranges lie between the end of one covered window and the start of the next.
     begins = F.concat(F.array(F.lit(0)), F.transform(cut, lambda p: p + span))
@@ -72,15 +74,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = found.withColumn("_gaps", F.filter(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda g: g["b"] > g["a"]))
     gaps = F.col("_gaps")
     left = F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["a"] + 1, g["b"] - g["a"])))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines))
     n_left = F.aggregate(gaps, F.lit(0), lambda s, g: s + g["b"] - g["a"])
-    cut_text = F.when(cut.isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    kept = [F.col(c) for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
-    out = found.select(
-        *kept,
-        cut_text.alias(text_col),
+    cut_text = F.when(cut.isNull(), text).otherwise(F.array_join(left, "\n"))
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return found.select(
+        *[cut_text.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in kept],
         n_lines.cast("long").alias("n_lines"),
         F.when(cut.isNull(), 0).otherwise(n_lines - n_left).cast("long").alias("n_removed"),
     )
-    order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*order, "n_lines", "n_removed")
