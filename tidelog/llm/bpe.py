@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidelog.llm.common import map_texts, pick
 
