@@ -20,24 +20,24 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import SLICE, checkpoint, fold, pick
-from tidelog.llm.minhash import _mixed, words
+from tidelog.llm.common import SLICE, checkpoint, fold
+from tidelog.llm.minhash import words
 
-HEAVY = 1 << 19
+HEAVY = 1 << 20
 ROUNDS = 2
 #: Classes of texts with word distributions of their own, and how many words of all texts each is smoothed with.
 CLASSES = 16
 PULL = 1000.0
 #: Entries of a task's counts before they are handed on.
 FLUSH = 400_000
-#: Words above this many bytes take the scalar path.
-LONG = 48
 FLOOR = 1e-9
 START = b" "
 
@@ -51,137 +51,87 @@ def vocabulary(path: str) -> list[tuple[bytes, float]]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    found: dict[bytes, float] = {bytes([b]): FLOOR for b in range(256)}
+    found: dict[bytes, float] = {bytes([b]): FLOOR for b in range(256) if not 9 <= b <= 13}
     plain = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
     for rank, i in enumerate(sorted(plain, key=lambda i: (-model.get_score(i), i))):
         piece = model.id_to_piece(i).replace("▁", " ").encode()
-        if START not in piece[1:]:
+        if START not in piece[1:] and not set(piece) & set(range(9, 14)):
             found[piece] = max(found.get(piece, 0.0), 1.0 / (rank + 2))
     total = sum(found.values())
     return sorted((p, w / total) for p, w in found.items())
 
 
-BASE = np.uint64(0x100000001B3 | 1)
-
-
 class Lattice:
-    """Pieces with log probabilities, and tables that find the pieces of many words at once."""
+    """Pieces with log probabilities, found in many words at once by one pass of an automaton."""
 
-    SLOTS = 18
+    GAP = "\n"
+    #: Bytes of words that one pass takes, or one word if it is longer.
+    PASS = 1 << 17
 
     def __init__(self, pieces: list[bytes], log_p: np.ndarray):
         self.log_p = log_p
-        self.index = {p: i for i, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces))
-        keys = np.zeros(len(pieces), dtype=np.uint64)
-        for size in set(map(len, pieces)):
-            own = [i for i, p in enumerate(pieces) if len(p) == size]
-            signs = np.frombuffer(b"".join(pieces[i] for i in own), dtype=np.uint8).reshape(-1, size)
-            keys[own] = self._key(self._prefixes(signs), 0, size)
-        if len(np.unique(keys)) != len(keys):
-            raise ValueError("two pieces have the same key")
-        self.levels = []
-        left = np.arange(len(pieces))
-        while len(left):
-            slot = (keys[left] * np.uint64(2 * len(self.levels) + 1) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
-            table = np.full(1 << self.SLOTS, -1, dtype=np.int32)
-            table[slot] = left
-            self.levels.append((np.where(table >= 0, keys[table], 0), table))
-            left = left[table[slot] != left]
-
-    @staticmethod
-    def _prefixes(signs: np.ndarray) -> np.ndarray:
-        out = np.zeros((signs.shape[0], signs.shape[1] + 1), dtype=np.uint64)
-        for i in range(signs.shape[1]):
-            out[:, i + 1] = out[:, i] * BASE + signs[:, i] + np.uint64(1)
-        return out
+        self.size = np.array([len(p) for p in pieces])
+        self.finder = ahocorasick.Automaton()
+        for i, p in enumerate(pieces):
+            self.finder.add_word(p.decode("latin-1"), i)
+        self.finder.make_automaton()
+
+    def _passes(self, found: list[bytes]):
+        """Parts of the words, each with its edges: (words, first gaps, last gaps, start, end, piece, own first gap)."""
+        at = 0
+        while at < len(found):
+            to, length = at, 0
+            while to < len(found) and (to == at or length + len(found[to]) + 2 <= self.PASS):
+                length += len(found[to]) + 2
+                to += 1
+            part = found[at:to]
+            text = "".join(" " + w.decode("latin-1") + self.GAP for w in part)
+            hits = np.fromiter(chain.from_iterable(self.finder.iter(text)), dtype=np.int64).reshape(-1, 2)
+            last = np.cumsum([len(w) + 2 for w in part]) - 1
+            first = last - np.array([len(w) + 1 for w in part])
+            end = hits[:, 0] + 1
+            owner = first[np.searchsorted(last, end)]
+            yield part, first, last, end - self.size[hits[:, 1]], end, hits[:, 1], owner
+            at = to
 
     @staticmethod
-    def _key(prefixes: np.ndarray, start: int, end: int) -> np.ndarray:
-        power = np.uint64(pow(int(BASE), end - start, 1 << 64))
-        return _mixed(prefixes[:, end] - prefixes[:, start] * power + np.uint64(end - start))
-
-    def _find(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), -1, dtype=np.int32)
-        for i, (held, table) in enumerate(self.levels):
-            slot = (keys * np.uint64(2 * i + 1) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
-            hit = held[slot] == keys
-            out[hit] = table[slot[hit]]
-        return out
-
-    def _edges(self, group: list[bytes]):
-        signs = np.frombuffer(b"".join(group), dtype=np.uint8).reshape(len(group), -1)
-        prefixes, size = self._prefixes(signs), signs.shape[1]
-        found = {}
-        for end in range(1, size + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = self._find(self._key(prefixes, start, end))
-                if (piece >= 0).any():
-                    found[start, end] = piece, np.where(piece >= 0, self.log_p[piece], -np.inf)
-        return found, size
-
-    @staticmethod
-    def _forward(edges, size: int, n: int) -> list[np.ndarray]:
-        reach = [np.zeros(n)] + [np.full(n, -np.inf)] * size
-        for (start, end), (_, score) in edges.items():
-            reach[end] = np.logaddexp(reach[end], reach[start] + score)
+    def _sum(levels: np.ndarray, to: np.ndarray, source: np.ndarray, score: np.ndarray, reach: np.ndarray) -> None:
+        """reach[to] = log of the summed exp(reach[source] + score), level after level."""
+        order = np.lexsort((to, levels))
+        levels, to, source, score = levels[order], to[order], source[order], score[order]
+        ends = np.flatnonzero(np.append(levels[1:] != levels[:-1], True)) + 1 if len(levels) else []
+        begin = 0
+        for end in ends:
+            t = to[begin:end]
+            heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            reach[t[heads]] = np.logaddexp.reduceat(reach[source[begin:end]] + score[begin:end], heads)
+            begin = end
+
+    def _forward(self, first, last, start, end, score, owner) -> np.ndarray:
+        reach = np.full(int(last[-1]) + 1, -np.inf)
+        reach[first] = 0.0
+        self._sum(end - owner, end, start, score, reach)
         return reach
 
-    def _scalar(self, word: bytes):
-        """Forward sums of one long word, and its edges (start, end, piece)."""
-        reach = [0.0] + [-math.inf] * len(word)
-        edges = []
-        for start in range(len(word)):
-            for end in range(start + 1, min(len(word), start + self.longest) + 1):
-                piece = self.index.get(word[start:end])
-                if piece is not None:
-                    edges.append((start, end, piece))
-                    reach[end] = float(np.logaddexp(reach[end], reach[start] + self.log_p[piece]))
-        return reach, edges
-
-    def _groups(self, found: list[bytes]):
-        order: dict[int, list[int]] = {}
-        for i, w in enumerate(found):
-            order.setdefault(len(w), []).append(i)
-        return order.items()
-
     def log10(self, found: list[bytes]) -> np.ndarray:
         """log10 of the marginal probability of each word."""
-        found = [START + w for w in found]
-        out = np.zeros(len(found))
-        for size, at in self._groups(found):
-            if size > LONG:
-                for i in at:
-                    out[i] = self._scalar(found[i])[0][-1]
-                continue
-            edges, _ = self._edges([found[i] for i in at])
-            out[at] = self._forward(edges, size, len(at))[size]
-        return out / math.log(10)
+        out = [np.zeros(0)]
+        for _, first, last, start, end, piece, owner in self._passes(found):
+            out.append(self._forward(first, last, start, end, self.log_p[piece], owner)[last])
+        return np.concatenate(out) / math.log(10)
 
     def expected(self, found: list[bytes]) -> np.ndarray:
         """Expected uses of each piece over one occurrence of each word."""
-        found = [START + w for w in found]
         out = np.zeros(len(self.log_p))
-        for size, at in self._groups(found):
-            if size > LONG:
-                for i in at:
-                    reach, edges = self._scalar(found[i])
-                    left = [-math.inf] * size + [0.0]
-                    for start, end, piece in reversed(edges):
-                        left[start] = float(np.logaddexp(left[start], left[end] + self.log_p[piece]))
-                    for start, end, piece in edges:
-                        out[piece] += math.exp(reach[start] + self.log_p[piece] + left[end] - reach[-1])
-                continue
-            edges, _ = self._edges([found[i] for i in at])
-            n = len(at)
-            reach = self._forward(edges, size, n)
-            left = [np.full(n, -np.inf)] * size + [np.zeros(n)]
-            for (start, end), (_, score) in sorted(edges.items(), key=lambda e: -e[0][0]):
-                left[start] = np.logaddexp(left[start], left[end] + score)
-            for (start, end), (piece, score) in edges.items():
-                hit = piece >= 0
-                share = np.exp(reach[start][hit] + score[hit] + left[end][hit] - reach[size][hit])
-                out += np.bincount(piece[hit], weights=share, minlength=len(out))
+        for _, first, last, start, end, piece, owner in self._passes(found):
+            score = self.log_p[piece]
+            reach = self._forward(first, last, start, end, score, owner)
+            left = np.full(len(reach), -np.inf)
+            left[last] = 0.0
+            stop = last[np.searchsorted(last, end)]
+            self._sum(stop - start, start, end, score, left)
+            share = np.exp(reach[start] + score + left[end] - reach[stop])
+            out += np.bincount(piece, weights=share, minlength=len(out))
         return out
 
 
@@ -315,23 +265,23 @@ def lm_scores(
     table = checkpoint(table.select("word", "c", (F.col("c") > 0).alias("known"), base.alias("base"), score.alias("score")))
     is_heavy = (F.col("c") * (HEAVY // n_classes) >= total) & (F.col("c") > 0)
     heavy = table.where(is_heavy).select("word", "base", "score")
-    rows = heavy.collect()
-    index = {bytes(r["word"]): i for i, r in enumerate(rows)}
+    rows = heavy.toArrow()
+    index = {w: i for i, w in enumerate(rows["word"].to_pylist())}
     # The end is one more heavy token, the last.
-    own = np.zeros((len(rows) + 1, n_classes))
+    own = np.zeros((len(index) + 1, n_classes))
     per_class = by_class.where("class >= 0").groupBy("class").agg(F.sum("c").alias("n")).collect()
     sizes_of = ends + np.bincount([r["class"] for r in per_class], weights=[r["n"] for r in per_class], minlength=n_classes)
-    for r in by_class.where("class >= 0").join(F.broadcast(heavy.select("word")), "word", "left_semi").collect():
-        own[index[bytes(r["word"])], r["class"]] = r["c"]
+    cells = by_class.where("class >= 0").join(F.broadcast(heavy.select("word")), "word", "left_semi").toArrow()
+    own[[index[w] for w in cells["word"].to_pylist()], cells["class"].to_numpy()] = cells["c"].to_numpy()
     own[-1] = ends
-    p = np.append(10.0 ** np.array([r["score"] for r in rows]), (ends_all + 1) / (total + fresh + 1))
+    p = np.append(10.0 ** rows["score"].to_numpy(), (ends_all + 1) / (total + fresh + 1))
     mass = min(float(p.sum()), 1 - 1e-12)
     rest = np.maximum(sizes_of - own.sum(axis=0), 0)
     log_own = np.log10((own + PULL * p[:, None]) / (sizes_of + PULL))
     log_rest = np.log10((rest + PULL * (1 - mass)) / ((sizes_of + PULL) * (1 - mass)))
     log_class = np.log10((ends + 1) / (ends_all + n_classes))
-    log_base = np.array([r["base"] for r in rows] + [math.log10((ends_all + 1) / below)])
-    del rows
+    log_base = np.append(rows["base"].to_numpy(), math.log10((ends_all + 1) / below))
+    del rows, cells
     shared = spark.sparkContext.broadcast((index, log_own, log_base, log_rest, log_class))
     end_known = int(ends_all > 0)
     facts = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])

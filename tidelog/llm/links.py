@@ -51,26 +51,32 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def link(members: DataFrame, verify, least: int = 1) -> DataFrame:
+def link(members: DataFrame, verify, least: int = 1, may_link=None) -> DataFrame:
     """(id, component) of ids that verified links join; members has bucket and id.
 
     verify(pairs) returns the linked ones of pairs(a, b), which share at
-    least so many buckets. First each member
-    of a bucket is held against the bucket's two centres, those of lowest
-    hash, which joins most of a large group with as many pairs as it has
-    members. Then all pairs of a bucket whose ends are still in different
+    least so many buckets. First each member of a bucket is held against two
+    centres: the one that meets most others over all buckets, and the one of
+    lowest hash. That joins most of a large group with as many pairs as it
+    has members. Then all pairs of a bucket whose ends are still in different
     components are tried, so that no pair that shares a bucket is left out;
     members of a bucket's largest component aren't paired with each other.
+    may_link(ids), if given, returns those of the ids left that can have a
+    link at all among them; the others are not tried.
     """
+
     def counted(pairs):
         return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a", "b")
 
-    centre = lambda seed: F.min(F.struct(F.xxhash64(F.lit(seed), "id"), "id"))["id"]
-    stats = members.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), centre(1).alias("c1"), centre(2).alias("c2")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    live = checkpoint(members.join(sizes, "bucket"))
+    meets = live.groupBy("id").agg(F.sum("n").alias("meets"))
+    live = checkpoint(live.select("bucket", "id").join(meets, "id"))
+    centres = live.groupBy("bucket").agg(
+        F.max(F.struct("meets", F.xxhash64(F.lit(2), "id"), "id"))["id"].alias("c1"),
+        F.min(F.struct(F.xxhash64(F.lit(1), "id"), "id"))["id"].alias("c2"),
     )
-    live = checkpoint(members.join(stats.where("n > 1"), "bucket"))
-    stars = live.select("id", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c")).where("id != c")
+    stars = live.join(centres, "bucket").select("id", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c")).where("id != c")
     pairs = stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
     edges = checkpoint(verify(checkpoint(counted(pairs))))
     found = components(edges)
@@ -81,6 +87,9 @@ def link(members: DataFrame, verify, least: int = 1) -> DataFrame:
     split = parts.groupBy("bucket").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("k"))
     split = split.where("k > 1").select("bucket", "main")
     tagged = checkpoint(at.join(split, "bucket"))
+    if may_link is not None:
+        able = may_link(checkpoint(tagged.select("id").distinct()))
+        tagged = checkpoint(tagged.join(able, "id", "left_semi"))
     rest = tagged.where("c != main").select("bucket", F.col("id").alias("x"), F.col("c").alias("cx"))
     across = rest.join(tagged, "bucket").where("cx != c AND (c = main OR x < id)")
     pairs = across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))

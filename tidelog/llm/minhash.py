@@ -231,7 +231,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         near = near.where((100 * short >= percent * long) & (estimate(F.col("signature_a"), F.col("signature_b"), bands * rows) >= floor))
         return confirm(checkpoint(near.select("a", "b")), source, width, percent)
 
-    linked = link(members, verify)
+    def may_link(ids):
+        """Ids without those of which too many shingles are in no other text among ids.
+
+        A partner shares at least the threshold's part of a set, so a set of
+        which less than that occurs elsewhere has none.
+        """
+
+        def work(doc_id, text):
+            return {"id": doc_id, "shingles": [shingles(t, width).view(np.int64) for t in text]}
+
+        kinds = {"id": ("long", pa.int64()), "shingles": ("array<long>", pa.list_(pa.int64()))}
+        sets = map_texts(only(source, ids, "doc_id"), ["doc_id", "text"], work, kinds)
+        single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n"))
+        alone = single.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+        sizes = classes.select("id", "n_shingles").join(ids, "id", "left_semi").join(alone, "id", "left")
+        shared = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
+        return checkpoint(sizes.where(100 * shared >= percent * F.col("n_shingles")).select("id"))
+
+    linked = link(members, verify, may_link=may_link)
     placed = reps.join(linked, reps["rep"] == linked["id"], "left").select(
         reps["key"], F.coalesce("component", "rep").alias("component_id")
     )

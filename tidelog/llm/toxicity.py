@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import fold, map_texts, pick
+from tidelog.llm.common import checkpoint, fold, map_texts, pick
 
 #: Bounds of what training gathers: confirmed texts, unlabelled texts, features.
 MAX_POSITIVE = 3000
@@ -88,32 +88,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
-def fit(positive: list[tuple], unlabelled: list[tuple], prior: float) -> Model:
-    """Minimise the non-negative risk by Adam; without confirmed texts every score is 0."""
+def fit(keys: np.ndarray, positive: list[tuple], unlabelled: list[tuple], prior: float) -> Model:
+    """Minimise the non-negative risk by Adam; without confirmed texts every score is 0.
+
+    A text is a pair of places in keys and values there.
+    """
     if not positive or not unlabelled:
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), -500.0)
-    kinds_p, n_p = np.unique(np.concatenate([k for k, _ in positive]), return_counts=True)
-    kinds_u, n_u = np.unique(np.concatenate([k for k, _ in unlabelled]), return_counts=True)
-    at = np.searchsorted(kinds_u, kinds_p)
-    at[at == len(kinds_u)] = 0
-    other = np.where(kinds_u[at] == kinds_p, n_u[at], 0) if len(kinds_u) else np.zeros(len(kinds_p))
-    share_p, share_u = n_p / len(positive), (other + 0.5) / (len(unlabelled) + 1)
-    gain = share_p * np.log(share_p / share_u)
-    usable = (n_p >= LEAST_POSITIVE) & (share_p > LEAST_RATIO * share_u)
-    order = np.lexsort((kinds_p, -gain))
-    keys = np.sort(order[usable[order]][:MAX_FEATURES])
-    keys = kinds_p[keys]
 
     def sparse(texts):
-        rows, columns, values = [], [], []
-        for i, (found, value) in enumerate(texts):
-            at = np.searchsorted(keys, found)
-            hit = at < len(keys)
-            hit[hit] = keys[at[hit]] == found[hit]
-            columns.append(at[hit])
-            values.append(value[hit])
-            rows.append(np.full(int(hit.sum()), i))
-        return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+        rows = np.repeat(np.arange(len(texts)), [len(at) for at, _ in texts])
+        return rows, *(np.concatenate([t[i] for t in texts]) for i in (0, 1))
 
     p_rows, p_columns, p_values = sparse(positive)
     u_rows, u_columns, u_values = sparse(unlabelled)
@@ -156,18 +141,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     by_hash = F.xxhash64(F.lit(29), "doc_id")
     chosen = marks.where("toxic = 1").orderBy(by_hash, "doc_id").limit(MAX_POSITIVE).select("doc_id")
     others = texts.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(MAX_UNLABELLED)
+    ids = chosen.select("doc_id", F.lit(1).alias("own")).unionByName(others.select("doc_id", F.lit(0).alias("own")))
 
-    def work(text):
+    def read_texts(own, text):
         found = [features(t) for t in text]
-        return {"keys": [k.tobytes() for k, _ in found], "values": [v.astype(np.float32).tobytes() for _, v in found]}
-
-    def gather(ids):
-        found = texts.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-        kinds = {"keys": ("binary", pa.binary()), "values": ("binary", pa.binary())}
-        rows = map_texts(found, ["text"], work, kinds).collect()
-        return [(np.frombuffer(r["keys"], np.int64), np.frombuffer(r["values"], np.float32).astype(float)) for r in rows]
-
-    return fit(gather(chosen), gather(others), float(share or 0.0))
+        return {"own": own, "keys": [k for k, _ in found], "values": [v.astype(np.float32) for _, v in found]}
+
+    kinds = {"own": ("int", pa.int32()), "keys": ("array<long>", pa.list_(pa.int64())), "values": ("array<float>", pa.list_(pa.float32()))}
+    sample = checkpoint(map_texts(texts.join(F.broadcast(ids), "doc_id").select("own", "text"), ["own", "text"], read_texts, kinds))
+    sizes = {r["own"]: r["n"] for r in sample.groupBy("own").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
+    # Features are chosen where the sample lies; only those kept come to the driver.
+    seen = sample.select("own", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("own").alias("p"), F.sum(1 - F.col("own")).alias("u"))
+    share_p, share_u = F.col("p") / max(n_p, 1), (F.col("u") + 0.5) / (n_u + 1)
+    usable = seen.where((F.col("p") >= LEAST_POSITIVE) & (share_p > LEAST_RATIO * share_u))
+    top = usable.orderBy((share_p * F.log(share_p / share_u)).desc(), "key").limit(MAX_FEATURES).select("key").collect()
+    keys = np.sort(np.array([r["key"] for r in top], dtype=np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def keep(own, found, values):
+        out = {"own": own, "at": [], "values": []}
+        for k, v in zip(found, values, strict=True):
+            k, v = np.array(k, dtype=np.int64), np.array(v, dtype=np.float32)
+            hit = np.isin(k, shared.value)
+            out["at"].append(np.searchsorted(shared.value, k[hit]).astype(np.int32))
+            out["values"].append(v[hit])
+        return out
+
+    kinds = {"own": ("int", pa.int32()), "at": ("array<int>", pa.list_(pa.int32())), "values": ("array<float>", pa.list_(pa.float32()))}
+    rows = map_texts(sample, ["own", "keys", "values"], keep, kinds).collect()
+    side = lambda own: [(np.array(r["at"], dtype=np.int64), np.array(r["values"])) for r in rows if r["own"] == own]
+    return fit(keys, side(1), side(0), float(share or 0.0))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
