@@ -146,6 +146,15 @@ def test_components_of_paths_and_stars(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130))
 
 
+def test_later_edges_join_components(spark):
+    table = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    first, later = [(1, 2), (5, 6), (6, 7), (20, 21)], [(7, 2), (30, 31), (40, 40), (31, 5)]
+    for old, new in ((first, later), (first, []), ([], later), ([], [])):
+        got = links.joined(links.components(table(old)), table(new)).collect()
+        want = links.components(table(old + new)).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_mix_targets_and_caps(spark):
     rng = random.Random(3)
     sources = [["b", "a", None, "c", "tiny"][rng.choice([0, 0, 0, 1, 2, 3, 3, 4]) if i > 4 else i] for i in range(300)]

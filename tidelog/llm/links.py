@@ -21,36 +21,48 @@ def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each end of edges(a, b): the smallest id that can be reached.
 
-    Alternates large-star and small-star steps; every group is reduced by a
-    minimum and joined back, so that a hub needs no task of its own. The
-    number of steps grows with the logarithm of the longest path.
+    Alternates large-star and small-star steps until the edges are stars;
+    every group is reduced by a minimum and joined back, so that a hub needs
+    no task of its own. The number of steps grows with the logarithm of the
+    longest path.
     """
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = checkpoint(edges.distinct())
 
-    def mark(df):
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        return row["n"], row["x"]
+    def unfinished(df):
+        """Whether an id has two smaller neighbours, or has both a smaller and a larger one."""
+        side = lambda end, up, down: F.struct(F.col(end).alias("id"), F.lit(up).alias("up"), F.lit(down).alias("down"))
+        ends = df.select(F.explode(F.array(side("a", 1, 0), side("b", 0, 1))).alias("e"))
+        ends = ends.groupBy("e.id").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        return ends.agg(F.bool_or((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]
 
-    was = mark(edges)
     for _ in range(MAX_STEPS):
-        if not was[0]:
+        if not unfinished(edges):
             break
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("a", "b"), ("b", "a"))])
+        both = edges.select(F.explode(both).alias("e")).select("e.a", "e.b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = checkpoint(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
-        now = mark(edges)
-        if now == was:
-            break
-        was = now
+    else:
+        raise RuntimeError(f"components not settled after {MAX_STEPS} steps")
     roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
+def joined(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """components of what found(id, component) was made from and of edges(a, b); only components that edges meet are worked on."""
+    of = lambda end: found.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    over = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    fresh = over.join(found.select("id"), "id", "left_anti").select("id", "component")
+    moved = found.join(over.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    return moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(fresh)
+
+
 def link(members: DataFrame, verify, least: int = 1, may_link=None) -> DataFrame:
     """(id, component) of ids that verified links join; members has bucket and id.
 
@@ -94,4 +106,4 @@ def link(members: DataFrame, verify, least: int = 1, may_link=None) -> DataFrame
     across = rest.join(tagged, "bucket").where("cx != c AND (c = main OR x < id)")
     pairs = across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
     more = checkpoint(verify(checkpoint(counted(pairs))))
-    return components(edges.unionByName(more))
+    return joined(found, more)
