@@ -281,6 +281,38 @@ def test_secret_spans(spark):
     assert sum(bool(r["spans"]) for r in got.values()) == 2
 
 
+def prose(rng, texts, words=200):
+    kinds = "the nation ate and then heard that there is another treat on the heath in the east".split()
+    return [" ".join(rng.choice(kinds) for _ in range(words)) for _ in range(texts)]
+
+
+def drawn(rng, n):
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+
+def random_spans(spark, texts):
+    return {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("random")] for r in secrets_scan.scan(docs(spark, texts)).collect()}
+
+
+def test_long_secrets_are_found(spark):
+    rng = random.Random(10)
+    for words in (200, 20):
+        texts, lengths = prose(rng, 300, words), (130, 200, 500, 1000, 2000)
+        for i, n in enumerate(lengths):
+            texts[i] = f"key {drawn(rng, n)} {texts[i]}"
+        got = random_spans(spark, texts)
+        assert {i: x for i, x in got.items() if x} == {i: [f"random:4:{4 + n}"] for i, n in enumerate(lengths)}
+
+
+def test_a_lone_secret_among_many_runs_is_found(spark):
+    rng = random.Random(11)
+    texts = prose(rng, 300, 400)
+    for i in range(40):
+        texts[i] += " the_nation_" + "_".join(rng.choice(["ate", "and", "then", "heard"]) for _ in range(8))
+    texts[100] = f"key {drawn(rng, 40)} {texts[100]}"
+    assert {i: x for i, x in random_spans(spark, texts).items() if x} == {100: ["random:4:44"]}
+
+
 def test_randomness_tells_random_from_structured():
     rng = random.Random(1)
     drawn = "".join(rng.choice("0123456789abcdef") for _ in range(64))

@@ -5,8 +5,9 @@ the encoding that their alphabet suggests: chi-squared uniformity over the
 alphabet, a runs test about its middle and lag-one serial correlation, all
 three two-sided or upper p-values under randomness, joined by Fisher's
 method into one score. How high ordinary text scores is measured on letters
-of the corpus itself, taken at the same lengths; a run's p-value is the
-part of them that score as high. Within each class of lengths the
+of the corpus itself, all of them outside runs and base spans, cut into
+pieces of the same lengths; a run's p-value is the part of them that score
+as high. Within each class of lengths the
 Benjamini-Hochberg rule, over all runs of the corpus, keeps the false
 discoveries in check.
 """
@@ -16,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +56,11 @@ INDEX = {name: {c: i for i, c in enumerate(signs)} for name, signs in ALPHABETS.
 LENGTHS = (24, 32, 48, 64, 128)
 #: Scores are counted in this many cells.
 CELLS = 1000
-#: Characters of each text from which its null strings are taken.
-NULL_STRETCH = 4096
+#: Lengths of null strings: the ends of the classes, and some for the last class, which has none.
+NULL_LENGTHS = (LEAST_RUN, *LENGTHS, 160, 256, 512, 1024, 2048)
+#: Characters of null strings that are tested at once.
+NULL_BLOCK = 1 << 18
+LETTERS = re.compile(r"[A-Za-z]+")
 FALSE_DISCOVERIES = 0.01
 
 
@@ -78,34 +81,39 @@ def encoding(run: str) -> str | None:
     return next((name for name, index in INDEX.items() if signs <= index.keys()), None)
 
 
-def _upper(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
+def _upper(z: np.ndarray) -> np.ndarray:
+    return np.array([0.5 * math.erfc(x) for x in (z / math.sqrt(2)).tolist()])
 
 
-def randomness(run: str, name: str) -> float:
-    """Joint p-value of three tests of randomness in an alphabet; near 0 for structured strings."""
-    index = INDEX[name]
-    values = np.array([index[c] for c in run.rstrip("=")])
-    n, k = len(values), len(index)
-    if n < 2:
-        return 0.0
-    counts = np.bincount(values, minlength=k)
-    chi = float(((counts - n / k) ** 2).sum() * k / n)
+def joint_p(values: np.ndarray, k: int) -> np.ndarray:
+    """Joint p-value of three tests of randomness for each row of numbers below k; rows have two or more."""
+    m, n = values.shape
+    counts = np.bincount((values + np.arange(m)[:, None] * k).ravel(), minlength=m * k).reshape(m, k)
+    chi = np.maximum(np.einsum("ij,ij->i", counts, counts) * (k / n) - n, 0.0)
     # Wilson and Hilferty's cube root makes chi-squared nearly normal.
     p_uniform = _upper(((chi / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
     high = values >= k / 2
-    ups, downs = int(high.sum()), int(n - high.sum())
-    if ups and downs:
-        mean = 2 * ups * downs / n + 1
-        spread = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
-        p_runs = 2 * _upper(abs(1 + int((high[1:] != high[:-1]).sum()) - mean) / spread)
-    else:
-        p_runs = 2.0 ** (1 - n)
-    centred = values - values.mean()
-    power = float((centred**2).sum())
-    p_serial = 2 * _upper(abs(float((centred[1:] * centred[:-1]).sum()) / power + 1 / n) * math.sqrt(n)) if power else 0.0
-    joined = -2 * sum(math.log(max(p, 1e-300)) for p in (p_uniform, p_runs, p_serial)) / 2
-    return math.exp(-joined) * (1 + joined + joined**2 / 2)
+    ups = high.sum(axis=1)
+    mean = 2 * ups * (n - ups) / n + 1
+    spread = np.sqrt(np.maximum((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    changes = (high[:, 1:] != high[:, :-1]).sum(axis=1)
+    p_runs = np.where((ups > 0) & (ups < n), 2 * _upper(np.abs(1 + changes - mean) / spread), 2.0 ** (1 - n))
+    average = values.mean(axis=1)
+    power = np.einsum("ij,ij->i", values, values) - n * average**2
+    lagged = np.einsum("ij,ij->i", values[:, 1:], values[:, :-1]) + (n - 1) * average**2
+    lagged = lagged - average * (2 * n * average - values[:, 0] - values[:, -1])
+    level = (values == values[:, :1]).all(axis=1)
+    serial = lagged / np.where(level, 1.0, power)
+    p_serial = np.where(level, 0.0, 2 * _upper(np.abs(serial + 1 / n) * math.sqrt(n)))
+    joined = -sum(np.log(np.maximum(p, 1e-300)) for p in (p_uniform, p_runs, p_serial))
+    return np.exp(-joined) * (1 + joined + joined**2 / 2)
+
+
+def randomness(run: str, name: str) -> float:
+    """Joint p-value of three tests of randomness in an alphabet; near 0 for structured strings."""
+    index = INDEX[name]
+    values = np.array([[index[c] for c in run.rstrip("=")]])
+    return float(joint_p(values, len(index))[0]) if values.shape[1] > 1 else 0.0
 
 
 def length_class(n: int) -> int:
@@ -117,8 +125,8 @@ def _cell(p: float) -> int:
     return int((1 + max(math.log10(max(p, 1e-20)), -20.0) / 20) * (CELLS - 1))
 
 
-def scan_text(text: str) -> tuple[list, list, list]:
-    """Base spans, runs (start, end, class, cell) outside them, and the same for a text's own letters."""
+def scan_text(text: str) -> tuple[list, list, str]:
+    """Base spans, runs (start, end, class, cell) outside them, and the letters outside both."""
     base = base_spans(text)
     runs = []
     for m in RUN.finditer(text):
@@ -127,23 +135,51 @@ def scan_text(text: str) -> tuple[list, list, list]:
         if name is None or name in ("decimal", "lower", "letters") or any(s < m.end() and m.start() < e for s, e, _ in base):
             continue
         runs.append((m.start(), m.end(), length_class(m.end() - m.start()), _cell(randomness(m[0], name))))
-    # The null needs a sample only: a stretch at a place that depends on the text.
-    begin = zlib.crc32(text.encode("utf-8", "replace")) % max(1, len(text) - NULL_STRETCH)
-    letters = "".join(re.findall(r"[A-Za-z]+", text[begin : begin + NULL_STRETCH]))
-    nulls = []
-    for top in (LEAST_RUN, *LENGTHS):
-        if len(letters) >= top:
-            at = (len(letters) - top) // 2
-            part = letters[at : at + top]
-            nulls.append((length_class(top), _cell(randomness(part, encoding(part)))))
-    return base, runs, nulls
+    # What is tested, or is a secret already, tells nothing about ordinary text.
+    letters, at = [], 0
+    for start, end in sorted([(s, e) for s, e, *_ in base + runs]):
+        letters += LETTERS.findall(text, at, max(at, start))
+        at = max(at, end)
+    return base, runs, "".join(letters + LETTERS.findall(text, at))
+
+
+def _letter_cells(rows: np.ndarray) -> np.ndarray:
+    """The cell of each row of letters (numbers in the alphabet of letters), in its narrowest alphabet."""
+    least, most = rows.min(axis=1), rows.max(axis=1)
+    cells = np.zeros(len(rows), dtype=np.int64)
+    left = np.ones(len(rows), dtype=bool)
+    for name, low, high in (("hex", 26, 31), ("hex-upper", 0, 5), ("lower", 26, 51), ("base32", 0, 25), ("letters", 0, 51)):
+        own = left & (least >= low) & (most <= high)
+        if own.any():
+            shift = INDEX[name][ALPHABETS["letters"][low]] - low
+            p = joint_p(rows[own] + shift, len(INDEX[name]))
+            cells[own] = ((1 + np.log10(np.maximum(p, 1e-20)) / 20) * (CELLS - 1)).astype(np.int64)
+            left &= ~own
+    return cells
+
+
+def null_counts(texts: list[str]) -> list[dict]:
+    """Classes and cells of null strings, with their numbers: pieces without overlap of the whole of each text's letters."""
+    codes = [np.frombuffer(t.encode("ascii"), dtype=np.uint8).astype(np.int64) for t in texts]
+    codes = [np.where(c >= 97, c - 71, c - 65) for c in codes]
+    out = np.zeros((len(LENGTHS) + 1, CELLS), dtype=np.int64)
+    for n in NULL_LENGTHS:
+        rows = np.concatenate([np.zeros((0, n), dtype=np.int64)] + [c[: len(c) // n * n].reshape(-1, n) for c in codes])
+        step = max(1, NULL_BLOCK // max(n, len(ALPHABETS["letters"])))
+        for at in range(0, len(rows), step):
+            out[length_class(n)] += np.bincount(_letter_cells(rows[at : at + step]), minlength=CELLS)
+    return [{"cls": int(c), "cell": int(x), "n": int(out[c, x])} for c, x in zip(*np.nonzero(out), strict=True)]
 
 
 def cut_offs(observed: dict, nulls: dict) -> dict[int, int]:
-    """Least cell that a run of each class of lengths must reach, by the Benjamini-Hochberg rule."""
+    """Least cell that a run of each class of lengths must reach, by the Benjamini-Hochberg rule.
+
+    A class without null strings takes those of the next shorter class that
+    has some; the shorter a text, the more it looks random.
+    """
     found = {}
     for cls, counts in observed.items():
-        null = nulls.get(cls, np.zeros(CELLS))
+        null = next((nulls[c] for c in range(cls, -1, -1) if c in nulls), np.zeros(CELLS))
         p = (1 + np.cumsum(null[::-1])[::-1]) / (1 + null.sum())
         at_least = np.cumsum(counts[::-1])[::-1]
         passes = (at_least > 0) & (p * counts.sum() <= FALSE_DISCOVERIES * at_least)
@@ -171,7 +207,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             "doc_id": doc_id,
             "base": [[{"start": s, "end": e, "kind": k} for s, e, k in f[0]] for f in found],
             "runs": [[{"start": s, "end": e, "cls": c, "cell": x} for s, e, c, x in f[1]] for f in found],
-            "nulls": [[{"cls": c, "cell": x} for c, x in f[2]] for f in found],
+            # The counts of all these texts stand in the row of the first.
+            "nulls": [null_counts([f[2] for f in found])] + [[] for _ in found[1:]],
         }
 
     at = [("start", pa.int64()), ("end", pa.int64())]
@@ -180,18 +217,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "doc_id": ("long", pa.int64()),
         "base": ("array<struct<start: long, end: long, kind: string>>", pa.list_(pa.struct([*at, ("kind", pa.string())]))),
         "runs": ("array<struct<start: long, end: long, cls: int, cell: int>>", pa.list_(pa.struct(at + cell))),
-        "nulls": ("array<struct<cls: int, cell: int>>", pa.list_(pa.struct(cell))),
+        "nulls": ("array<struct<cls: int, cell: int, n: long>>", pa.list_(pa.struct([*cell, ("n", pa.int64())]))),
     }
     found = checkpoint(map_texts(pick(docs, id_col, text_col), ["doc_id", "text"], work, schema))
 
-    def counts(column):
-        cells = found.select(F.explode(column).alias("x")).groupBy("x.cls", "x.cell").agg(F.count(F.lit(1)).alias("n"))
+    def counts(column, number):
+        cells = found.select(F.explode(column).alias("x")).groupBy("x.cls", "x.cell").agg(F.sum(number).alias("n"))
         out: dict[int, np.ndarray] = {}
         for r in cells.collect():
             out.setdefault(r["cls"], np.zeros(CELLS))[r["cell"]] = r["n"]
         return out
 
-    least = cut_offs(counts("runs"), counts("nulls"))
+    least = cut_offs(counts("runs", F.lit(1)), counts("nulls", F.col("x.n")))
 
     def finish(doc_id, base, runs):
         out = []
