@@ -313,6 +313,28 @@ def test_a_lone_secret_among_many_runs_is_found(spark):
     assert {i: x for i, x in random_spans(spark, texts).items() if x} == {100: ["random:4:44"]}
 
 
+def test_every_part_of_a_run_is_tested(spark):
+    rng = random.Random(12)
+    texts = prose(rng, 300, 400)
+    pick = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    planted = {
+        3: ("aws_secret_access_key=", drawn(rng, 40), ""),
+        4: ("DB_PASS=", drawn(rng, 47) + "=", ""),
+        5: ("k=", drawn(rng, 40), "=x"),
+        6: ("", pick(secrets_scan.ALPHABETS["base64-mixed"], 60), ""),
+        7: ("", drawn(rng, 50) + "-", "AKIA" + pick("ABCDEFGHIJKLMNOP0123456789", 16)),
+        8: ("", pick("abcdefghijklmnopqrstuvwxyz", 60), ""),
+        10: ("", pick(secrets_scan.ALPHABETS["letters"], 60), ""),
+    }
+    for i, parts in planted.items():
+        texts[i] = f"see {''.join(parts)} {texts[i]}"
+    texts[20] += " nationandthenheardthattreatisthereanother title===================="
+    want = {i: [f"random:{4 + len(a)}:{4 + len(a) + len(b)}"] for i, (a, b, _) in planted.items()}
+    assert {i: x for i, x in random_spans(spark, texts).items() if x} == want
+    # From 32 digits on they are a base span.
+    assert [r[:2] for r in secrets_scan.scan_text("n 31415926535897932384626433 n")[1]] == [(2, 28)]
+
+
 def test_randomness_tells_random_from_structured():
     rng = random.Random(1)
     drawn = "".join(rng.choice("0123456789abcdef") for _ in range(64))

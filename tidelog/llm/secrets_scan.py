@@ -37,6 +37,10 @@ LEAST_VALUE = 8
 
 LEAST_RUN = 20
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN)
+#: A run is cut at each '=' inside; only padding at its end stays with its last part.
+PART = re.compile(r"[A-Za-z0-9+/_-]+(?:={1,6}\Z)?")
+#: Signs of padding that count for the least length.
+PADDING = 2
 #: Alphabets from narrow to wide; a run belongs to the first that holds it.
 ALPHABETS = {
     "decimal": "0123456789",
@@ -50,6 +54,7 @@ ALPHABETS = {
     "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64-url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+    "base64-mixed": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
 INDEX = {name: {c: i for i, c in enumerate(signs)} for name, signs in ALPHABETS.items()}
 #: Upper ends of the classes of lengths.
@@ -75,10 +80,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def encoding(run: str) -> str | None:
+def encoding(run: str) -> str:
     """The narrowest alphabet of a run without its padding."""
     signs = set(run.rstrip("="))
-    return next((name for name, index in INDEX.items() if signs <= index.keys()), None)
+    return next(name for name, index in INDEX.items() if signs <= index.keys())
 
 
 def _upper(z: np.ndarray) -> np.ndarray:
@@ -125,16 +130,28 @@ def _cell(p: float) -> int:
     return int((1 + max(math.log10(max(p, 1e-20)), -20.0) / 20) * (CELLS - 1))
 
 
+def _outside(start: int, end: int, spans) -> list[tuple[int, int]]:
+    """The parts of [start, end) that no span covers; spans are in order of their starts."""
+    parts = []
+    for s, e, _ in spans:
+        if s < end and start < e:
+            parts.append((start, s))
+            start = max(start, e)
+    return [(a, b) for a, b in [*parts, (start, end)] if a < b]
+
+
 def scan_text(text: str) -> tuple[list, list, str]:
     """Base spans, runs (start, end, class, cell) outside them, and the letters outside both."""
     base = base_spans(text)
     runs = []
     for m in RUN.finditer(text):
-        name = encoding(m[0])
-        # Plain words and numbers are no encoding of data.
-        if name is None or name in ("decimal", "lower", "letters") or any(s < m.end() and m.start() < e for s, e, _ in base):
-            continue
-        runs.append((m.start(), m.end(), length_class(m.end() - m.start()), _cell(randomness(m[0], name))))
+        for part in PART.finditer(m[0]):
+            for start, end in _outside(m.start() + part.start(), m.start() + part.end(), base):
+                run = text[start:end]
+                n = len(run.rstrip("="))
+                n += min(PADDING, len(run) - n)
+                if n >= LEAST_RUN:
+                    runs.append((start, end, length_class(n), _cell(randomness(run, encoding(run)))))
     # What is tested, or is a secret already, tells nothing about ordinary text.
     letters, at = [], 0
     for start, end in sorted([(s, e) for s, e, *_ in base + runs]):
