@@ -186,6 +186,27 @@ def test_mix_targets_and_caps(spark):
     assert sum(len((r["text"] or "").split()) for r in mixing.mixed_documents(df).collect()) == sum(x[1] for x in by.values())
 
 
+def test_mixed_documents_keep_a_plan_for_each_row(spark):
+    rng = random.Random(5)
+    rows = [(None if i % 3 == 0 else i % 40, sentence(rng, rng.randrange(1, 60)), f"n{i}", "abc"[i % 7 % 3]) for i in range(240)]
+    df = table(spark, rows)
+    plan = mixing.mix(df).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    size, got, copies = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, text, _, source in rows:
+        size[source] += len(text.split())
+    words = {lang: text.split() for _, text, lang, _ in rows}
+    mixed = mixing.mixed_documents(df).collect()
+    for r in mixed:
+        n = len(r["text"].split())
+        assert n and not collections.Counter(r["text"].split()) - collections.Counter(words[r["lang"]])
+        got[r["source"]] += n
+        copies[r["lang"]] += n
+    assert {(size[s], got[s]) for s in size} == {(r["source_size"], r["taken"]) for r in plan}
+    assert all(n <= 3 * len(words[lang]) for lang, n in copies.items())
+    again = mixing.mixed_documents(df.repartition(5)).collect()
+    assert sorted(map(str, mixed)) == sorted(map(str, again))
+
+
 def test_shard_quotas_are_sainte_lague(spark):
     targets = spark.createDataFrame([("a", 500, 500.0), ("b", 300, 300.0), ("c", 200, 200.0)], "source string, source_size long, target double")
     got = collections.Counter()

@@ -110,16 +110,21 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     that repeat an id and a size are interchangeable. An empty table gives
     no rows. The same rows give the same result whatever their partitioning.
     """
+    found = _mixed(docs, id_col, text_col, source_col, weights, cap, seed)
+    return found.select("doc_id", "size", "source_size", "target", "taken", "n_passes", "ranges")
+
+
+def _mixed(docs: DataFrame, id_col, text_col, source_col, weights=WEIGHTS, cap=CAP, seed=17, carry: bool = False) -> DataFrame:
+    """The columns of mix, and if carry is set each row of docs itself as _doc, with the plan of its own."""
     # An id's place in its source's stream is its md5, read as a number for the range and as text in it.
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
-    rows = checkpoint(
-        docs.select(
-            docs[id_col].cast("long").alias("doc_id"),
-            docs[source_col].cast("string").alias("source"),
-            n_words(docs[text_col]).alias("size"),
-            order.alias("_order"),
-        )
-    )
+    columns = [
+        docs[id_col].cast("long").alias("doc_id"),
+        docs[source_col].cast("string").alias("source"),
+        n_words(docs[text_col]).alias("size"),
+        order.alias("_order"),
+    ]
+    rows = checkpoint(docs.select(*columns))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
     targets = checkpoint(source_targets(sizes, weights, cap))
     shape = targets.where("target > 0").agg(F.sum("source_size"), F.min("target")).first()
@@ -136,15 +141,22 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
     n_ranges = max(1, min(MAX_RANGES, rows.count() // DOCS_A_RANGE))
     lead = F.conv(F.substring("_order", 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("_range", F.shiftright(lead * n_ranges, 32))
+    in_range = F.shiftright(lead * n_ranges, 32)
+    rows = rows.withColumn("_range", in_range)
     ranges = rows.groupBy("source", "_range").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("source", "_range", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("source", "_range").orderBy("_order", "doc_id", "size")
+    own = ["_order", "doc_id", "size"]
+    if carry:
+        # The text moves once, here; rows that repeat an id and a size go by a hash of it.
+        rows = docs.select(*columns, F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.xxhash64(docs[text_col]).alias("_tie"))
+        rows = rows.withColumn("_range", in_range)
+        own = [*own, "_tie"]
+    inside = Window.partitionBy("source", "_range").orderBy(*own)
     placed = rows.withColumn("_in", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.join(
         ranges, placed["source"].eqNullSafe(ranges["source"]) & (placed["_range"] == ranges["_range"])
-    ).select("doc_id", placed["source"], "size", (F.col("_start") + F.col("_in")).alias("_a"))
+    ).select("doc_id", placed["source"], "size", *(["_doc"] if carry else []), (F.col("_start") + F.col("_in")).alias("_a"))
     small = F.broadcast(plan) if plan.count() <= 10_000 else plan
     found = placed.join(small, placed["source"].eqNullSafe(plan["source"])).drop(plan["source"])
 
@@ -159,28 +171,17 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     )
     found = found.withColumn("ranges", spans)
     extra = F.aggregate("ranges", F.lit(0).cast("long"), lambda s, r: s + r["to"] - r["from"])
-    return found.select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("n_passes") * F.col("size") + extra).alias("taken"),
-        "n_passes",
-        "ranges",
-    )
+    return found.withColumn("taken", F.col("n_passes") * F.col("size") + extra)
 
 
 def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
     """The rows of the mix with the columns of docs: whole copies, and one row of a document's picked words.
 
-    Rows that repeat an id follow the plan of one of them; a document that
-    the mix takes no word of has no row.
+    Each row follows a plan of its own, also where ids repeat or are null; a
+    document that the mix takes no word of has no row.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options).select(F.col("doc_id").alias("_id"), "n_passes", "ranges")
-    plan = plan.where((F.col("n_passes") > 0) | (F.size("ranges") > 0)).dropDuplicates(["_id"])
-    # The row travels as one struct, so that its names meet no others.
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"))
-    found = rows.join(plan, F.col("_doc")[id_col].eqNullSafe(F.col("_id")))
+    found = _mixed(docs, id_col, text_col, source_col, carry=True, **options).select("_doc", "n_passes", "ranges")
+    found = found.where((F.col("n_passes") > 0) | (F.size("ranges") > 0))
     text = F.col("_doc")[text_col]
     words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
     found = found.withColumn("_words", F.when(F.size("ranges") > 0, words))
