@@ -207,6 +207,22 @@ def test_mixed_documents_keep_a_plan_for_each_row(spark):
     assert sorted(map(str, mixed)) == sorted(map(str, again))
 
 
+def test_mix_meets_the_targets_of_tiny_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_BLOCKS", 64)
+    rng = random.Random(6)
+    sources = [["big", "tiny", "small", "less"][i if i < 4 else (2 if i % 40 == 0 else 3 * (i % 9 == 0))] for i in range(400)]
+    texts = [sentence(rng, 3 if s == "tiny" else 400 if s == "big" else 40) for s in sources]
+    df = docs(spark, texts, sources=sources)
+    taken, target = collections.Counter(), {}
+    for r in mixing.mix(df).collect():
+        assert r["taken"] <= 3 * r["size"]
+        taken[sources[r["doc_id"]]] += r["taken"]
+        target[sources[r["doc_id"]]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in ("tiny", "small", "less"))
+    assert sum(taken.values()) == pytest.approx(sum(target.values()), rel=0.02)
+    assert sum(len(r["text"].split()) for r in mixing.mixed_documents(df).collect()) == sum(taken.values())
+
+
 def test_shard_quotas_are_sainte_lague(spark):
     targets = spark.createDataFrame([("a", 500, 500.0), ("b", 300, 300.0), ("c", 200, 200.0)], "source string, source_size long, target double")
     got = collections.Counter()

@@ -8,6 +8,11 @@ shard's quotas are differences of two houses and are whole numbers. A
 source's seats take whole passes of its stream first, then blocks picked by
 a seeded affine permutation.
 
+A block holds at least one 2^20th of all words, so that a document's picks
+stay few. Sources whose target is less than BLOCKS_A_SOURCE such blocks take
+no part in that: they get whole passes and the first words of their stream,
+up to their target rounded to a whole word.
+
 Positions in a stream come from two prefix sums, one over a bounded number
 of hash ranges per source and one in each range, so no task sees a source.
 """
@@ -63,9 +68,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFra
     return ranked.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def shard_quotas(targets: DataFrame, block: int, n_shards: int = 1) -> DataFrame:
+def shard_quotas(targets: DataFrame, block: int, n_shards: int = 1, words: float | None = None) -> DataFrame:
     """(source, shard, quota): whole blocks of each source in each shard, by highest quotient.
 
+    The blocks hold as many words as the sources, or words if given.
+
     Shard i closes a house of i / n_shards of all blocks. A source's seats
     differ from its exact share by at most half the number of sources times
     that share, so only quotients near it are compared; those before them
@@ -76,7 +83,7 @@ def shard_quotas(targets: DataFrame, block: int, n_shards: int = 1) -> DataFrame
         "source",
         "target",
         F.sum("target").over(every).alias("_sum"),
-        F.sum("source_size").over(every).alias("_t"),
+        (F.sum("source_size").over(every) if words is None else F.lit(words)).alias("_t"),
         F.count(F.lit(1)).over(every).alias("_n"),
     )
     # Apart from the sums above, which would else count each source once a shard.
@@ -130,13 +137,21 @@ def _mixed(docs: DataFrame, id_col, text_col, source_col, weights=WEIGHTS, cap=C
     shape = targets.where("target > 0").agg(F.sum("source_size"), F.min("target")).first()
     total, least = (shape[0] or 0), (shape[1] or 0.0)
     block = max(1, int(least // BLOCKS_A_SOURCE), -(-total // MAX_BLOCKS))
-    quotas = shard_quotas(targets, block).groupBy("source").agg(F.sum("quota").alias("_quota"))
-    plan = targets.join(quotas, targets["source"].eqNullSafe(quotas["source"]), "left").drop(quotas["source"])
+    # None is below that where the smallest target alone sets the block; a block of one word is exact as it is.
+    small = (F.col("target") > 0) & (F.col("target") < BLOCKS_A_SOURCE * block) if block > 1 else F.lit(False)
+    goal = F.when(small, F.round("target").cast("long")).otherwise(0)
+    targets = targets.withColumn("_small", small).withColumn("_goal", goal)
+    apart = targets.where("_small").agg(F.sum("target")).first()[0] or 0
+    quotas = shard_quotas(targets.where("NOT _small"), block, words=total - apart).groupBy(F.col("source").alias("_of")).agg(F.sum("quota").alias("_quota"))
+    plan = targets.join(quotas, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
     plan = plan.withColumn("_quota", F.coalesce("_quota", F.lit(0))).withColumn(
         "_blocks", F.ceil(F.col("source_size") / block).cast("long")
     )
     plan = plan.withColumn("n_passes", F.least(F.expr("_quota div greatest(_blocks, 1)"), F.lit(cap)).cast("long"))
     plan = plan.withColumn("_picks", F.when(F.col("n_passes") < cap, F.col("_quota") - F.col("n_passes") * F.col("_blocks")).otherwise(0))
+    passes = F.least(F.expr("_goal div greatest(source_size, 1)"), F.lit(cap)).cast("long")
+    plan = plan.withColumn("n_passes", F.when(F.col("_small"), passes).otherwise(F.col("n_passes")))
+    plan = plan.withColumn("_head", F.when(F.col("_small") & (F.col("n_passes") < cap), F.col("_goal") - F.col("n_passes") * F.col("source_size")).otherwise(0))
     plan = checkpoint(plan)
 
     n_ranges = max(1, min(MAX_RANGES, rows.count() // DOCS_A_RANGE))
@@ -169,7 +184,9 @@ def _mixed(docs: DataFrame, id_col, text_col, source_col, weights=WEIGHTS, cap=C
     spans = F.transform(
         picked, lambda j: F.struct((F.greatest(a, j * block) - a).alias("from"), (F.least(b, (j + 1) * block) - a).alias("to"))
     )
-    found = found.withColumn("ranges", spans)
+    head = F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.least(b, F.col("_head")) - a).alias("to")))
+    in_head = (F.col("size") > 0) & (a < F.col("_head"))
+    found = found.withColumn("ranges", F.when(in_head, head).otherwise(spans))
     extra = F.aggregate("ranges", F.lit(0).cast("long"), lambda s, r: s + r["to"] - r["from"])
     return found.withColumn("taken", F.col("n_passes") * F.col("size") + extra)
 
