@@ -22,9 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, component) for each end of edges(a, b): the smallest id that can be reached.
 
     Alternates large-star and small-star steps until the edges are stars;
-    every group is reduced by a minimum and joined back, so that a hub needs
-    no task of its own. The number of steps grows with the logarithm of the
-    longest path.
+    every group is reduced by a minimum and joined back. The minima are
+    written before the join, so that both sides of it are plain shuffles and
+    adaptive execution can split the rows of a hub. The number of steps grows
+    with the logarithm of the longest path.
     """
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = checkpoint(edges.distinct())
@@ -41,10 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("a", "b"), ("b", "a"))])
         both = edges.select(F.explode(both).alias("e")).select("e.a", "e.b")
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = checkpoint(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = checkpoint(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = checkpoint(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
     else:
@@ -63,47 +64,67 @@ def joined(found: DataFrame, edges: DataFrame) -> DataFrame:
     return moved.select("id", F.coalesce("to", "component").alias("component")).unionByName(fresh)
 
 
-def link(members: DataFrame, verify, least: int = 1, may_link=None) -> DataFrame:
-    """(id, component) of ids that verified links join; members has bucket and id.
+def in_company(members: DataFrame) -> DataFrame:
+    """(bucket, id, n) of members whose bucket has n > 1 of them."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return checkpoint(members.join(sizes, "bucket").select("bucket", "id", "n"))
 
-    verify(pairs) returns the linked ones of pairs(a, b), which share at
-    least so many buckets. First each member of a bucket is held against two
-    centres: the one that meets most others over all buckets, and the one of
-    lowest hash. That joins most of a large group with as many pairs as it
-    has members. Then all pairs of a bucket whose ends are still in different
-    components are tried, so that no pair that shares a bucket is left out;
-    members of a bucket's largest component aren't paired with each other.
-    may_link(ids), if given, returns those of the ids left that can have a
-    link at all among them; the others are not tried.
-    """
 
-    def counted(pairs):
-        return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a", "b")
+def star_pairs(live: DataFrame) -> DataFrame:
+    """pairs(a, b) of each member of in_company with the two centres of its bucket, once for each bucket that has them.
 
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = checkpoint(members.join(sizes, "bucket"))
+    The centres are the member that meets most others over all buckets and
+    the one of lowest hash. Linked to one of them, most of a large group
+    comes together with as many pairs as it has members.
+    """
     meets = live.groupBy("id").agg(F.sum("n").alias("meets"))
     live = checkpoint(live.select("bucket", "id").join(meets, "id"))
     centres = live.groupBy("bucket").agg(
         F.max(F.struct("meets", F.xxhash64(F.lit(2), "id"), "id"))["id"].alias("c1"),
         F.min(F.struct(F.xxhash64(F.lit(1), "id"), "id"))["id"].alias("c2"),
     )
-    stars = live.join(centres, "bucket").select("id", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c")).where("id != c")
-    pairs = stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
-    edges = checkpoint(verify(checkpoint(counted(pairs))))
-    found = components(edges)
+    stars = live.join(checkpoint(centres), "bucket").select("id", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("c")).where("id != c")
+    return stars.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+
 
-    at = live.select("bucket", "id").join(found, "id", "left")
-    at = checkpoint(at.select("bucket", "id", F.coalesce("component", "id").alias("c")))
+def divided(members: DataFrame, found: DataFrame) -> DataFrame:
+    """members of the buckets that hold more than one component of found, with c, their own, and main, the bucket's largest."""
+    at = members.join(found.select("id", "component"), "id", "left")
+    at = checkpoint(at.withColumn("c", F.coalesce("component", "id")).drop("component"))
     parts = at.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
     split = parts.groupBy("bucket").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("k"))
-    split = split.where("k > 1").select("bucket", "main")
-    tagged = checkpoint(at.join(split, "bucket"))
-    if may_link is not None:
-        able = may_link(checkpoint(tagged.select("id").distinct()))
-        tagged = checkpoint(tagged.join(able, "id", "left_semi"))
-    rest = tagged.where("c != main").select("bucket", F.col("id").alias("x"), F.col("c").alias("cx"))
-    across = rest.join(tagged, "bucket").where("cx != c AND (c = main OR x < id)")
-    pairs = across.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
-    more = checkpoint(verify(checkpoint(counted(pairs))))
-    return joined(found, more)
+    return checkpoint(at.join(checkpoint(split.where("k > 1").select("bucket", "main")), "bucket"))
+
+
+def across(tagged: DataFrame, condition) -> DataFrame:
+    """pairs(a, b) of members of divided in one bucket and in different components, once for each such bucket.
+
+    Members of a bucket's largest component aren't paired with each other.
+    condition(x, y) restricts the pairs; x and y give a column by its name.
+    """
+    names = [c for c in tagged.columns if c not in ("bucket", "main")]
+    rest = tagged.where("c != main").select("bucket", F.struct(*names).alias("x"))
+    whole = tagged.select("bucket", "main", F.struct(*names).alias("y"))
+    x, y = F.col("x"), F.col("y")
+    once = (y["c"] == F.col("main")) | (x["id"] < y["id"])
+    met = rest.join(whole, "bucket").where((x["c"] != y["c"]) & once & condition(x.getField, y.getField))
+    return met.select(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
+
+
+def counted(pairs: DataFrame, least: int = 1) -> DataFrame:
+    """Those of pairs(a, b) that occur so often, once each."""
+    return checkpoint(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a", "b"))
+
+
+def link(members: DataFrame, verify, least: int = 1) -> DataFrame:
+    """(id, component) of ids that verified links join; members has bucket and id.
+
+    verify(pairs) returns the linked ones of pairs(a, b), which share at
+    least so many buckets. After each member has met the centres of its
+    buckets, all pairs of a bucket whose ends are still in different
+    components are tried, so that no pair that shares a bucket is left out.
+    """
+    live = in_company(members)
+    found = checkpoint(components(checkpoint(verify(counted(star_pairs(live), least)))))
+    tagged = divided(live.select("bucket", "id"), found)
+    return joined(found, checkpoint(verify(counted(across(tagged, lambda x, y: F.lit(True)), least))))

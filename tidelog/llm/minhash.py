@@ -7,7 +7,12 @@ counted by bit counts and corrected for chance collisions, estimate the
 similarity; pairs well below the threshold go. The rest are confirmed on
 the full sets.
 
-Texts of equal sets form a class and take part as one.
+Texts of equal sets form a class and take part as one. Members of a band's
+bucket meet its two centres first, which joins most of a large group. The
+buckets that this leaves in several components are settled without pairing
+their members: the shingles of those texts are ordered from the rarest on,
+and two sets of the threshold's similarity share one of the first few
+(prefix filtering), so only texts that share such a rare shingle meet.
 """
 
 from __future__ import annotations
@@ -22,15 +27,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import checkpoint, map_texts, pick
-from tidelog.llm.links import BROADCAST_IDS, link, only
+from tidelog.llm.links import BROADCAST_IDS, across, components, counted, divided, in_company, joined, only, star_pairs
 
 BITS = 4
 MISS = 1e-6
 MAX_MINIMA = 200
 #: Standard errors below the threshold at which an estimate still counts.
 MARGIN = 4.75
-WORDS_KEPT = 300_000
+#: Words whose hashes a worker remembers.
+WORDS_KEPT = 30_000
 CHUNK = 1024
+#: Sizes of sets are told apart in steps of this ratio by the prefix filter.
+STEP = 1.05
 
 _words: dict[bytes, int] = {}
 
@@ -166,26 +174,30 @@ def least_estimate(percent: int, n: int) -> float:
     return percent / 100 - MARGIN * math.sqrt(equal * (1 - equal) / n) / (1 - chance)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose full sets have the similarity; 48 bits a shingle travel."""
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def shingle_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of classes(id, key), read from docs; 48 bits of each shingle, sorted, in one binary."""
 
     def reduce(doc_id, text):
-        sets = (shingles(t, width) for t in text)
+        sets = [shingles(t, width) for t in text]
         small = [np.unique(s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in sets]
-        return {"doc_id": doc_id, "shingles": small}
+        return {"id": doc_id, "key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "shingles": small}
+
+    kinds = {"id": ("long", pa.int64()), "key": ("binary", pa.binary()), "shingles": ("binary", pa.binary())}
+    sets = map_texts(only(docs, classes.select("id"), "doc_id"), ["doc_id", "text"], reduce, kinds)
+    # Rows that repeat both id and set are one.
+    return checkpoint(sets.join(classes.select("id", "key"), ["id", "key"], "left_semi").select("id", "shingles").dropDuplicates(["id"]))
+
+
+def unpack(x: bytes) -> np.ndarray:
+    wide = np.zeros((len(x) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(x, dtype=np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64).ravel()
 
-    sets = map_texts(only(docs, ids, "doc_id"), ["doc_id", "text"], reduce, {"doc_id": ("long", pa.int64()), "shingles": ("binary", pa.binary())})
-    # Rows that repeat an id count as one here.
-    sets = checkpoint(sets.dropDuplicates(["doc_id"]))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
 
-    def unpack(x):
-        wide = np.zeros((len(x) // 6, 8), dtype=np.uint8)
-        wide[:, :6] = np.frombuffer(x, dtype=np.uint8).reshape(-1, 6)
-        return wide.view(np.uint64).ravel()
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(a, b) whose full sets have the similarity."""
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
 
     def check(a, b, sa, sb):
         keep = []
@@ -198,9 +210,98 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 keep.append(i)
         return {"a": [a[i] for i in keep], "b": [b[i] for i in keep]}
 
+    both = pairs.join(left, "a").join(right, "b")
     return map_texts(both, ["a", "b", "sa", "sb"], check, {"a": ("long", pa.int64()), "b": ("long", pa.int64())})
 
 
+def least_shared(n: Column, m: Column, percent: int) -> Column:
+    """Fewest common shingles of sets of n and of m that have the similarity."""
+    return F.ceil(percent * (n + m) / (100 + percent))
+
+
+def rare_members(sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, id, n, place, shorter): where sets of the similarity are sure to meet.
+
+    Shingles go from the rarest among the sets on, place counts from 1; those
+    of one set alone meet nobody and are left out. In its own step of sizes a
+    set stands with the places at which it can meet another as long or
+    longer, and in each step from its size down to the least that a partner
+    has with those at which it can meet a shorter one.
+    """
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("s", pa.list_(pa.int64()))])
+
+    def spread(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = [unpack(x) for x in part.column(1).to_pylist()]
+                ends = np.cumsum([0] + [len(x) for x in own])
+                lists = pa.ListArray.from_arrays(ends.astype(np.int32), np.concatenate(own).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends).astype(np.int32)), lists], schema=schema)
+
+    sets = sets.select("id", "shingles").mapInArrow(spread, "id long, n int, s array<long>")
+    single = sets.select("id", "n", F.explode("s").alias("s"))
+    often = checkpoint(single.groupBy("s").agg(F.count(F.lit(1)).alias("often")).where("often > 1"))
+    shared = single.join(often, "s")
+    listed = shared.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("rare"))
+    n, m = F.col("n"), F.col("m")
+    alone = n - F.size("rare")
+    shortest = F.ceil(percent * n / 100).cast("int")
+    deepest = n - least_shared(n, shortest, percent) + 1
+    rows = listed.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("rare", 1, F.greatest(deepest - alone, F.lit(0)))).alias("k", "r"))
+    rows = rows.select("id", "n", (F.col("alone") + F.col("k") + 1).alias("place"), F.col("r.s").alias("s"))
+
+    def step(size):
+        return F.floor(F.log(size) / math.log(STEP)).cast("int")
+
+    low = rows.where(F.col("place") <= n - least_shared(n, n, percent) + 1).select(
+        F.xxhash64("s", step(n)).alias("bucket"), "id", "n", "place", F.lit(True).alias("shorter")
+    )
+    high = rows.withColumn("step", F.explode(F.sequence(step(shortest), step(n))))
+    high = high.withColumn("m", F.greatest(shortest, F.floor(F.pow(F.lit(STEP), F.col("step")) - 1e-6)))
+    high = high.where(F.col("place") <= n - least_shared(n, m, percent) + 1).select(
+        F.xxhash64("s", "step").alias("bucket"), "id", "n", "place", F.lit(False).alias("shorter")
+    )
+    return in_turns(low.unionByName(high))
+
+
+def in_turns(members: DataFrame) -> DataFrame:
+    """members of the buckets where a shorter and a longer set can meet."""
+    sizes = members.groupBy("bucket").agg(F.min("id").alias("i"), F.max("id").alias("j"), F.count_if("shorter").alias("low"), F.count_if(~F.col("shorter")).alias("high"))
+    return checkpoint(members.join(checkpoint(sizes.where("i < j AND low > 0 AND high > 0").select("bucket")), "bucket"))
+
+
+def link_sets(classes: DataFrame, source: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, component) of the linked ones of classes(id, key, n_shingles, signature, bands)."""
+    bands, rows = bands_for(percent)
+    floor = least_estimate(percent, bands * rows)
+    live = in_company(classes.select("id", F.explode("bands").alias("bucket")))
+    ids = checkpoint(live.select("id").distinct())
+    sets = shingle_sets(source, checkpoint(classes.select("id", "key").join(ids, "id", "left_semi")), width)
+    facts = ("n_shingles", "signature")
+    left = classes.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in facts])
+    right = classes.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in facts])
+
+    def verify(pairs):
+        near = pairs.join(left, "a").join(right, "b")
+        short, long = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
+        near = near.where((100 * short >= percent * long) & (estimate(F.col("signature_a"), F.col("signature_b"), bands * rows) >= floor))
+        return checkpoint(confirm(checkpoint(near.select("a", "b")), sets, percent))
+
+    linked = checkpoint(components(verify(counted(star_pairs(live)))))
+    rest = checkpoint(divided(live.select("bucket", "id"), linked).select("id").distinct())
+    tagged = divided(rare_members(only(sets, rest, "id"), percent), linked)
+
+    def can_meet(x, y):
+        """One is the shorter or as long with the smaller id, and both have enough left from their places on."""
+        before = F.struct(x("n"), x("id")) < F.struct(y("n"), y("id"))
+        turns = (x("shorter") & ~y("shorter") & before) | (~x("shorter") & y("shorter") & ~before)
+        left = 1 + F.least(x("n") - x("place"), y("n") - y("place"))
+        return turns & (left >= least_shared(x("n"), y("n"), percent))
+
+    return joined(linked, verify(counted(across(tagged, can_meet))))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -217,39 +318,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     found = checkpoint(sketches(source, width, percent))
     sets = found.where("key IS NOT NULL AND doc_id IS NOT NULL")
     reps = checkpoint(sets.groupBy("key").agg(F.min("doc_id").alias("rep")))
-    classes = sets.join(reps, (sets["key"] == reps["key"]) & (sets["doc_id"] == reps["rep"]), "left_semi")
-    classes = checkpoint(classes.select(F.col("doc_id").alias("id"), "n_shingles", "signature", "bands").dropDuplicates(["id"]))
-    members = classes.select("id", F.explode("bands").alias("bucket"))
-    floor = least_estimate(percent, bands * rows)
-
-    def verify(pairs):
-        facts = ("n_shingles", "signature")
-        left = classes.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in facts])
-        right = classes.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in facts])
-        near = pairs.join(left, "a").join(right, "b")
-        short, long = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
-        near = near.where((100 * short >= percent * long) & (estimate(F.col("signature_a"), F.col("signature_b"), bands * rows) >= floor))
-        return confirm(checkpoint(near.select("a", "b")), source, width, percent)
-
-    def may_link(ids):
-        """Ids without those of which too many shingles are in no other text among ids.
-
-        A partner shares at least the threshold's part of a set, so a set of
-        which less than that occurs elsewhere has none.
-        """
-
-        def work(doc_id, text):
-            return {"id": doc_id, "shingles": [shingles(t, width).view(np.int64) for t in text]}
-
-        kinds = {"id": ("long", pa.int64()), "shingles": ("array<long>", pa.list_(pa.int64()))}
-        sets = map_texts(only(source, ids, "doc_id"), ["doc_id", "text"], work, kinds)
-        single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n"))
-        alone = single.where("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-        sizes = classes.select("id", "n_shingles").join(ids, "id", "left_semi").join(alone, "id", "left")
-        shared = F.col("n_shingles") - F.coalesce("alone", F.lit(0))
-        return checkpoint(sizes.where(100 * shared >= percent * F.col("n_shingles")).select("id"))
-
-    linked = link(members, verify, may_link=may_link)
+    # Where an id is the least of several sets, that of the least key takes part.
+    own = reps.groupBy(F.col("rep").alias("id")).agg(F.min("key").alias("key"))
+    classes = sets.join(own, (sets["key"] == own["key"]) & (sets["doc_id"] == own["id"])).drop(sets["key"])
+    classes = checkpoint(classes.select("id", "key", "n_shingles", "signature", "bands").dropDuplicates(["id"]))
+    linked = link_sets(classes, source, width, percent)
     placed = reps.join(linked, reps["rep"] == linked["id"], "left").select(
         reps["key"], F.coalesce("component", "rep").alias("component_id")
     )
