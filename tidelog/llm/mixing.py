@@ -5,13 +5,14 @@ equally many words. The highest quotients target / (2 k + 1) over all
 sources win the seats of the mix, a seat being one block. The seats of the
 first shards form a smaller house of the same apportionment, so each
 shard's quotas are differences of two houses and are whole numbers. A
-source's seats take whole passes of its stream first, then blocks picked by
-a seeded affine permutation.
+source's seats follow each other through the shards, each shard as many as
+its quota, and a seat takes the next block of the source in the order of a
+seeded affine permutation; after the last block a further pass begins.
 
 A block holds at least one 2^20th of all words, so that a document's picks
 stay few. Sources whose target is less than BLOCKS_A_SOURCE such blocks take
 no part in that: they get whole passes and the first words of their stream,
-up to their target rounded to a whole word.
+up to their target rounded to a whole word, each pass in a shard by a hash.
 
 Positions in a stream come from two prefix sums, one over a bounded number
 of hash ranges per source and one in each range, so no task sees a source.
@@ -30,6 +31,7 @@ MAX_BLOCKS = 1 << 20
 MAX_RANGES = 1 << 20
 DOCS_A_RANGE = 64
 BLOCKS_A_SOURCE = 200
+SHARDS = 16
 STEP = 2147483647
 
 
@@ -107,21 +109,22 @@ def shard_quotas(targets: DataFrame, block: int, n_shards: int = 1, words: float
     return won.select("source", "shard", (F.col("n") - F.coalesce(F.lag("n").over(upto), F.lit(0))).alias("quota"))
 
 
-def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, cap=CAP, seed=17) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, n_passes, ranges.
+def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, cap=CAP, seed=17, n_shards=SHARDS) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, n_passes, ranges, pieces.
 
-    size counts words, 0 for a null or empty text. n_passes whole copies of
-    the document are in the mix, and once more its words in ranges, an array
-    of [from, to) word positions; taken is their sum in words. A source of
-    size 0 has target 0. Ties in the seeded order go by id and size; rows
+    size counts words, 0 for a null or empty text. pieces has the document's
+    part of each block that a seat took: the seat's shard from 0 and [from,
+    to) word positions; taken is their sum in words. Put together, they are
+    n_passes whole copies of the document and once more its words in ranges.
+    A source of size 0 has target 0. Ties in the seeded order go by id and size; rows
     that repeat an id and a size are interchangeable. An empty table gives
     no rows. The same rows give the same result whatever their partitioning.
     """
-    found = _mixed(docs, id_col, text_col, source_col, weights, cap, seed)
-    return found.select("doc_id", "size", "source_size", "target", "taken", "n_passes", "ranges")
+    found = _mixed(docs, id_col, text_col, source_col, weights, cap, seed, n_shards)
+    return found.select("doc_id", "size", "source_size", "target", "taken", "n_passes", "ranges", "pieces")
 
 
-def _mixed(docs: DataFrame, id_col, text_col, source_col, weights=WEIGHTS, cap=CAP, seed=17, carry: bool = False) -> DataFrame:
+def _mixed(docs: DataFrame, id_col, text_col, source_col, weights=WEIGHTS, cap=CAP, seed=17, n_shards=SHARDS, carry: bool = False) -> DataFrame:
     """The columns of mix, and if carry is set each row of docs itself as _doc, with the plan of its own."""
     # An id's place in its source's stream is its md5, read as a number for the range and as text in it.
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(docs[id_col].cast("string"), F.lit(""))))
@@ -142,9 +145,13 @@ def _mixed(docs: DataFrame, id_col, text_col, source_col, weights=WEIGHTS, cap=C
     goal = F.when(small, F.round("target").cast("long")).otherwise(0)
     targets = targets.withColumn("_small", small).withColumn("_goal", goal)
     apart = targets.where("_small").agg(F.sum("target")).first()[0] or 0
-    quotas = shard_quotas(targets.where("NOT _small"), block, words=total - apart).groupBy(F.col("source").alias("_of")).agg(F.sum("quota").alias("_quota"))
+    quotas = shard_quotas(targets.where("NOT _small"), block, n_shards, words=total - apart).groupBy(F.col("source").alias("_of")).agg(
+        F.sum("quota").alias("_quota"), F.sort_array(F.collect_list(F.struct("shard", "quota")))["quota"].alias("_quotas")
+    )
     plan = targets.join(quotas, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
-    plan = plan.withColumn("_quota", F.coalesce("_quota", F.lit(0))).withColumn(
+    # The seat at which each shard ends.
+    plan = plan.withColumn("_ends", F.transform("_quotas", lambda _, i: F.aggregate(F.slice("_quotas", 1, i + 1), F.lit(0).cast("long"), lambda s, q: s + q)))
+    plan = plan.drop("_quotas").withColumn("_quota", F.coalesce("_quota", F.lit(0))).withColumn(
         "_blocks", F.ceil(F.col("source_size") / block).cast("long")
     )
     plan = plan.withColumn("n_passes", F.least(F.expr("_quota div greatest(_blocks, 1)"), F.lit(cap)).cast("long"))
@@ -173,22 +180,44 @@ def _mixed(docs: DataFrame, id_col, text_col, source_col, weights=WEIGHTS, cap=C
         ranges, placed["source"].eqNullSafe(ranges["source"]) & (placed["_range"] == ranges["_range"])
     ).select("doc_id", placed["source"], "size", *(["_doc"] if carry else []), (F.col("_start") + F.col("_in")).alias("_a"))
     small = F.broadcast(plan) if plan.count() <= 10_000 else plan
-    found = placed.join(small, placed["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    found = placed.join(small, placed["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumnRenamed("source", "_source")
 
     a, b = F.col("_a"), F.col("_a") + F.col("size")
-    touched = F.when(
-        (F.col("size") > 0) & (F.col("_picks") > 0),
-        F.sequence(F.floor(a / block).cast("long"), F.floor((b - 1) / block).cast("long")),
-    ).otherwise(F.array().cast("array<bigint>"))
-    picked = F.filter(touched, lambda j: (j * STEP + seed) % F.col("_blocks") < F.col("_picks"))
-    spans = F.transform(
-        picked, lambda j: F.struct((F.greatest(a, j * block) - a).alias("from"), (F.least(b, (j + 1) * block) - a).alias("to"))
+    seated = (F.col("size") > 0) & (F.col("_quota") > 0)
+    touched = F.when(seated, F.sequence(F.floor(a / block).cast("long"), F.floor((b - 1) / block).cast("long")))
+    touched = F.coalesce(touched, F.array().cast("array<bigint>"))
+    found = found.withColumn(
+        "_touched",
+        F.transform(
+            touched,
+            lambda j: F.struct(
+                ((j * STEP + seed) % F.col("_blocks")).alias("rank"),
+                (F.greatest(a, j * block) - a).alias("from"),
+                (F.least(b, (j + 1) * block) - a).alias("to"),
+            ),
+        ),
     )
+    spans = F.transform(F.filter("_touched", lambda t: t["rank"] < F.col("_picks")), lambda t: F.struct(t["from"].alias("from"), t["to"].alias("to")))
     head = F.array(F.struct(F.lit(0).cast("long").alias("from"), (F.least(b, F.col("_head")) - a).alias("to")))
     in_head = (F.col("size") > 0) & (a < F.col("_head"))
     found = found.withColumn("ranges", F.when(in_head, head).otherwise(spans))
-    extra = F.aggregate("ranges", F.lit(0).cast("long"), lambda s, r: s + r["to"] - r["from"])
-    return found.withColumn("taken", F.col("n_passes") * F.col("size") + extra)
+
+    def seats(t):
+        """The pieces of a touched part: one for each pass, and one more if it was picked."""
+        last = F.col("n_passes") + (t["rank"] < F.col("_picks")).cast("long") - 1
+        passes = F.when(last >= 0, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))
+        shard = lambda p: F.size(F.filter("_ends", lambda e: e <= p * F.col("_blocks") + t["rank"]))
+        return F.transform(passes, lambda p: F.struct(shard(p).alias("shard"), t["from"].alias("from"), t["to"].alias("to")))
+
+    def apart_in(p):
+        return F.pmod(F.xxhash64(F.lit(seed), F.coalesce("_source", F.lit("")), p), F.lit(n_shards)).cast("int")
+
+    whole = F.when((F.col("n_passes") > 0) & (F.col("size") > 0), F.sequence(F.lit(1).cast("long"), F.col("n_passes")))
+    whole = F.transform(F.coalesce(whole, F.array().cast("array<bigint>")), lambda p: F.struct(apart_in(p).alias("shard"), F.lit(0).cast("long").alias("from"), F.col("size").alias("to")))
+    heads = F.transform("ranges", lambda r: F.struct(apart_in(F.lit(0).cast("long")).alias("shard"), r["from"].alias("from"), r["to"].alias("to")))
+    pieces = F.when(F.col("_small"), F.concat(whole, heads)).otherwise(F.flatten(F.transform("_touched", seats)))
+    found = found.withColumn("pieces", pieces)
+    return found.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda s, r: s + r["to"] - r["from"]))
 
 
 def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:

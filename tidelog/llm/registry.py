@@ -35,7 +35,7 @@ def op4_line_dedup(spark, sf_dir):
 
 
 def op5_mixing(spark, sf_dir):
-    return mix(read(spark, sf_dir, "documents")).drop("ranges")
+    return mix(read(spark, sf_dir, "documents")).drop("ranges", "pieces")
 
 
 def op6_bpe(spark, sf_dir):
