@@ -18,9 +18,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import fold, map_texts, pick
 
-#: Training texts a language on average, their greatest length, and the size of a dictionary in bytes.
-TEXTS = 80
-MAX_CHARS = 1 << 15
+#: Size of a dictionary in bytes.
 DICTIONARY = 112 << 10
 PIECE = 8 << 10
 LEVEL = 12
@@ -58,30 +56,33 @@ def classify(text: str | None, dictionaries) -> tuple[str, float, bool]:
     return sizes[0][2], margin, margin < NARROW
 
 
-def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> tuple[tuple[str, bytes], ...]:
+def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", texts: int = 80, piece: int = 1 << 15) -> tuple[tuple[str, bytes], ...]:
     """A dictionary for each language of the training fold, the most frequent language first.
 
-    The fold leaves out ids whose crc32 as text is 1 modulo 3. About TEXTS
-    texts a language, of MAX_CHARS characters at most, are drawn by a hash of
-    their id, and fill its dictionary up to DICTIONARY bytes.
+    The fold leaves out ids whose crc32 as text is 1 modulo 3. Languages are
+    counted over all its texts. About texts of each language are drawn by a
+    hash of their id, and of a text of more than piece characters that many
+    from a place that the hash gives; they fill the dictionary up to
+    DICTIONARY bytes. Ties of the hash go by the text.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.where(F.length("text") <= MAX_CHARS)
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return ()
     spark = docs.sparkSession
-    shares = spark.createDataFrame([(k, min(1.0, TEXTS / n)) for k, n in counts.items()], "lang string, share double")
+    shares = spark.createDataFrame([(k, min(1.0, texts / n)) for k, n in counts.items()], "lang string, share double")
     place = F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", place.alias("place"), "text")
-    texts: dict[str, list[bytes]] = {k: [] for k in counts}
+    start = F.pmod(F.xxhash64(F.lit(37), "doc_id"), F.greatest(F.length("text") - piece, F.lit(0)) + 1)
+    part = F.when(F.length("text") > piece, F.substring("text", start.cast("int") + 1, F.lit(piece))).otherwise(F.col("text"))
+    drawn = rows.join(F.broadcast(shares), "lang").where(place < F.col("share")).select("lang", place.alias("place"), part.alias("text"))
+    found: dict[str, list[bytes]] = {k: [] for k in counts}
     for r in sorted(drawn.collect(), key=lambda r: (r["place"], r["text"])):
-        texts[r["lang"]].append(plain(r["text"]))
+        found[r["lang"]].append(plain(r["text"]))
     order = sorted(counts, key=lambda k: (-counts[k], k))
     # zstd reads what is last in a dictionary as nearest.
-    found = ((k, b" ".join(texts[k])[:DICTIONARY]) for k in order)
-    return tuple((k, v if len(v) >= 8 else v.ljust(8)) for k, v in found)
+    full = ((k, b" ".join(found[k])[:DICTIONARY]) for k in order)
+    return tuple((k, v if len(v) >= 8 else v.ljust(8)) for k, v in full)
 
 
 def identify(docs: DataFrame, dictionaries, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

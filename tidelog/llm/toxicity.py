@@ -25,10 +25,6 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import checkpoint, fold, map_texts, pick
 
-#: Bounds of what training gathers: confirmed texts, unlabelled texts, features.
-MAX_POSITIVE = 3000
-MAX_UNLABELLED = 6000
-MAX_FEATURES = 4096
 LEAST_POSITIVE = 4
 LEAST_RATIO = 3.0
 BEGINNINGS = (4, 5, 6)
@@ -71,7 +67,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted feature hashes with their weights, and a bias; at most MAX_FEATURES of them."""
+    """Sorted feature hashes with their weights, and a bias."""
 
     keys: np.ndarray
     weights: np.ndarray
@@ -126,12 +122,23 @@ def fit(keys: np.ndarray, positive: list[tuple], unlabelled: list[tuple], prior:
     return Model(keys, w[:-1], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_positive: int = 3000,
+    max_unlabelled: int = 6000,
+    max_features: int = 4096,
+) -> Model:
     """Learn from toxic = 1 of labels and from texts taken as unlabelled, both of the training fold.
 
     The fold leaves out ids whose crc32 as text is 1 modulo 3. Samples are
-    those of lowest hash, MAX_POSITIVE and MAX_UNLABELLED texts at most. The
-    prior is the toxic share of the fold's labels.
+    those of lowest hash of the id, max_positive confirmed and max_unlabelled
+    unlabelled texts at most, and the max_features that tell them apart best;
+    the prior is the toxic share of all the fold's labels. Of labels that
+    repeat an id the highest counts; null labels and ids are left out. Rows
+    that repeat an id are texts of their own.
     """
     texts = pick(docs, id_col, text_col).where(fold(F.col("doc_id"), 3) != 1)
     marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
@@ -139,8 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = marks.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
     by_hash = F.xxhash64(F.lit(29), "doc_id")
-    chosen = marks.where("toxic = 1").orderBy(by_hash, "doc_id").limit(MAX_POSITIVE).select("doc_id")
-    others = texts.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(MAX_UNLABELLED)
+    chosen = marks.where("toxic = 1").orderBy(by_hash, "doc_id").limit(max_positive).select("doc_id")
+    others = texts.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(max_unlabelled)
     ids = chosen.select("doc_id", F.lit(1).alias("own")).unionByName(others.select("doc_id", F.lit(0).alias("own")))
 
     def read_texts(own, text):
@@ -155,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = sample.select("own", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("own").alias("p"), F.sum(1 - F.col("own")).alias("u"))
     share_p, share_u = F.col("p") / max(n_p, 1), (F.col("u") + 0.5) / (n_u + 1)
     usable = seen.where((F.col("p") >= LEAST_POSITIVE) & (share_p > LEAST_RATIO * share_u))
-    top = usable.orderBy((share_p * F.log(share_p / share_u)).desc(), "key").limit(MAX_FEATURES).select("key").collect()
+    top = usable.orderBy((share_p * F.log(share_p / share_u)).desc(), "key").limit(max_features).select("key").collect()
     keys = np.sort(np.array([r["key"] for r in top], dtype=np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(keys)
 
