@@ -179,8 +179,9 @@ def _mixed(docs: DataFrame, id_col, text_col, source_col, weights=WEIGHTS, cap=C
     placed = placed.join(
         ranges, placed["source"].eqNullSafe(ranges["source"]) & (placed["_range"] == ranges["_range"])
     ).select("doc_id", placed["source"], "size", *(["_doc"] if carry else []), (F.col("_start") + F.col("_in")).alias("_a"))
-    small = F.broadcast(plan) if plan.count() <= 10_000 else plan
-    found = placed.join(small, placed["source"].eqNullSafe(plan["source"])).drop(plan["source"]).withColumnRenamed("source", "_source")
+    own_plan = plan.withColumnRenamed("source", "_source")
+    own_plan = F.broadcast(own_plan) if plan.count() <= 10_000 else own_plan
+    found = placed.join(own_plan, placed["source"].eqNullSafe(F.col("_source"))).drop("source")
 
     a, b = F.col("_a"), F.col("_a") + F.col("size")
     seated = (F.col("size") > 0) & (F.col("_quota") > 0)
