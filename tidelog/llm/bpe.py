@@ -28,7 +28,7 @@ from tidelog.llm.common import map_texts, pick
 
 END = "</w>"
 #: Entries that a worker remembers of words, of chunks between white space, and of pairs.
-CACHE = 400_000
+CACHE = 40_000
 
 # Fixed values of the tokenizer file's pre-tokenizer: contractions, letters, one digit, other signs.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")

@@ -35,7 +35,7 @@ STEPS = 400
 RATE = 0.05
 SHRINK = 1e-4
 TOXIC = 0.7
-WORDS_KEPT = 300_000
+WORDS_KEPT = 30_000
 
 WORD = regex.compile(r"\p{L}+")
 _features: dict[str, tuple[int, ...]] = {}
