@@ -22,27 +22,45 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
+    """Documents that the toxicity classifier doesn't reject.
+
+    A null or empty text has no feature and stays. Repeated rows are judged
+    one by one. All columns are kept; an empty table gives no rows.
+    """
     return toxicity.without_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that an earlier document has."""
+    """All documents, without passages that an earlier document has; n_chars follows the text.
+
+    Null texts stay null. Of rows that repeat id and text all but one lose
+    their windows. All columns are kept; an empty table gives no rows.
+    """
     return _measured(line_dedup(docs), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more.
+
+    The smallest id of a group stays. Texts without words and rows of null id
+    stay; rows that repeat an id stay or go together. All columns are kept;
+    an empty table gives no rows.
+    """
     return without_near_duplicates(docs, width=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, copies and parts of documents that the mix takes."""
+    """The documents, copies and parts of documents that the mix takes; n_chars follows the text.
+
+    A text without words has no row. Repeated rows and null ids have plans of
+    their own; a null source is a source. All columns are kept; an empty table
+    gives no rows.
+    """
     return _measured(mixed_documents(docs), docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each row."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each row; a null text counts as empty."""
     return round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
@@ -58,8 +76,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents, each written as Parquet in the shared folder and read again."""
+    """Apply STAGES to documents, each written as Parquet in the shared folder and read again.
+
+    What a stage read is deleted once its successor is written; the last
+    stage's input stays, since the result is read from it.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
@@ -69,4 +97,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             path = f"{folder}/{i}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if i:
+                _delete(spark, before)
+            before = path
     return docs
