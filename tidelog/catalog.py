@@ -331,9 +331,9 @@ FEATURES = {
           p AS (SELECT geo_location, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / 86400 AS life, count(DISTINCT date_trunc('day', ts)) AS ad, count(DISTINCT date_trunc('week', ts)) AS aw FROM log GROUP BY 1),
           x AS (SELECT geo_location, CASE WHEN k > 100 AND h > 2 THEN h * ln(k + 1) ELSE 0 END AS farm, auth, latest, CASE WHEN life > 0 THEN ad / life ELSE 1 END AS dens, ad * aw AS pers, protocol_legitimacy_score AS legit
             FROM protocol JOIN m USING (geo_location) JOIN v USING (geo_location) JOIN p USING (geo_location)),
-          e AS (SELECT quantile_cont(farm, 0.01) AS f0, quantile_cont(farm, 0.99) AS f1, quantile_cont(auth, 0.01) AS a0, quantile_cont(auth, 0.99) AS a1, quantile_cont(dens, 0.01) AS d0, quantile_cont(dens, 0.99) AS d1, quantile_cont(pers, 0.01) AS p0, quantile_cont(pers, 0.99) AS p1 FROM x),
+          e AS (SELECT quantile_cont(farm, 0.01) AS f0, quantile_cont(farm, 0.99) AS f1, quantile_cont(auth, 0.01) AS a0, quantile_cont(auth, 0.99) AS a1, quantile_cont(pers, 0.01) AS p0, quantile_cont(pers, 0.99) AS p1 FROM x),
           z AS (SELECT *, CASE WHEN f1 - f0 > 1e-10 THEN greatest(0, least(1, (farm - f0) / (f1 - f0))) ELSE 0 END AS nf, CASE WHEN a1 - a0 > 1e-10 THEN greatest(0, least(1, (auth - a0) / (a1 - a0))) ELSE 0 END AS na,
-            CASE WHEN d1 - d0 > 1e-10 THEN greatest(0, least(1, (dens - d0) / (d1 - d0))) ELSE 0 END AS nd, CASE WHEN p1 - p0 > 1e-10 THEN greatest(0, least(1, (pers - p0) / (p1 - p0))) ELSE 0 END AS np FROM x, e),
+            greatest(0, least(1, dens)) AS nd, CASE WHEN p1 - p0 > 1e-10 THEN greatest(0, least(1, (pers - p0) / (p1 - p0))) ELSE 0 END AS np FROM x, e),
           w AS (SELECT geo_location, greatest(0, least(1, 0.30 * nf + 0.20 * 0.5 + 0.15 * latest + 0.10 * (1 - nd))) AS bad, greatest(0, least(1, 0.25 * na + 0.20 * 0.5 + 0.25 * np + 0.15 * legit)) AS good FROM z)""")
         + "SELECT geo_location, 0.5 AS geographic_stability, bad AS malicious_bot_score, good AS legitimate_automation_score, bad - good AS bot_vs_legitimate_score, (bad - good > 0.3)::INT AS is_likely_malicious, (bad - good < -0.3)::INT AS is_likely_legitimate_automation FROM w"),
     "feat_interaction": Query(

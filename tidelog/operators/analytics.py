@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.annotate import small_side
 
 # Countries by region; all others are Other.
 REGIONS = {
@@ -261,4 +260,4 @@ def script_locations(events: DataFrame, least: int = 1) -> DataFrame:
 
 def enrich(rows: DataFrame, metadata: DataFrame, key: str = "accession") -> DataFrame:
     """Left join with one row of metadata a key."""
-    return rows.join(small_side(metadata.dropDuplicates([key])), key, "left")
+    return rows.join(metadata.dropDuplicates([key]), key, "left")

@@ -31,8 +31,8 @@ def basic(g: Grains, min_downloads: int = 1) -> DataFrame:
 def hourly_density(g: Grains, basics: DataFrame) -> DataFrame:
     """Distinct users an hour, and user_cv: their average over that of all locations."""
     rates = g.hours.groupBy(LOC).agg(F.avg("users").alias("avg_users_per_hour"), F.max("users").alias("max_users_per_hour"))
-    mean = F.avg("avg_users_per_hour").over(Window.partitionBy(F.lit(0)))
-    rates = rates.withColumn("user_cv", F.col("avg_users_per_hour") / (mean + EPSILON))
+    mean = F.broadcast(rates.agg(F.avg("avg_users_per_hour").alias("_mean")))
+    rates = rates.crossJoin(mean).withColumn("user_cv", F.col("avg_users_per_hour") / (F.col("_mean") + EPSILON)).drop("_mean")
     sizes = basics.select(
         LOC,
         (F.col("unique_users") / F.greatest("active_hours", F.lit(1))).alias("users_per_active_hour"),
@@ -84,7 +84,11 @@ def yearly(g: Grains) -> DataFrame:
 
 
 def time_of_day(g: Grains, schema: LogSchema | None = None) -> DataFrame:
-    """Shape of the 24-hour clock, hours without events included."""
+    """Shape of the 24-hour clock, hours without events included.
+
+    Ratios that meet thresholds are one division of counts, so that no order
+    of rows moves them.
+    """
     s = schema or LogSchema()
     rows = g.clock.withColumn("total", F.sum("n").over(Window.partitionBy(LOC)))
     rows = rows.withColumn("share", F.col("n") / F.col("total"))
@@ -95,9 +99,9 @@ def time_of_day(g: Grains, schema: LogSchema | None = None) -> DataFrame:
     return rows.groupBy(LOC).agg(
         F.sqrt(F.greatest(squares, F.lit(0.0))).alias("hourly_download_std"),
         F.max("share").alias("peak_hour_concentration"),
-        F.sum(F.when(work, F.col("share")).otherwise(0.0)).alias("working_hours_ratio"),
+        (F.sum(F.when(work, F.col("n")).otherwise(0)) / F.sum("n")).alias("working_hours_ratio"),
         dense_entropy(F.col("share"), F.lit(24)).alias("hourly_entropy"),
-        F.sum(F.when(night, F.col("share")).otherwise(0.0)).alias("night_activity_ratio"),
+        (F.sum(F.when(night, F.col("n")).otherwise(0)) / F.sum("n")).alias("night_activity_ratio"),
     )
 
 

@@ -25,14 +25,14 @@ def composite(profile: DataFrame) -> DataFrame:
     Weights are fixed values; those of the legitimate score sum to more than
     one, so it is cut at one. geographic_stability is 0.5 for all.
     """
-    scaled = ["file_exploration_score", "bot_farm_score", "activity_density", "file_mirroring_score", "user_authenticity_score", "persistence_score"]
+    scaled = ["file_exploration_score", "bot_farm_score", "file_mirroring_score", "user_authenticity_score", "persistence_score"]
     df = _scaled(profile, scaled).withColumn("geographic_stability", F.lit(0.5))
     bad = (
         0.25 * F.col("_file_exploration_score")
         + 0.30 * F.col("_bot_farm_score")
         + 0.20 * (1 - F.col("geographic_stability"))
         + 0.15 * F.col("targets_latest_only")
-        + 0.10 * (1 - F.col("_activity_density"))
+        + 0.10 * (1 - clip(F.col("activity_density"), 0.0, 1.0))
     )
     good = (
         0.30 * F.col("_file_mirroring_score")

@@ -48,8 +48,8 @@ dp AS (SELECT *, n / sum(n) OVER (PARTITION BY geo_location) AS p FROM dense),
 dq AS (SELECT *, (p + {EPS}) / sum(p + {EPS}) OVER (PARTITION BY geo_location) AS q FROM dp),
 tod AS (
   SELECT geo_location, stddev_pop(n) AS hourly_download_std, max(p) AS peak_hour_concentration,
-    sum(p) FILTER (h >= 9 AND h < 17) AS working_hours_ratio, -sum(q * ln(q)) AS hourly_entropy,
-    sum(p) FILTER (h >= 22 OR h < 6) AS night_activity_ratio
+    coalesce(sum(n) FILTER (h >= 9 AND h < 17), 0)::DOUBLE / sum(n)::DOUBLE AS working_hours_ratio, -sum(q * ln(q)) AS hourly_entropy,
+    coalesce(sum(n) FILTER (h >= 22 OR h < 6), 0)::DOUBLE / sum(n)::DOUBLE AS night_activity_ratio
   FROM dq GROUP BY geo_location)"""
 PROTOCOL = """protocol AS (
   SELECT geo_location, avg((lower(method) = 'http')::INT) AS http_ratio, avg((lower(method) = 'ftp')::INT) AS ftp_ratio,

@@ -46,22 +46,30 @@ def sample_share(df: DataFrame, share: float, seed: int = 42, most: int | None =
 def write_annotated(df: DataFrame, source: str, strategy: str = "new_file", target: str | None = None, sampled: bool = False) -> str | None:
     """Write an annotated log: new_file beside the source, overwrite in its place, or reports_only for nothing.
 
-    A sampled log is never written over its source. Overwriting goes through a
-    folder beside the source, as Spark can't replace what it reads.
+    A sampled log is never written over its source. new_file fails if its
+    target exists. Overwriting goes through a folder beside the source, as
+    Spark can't replace what it reads; the source is moved aside first and
+    deleted last, so that a whole log exists at any time.
     """
     if strategy == "reports_only" or sampled:
         return None
-    beside = target or source.removesuffix("/").removesuffix(".parquet") + "_annotated.parquet"
-    df.write.mode("overwrite").option("compression", "snappy").parquet(beside)
+    base = source.removesuffix("/").removesuffix(".parquet")
+    beside = target or base + "_annotated.parquet"
+    df.write.mode("overwrite" if strategy == "overwrite" else "error").option("compression", "snappy").parquet(beside)
     if strategy != "overwrite":
         return beside
     spark = df.sparkSession
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    old, new = fs_path(source), fs_path(beside)
+    old, new, aside = fs_path(source), fs_path(beside), fs_path(base + "_before.parquet")
     fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(old, True)
+    if fs.exists(aside):
+        raise FileExistsError(f"{aside} is left from an overwrite that broke off")
+    if not fs.rename(old, aside):
+        raise OSError(f"could not move {source} aside")
     if not fs.rename(new, old):
+        fs.rename(aside, old)
         raise OSError(f"could not move {beside} to {source}")
+    fs.delete(aside, True)
     return source
 
 
