@@ -447,3 +447,45 @@ def test_lm_base_scores_match_brute_force(spark, monkeypatch, heavy):
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(tokens), sum(counts[w] > 0 for w in tokens), total)
         assert got[i]["held_out"] == (folded(i, 7) == 2)
         assert math.isfinite(got[i]["score"]) and got[i]["score"] < 0
+
+
+def test_lm_scores_are_the_marginal_of_one_lattice(spark, monkeypatch):
+    monkeypatch.setattr(lattice_lm, "HEAVY", 8)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rng = random.Random(14)
+    langs = [rng.choice(["aa", "bb", None]) for _ in range(60)]
+    texts = [sentence(rng, rng.randrange(1, 30), 20) + (" only" + k if (k := langs[i]) else "") for i in range(60)] + ["%%% z", "zz%%% new", None]
+    df = docs(spark, texts, langs=langs + [None] * 3)
+    fitted = {}
+    monkeypatch.setattr(lattice_lm, "fit_pieces", lambda c, v, fit=lattice_lm.fit_pieces: fitted.setdefault("p", fit(c, v)))
+    got = {r["doc_id"]: r for r in lattice_lm.lm_scores(df, path).collect()}
+    chance = dict(zip(fitted["p"][0], np.exp(fitted["p"][1]), strict=True))
+    counts, own, ends = collections.Counter(), collections.defaultdict(collections.Counter), collections.Counter()
+    for i, t in enumerate(texts):
+        if folded(i, 7) != 2:
+            kind = (langs + [None] * 3)[i]
+            ends[kind] += 1
+            counts.update((t or "").encode().lower().split())
+            own[kind].update((t or "").encode().lower().split())
+    n_ends = sum(ends.values())
+    total, kinds = sum(counts.values()) + n_ends, len(counts) + 1
+    lattice = lambda w: math.log(kinds) / math.log(10) + brute_lattice(w, chance)
+    for i, t in enumerate(texts):
+        by_kind = []
+        for kind in [*sorted(k for k in ends if k), None]:
+            size = sum(own[kind].values()) + ends[kind]
+            p = lambda c, new, mine: (mine + lattice_lm.PULL * (c + new) / (total + kinds + 1)) / (size + lattice_lm.PULL)  # noqa: B023, E731
+            s = math.log10((ends[kind] + 1) / (n_ends + len({*ends, None})))
+            s += sum(math.log10(p(counts[w], 10 ** lattice(w), own[kind][w])) for w in (t or "").encode().lower().split())
+            by_kind.append(s + math.log10(p(n_ends, 1, ends[kind])))
+        best = max(by_kind)
+        assert got[i]["score"] == pytest.approx(best + math.log10(sum(10 ** (x - best) for x in by_kind)), rel=1e-9)
+
+
+def test_lm_score_of_a_long_new_word_grows_with_its_length(spark):
+    texts = ["some plain words"] * 20 + ["%" * 200, "%" * 20_000]
+    held = [i for i in range(200) if folded(i, 7) == 2][:2]
+    ids = [i for i in range(200) if folded(i, 7) != 2][:20] + held
+    df = table(spark, [(i, t, "en", "s") for i, t in zip(ids, texts, strict=True)])
+    got = {r["doc_id"]: r["score"] for r in lattice_lm.lm_scores(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert got[held[1]] < 50 * got[held[0]] < 0

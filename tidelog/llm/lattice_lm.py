@@ -1,19 +1,25 @@
 """Language-model scores from a subword lattice.
 
-The pieces of an existing vocabulary, with scores learned from the training
-texts, weight every segmentation of a word; a forward recursion in log
-space sums them to the word's marginal probability. The pieces start at
-weights that fall with their rank in the vocabulary file, and expectation
-maximisation over the corpus's distinct words re-estimates them. Whole
-words seen in training count as pieces of their own: a word's probability
-is (c + V * lattice) / (N + V + 1), so the lattice takes the mass of new
-words, and of the words' end marker c + 1 over the same. A text's probability sums over the classes of
-training texts, such as their languages, each with its own distribution of
-the frequent words.
-
-Counts are one table (word, c) over the whole corpus. At most HEAVY words,
+The scores that the vocabulary file gives its pieces are ranks, so a piece
+starts at a weight of one over its rank, and expectation maximisation over
+the corpus's distinct training words re-estimates the weights.
+
+A text's lattice has two kinds of arcs. Subword arcs weight every
+segmentation of a word into pieces; a forward recursion in log space sums
+them to the word's marginal probability. A whole-word arc stands beside them
+for each word seen in training: a word's probability is
+(c + V * lattice) / (N + V + 1), so that the subword arcs have the mass of new
+words; that of the words' end marker is c + 1 over the same. Whole-word arcs
+have weights of their own in each class of training texts, such as their
+languages, smoothed with PULL words of the whole: (own + PULL * p) / (size +
+PULL). The lattice begins with a choice of the class, and the text's score
+is the log of the sum over classes and segmentations. Nothing leaves log
+space on the way.
+
+Counts are one table over all words of the corpus. At most HEAVY words,
 those with at least N / HEAVY occurrences, are broadcast and settled while
 a text is read; the other words of each text meet the table in a shuffle.
+Both take the same numbers, so HEAVY changes no score.
 """
 
 from __future__ import annotations
@@ -31,9 +37,9 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import SLICE, checkpoint, fold
 from tidelog.llm.minhash import words
 
-HEAVY = 1 << 20
+HEAVY = 1 << 18
 ROUNDS = 2
-#: Classes of texts with word distributions of their own, and how many words of all texts each is smoothed with.
+#: Most classes of texts with word distributions of their own, and how many words of all texts each is smoothed with.
 CLASSES = 16
 PULL = 1000.0
 #: Entries of a task's counts before they are handed on.
@@ -162,7 +168,7 @@ class _Shared:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, class, c) of docs(text, class): occurrences in training texts; class -1 and 0 for those of others."""
+    """(word, class, c) of docs(text, class), rows of a task each: occurrences in training texts; class -1 and 0 for those of others."""
     schema = pa.schema([("word", pa.binary()), ("class", pa.int32()), ("c", pa.int64())])
 
     def run(batches):
@@ -185,8 +191,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    rows = docs.select("text", "class").mapInArrow(run, "word binary, class int, c long")
-    return rows.groupBy("word", "class").agg(F.sum("c").alias("c"))
+    return docs.select("text", "class").mapInArrow(run, "word binary, class int, c long")
 
 
 def fit_pieces(counts: DataFrame, pieces: list[tuple[bytes, float]], rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray]:
@@ -215,29 +220,44 @@ def fit_pieces(counts: DataFrame, pieces: list[tuple[bytes, float]], rounds: int
     return names, log_p
 
 
+def _log10_sum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.logaddexp(a * math.log(10), b * math.log(10)) / math.log(10)
+
+
+def log_word(c: np.ndarray, chance: np.ndarray, total: float, fresh: float) -> np.ndarray:
+    """log10 of (c + fresh * 10^chance) / (total + fresh + 1), without leaving logarithms."""
+    with np.errstate(divide="ignore"):
+        return _log10_sum(np.log10(c.astype(float)), math.log10(fresh) + chance) - math.log10(total + fresh + 1)
+
+
+def class_scores(p: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 of (own + PULL * 10^p) / (size + PULL), a row for each of p and a column for each class."""
+    with np.errstate(divide="ignore"):
+        return _log10_sum(np.log10(own.astype(float)), math.log10(PULL) + p[:, None]) - np.log10(sizes + PULL)
+
+
 def lm_scores(
-    docs: DataFrame, path: str, id_col="doc_id", text_col="text", class_col: str | None = "lang", modulus: int = 7, left_out: int = 2
+    docs: DataFrame, path: str, id_col="doc_id", text_col="text", class_col: str | None = "lang", modulus: int = 7, left_out: int = 2, n_classes: int = CLASSES
 ) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words, A to Z in lower case, and one end. Training texts
     are those whose crc32 of the id as text isn't left_out modulo modulus.
-    base_score adds log10((c + 1) / (N + V + 1)); score is the model's log10
-    probability: a mixture over the classes of training texts, where a class
-    has its own distribution of the HEAVY words and its own share of others,
-    and the text's own class is not looked at. The CLASSES most frequent
-    values of class_col are classes, all others and null one more; without
-    class_col there is one class. A null text counts as empty and has its
-    end alone. Without any training text N and V are 0, all words are new and
-    the lattice keeps its starting weights. Rows that repeat an id are scored
-    one by one. An empty table gives no rows.
+    base_score adds log10((c + 1) / (N + V + 1)); score is the log10 of the
+    marginal of the text's lattice. The n_classes most frequent values of
+    class_col in training are classes, all others and null one more; without
+    class_col there is one class; the text's own class is not looked at. A
+    null text counts as empty and has its end alone. Without any training
+    text N and V are 0, all words are new and the lattice keeps its starting
+    weights. Rows that repeat an id are scored one by one. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     held_out = fold(F.col("doc_id"), modulus) == left_out
     kind = docs[class_col].cast("string") if class_col else F.lit(None).cast("string")
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), kind.alias("kind"))
     sizes = source.where(~held_out).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.where("kind IS NOT NULL").orderBy(F.col("n").desc(), "kind").limit(CLASSES).collect()
+    top = sizes.where("kind IS NOT NULL").orderBy(F.col("n").desc(), "kind").limit(n_classes).collect()
     ends_all = sizes.agg(F.sum("n")).first()[0] or 0
     number = F.lit(len(top))
     for i, r in enumerate(top):
@@ -246,50 +266,47 @@ def lm_scores(
     n_classes = len(top) + 1
     ends = np.array([r["n"] for r in top] + [ends_all - sum(r["n"] for r in top)], dtype=float)
 
-    by_class = checkpoint(word_counts(source))
-    counts = by_class.groupBy("word").agg(F.sum("c").alias("c"))
-    sums = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    by_class = word_counts(source)
+    own = [F.sum(F.when(F.col("class") == k, F.col("c")).otherwise(0)) for k in range(n_classes)]
+    counts = checkpoint(by_class.groupBy("word").agg(F.sum("c").alias("c"), F.array(*own).alias("own")))
+    sums = counts.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), *[F.sum(F.col("own")[k]).alias(f"n{k}") for k in range(n_classes)]).first()
     total, kinds = (sums["n"] or 0) + ends_all, sums["v"] + (ends_all > 0)
+    sizes_of = ends + np.array([sums[f"n{k}"] or 0 for k in range(n_classes)], dtype=float)
     below = float(total + kinds + 1)
     fresh = float(max(kinds, 1))
     lattice = _Shared(spark, fit_pieces(counts, vocabulary(path)))
+    table_schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("scores", pa.list_(pa.float64()))])
 
     def weigh(batches):
+        """A word's log10 probability in each class."""
         for batch in batches:
-            chance = np.power(10.0, _lattice(lattice).log10(batch.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chance)], names=["word", "c", "lattice"])
-
-    table = counts.mapInArrow(weigh, "word binary, c long, lattice double")
+            c = batch.column(1).to_numpy()
+            own = batch.column(2).flatten().to_numpy().reshape(-1, n_classes)
+            chance = _lattice(lattice).log10(batch.column(0).to_pylist())
+            scores = class_scores(log_word(c, chance, total, fresh), own, sizes_of)
+            lists = pa.ListArray.from_arrays(np.arange(0, scores.size + 1, n_classes, dtype=np.int32), scores.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], schema=table_schema)
+
+    table = counts.select("word", "c", "own").mapInArrow(weigh, "word binary, c long, scores array<double>")
     base = F.log10((F.col("c") + 1) / below)
-    score = F.log10((F.col("c") + fresh * F.col("lattice") + 1e-300) / (total + fresh + 1))
-    table = checkpoint(table.select("word", "c", (F.col("c") > 0).alias("known"), base.alias("base"), score.alias("score")))
-    is_heavy = (F.col("c") * (HEAVY // n_classes) >= total) & (F.col("c") > 0)
-    heavy = table.where(is_heavy).select("word", "base", "score")
-    rows = heavy.toArrow()
+    table = checkpoint(table.select("word", (F.col("c") > 0).alias("known"), base.alias("base"), "scores", "c"))
+    rows = table.where((F.col("c") * HEAVY >= total) & (F.col("c") > 0)).select("word", "base", "scores").toArrow()
     index = {w: i for i, w in enumerate(rows["word"].to_pylist())}
     # The end is one more heavy token, the last.
-    own = np.zeros((len(index) + 1, n_classes))
-    per_class = by_class.where("class >= 0").groupBy("class").agg(F.sum("c").alias("n")).collect()
-    sizes_of = ends + np.bincount([r["class"] for r in per_class], weights=[r["n"] for r in per_class], minlength=n_classes)
-    cells = by_class.where("class >= 0").join(F.broadcast(heavy.select("word")), "word", "left_semi").toArrow()
-    own[[index[w] for w in cells["word"].to_pylist()], cells["class"].to_numpy()] = cells["c"].to_numpy()
-    own[-1] = ends
-    p = np.append(10.0 ** rows["score"].to_numpy(), (ends_all + 1) / (total + fresh + 1))
-    mass = min(float(p.sum()), 1 - 1e-12)
-    rest = np.maximum(sizes_of - own.sum(axis=0), 0)
-    log_own = np.log10((own + PULL * p[:, None]) / (sizes_of + PULL))
-    log_rest = np.log10((rest + PULL * (1 - mass)) / ((sizes_of + PULL) * (1 - mass)))
+    log_end = np.array([math.log10((ends_all + 1) / (total + fresh + 1))])
+    heavy = rows["scores"].combine_chunks().flatten().to_numpy().reshape(-1, n_classes) if len(index) else np.zeros((0, n_classes))
+    log_own = np.concatenate([heavy, class_scores(log_end, ends[None, :], sizes_of)])
     log_class = np.log10((ends + 1) / (ends_all + n_classes))
     log_base = np.append(rows["base"].to_numpy(), math.log10((ends_all + 1) / below))
-    del rows, cells
-    shared = spark.sparkContext.broadcast((index, log_own, log_base, log_rest, log_class))
+    del rows, heavy
+    shared = spark.sparkContext.broadcast((index, log_own, log_base))
     end_known = int(ends_all > 0)
-    facts = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    facts = pa.struct([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("scores", pa.list_(pa.float64()))])
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("times", pa.int32()), ("own", facts)])
 
     def read_texts(batches):
         """A row of each text with what is settled at once, and one for each of its other words."""
-        index, log_own, log_base, log_rest, log_class = shared.value
+        index, log_own, log_base = shared.value
         end = len(log_base) - 1
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
@@ -301,38 +318,34 @@ def lm_scores(
                     others = [(w, n) for (w, n), i in zip(counted.items(), place, strict=True) if i < 0]
                     place, n = np.array([*place, end]), np.array([*counted.values(), 1])
                     place, n = place[place >= 0], n[place >= 0]
-                    by_kind = log_class + n @ log_own[place] + log_rest * sum(k for _, k in others)
-                    best = by_kind.max()
                     # No word holds a space, so this key meets no row of the table.
                     keys += [w for w, _ in others] + [b" %d" % row]
                     times += [k for _, k in others] + [0]
                     rows += [row] * (len(others) + 1)
                     ids += [None] * len(others) + [doc_id]
                     sums += [None] * len(others)
-                    sums.append(
-                        {
-                            "n": len(found) + 1,
-                            "known": int(n.sum()) - 1 + end_known,
-                            "base": float(n @ log_base[place]),
-                            "score": float(best + np.log10((10.0 ** (by_kind - best)).sum())),
-                        }
-                    )
+                    sums.append({"n": len(found) + 1, "known": int(n.sum()) - 1 + end_known, "base": float(n @ log_base[place]), "scores": (n @ log_own[place]).tolist()})
                 yield pa.RecordBatch.from_pydict(
                     {"row": rows, "doc_id": ids, "word": keys, "times": times, "own": sums}, schema=schema
                 )
 
     numbered = source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     parts = numbered.mapInArrow(
-        read_texts, "row long, doc_id long, word binary, times int, own struct<n: long, known: long, base: double, score: double>"
+        read_texts, "row long, doc_id long, word binary, times int, own struct<n: long, known: long, base: double, scores: array<double>>"
     )
-    met = parts.join(table.select("word", "known", "base", "score"), "word", "left")
+    met = parts.join(table.select("word", "known", "base", "scores"), "word", "left")
+    by_kind = [F.sum(F.coalesce(F.col("own.scores")[k], F.col("times") * F.col("scores")[k])) + float(log_class[k]) for k in range(n_classes)]
     out = met.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum("own.n").alias("n_tokens"),
         F.sum(F.coalesce("own.known", F.when(F.col("known"), F.col("times")), F.lit(0))).alias("n_known"),
         F.sum(F.coalesce("own.base", F.col("times") * F.col("base"))).alias("base_score"),
-        F.sum(F.coalesce("own.score", F.col("times") * F.col("score"))).alias("score"),
+        *[x.alias(f"_{k}") for k, x in enumerate(by_kind)],
     )
+    # The sum over classes, from the largest term on.
+    best = F.greatest(*[f"_{k}" for k in range(n_classes)]) if n_classes > 1 else F.col("_0")
+    rest = sum((F.pow(F.lit(10.0), F.col(f"_{k}") - best) for k in range(n_classes)), F.lit(0.0))
+    out = out.withColumn("score", best + F.log10(rest))
     return out.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )
