@@ -489,3 +489,32 @@ def test_lm_score_of_a_long_new_word_grows_with_its_length(spark):
     df = table(spark, [(i, t, "en", "s") for i, t in zip(ids, texts, strict=True)])
     got = {r["doc_id"]: r["score"] for r in lattice_lm.lm_scores(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
     assert got[held[1]] < 50 * got[held[0]] < 0
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_links_of_a_large_component_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(15)
+    # A cluster about as wide as the threshold, one that is all core, and a chain; labels are text.
+    base = rng.normal(size=(3, 24))
+    rows = [base[0] + rng.normal(size=24) * rng.choice([0.02, 0.08, 0.15]) for _ in range(60)]
+    rows += [base[1] + rng.normal(size=24) * 0.03 for _ in range(40)]
+    for _ in range(20):
+        rows.append(rows[-1] + rng.normal(size=24) * 0.12)
+    data = [(i, [float(x) for x in v], "long label") for i, v in enumerate(rows)] + [(500, [float(x) for x in rows[0]], "other")]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_vectors(df).collect()}
+    x = np.array(rows)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert [got[i]["n_links"] for i in range(len(x))] == near.sum(axis=1).tolist()
+    assert got[500]["n_links"] == 0
+
+
+def test_vectors_of_large_labels_and_repeated_rows(spark):
+    one, other = [1.0, 2.0, 3.0], [-3.0, 1.0, 0.0]
+    rows = [(1, one, 5_000_000_000), (2, one, 5_000_000_000), (2, one, 5_000_000_000), (3, other, 5_000_000_000), (4, one, None), (None, one, 5_000_000_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").withColumns({"u": F.lit(1), "core": F.lit(2), "component": F.lit(3), "N": F.lit(4)})
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df).collect())
+    assert got == [("1", 2, 1), ("2", 2, 1), ("2", 2, 1), ("3", 0, 3), ("4", 0, 4), ("None", 0, None)]

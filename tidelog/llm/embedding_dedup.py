@@ -8,8 +8,10 @@ table brings the vectors of a window together. Pairs are counted over
 TABLES tables, and those that share at least as many windows as keeps the
 wanted recall are verified by their cosine.
 
-The links of a vector are counted within its component, block against
-block, so pairs of a large component are never listed.
+The links of a vector are counted within its component, without listing
+pairs. Members within half the threshold's angle of the component's mean
+direction, its core, are all linked to each other; that is one sum. Only
+members outside the core are held against all members, block against block.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ TABLES = 48
 DEPTH = 8
 WIDTH = 1.0
 RECALL = 0.9999
-BLOCK = 256
+BLOCK = 1024
+#: Cosines this near the threshold are added up in order, as in verifying pairs; slack of the core in radians.
+CLOSE = 1e-12
+SLACK = 1e-6
 
 
 def window_chance(least: float, width: float = WIDTH, depth: int = DEPTH) -> float:
@@ -61,19 +66,60 @@ def directions(dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(vector: list[float], label: int) -> np.ndarray:
-    """One key a table, of the label, the table and its windows."""
+    """One key a table, of a hash of the label, the table and its windows."""
     axes, offsets = directions(len(vector))
     cells = np.floor((np.array(vector) @ axes + offsets) / WIDTH).astype(np.int64).view(np.uint64).reshape(TABLES, DEPTH)
-    out = np.arange(TABLES, dtype=np.uint64) + np.uint64(((label & 0xFFFFFFFF) << 16) + 1)
+    out = _mixed(np.arange(TABLES, dtype=np.uint64) + np.uint64(label & 0xFFFFFFFFFFFFFFFF))
     for column in cells.T:
         out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
     return out.view(np.int64)
 
 
+def linked(left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of left and right have that cosine; near the threshold by a sum in order of the components."""
+    cosine = left @ right.T
+    near = cosine >= least
+    for i, j in zip(*np.nonzero(np.abs(cosine - least) < CLOSE), strict=True):
+        near[i, j] = np.cumsum(left[i] * right[j])[-1] >= least
+    return near
+
+
+def link_weights(inside: DataFrame, least: float) -> DataFrame:
+    """(id, others): weight of what each vector of inside(id, w, u, component) is linked with in its component, itself left out."""
+    dims = inside.agg(F.max(F.size("u"))).first()[0] or 0
+    shapes = inside.groupBy("component").agg(F.array(*[F.sum(F.get("u", F.lit(i))) for i in range(dims)]).alias("sum"))
+    length = F.sqrt(F.aggregate("sum", F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0))))
+    shapes = checkpoint(shapes.select("component", "sum", length.alias("length")))
+    half = math.cos(max(math.acos(least) / 2 - SLACK, 0.0))
+    along = F.aggregate(F.zip_with("u", "sum", lambda x, y: x * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+    placed = inside.join(shapes, "component").select("id", "w", "u", "component", (along >= half * F.col("length")).alias("core"))
+    placed = checkpoint(placed.withColumn("core", F.coalesce(F.col("core"), F.lit(False))))
+    sizes = placed.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("w")).otherwise(0)).alias("core_w"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("core")).alias("rim"))
+    sizes = checkpoint(sizes)
+    sure = placed.where("core").join(sizes, "component").select("id", (F.col("core_w") - F.col("w")).alias("others"))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    parts = placed.join(sizes.where("rim > 0"), "component")
+    rim = parts.where("NOT core").select("id", "w", "u", "core", "component", F.lit(True).alias("asks"), block("rim").alias("one"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("two"))
+    every = parts.select("id", "w", "u", "core", "component", F.lit(False).alias("asks"), block("n").alias("two"), F.explode(F.sequence(F.lit(0), blocks("rim") - 1)).alias("one"))
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        """Linked weight of each asking vector, and of the core's vectors in those that ask."""
+        asks = part["asks"].to_numpy(dtype=bool)
+        ids, weights, core = part["id"].to_numpy(), part["w"].to_numpy(), part["core"].to_numpy(dtype=bool)
+        matrix = np.array(part["u"].tolist(), dtype=np.float64)
+        near = linked(matrix[asks], matrix[~asks], least) & (ids[asks][:, None] != ids[~asks][None, :])
+        own = core[~asks]
+        return pd.DataFrame({"id": np.concatenate([ids[asks], ids[~asks][own]]), "others": np.concatenate([near @ weights[~asks], weights[asks] @ near[:, own]])})
+
+    found = rim.unionByName(every).groupBy("component", "one", "two").applyInPandas(count, "id long, others long")
+    return sure.unionByName(found).groupBy("id").agg(F.sum("others").alias("others"))
+
+
 def near_vectors(vectors: DataFrame, least: float = LEAST, id_col="vec_id", vector_col="embedding", label_col="label") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Vectors of equal label and equal length in components are linked where
+    Vectors of equal label, of whatever type, and equal length in components are linked where
     their cosine, in double precision, is at least the threshold. Vectors
     that are null, zero or hold null or non-finite components, and those of
     null label or id, link with nothing: n_links 0, component_id the own id.
@@ -84,7 +130,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col="vec_id", vect
     """
     rows = vectors.select(
         vectors[id_col].cast("long").alias("vec_id"),
-        vectors[label_col].cast("int").alias("label"),
+        vectors[label_col].alias("label"),
         vectors[vector_col].cast("array<double>").alias("v"),
     )
     top = F.array_max(F.transform("v", lambda x: F.abs(x)))
@@ -98,10 +144,10 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col="vec_id", vect
     # Equal ids with different vectors stay apart by their smallest class.
     nodes = checkpoint(classes.dropDuplicates(["id"]))
 
-    def work(id, label, u):
-        return {"id": id, "bucket": [windows(x, y) for x, y in zip(u, label, strict=True)]}
+    def work(id, kind, u):
+        return {"id": id, "bucket": [windows(x, y) for x, y in zip(u, kind, strict=True)]}
 
-    keys = map_texts(nodes, ["id", "label", "u"], work, {"id": ("long", pa.int64()), "bucket": ("array<long>", pa.list_(pa.int64()))})
+    keys = map_texts(nodes.withColumn("kind", F.xxhash64("label")), ["id", "kind", "u"], work, {"id": ("long", pa.int64()), "bucket": ("array<long>", pa.list_(pa.int64()))})
     members = keys.select("id", F.explode("bucket").alias("bucket"))
 
     def verify(pairs):
@@ -111,37 +157,9 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col="vec_id", vect
         cosine = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         return both.where(cosine >= least).select("a", "b")
 
-    linked = checkpoint(link(members, verify, least_count(least)))
-    sizes = linked.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    inside = linked.join(sizes, "component").join(nodes.select("id", "w", "u"), "id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    inside = inside.withColumn("mine", F.pmod(F.xxhash64("id"), blocks)).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), blocks - 1))
-    )
-    inside = inside.select(
-        "id", "w", "u", "component", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")
-    )
-
-    def count(block: pd.DataFrame) -> pd.DataFrame:
-        """Linked weight of each vector of the lower block in the higher, and the other way round."""
-        ids, weights = block["id"].to_numpy(), block["w"].to_numpy()
-        is_low = (block["mine"] == block["low"]).to_numpy()
-        matrix = np.array(block["u"].tolist(), dtype=np.float64)
-        if (block["low"] == block["high"]).all():
-            near = matrix @ matrix.T >= least
-            np.fill_diagonal(near, False)
-            return pd.DataFrame({"id": ids, "n": near @ weights})
-        near = matrix[is_low] @ matrix[~is_low].T >= least
-        return pd.DataFrame(
-            {
-                "id": np.concatenate([ids[is_low], ids[~is_low]]),
-                "n": np.concatenate([near @ weights[~is_low], weights[is_low] @ near]),
-            }
-        )
-
-    counts = inside.groupBy("component", "low", "high").applyInPandas(count, "id long, n long")
-    counts = counts.groupBy("id").agg(F.sum("n").alias("others"))
-    facts = classes.select("id", "label", "v", "w").join(counts, "id", "left").join(linked, "id", "left")
+    found = checkpoint(link(members, verify, least_count(least)))
+    counts = link_weights(checkpoint(found.join(nodes.select("id", "w", "u"), "id")), least)
+    facts = classes.select("id", "label", "v", "w").join(counts, "id", "left").join(found, "id", "left")
     facts = facts.select("label", "v", (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c"))
     good = rows.where("ok").join(facts, ["label", "v"]).select("vec_id", "n", "c")
     alone = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("c"))
