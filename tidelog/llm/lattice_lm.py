@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import SLICE, checkpoint, fold
 from tidelog.llm.minhash import words
 
-HEAVY = 1 << 18
+HEAVY = 1 << 20
 ROUNDS = 2
 #: Most classes of texts with word distributions of their own, and how many words of all texts each is smoothed with.
 CLASSES = 16
