@@ -35,6 +35,8 @@ DEPTH = 8
 WIDTH = 1.0
 RECALL = 0.9999
 BLOCK = 1024
+#: Rows, one a component, that are broadcast at most, by the numbers they hold; more are shuffled.
+BROADCAST_NUMBERS = 1 << 22
 #: Cosines this near the threshold are added up in order, as in verifying pairs; slack of the core in radians.
 CLOSE = 1e-12
 SLACK = 1e-6
@@ -90,16 +92,22 @@ def link_weights(inside: DataFrame, least: float) -> DataFrame:
     shapes = inside.groupBy("component").agg(F.array(*[F.sum(F.get("u", F.lit(i))) for i in range(dims)]).alias("sum"))
     length = F.sqrt(F.aggregate("sum", F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0))))
     shapes = checkpoint(shapes.select("component", "sum", length.alias("length")))
+    n_shapes = shapes.count()
+
+    def small(side, numbers):
+        """A component may hold most rows, so its one row goes to them where that fits."""
+        return F.broadcast(side) if n_shapes * numbers <= BROADCAST_NUMBERS else side
+
     half = math.cos(max(math.acos(least) / 2 - SLACK, 0.0))
     along = F.aggregate(F.zip_with("u", "sum", lambda x, y: x * F.coalesce(y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-    placed = inside.join(shapes, "component").select("id", "w", "u", "component", (along >= half * F.col("length")).alias("core"))
+    placed = inside.join(small(shapes, dims + 2), "component").select("id", "w", "u", "component", (along >= half * F.col("length")).alias("core"))
     placed = checkpoint(placed.withColumn("core", F.coalesce(F.col("core"), F.lit(False))))
     sizes = placed.groupBy("component").agg(F.sum(F.when(F.col("core"), F.col("w")).otherwise(0)).alias("core_w"), F.count(F.lit(1)).alias("n"), F.count_if(~F.col("core")).alias("rim"))
     sizes = checkpoint(sizes)
-    sure = placed.where("core").join(sizes, "component").select("id", (F.col("core_w") - F.col("w")).alias("others"))
+    sure = placed.where("core").join(small(sizes, 4), "component").select("id", (F.col("core_w") - F.col("w")).alias("others"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     block = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
-    parts = placed.join(sizes.where("rim > 0"), "component")
+    parts = placed.join(small(sizes.where("rim > 0"), 4), "component")
     rim = parts.where("NOT core").select("id", "w", "u", "core", "component", F.lit(True).alias("asks"), block("rim").alias("one"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("two"))
     every = parts.select("id", "w", "u", "core", "component", F.lit(False).alias("asks"), block("n").alias("two"), F.explode(F.sequence(F.lit(0), blocks("rim") - 1)).alias("one"))
 
