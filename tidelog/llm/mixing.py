@@ -227,8 +227,7 @@ def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_co
     Each row follows a plan of its own, also where ids repeat or are null; a
     document that the mix takes no word of has no row.
     """
-    found = _mixed(docs, id_col, text_col, source_col, carry=True, **options).select("_doc", "n_passes", "ranges")
-    found = found.where((F.col("n_passes") > 0) | (F.size("ranges") > 0))
+    found = _mixed(docs, id_col, text_col, source_col, carry=True, **options).where("taken > 0").select("_doc", "n_passes", "ranges")
     text = F.col("_doc")[text_col]
     words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
     found = found.withColumn("_words", F.when(F.size("ranges") > 0, words))

@@ -84,6 +84,29 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
+def descent(w: np.ndarray, positive: tuple, unlabelled: tuple, prior: float) -> np.ndarray:
+    """The slope that training follows down: that of the risk, or away from a negative part below zero.
+
+    The risk with logistic loss is prior * E_p[l(g)] + max(0, E_u[l(-g)] -
+    prior * E_p[l(-g)]). Each side is (number of texts, row, column, value)
+    of a sparse matrix; the last of w is the bias.
+    """
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+    def output(side):
+        n, rows, columns, values = side
+        return w[-1] + np.bincount(rows, weights=w[columns] * values, minlength=n)
+
+    def pull(slope, side):
+        n, rows, columns, values = side
+        return np.append(np.bincount(columns, weights=slope[rows] * values, minlength=len(w) - 1), slope.sum()) / n
+
+    g_p, g_u = output(positive), output(unlabelled)
+    negative = np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean()
+    slope = pull(sigmoid(g_u), unlabelled) - prior * pull(sigmoid(g_p), positive)
+    return -slope if negative < 0 else slope - prior * pull(sigmoid(-g_p), positive)
+
+
 def fit(keys: np.ndarray, positive: list[tuple], unlabelled: list[tuple], prior: float) -> Model:
     """Minimise the non-negative risk by Adam; without confirmed texts every score is 0.
 
@@ -94,27 +117,15 @@ def fit(keys: np.ndarray, positive: list[tuple], unlabelled: list[tuple], prior:
 
     def sparse(texts):
         rows = np.repeat(np.arange(len(texts)), [len(at) for at, _ in texts])
-        return rows, *(np.concatenate([t[i] for t in texts]) for i in (0, 1))
+        return len(texts), rows, *(np.concatenate([t[i] for t in texts]) for i in (0, 1))
 
-    p_rows, p_columns, p_values = sparse(positive)
-    u_rows, u_columns, u_values = sparse(unlabelled)
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    p, u = sparse(positive), sparse(unlabelled)
     w = np.zeros(len(keys) + 1)
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     first, second = np.zeros_like(w), np.zeros_like(w)
 
-    def pull(slope, rows, columns, values, n):
-        return np.append(np.bincount(columns, weights=slope[rows] * values, minlength=len(keys)), slope.sum()) / n
-
     for step in range(1, STEPS + 1):
-        g_p = w[-1] + np.bincount(p_rows, weights=w[p_columns] * p_values, minlength=len(positive))
-        g_u = w[-1] + np.bincount(u_rows, weights=w[u_columns] * u_values, minlength=len(unlabelled))
-        negative = np.logaddexp(0, g_u).mean() - prior * np.logaddexp(0, g_p).mean()
-        slope = pull(sigmoid(g_u), u_rows, u_columns, u_values, len(unlabelled)) - prior * pull(sigmoid(g_p), p_rows, p_columns, p_values, len(positive))
-        if negative < 0:
-            slope = -slope
-        else:
-            slope = slope - prior * pull(sigmoid(-g_p), p_rows, p_columns, p_values, len(positive))
+        slope = descent(w, p, u, prior)
         slope[:-1] += SHRINK * w[:-1]
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
@@ -136,7 +147,8 @@ def train(
     The fold leaves out ids whose crc32 as text is 1 modulo 3. Samples are
     those of lowest hash of the id, max_positive confirmed and max_unlabelled
     unlabelled texts at most, and the max_features that tell them apart best;
-    the prior is the toxic share of all the fold's labels. Of labels that
+    the prior is the toxic share of all the fold's labels, or of its texts
+    where only toxic ones are labelled. Of labels that
     repeat an id the highest counts; null labels and ids are left out. Rows
     that repeat an id are texts of their own.
     """
@@ -144,7 +156,11 @@ def train(
     marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic"))
     marks = marks.where((fold(F.col("doc_id"), 3) != 1) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = marks.agg(F.avg(F.col("toxic").cast("double")).alias("p")).first()["p"]
+    seen = marks.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p"), F.count(F.lit(1)).alias("n")).first()
+    share = seen["p"]
+    if share == 1.0:
+        # Only confirmed texts are marked, which tells nothing of the others but that these are among them.
+        share = min(1.0, seen["n"] / max(texts.count(), 1))
     by_hash = F.xxhash64(F.lit(29), "doc_id")
     chosen = marks.where("toxic = 1").orderBy(by_hash, "doc_id").limit(max_positive).select("doc_id")
     others = texts.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(by_hash, "doc_id").limit(max_unlabelled)
