@@ -179,3 +179,11 @@ def test_canonical_fills_missing_roles_and_casts_text_times(spark):
 def test_short_numbers():
     assert [short_number(x) for x in (12, 4560, 1234567)] == ["12", "4.6K", "1.2M"]
     assert math.isfinite(float(short_number(3)))
+
+
+def test_ratio_of_hours_is_one_division(spark):
+    hours = [9, 9, 10, 11, 12, 13, 15, 16] + [0, 1, 2, 3, 4, 5, 6, 7, 8, 17, 18, 19, 20, 21, 22, 23, 23]
+    g = log(spark, [{"ts": START + timedelta(hours=h)} for h in hours])
+    row = one(profile.time_of_day(g))
+    assert row["working_hours_ratio"] == 8 / 25
+    assert row["night_activity_ratio"] == 9 / 25
