@@ -1,3 +1,8 @@
 """tidelog: access-log analytics as Spark jobs."""
 
-__version__ = "0.1.0"
+from tidelog.grains import Grains
+from tidelog.plans.pipeline import location_profile, run
+from tidelog.schema import LogSchema, canonical, get_schema, override
+
+__version__ = "0.2.0"
+__all__ = ["Grains", "LogSchema", "canonical", "get_schema", "location_profile", "override", "run"]

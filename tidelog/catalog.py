@@ -539,7 +539,19 @@ def judged_flag(spark, sf) -> DataFrame:
 
 
 OTHERS = {
-    "sample_exact": Query(lambda s, d: readers.sample_exact(view_a(s, d), 500, ["event_id"]), LOC, "event_id"),
+    "sample_exact": Query(
+        lambda s, d: readers.sample_exact(view_a(s, d), 500, ["event_id"]), LOC, "event_id",
+        sql=qa() + "SELECT geo_location, event_id FROM log ORDER BY md5('42:' || event_id::VARCHAR), event_id LIMIT 500"),
+    "stat_geographic": Query(
+        lambda s, d: reporting.geographic(labelled(s, d), 3), "country", "locations downloads", "bot_percent",
+        qa(*LABEL_CTES) + "SELECT country, count(*) AS locations, sum(total_downloads) AS downloads, 100 * avg(is_bot::INT) AS bot_percent FROM labels GROUP BY 1 HAVING count(*) >= 3"),
+    "stat_yearly_by_label": Query(
+        lambda s, d: reporting.yearly_by_label(annotate.annotate(view_a(s, d), labelled(s, d))), "label", "yr downloads", "share",
+        qa(*LABEL_CTES) + """SELECT year(ts) AS yr, CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS label, count(*) AS downloads,
+          count(*) / sum(count(*)) OVER (PARTITION BY year(ts)) AS share FROM log LEFT JOIN labels USING (geo_location) GROUP BY 1, 2"""),
+    "stat_top_locations": Query(
+        lambda s, d: reporting.top_locations(labelled(s, d), "is_organic", 5), LOC, "total_downloads",
+        sql=qa(*LABEL_CTES) + "SELECT geo_location, total_downloads FROM labels WHERE is_organic ORDER BY total_downloads DESC, geo_location LIMIT 5"),
     "sample_per_location": Query(lambda s, d: ordered.sampled(a(s, d), 20), LOC, "event_id", sql=qa(q.sampled(20)) + "SELECT geo_location, event_id FROM sampled"),
     "ml_anomaly": Query(lambda s, d: models.add_anomaly(small_profile(s, d), ["unique_users", "downloads_per_user", "hourly_entropy", "working_hours_ratio"], trees=50), f"{LOC} is_anomaly", "", "anomaly_score"),
     "pipeline_rules": Query(lambda s, d: pipeline.classify_by_rules(pipeline.location_profile(view_a(s, d))), f"{LOC} behavior_type automation_category is_bot is_hub is_organic", "total_downloads", "user_entropy weekly_autocorr peer_similarity"),

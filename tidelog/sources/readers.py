@@ -34,7 +34,7 @@ def read_yaml(path: str) -> dict:
 
 def sample_exact(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
     """Exactly n rows (all where there are no more), those of lowest hash of their keys."""
-    spread = F.xxhash64(F.lit(seed), *keys)
+    spread = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     return df.orderBy(spread, *keys).limit(n)
 
 
