@@ -1,12 +1,15 @@
 """Near-duplicate vectors by counting collisions in windows of one-dimensional projections.
 
-Each vector, at length one, is projected on many seeded Gaussian
-directions, and each projection is cut into windows of equal width with a
-seeded offset. One projection alone leaves a fixed share of all pairs in a
-common window, so DEPTH of them are read together as one table; sorting a
-table brings the vectors of a window together. Pairs are counted over
-TABLES tables, and those that share at least as many windows as keeps the
-wanted recall are verified by their cosine.
+Each vector, at length one, is projected on TABLES seeded Gaussian
+directions. Along each of them a vector asks for those at most HALF away on
+either side: a window with the query at its centre. One projection alone
+leaves a fixed share of all pairs in a common window, so each is laid out in
+order within the cells of a grid of DEPTH further projections, drawn anew for
+each table. The order is cut at steps of one window's width: a vector stands
+in one step and its window reaches into two, so an equi-join on the steps and
+a comparison of the two places give exactly the pairs of a window. Common
+windows are counted per pair, and pairs that have at least as many as keeps
+the wanted recall are verified by their cosine.
 
 The links of a vector are counted within its component, without listing
 pairs. Members within half the threshold's angle of the component's mean
@@ -26,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import checkpoint, map_texts
-from tidelog.llm.links import link
+from tidelog.llm.links import components, divided, joined
 from tidelog.llm.minhash import _mixed
 
 LEAST = 0.98
 TABLES = 48
-DEPTH = 8
+DEPTH = 7
 WIDTH = 1.0
+HALF = 0.5
 RECALL = 0.9999
 BLOCK = 1024
 #: Rows, one a component, that are broadcast at most, by the numbers they hold; more are shuffled.
@@ -42,12 +46,12 @@ CLOSE = 1e-12
 SLACK = 1e-6
 
 
-def window_chance(least: float, width: float = WIDTH, depth: int = DEPTH) -> float:
-    """Chance that two vectors of that cosine share a table's window."""
+def window_chance(least: float, width: float = WIDTH, depth: int = DEPTH, half: float = HALF) -> float:
+    """Chance that of two vectors of that cosine one is in the other's window of a table."""
     spread = math.sqrt(2 - 2 * least)
     grid = (np.arange(4000) + 0.5) / 4000 * width
     density = 2 / (spread * math.sqrt(2 * math.pi)) * np.exp(-((grid / spread) ** 2) / 2)
-    return float(np.sum(density * (1 - grid / width)) * width / 4000) ** depth
+    return float(np.sum(density * (1 - grid / width)) * width / 4000) ** depth * math.erf(half / spread / math.sqrt(2))
 
 
 def least_count(least: float, tables: int = TABLES, recall: float = RECALL) -> int:
@@ -63,18 +67,90 @@ def least_count(least: float, tables: int = TABLES, recall: float = RECALL) -> i
 
 @lru_cache(maxsize=4)
 def directions(dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grids' projections, DEPTH a table, then the one that a table is ordered by; and an offset for each."""
     draw = np.random.default_rng(7_919 + dims)
-    return draw.standard_normal((dims, TABLES * DEPTH)), draw.random(TABLES * DEPTH) * WIDTH
+    n = TABLES * (DEPTH + 1)
+    return draw.standard_normal((dims, n)), draw.random(n)
 
 
-def windows(vector: list[float], label: int) -> np.ndarray:
-    """One key a table, of a hash of the label, the table and its windows."""
+def windows(vector: list[float], label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each table: keys of the two steps that the vector's window reaches into, whether it stands in the second, and its place.
+
+    The unit of places is a window's width, 2 * HALF. Keys hash the label,
+    the table, the cell of its grid and the step.
+    """
     axes, offsets = directions(len(vector))
-    cells = np.floor((np.array(vector) @ axes + offsets) / WIDTH).astype(np.int64).view(np.uint64).reshape(TABLES, DEPTH)
+    flat = np.array(vector) @ axes
+    n = TABLES * DEPTH
+    cells = np.floor(flat[:n] / WIDTH + offsets[:n]).astype(np.int64).view(np.uint64).reshape(TABLES, DEPTH)
+    place = flat[n:] / (2 * HALF) + offsets[n:]
+    low = np.floor(place - 0.5).astype(np.int64)
     out = _mixed(np.arange(TABLES, dtype=np.uint64) + np.uint64(label & 0xFFFFFFFFFFFFFFFF))
     for column in cells.T:
         out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + column)
-    return out.view(np.int64)
+    keys = [_mixed(out * np.uint64(0x9E3779B97F4A7C15) + step.view(np.uint64)).view(np.int64) for step in (low, low + 1)]
+    return keys[0], keys[1], place >= low + 1, place
+
+
+def in_window(x, y):
+    """Whether the places of two rows of one key are at most half a window's width apart."""
+    return F.abs(x["place"] - y["place"]) <= 0.5
+
+
+def star_windows(asks: DataFrame) -> DataFrame:
+    """pairs(a, b, t) of each row of asks with the two centres among those that stand in its step, if they are in its window.
+
+    The centres are the vector that most others could meet over all steps
+    and the one of lowest hash. Linked to one of them, most of a large group
+    comes together with as many pairs as it has members.
+    """
+    meets = asks.groupBy("id").agg(F.sum("n").alias("meets"))
+    one = F.struct("meets", F.xxhash64(F.lit(2), "id"), "id", "place")
+    two = F.struct(F.xxhash64(F.lit(1), "id"), "id", "place")
+    centres = asks.where("stands").join(meets, "id").groupBy("bucket").agg(F.max(one).alias("one"), F.min(two).alias("two"))
+    both = F.array(*[F.struct(F.col(c)["id"].alias("id"), F.col(c)["place"].alias("place")) for c in ("one", "two")])
+    centres = checkpoint(centres.select("bucket", F.array_distinct(both).alias("centres")))
+    met = asks.select("bucket", "t", F.struct("id", "place").alias("x")).join(centres, "bucket")
+    met = met.select("t", "x", F.explode("centres").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return met.where((x["id"] != y["id"]) & in_window(x, y)).select(F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"), "t")
+
+
+def windows_across(tagged: DataFrame) -> DataFrame:
+    """pairs(a, b, t) of rows of divided in one window and in different components, once for each such table.
+
+    The smaller id asks and the larger one stands. Of a step's largest
+    component, main, no two members meet.
+    """
+    asks = tagged.select("bucket", "t", (F.col("c") == F.col("main")).alias("in_main"), F.struct("id", "c", "place").alias("x"))
+    stands = tagged.where("stands").select("bucket", (F.col("c") == F.col("main")).alias("of_main"), F.struct("id", "c", "place").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    wanted = (x["c"] != y["c"]) & (x["id"] < y["id"]) & in_window(x, y)
+    met = [asks.where("NOT in_main").join(stands, "bucket"), asks.where("in_main").join(stands.where("NOT of_main"), "bucket")]
+    return met[0].where(wanted).unionByName(met[1].where(wanted)).select(x["id"].alias("a"), y["id"].alias("b"), "t")
+
+
+def counted(pairs: DataFrame, least: int) -> DataFrame:
+    """Those of pairs(a, b, t) that have so many different t, of 0 to 62, once each."""
+    tables = F.bit_count(F.bit_or(F.expr("shiftleft(1L, t)")))
+    return checkpoint(pairs.groupBy("a", "b").agg(tables.alias("n")).where(F.col("n") >= least).select("a", "b"))
+
+
+def link(keys: DataFrame, verify, least: int) -> DataFrame:
+    """(id, component) of vectors that verified links join; keys has id and what windows gives.
+
+    verify(pairs) returns the linked ones of pairs(a, b), which share at
+    least so many windows. After each vector has met the centres of its
+    steps, all pairs of a window whose ends are still in different components
+    are counted, so that no pair with enough common windows is left out.
+    """
+    rows = keys.select("id", F.posexplode(F.arrays_zip("low", "high", "up", "place")).alias("t", "z"))
+    steps = F.array(F.struct(F.col("z.low").alias("bucket"), (~F.col("z.up")).alias("stands")), F.struct(F.col("z.high").alias("bucket"), F.col("z.up").alias("stands")))
+    rows = rows.select("id", "t", F.col("z.place").alias("place"), F.explode(steps).alias("s")).select("s.bucket", "s.stands", "id", "t", "place")
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bool_or("stands").alias("met")).where("n > 1 AND met").select("bucket", "n")
+    asks = checkpoint(rows.join(sizes, "bucket"))
+    found = checkpoint(components(checkpoint(verify(counted(star_windows(asks), least)))))
+    return joined(found, checkpoint(verify(counted(windows_across(divided(asks.drop("n"), found)), least))))
 
 
 def linked(left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
@@ -153,10 +229,17 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col="vec_id", vect
     nodes = checkpoint(classes.dropDuplicates(["id"]))
 
     def work(id, kind, u):
-        return {"id": id, "bucket": [windows(x, y) for x, y in zip(u, kind, strict=True)]}
+        low, high, up, place = zip(*(windows(x, y) for x, y in zip(u, kind, strict=True)), strict=True)
+        return {"id": id, "low": list(low), "high": list(high), "up": list(up), "place": list(place)}
 
-    keys = map_texts(nodes.withColumn("kind", F.xxhash64("label")), ["id", "kind", "u"], work, {"id": ("long", pa.int64()), "bucket": ("array<long>", pa.list_(pa.int64()))})
-    members = keys.select("id", F.explode("bucket").alias("bucket"))
+    schema = {
+        "id": ("long", pa.int64()),
+        "low": ("array<long>", pa.list_(pa.int64())),
+        "high": ("array<long>", pa.list_(pa.int64())),
+        "up": ("array<boolean>", pa.list_(pa.bool_())),
+        "place": ("array<double>", pa.list_(pa.float64())),
+    }
+    keys = checkpoint(map_texts(nodes.withColumn("kind", F.xxhash64("label")), ["id", "kind", "u"], work, schema))
 
     def verify(pairs):
         left = nodes.select(F.col("id").alias("a"), F.col("u").alias("ua"), F.col("label").alias("la"))
@@ -165,7 +248,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, id_col="vec_id", vect
         cosine = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         return both.where(cosine >= least).select("a", "b")
 
-    found = checkpoint(link(members, verify, least_count(least)))
+    found = checkpoint(link(keys, verify, least_count(least)))
     counts = link_weights(checkpoint(found.join(nodes.select("id", "w", "u"), "id")), least)
     facts = classes.select("id", "label", "v", "w").join(counts, "id", "left").join(found, "id", "left")
     facts = facts.select("label", "v", (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c"))

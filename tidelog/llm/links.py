@@ -114,17 +114,3 @@ def across(tagged: DataFrame, condition) -> DataFrame:
 def counted(pairs: DataFrame, least: int = 1) -> DataFrame:
     """Those of pairs(a, b) that occur so often, once each."""
     return checkpoint(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("a", "b"))
-
-
-def link(members: DataFrame, verify, least: int = 1) -> DataFrame:
-    """(id, component) of ids that verified links join; members has bucket and id.
-
-    verify(pairs) returns the linked ones of pairs(a, b), which share at
-    least so many buckets. After each member has met the centres of its
-    buckets, all pairs of a bucket whose ends are still in different
-    components are tried, so that no pair that shares a bucket is left out.
-    """
-    live = in_company(members)
-    found = checkpoint(components(checkpoint(verify(counted(star_pairs(live), least)))))
-    tagged = divided(live.select("bucket", "id"), found)
-    return joined(found, checkpoint(verify(counted(across(tagged, lambda x, y: F.lit(True)), least))))
