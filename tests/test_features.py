@@ -36,6 +36,34 @@ def test_session_gap_edges(spark):
     assert rows[1]["before"] == 1801
 
 
+def test_sessions_and_file_order_match_a_plain_walk_over_days(spark):
+    draw = np.random.default_rng(5)
+    at = np.sort(draw.choice(draw.integers(0, 6 * 86400, 90), 160))
+    at = np.concatenate([at, [86400 - 600, 86400 + 600, 3 * 86400 - 1, 3 * 86400]])
+    names = [f"f{draw.integers(0, 30):02d}.raw" if draw.random() > 0.1 else "plain.raw" for _ in at]
+    g = log(spark, [{"ts": START + timedelta(seconds=int(t)), "file": n} for t, n in zip(at, names, strict=True)])
+    order = sorted(range(len(at)), key=lambda i: (at[i], i))
+    want = []
+    for i in order:
+        if not want or at[i] - want[-1]["to"] > 1800:
+            want.append({"from": at[i], "before": at[i] - want[-1]["to"] if want else None, "n": 0, "hours": set()})
+        want[-1]["to"] = at[i]
+        want[-1]["n"] += 1
+        want[-1]["hours"].add(int(at[i] // 3600 % 24))
+    got = ordered.sessions(g).orderBy("session").collect()
+    assert [(r["n"], r["duration"], r["before"], r["hour"]) for r in got] == [(w["n"], w["to"] - w["from"], w["before"], min(w["hours"])) for w in want]
+    rank = {n: i + 1 for i, n in enumerate(sorted(set(names)))}
+    places = np.array([rank[names[i]] for i in order], dtype=float)
+    walk = np.arange(1, len(order) + 1)
+    cov = (walk * places).mean() - walk.mean() * places.mean()
+    numbers = [int(names[i][1:3]) if names[i][0] == "f" else None for i in order]
+    pairs = [(a, b) for a, b in zip(numbers, numbers[1:]) if a is not None]
+    steps = [b is not None and abs(a - b) == 1 for a, b in pairs]
+    row = one(ordered.access_pattern(g))
+    assert row["alphabetical_access_score"] == pytest.approx(cov / (walk.std(ddof=1) * places.std(ddof=1)))
+    assert row["sequential_file_ratio"] == pytest.approx(np.mean(steps))
+
+
 def test_single_event_takes_defaults(spark):
     g = log(spark, [{}])
     assert one(ordered.session_behavior(g))["session_duration_cv"] == 1.0

@@ -116,6 +116,11 @@ JUDGED = """judged AS (SELECT geo_location, CASE WHEN working_hours_ratio < 0.32
   CASE WHEN unique_users >= 2 THEN 'hub' ELSE 'organic' END AS third, total_downloads FROM labels)"""
 
 
+METRICS = """c AS (SELECT l AS label, count(*) FILTER (truth = l AND predicted = l) AS tp, count(*) FILTER (truth <> l AND predicted = l) AS fp, count(*) FILTER (truth = l AND predicted <> l) AS fn, count(*) FILTER (truth = l) AS support
+          FROM judged, (SELECT unnest(['bot', 'hub', 'organic']) AS l) GROUP BY 1), m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS "precision", coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM c),
+metrics AS (SELECT *, coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0) AS f1 FROM m)"""
+
+
 def seeded(spark, sf) -> DataFrame:
     g = a(spark, sf)
     out = profile.basic(g)
@@ -155,6 +160,12 @@ om AS (SELECT geo_location, count(*) FILTER (abs(z) > 2) AS outburst_count, coal
 ol AS (SELECT geo_location, max(k) AS longest_outburst_streak FROM (SELECT geo_location, run, count(*) AS k FROM orun WHERE z > 2 GROUP BY 1, 2) GROUP BY 1)"""
 
 MONTHS = "mths AS (SELECT geo_location, date_trunc('month', ts) AS m, count(*) AS n, count(DISTINCT usr) AS users FROM log GROUP BY 1, 2)"
+SERIES = """r AS (SELECT *, row_number() OVER (PARTITION BY geo_location ORDER BY m DESC) AS back FROM mths), t AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY geo_location) AS k, coalesce(n / nullif(users, 0), 0) AS dpu FROM r WHERE back <= 12 WINDOW w AS (PARTITION BY geo_location ORDER BY m)),
+          v AS (SELECT *, least(k, 3) AS span, lag(n, 2) OVER w AS y2, lag(n) OVER w AS y1, lag(users) OVER w AS u1, lag(dpu) OVER w AS d1, min(n) OVER f AS lo, max(n) OVER f AS hi, stddev_samp(n) OVER f AS sd, median(n) OVER f AS med, avg(n) OVER f AS mean, stddev_pop(n) OVER f AS sp
+            FROM t WINDOW w AS (PARTITION BY geo_location ORDER BY place), f AS (PARTITION BY geo_location ORDER BY place ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
+  series AS (SELECT geo_location, place, n AS downloads_in_window, users AS unique_users_in_window, dpu AS downloads_per_user_in_window, coalesce(n / y1 - 1, 0) AS dl_rate_change, coalesce(users / nullif(u1, 0) - 1, 0) AS users_rate_change,
+          coalesce(dpu / nullif(d1, 0) - 1, 0) AS dl_per_user_rate_change, lo AS dl_rolling_min, hi AS dl_rolling_max, coalesce(sd, 0) AS dl_rolling_std, med AS dl_rolling_median,
+          coalesce(CASE WHEN place >= span AND span > 1 THEN (n - CASE WHEN span = 3 THEN y2 ELSE y1 END) / (span - 1) END, 0) AS trend_slope, CASE WHEN place >= span AND mean > 0 THEN sp / mean ELSE 0 END AS volatility_cv FROM v)"""
 COUNTS = "counts AS (SELECT accession, count(*) AS downloads FROM log WHERE accession IS NOT NULL GROUP BY 1)"
 COUNTRY_ROWS = "country, count(*) AS downloads, count(DISTINCT usr) AS users, count(DISTINCT accession) AS datasets FROM log WHERE country <> '' AND country NOT LIKE '%\\%{%' ESCAPE '\\'"
 NATIONS = ["CHINA", "FRANCE", "GERMANY", "JAPAN", "NATION_1", "NATION_2"]
@@ -176,6 +187,21 @@ def citations(spark, sf):
     return rows.select("accession", (F.substring("accession", 3, 6).cast("long") % 9).alias("citations"))
 
 
+def unrolled(sequences: DataFrame) -> DataFrame:
+    """A row for each slot of the sequences, with its values by name."""
+    rows = sequences.select(LOC, F.posexplode("time_series_features").alias("slot", "v"))
+    return rows.select(LOC, (F.col("slot") + 1).alias("slot"), *[F.col("v")[i].alias(c) for i, c in enumerate(ordered.SEQUENCE)])
+
+
+def resampled(spark, sf) -> DataFrame:
+    """Macro F1 of two labellings by the clock with its bootstrap interval, from the nine cells of a confusion table."""
+    truth = F.when(F.col("working_hours_ratio") < 0.32, "bot").otherwise("organic").alias("truth")
+    other = F.when(F.col("night_activity_ratio") > 0.35, "bot").otherwise("organic").alias("predicted")
+    cells = evaluate.confusion(small_profile(spark, sf).select(truth, other)).collect()
+    found = evaluate.bootstrap_f1({(r["truth"], r["predicted"]): r["n"] for r in cells})
+    return spark.createDataFrame([found], "f1 double, low double, high double")
+
+
 FEATURES = {
     "feat_basic_location": Query(
         lambda s, d: profile.basic(a(s, d)), f"{LOC} country city", "unique_users total_downloads active_hours years_active first_year last_year unique_projects", "downloads_per_user",
@@ -259,7 +285,17 @@ FEATURES = {
         lambda s, d: ordered.weekly_autocorrelation(a(s, d)), LOC, "", "weekly_autocorr",
         qa(q.DAYS, "z AS (SELECT *, (n - avg(n) OVER w) / nullif(stddev_pop(n) OVER w, 0) AS z FROM days WINDOW w AS (PARTITION BY geo_location)), x AS (SELECT *, lead(z, 7) OVER (PARTITION BY geo_location ORDER BY d) AS nx FROM z)")
         + "SELECT geo_location, coalesce(CASE WHEN count(*) >= 14 AND stddev_pop(n) > 0 THEN sum(z * nx) / (count(*) - 7) ELSE 0 END, 0) AS weekly_autocorr FROM x GROUP BY 1"),
-    "feat_periodicity": Query(lambda s, d: ordered.periodicity(a(s, d)), LOC, "", "weekly_autocorr dominant_period_days periodicity_strength period_regularity"),
+    "feat_periodicity": Query(
+        lambda s, d: ordered.periodicity(a(s, d)), LOC, "", "weekly_autocorr dominant_period_days periodicity_strength period_regularity",
+        qa(q.DAYS, """z AS (SELECT geo_location, d, (n - avg(n) OVER w) / nullif(stddev_pop(n) OVER w, 0) AS z, row_number() OVER (PARTITION BY geo_location ORDER BY d) - 1 AS t, count(*) OVER w AS k FROM days WINDOW w AS (PARTITION BY geo_location)),
+          x AS (SELECT *, lead(z, 7) OVER (PARTITION BY geo_location ORDER BY t) AS nx FROM z),
+          au AS (SELECT geo_location, coalesce(CASE WHEN count(*) >= 14 THEN sum(z * nx) / (count(*) - 7) ELSE 0 END, 0) AS weekly_autocorr FROM x GROUP BY 1),
+          fr AS (SELECT *, unnest(range(2, k // 2 + 1)) AS f FROM z WHERE k >= 14 AND z IS NOT NULL),
+          pw AS (SELECT geo_location, k, f, sum(z * cos(2 * pi() * f * t / k)) ** 2 + sum(z * sin(2 * pi() * f * t / k)) ** 2 AS power FROM fr GROUP BY 1, 2, 3),
+          pr AS (SELECT *, row_number() OVER (PARTITION BY geo_location ORDER BY power DESC, f) AS place FROM pw),
+          sp AS (SELECT geo_location, max(k / f) FILTER (place = 1) AS period, least(max(power) / sum(power), 1) AS strength,
+            least(max(power) / nullif(avg(power) FILTER (place BETWEEN 2 AND 4), 0), 10) AS regular FROM pr GROUP BY 1 HAVING sum(power) > 0)""")
+        + "SELECT geo_location, weekly_autocorr, coalesce(period, 0) AS dominant_period_days, coalesce(strength, 0) AS periodicity_strength, coalesce(regular, 0) AS period_regularity FROM au LEFT JOIN sp USING (geo_location)"),
     "feat_trend": Query(
         lambda s, d: profile.trend(b(s, d)), LOC, "", "trend_slope trend_strength trend_acceleration detrended_volatility trend_direction",
         qb(q.WEEKS, """x AS (SELECT geo_location, n::DOUBLE AS y, (row_number() OVER (PARTITION BY geo_location ORDER BY w) - 1 - (count(*) OVER (PARTITION BY geo_location) - 1) / 2)::DOUBLE AS x FROM weeks),
@@ -277,14 +313,11 @@ FEATURES = {
           CASE WHEN k >= 5 THEN least(100, p99 / (mid + 1e-10)) ELSE 1 END AS tail_heaviness_ratio, 0 AS zero_day_ratio FROM m"""),
     "feat_window_series": Query(
         lambda s, d: ordered.window_series(b(s, d)), LOC, "place", " ".join(ordered.SEQUENCE),
-        qb(MONTHS, """r AS (SELECT *, row_number() OVER (PARTITION BY geo_location ORDER BY m DESC) AS back FROM mths), t AS (SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY geo_location) AS k, coalesce(n / nullif(users, 0), 0) AS dpu FROM r WHERE back <= 12 WINDOW w AS (PARTITION BY geo_location ORDER BY m)),
-          v AS (SELECT *, least(k, 3) AS span, lag(n, 2) OVER w AS y2, lag(n) OVER w AS y1, lag(users) OVER w AS u1, lag(dpu) OVER w AS d1, min(n) OVER f AS lo, max(n) OVER f AS hi, stddev_samp(n) OVER f AS sd, median(n) OVER f AS med, avg(n) OVER f AS mean, stddev_pop(n) OVER f AS sp
-            FROM t WINDOW w AS (PARTITION BY geo_location ORDER BY place), f AS (PARTITION BY geo_location ORDER BY place ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))""")
-        + """SELECT geo_location, place, n AS downloads_in_window, users AS unique_users_in_window, dpu AS downloads_per_user_in_window, coalesce(n / y1 - 1, 0) AS dl_rate_change, coalesce(users / nullif(u1, 0) - 1, 0) AS users_rate_change,
-          coalesce(dpu / nullif(d1, 0) - 1, 0) AS dl_per_user_rate_change, lo AS dl_rolling_min, hi AS dl_rolling_max, coalesce(sd, 0) AS dl_rolling_std, med AS dl_rolling_median,
-          coalesce(CASE WHEN place >= span AND span > 1 THEN (n - CASE WHEN span = 3 THEN y2 ELSE y1 END) / (span - 1) END, 0) AS trend_slope, CASE WHEN place >= span AND mean > 0 THEN sp / mean ELSE 0 END AS volatility_cv FROM v"""),
+        qb(MONTHS, SERIES) + "SELECT * FROM series"),
     "feat_window_sequence": Query(
-        lambda s, d: ordered.window_sequence(b(s, d)).select(LOC, F.size("time_series_features").alias("windows"), F.aggregate(F.flatten("time_series_features"), F.lit(0.0), lambda x, y: x + y).alias("total")), LOC, "windows", "total"),
+        lambda s, d: unrolled(ordered.window_sequence(b(s, d))), LOC, "slot", " ".join(ordered.SEQUENCE),
+        qb(MONTHS, SERIES, "slots AS (SELECT geo_location, k, unnest(range(1, 13)) AS slot FROM (SELECT geo_location, count(*) AS k FROM series GROUP BY 1))")
+        + f"SELECT s.geo_location, s.slot, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ordered.SEQUENCE)} FROM slots s LEFT JOIN series x ON x.geo_location = s.geo_location AND x.place + 12 - s.k = s.slot"),
     "feat_burst": Query(
         lambda s, d: profile.burst(a(s, d)), LOC, "", "burst_pattern_score hourly_cv_burst spike_intensity",
         qa(q.HOURS, "m AS (SELECT geo_location, avg(n) AS mean, stddev_samp(n) AS sd, max(n) AS top, count(*) AS k FROM hours GROUP BY 1)")
@@ -480,9 +513,15 @@ EVALUATION = {
     "eval_confusion": Query(lambda s, d: evaluate.confusion(judged(s, d)), "truth predicted", "n", sql=qa(*LABEL_CTES, JUDGED) + "SELECT truth, predicted, count(*) AS n FROM judged GROUP BY 1, 2"),
     "eval_class_metrics": Query(
         lambda s, d: evaluate.class_metrics(judged(s, d)), "label", "tp fp fn support", "precision recall f1",
-        qa(*LABEL_CTES, JUDGED, """c AS (SELECT l AS label, count(*) FILTER (truth = l AND predicted = l) AS tp, count(*) FILTER (truth <> l AND predicted = l) AS fp, count(*) FILTER (truth = l AND predicted <> l) AS fn, count(*) FILTER (truth = l) AS support
-          FROM judged, (SELECT unnest(['bot', 'hub', 'organic']) AS l) GROUP BY 1), m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS "precision", coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM c)""")
-        + 'SELECT *, coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0) AS f1 FROM m'),
+        qa(*LABEL_CTES, JUDGED, METRICS) + "SELECT * FROM metrics"),
+    "eval_macro": Query(
+        lambda s, d: evaluate.macro(evaluate.class_metrics(judged(s, d))), "", "", "macro_precision macro_recall macro_f1",
+        qa(*LABEL_CTES, JUDGED, METRICS) + 'SELECT avg("precision") AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM metrics'),
+    "eval_bootstrap_f1": Query(resampled, "", "", "f1 low high"),
+    "eval_quantiles_by_label": Query(
+        lambda s, d: evaluate.confidence_quantiles(labelled(s, d), "working_hours_ratio"), "label", "", "mean q25 q50 q75",
+        qa(*LABEL_CTES) + """SELECT CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS label, avg(working_hours_ratio) AS mean, quantile_cont(working_hours_ratio, 0.25) AS q25,
+          median(working_hours_ratio) AS q50, quantile_cont(working_hours_ratio, 0.75) AS q75 FROM labels GROUP BY 1"""),
     "eval_kappa": Query(
         lambda s, d: evaluate.agreement(judged(s, d)), "", "items", "agreement kappa jaccard_bot jaccard_hub jaccard_organic",
         qa(*LABEL_CTES, JUDGED, """p AS (SELECT count(*) AS items, avg((truth = predicted)::INT) AS agreement, avg((truth = 'bot')::INT) * avg((predicted = 'bot')::INT) + avg((truth = 'hub')::INT) * avg((predicted = 'hub')::INT) + avg((truth = 'organic')::INT) * avg((predicted = 'organic')::INT) AS c,
@@ -553,7 +592,7 @@ OTHERS = {
         lambda s, d: reporting.top_locations(labelled(s, d), "is_organic", 5), LOC, "total_downloads",
         sql=qa(*LABEL_CTES) + "SELECT geo_location, total_downloads FROM labels WHERE is_organic ORDER BY total_downloads DESC, geo_location LIMIT 5"),
     "sample_per_location": Query(lambda s, d: ordered.sampled(a(s, d), 20), LOC, "event_id", sql=qa(q.sampled(20)) + "SELECT geo_location, event_id FROM sampled"),
-    "ml_anomaly": Query(lambda s, d: models.add_anomaly(small_profile(s, d), ["unique_users", "downloads_per_user", "hourly_entropy", "working_hours_ratio"], trees=50), f"{LOC} is_anomaly", "", "anomaly_score"),
+    "ml_anomaly": Query(lambda s, d: models.add_anomaly(small_profile(s, d), ["unique_users", "downloads_per_user", "hourly_entropy", "working_hours_ratio"]), f"{LOC} is_anomaly", "", "anomaly_score"),
     "pipeline_rules": Query(lambda s, d: pipeline.classify_by_rules(pipeline.location_profile(view_a(s, d))), f"{LOC} behavior_type automation_category is_bot is_hub is_organic", "total_downloads", "user_entropy weekly_autocorr peer_similarity"),
 }
 

@@ -126,28 +126,32 @@ def _scored(df: DataFrame, columns: list[str], score, out: str) -> DataFrame:
 
 
 def add_anomaly(df: DataFrame, columns: list[str], contamination: float = 0.15, trees: int = 200, sample: int = 50_000, seed: int = 42) -> DataFrame:
-    """anomaly_score, above 0 for the most isolated part of locations, and is_anomaly."""
+    """anomaly_score, above 0 for the most isolated part of all locations, and is_anomaly.
+
+    The forest fits on a sample; the cut-off is a quantile over every location.
+    """
     x, _ = matrix(df, columns, sample, seed)
     if not len(x):
         return df.withColumn("anomaly_score", F.lit(0.0)).withColumn("is_anomaly", F.lit(False))
     forest = IsolationForest.fit(x, trees, seed=seed)
-    offset = float(np.quantile(forest.score(x), 1 - contamination))
-    out = _scored(df, columns, forest.score, "_s")
-    out = out.withColumn("anomaly_score", F.coalesce(F.col("_s") - offset, F.lit(0.0))).drop("_s")
+    scored = _scored(df, columns, forest.score, "_s")
+    cut = scored.agg(F.percentile("_s", F.lit(1 - contamination)).alias("_cut"))
+    out = scored.crossJoin(F.broadcast(cut))
+    out = out.withColumn("anomaly_score", F.coalesce(F.col("_s") - F.col("_cut"), F.lit(0.0))).drop("_s", "_cut")
     return out.withColumn("is_anomaly", F.col("anomaly_score") > 0)
 
 
 def add_isolation(df: DataFrame, columns: list[str], trees: int = 200, sample: int = 50_000, seed: int = 7, out: str = "dif_score") -> DataFrame:
-    """Isolation scores brought to 0..1 over the sample."""
+    """Isolation scores brought to 0..1 over all locations; the forest fits on a sample."""
     x, _ = matrix(df, columns, sample, seed)
     if not len(x):
         return df.withColumn(out, F.lit(0.0))
     forest = IsolationForest.fit(x, trees, seed=seed)
-    s = forest.score(x)
-    low, high = float(s.min()), float(s.max())
     scored = _scored(df, columns, forest.score, "_s")
-    value = F.least(F.greatest((F.col("_s") - low) / max(high - low, 1e-12), F.lit(0.0)), F.lit(1.0))
-    return scored.withColumn(out, F.coalesce(value, F.lit(0.0))).drop("_s")
+    ends = scored.agg(F.min("_s").alias("_low"), F.max("_s").alias("_high"))
+    value = (F.col("_s") - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-12))
+    scored = scored.crossJoin(F.broadcast(ends))
+    return scored.withColumn(out, F.coalesce(value, F.lit(0.0))).drop("_s", "_low", "_high")
 
 
 class Autoencoder:

@@ -57,14 +57,28 @@ def timing_precision(g: Grains, most: int = 100) -> DataFrame:
 
 
 def sessions(g: Grains, gap: int = SESSION_GAP) -> DataFrame:
-    """One row per session: a gap of more than so many seconds starts a new one."""
-    rows = g.events.select(LOC, "ts", "event_id").withColumn("_gap", seconds_between(F.lag("ts").over(_by_time()), F.col("ts")))
+    """One row per session: a gap of more than so many seconds starts a new one.
+
+    Events are cut into parts of sessions a day at a time, so that a location's
+    log is dealt over many tasks; parts that midnight divides are then put
+    together. A day has at most one part more than gaps that fit into it, so
+    the second step sees few rows whatever the size of the log.
+    """
+    by_day = Window.partitionBy(LOC, "day").orderBy("ts")
+    rows = g.events.select(LOC, "ts", F.to_date("ts").alias("day"))
+    rows = rows.withColumn("_gap", seconds_between(F.lag("ts").over(by_day), F.col("ts")))
+    rows = rows.withColumn("_part", F.sum(F.when(F.col("_gap") > gap, 1).otherwise(0)).over(by_day))
+    parts = rows.groupBy(LOC, "day", "_part").agg(
+        F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.min(F.hour("ts")).alias("hour"), F.count(F.lit(1)).alias("n")
+    )
+    by_time = Window.partitionBy(LOC).orderBy("_from")
+    parts = parts.withColumn("_gap", seconds_between(F.lag("_to").over(by_time), F.col("_from")))
     starts = F.when(F.col("_gap").isNull() | (F.col("_gap") > gap), 1).otherwise(0)
-    rows = rows.withColumn("session", F.sum(starts).over(Window.partitionBy(LOC).orderBy("ts")))
-    return rows.groupBy(LOC, "session").agg(
-        F.min(F.hour("ts")).alias("hour"),
-        F.count(F.lit(1)).alias("n"),
-        seconds_between(F.min("ts"), F.max("ts")).alias("duration"),
+    parts = parts.withColumn("session", F.sum(starts).over(by_time))
+    return parts.groupBy(LOC, "session").agg(
+        F.min("hour").alias("hour"),
+        F.sum("n").alias("n"),
+        seconds_between(F.min("_from"), F.max("_to")).alias("duration"),
         F.max(F.when(F.col("_gap") > gap, F.col("_gap"))).alias("before"),
     )
 
@@ -95,12 +109,27 @@ def access_pattern(g: Grains) -> DataFrame:
     unique_file_ratio counts files over files, so it is 1 and
     directory_traversal_score equals alphabetical_access_score.
     """
-    by_name = Window.partitionBy(LOC).orderBy("filename")
-    rows = g.events.where("filename IS NOT NULL").select(LOC, "filename", "ts", "event_id")
-    rows = rows.withColumn("at", F.row_number().over(_by_time())).withColumn("place", F.dense_rank().over(by_name))
-    rows = rows.withColumn("digits", F.regexp_extract("filename", "([0-9]+)", 1))
-    rows = rows.withColumn("number", F.col("digits").try_cast("int"))
-    rows = rows.withColumn("next", F.lead("number").over(_by_time())).withColumn("last", F.lead("at").over(_by_time()).isNull())
+    digits = F.regexp_extract("filename", "([0-9]+)", 1)
+    # Names are ranked once a file; events are ordered a day at a time and moved by the count of earlier days.
+    names = g.files.select(LOC, "filename", F.dense_rank().over(Window.partitionBy(LOC).orderBy("filename")).alias("place"))
+    rows = g.events.where("filename IS NOT NULL").select(LOC, "filename", "ts", "event_id", F.to_date("ts").alias("day"))
+    rows = rows.withColumn("digits", digits).withColumn("number", F.col("digits").try_cast("int"))
+    days = rows.groupBy(LOC, "day").agg(
+        F.count(F.lit(1)).alias("_k"), F.min(F.struct("ts", "event_id", "number")).alias("_first")
+    )
+    by_day = Window.partitionBy(LOC).orderBy("day")
+    days = days.select(
+        LOC,
+        "day",
+        F.coalesce(F.sum("_k").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.lead("_first").over(by_day).alias("_after"),
+    )
+    rows = rows.join(names, [LOC, "filename"]).join(days, [LOC, "day"])
+    in_day = Window.partitionBy(LOC, "day").orderBy("ts", "event_id")
+    rows = rows.withColumn("at", F.col("_before") + F.row_number().over(in_day))
+    rows = rows.withColumn("_end", F.lead("at").over(in_day).isNull())
+    rows = rows.withColumn("next", F.when(F.col("_end"), F.col("_after.number")).otherwise(F.lead("number").over(in_day)))
+    rows = rows.withColumn("last", F.col("_end") & F.col("_after").isNull())
     step = F.abs(F.col("next").cast("long") - F.col("number").cast("long")) == 1
     paired = (F.col("digits") != "") & ~F.col("last")
     sds = F.stddev_samp("at") * F.stddev_samp("place")
