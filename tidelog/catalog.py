@@ -577,6 +577,19 @@ def judged_flag(spark, sf) -> DataFrame:
     return small_profile(spark, sf).withColumn("is_bot", F.col("unique_users") >= 2)
 
 
+def deeply_labelled(spark, sf) -> DataFrame:
+    """The learned labels of view A's locations, at the production sizes of every model."""
+    g = a(spark, sf).keep()
+    out = profile.basic(g)
+    parts = (
+        profile.hourly_density(g, out), profile.time_of_day(g), profile.protocol(g), profile.burst(g), profile.coordination(g), profile.yearly(g),
+        profile.recency(g), profile.user_distribution(g), ordered.session_behavior(g),
+    )
+    for part in parts:
+        out = out.join(part, LOC)
+    return pipeline.classify_deep(out.persist(), g.bucket("month"))
+
+
 OTHERS = {
     "sample_exact": Query(
         lambda s, d: readers.sample_exact(view_a(s, d), 500, ["event_id"]), LOC, "event_id",
@@ -593,6 +606,7 @@ OTHERS = {
         sql=qa(*LABEL_CTES) + "SELECT geo_location, total_downloads FROM labels WHERE is_organic ORDER BY total_downloads DESC, geo_location LIMIT 5"),
     "sample_per_location": Query(lambda s, d: ordered.sampled(a(s, d), 20), LOC, "event_id", sql=qa(q.sampled(20)) + "SELECT geo_location, event_id FROM sampled"),
     "ml_anomaly": Query(lambda s, d: models.add_anomaly(small_profile(s, d), ["unique_users", "downloads_per_user", "hourly_entropy", "working_hours_ratio"]), f"{LOC} is_anomaly", "", "anomaly_score"),
+    "ml_deep": Query(deeply_labelled, f"{LOC} behavior_type is_bot is_hub is_organic", "total_downloads", "vae_score dif_score temporal_anomaly_score prob_organic prob_bot prob_hub classification_confidence"),
     "pipeline_rules": Query(lambda s, d: pipeline.classify_by_rules(pipeline.location_profile(view_a(s, d))), f"{LOC} behavior_type automation_category is_bot is_hub is_organic", "total_downloads", "user_entropy weekly_autocorr peer_similarity"),
 }
 

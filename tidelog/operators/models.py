@@ -135,9 +135,8 @@ def add_anomaly(df: DataFrame, columns: list[str], contamination: float = 0.15,
         return df.withColumn("anomaly_score", F.lit(0.0)).withColumn("is_anomaly", F.lit(False))
     forest = IsolationForest.fit(x, trees, seed=seed)
     scored = _scored(df, columns, forest.score, "_s")
-    cut = scored.agg(F.percentile("_s", F.lit(1 - contamination)).alias("_cut"))
-    out = scored.crossJoin(F.broadcast(cut))
-    out = out.withColumn("anomaly_score", F.coalesce(F.col("_s") - F.col("_cut"), F.lit(0.0))).drop("_s", "_cut")
+    offset = scored.agg(F.percentile("_s", F.lit(1 - contamination)).alias("cut")).first()["cut"]
+    out = scored.withColumn("anomaly_score", F.coalesce(F.col("_s") - offset, F.lit(0.0))).drop("_s")
     return out.withColumn("is_anomaly", F.col("anomaly_score") > 0)
 
 
@@ -148,10 +147,9 @@ def add_isolation(df: DataFrame, columns: list[str], trees: int = 200, sample: i
         return df.withColumn(out, F.lit(0.0))
     forest = IsolationForest.fit(x, trees, seed=seed)
     scored = _scored(df, columns, forest.score, "_s")
-    ends = scored.agg(F.min("_s").alias("_low"), F.max("_s").alias("_high"))
-    value = (F.col("_s") - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-12))
-    scored = scored.crossJoin(F.broadcast(ends))
-    return scored.withColumn(out, F.coalesce(value, F.lit(0.0))).drop("_s", "_low", "_high")
+    ends = scored.agg(F.min("_s").alias("low"), F.max("_s").alias("high")).first()
+    value = (F.col("_s") - ends["low"]) / max(ends["high"] - ends["low"], 1e-12)
+    return scored.withColumn(out, F.coalesce(value, F.lit(0.0))).drop("_s")
 
 
 class Autoencoder:
