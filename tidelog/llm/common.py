@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,15 @@ def map_texts(df: DataFrame, columns: list[str], work, schema: dict[str, tuple[s
                 yield pa.RecordBatch.from_pydict(work(*(c.to_pylist() for c in part.columns)), schema=out)
 
     return df.select(*columns).mapInArrow(run, ", ".join(f"{name} {kind}" for name, (kind, _) in schema.items()))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name below the checkpoint folder, which the driver and all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

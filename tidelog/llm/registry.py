@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidelog.llm import language, sql, toxicity
 from tidelog.llm.bpe import round_trip
-from tidelog.llm.common import read
+from tidelog.llm.centroids import clusters
+from tidelog.llm.common import WORD_GAP, fold, read
 from tidelog.llm.embedding_dedup import near_vectors
 from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.lattice_lm import lm_scores
 from tidelog.llm.line_dedup import line_dedup
 from tidelog.llm.minhash import near_duplicates
 from tidelog.llm.mixing import mix
+from tidelog.llm.repeats import periodic_runs
 from tidelog.llm.secrets_scan import scan
 
 
@@ -59,6 +62,47 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark, sf_dir):
+    return clusters(read(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3)
+
+
+def with_planted_runs(docs):
+    """The documents' words, joined by one space, those of a tenth of them with a passage repeated to the end.
+
+    Which, from where and how long the passage is follow from the crc32 of the id.
+    """
+    h, words = fold(F.col("doc_id"), 1 << 32), F.filter(F.split(F.coalesce("text", F.lit("")), WORD_GAP), lambda w: w != "")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), h.alias("h"), words.alias("words")).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.coalesce(F.try_mod(F.floor(F.col("h") / 10), "n"), F.lit(0)).cast("int"))
+    left = F.col("n") - F.col("a")
+    rows = rows.withColumn("p", (1 + F.floor(left / (3 + F.floor(F.col("h") / 10) % 8))).cast("int"))
+    passage = F.slice("words", F.col("a") + 1, F.col("p"))
+    repeated = F.slice(F.flatten(F.array_repeat(passage, F.ceil(left / F.col("p")).cast("int"))), F.lit(1), left)
+    planted = F.concat(F.slice("words", F.lit(1), F.col("a")), repeated)
+    return rows.select("doc_id", F.array_join(F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), planted).otherwise(F.col("words")), " ").alias("text"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs(with_planted_runs(read(spark, sf_dir, "documents")), least=6, factor=4)
+    exponents = lambda a, b: (a["length"] * b["period"], b["length"] * a["period"])
+
+    def before(a, b):
+        mine, other = exponents(a, b)
+        of_ties = F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise((a["period"] - b["period"]).cast("int"))
+        return F.when(mine > other, -1).when(mine < other, 1).otherwise(of_ties)
+
+    best = F.get(F.array_sort("runs", before), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries():
     return {
         "op1_minhash": op1_minhash,
@@ -71,6 +115,8 @@ def queries():
         "op8_secret_scan": op8_secret_scan,
         "op9_language_id": op9_language_id,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_centroids": op11_centroids,
+        "op12_periodic_runs": op12_periodic_runs,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -82,4 +128,6 @@ def oracle_sql():
         "op5_mixing": sql.MIXING,
         "op7_embedding_dedup": sql.EMBEDDING_DEDUP,
         "op10_exact_dedup": sql.EXACT_DEDUP,
+        "op11_centroids": sql.centroids(),
+        "op12_periodic_runs": sql.PERIODIC_RUNS,
     }

@@ -127,3 +127,72 @@ c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id)
 SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
 FROM v LEFT JOIN n USING (vec_id) JOIN c USING (vec_id)
 """
+
+
+def centroids(k: int = 8, rounds: int = 10, dims: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Every round as a pair of tables: all squared distances, then the floors of the means."""
+    parts = [
+        f"""e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE len(embedding) = {dims}
+  AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+r AS MATERIALIZED (SELECT vec_id, x, row_number() OVER () AS row FROM e),
+v AS MATERIALIZED (SELECT row, unnest(range({dims})) AS i, unnest(list_transform(x, lambda c: floor({scale} * c)::BIGINT)) AS x FROM r),
+f AS (SELECT row, row_number() OVER (ORDER BY sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c FROM r),
+c0 AS MATERIALIZED (SELECT c, i, x AS y FROM f JOIN v USING (row) WHERE c < {k})"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""a{n} AS MATERIALIZED (SELECT row, min(c) AS c, min(d)::BIGINT AS d FROM (
+  SELECT *, min(d) OVER (PARTITION BY row) AS least FROM (SELECT row, c, sum((x - y) * (x - y)) AS d FROM v JOIN c{n} USING (i) GROUP BY row, c)
+) WHERE d = least GROUP BY row)"""
+        )
+        if n < rounds:
+            # A mean is rounded down: an integer division of a number that isn't negative.
+            parts.append(
+                f"""m{n} AS (SELECT c, i, ((s % n) + n) % n AS over, s, n FROM (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{n} JOIN v USING (row) GROUP BY c, i)),
+c{n + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - over) // n, y) AS y FROM c{n} LEFT JOIN m{n} USING (c, i))"""
+            )
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f""",
+g AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{rounds} JOIN r USING (row) JOIN g USING (c)
+"""
+    )
+
+
+PERIODIC_RUNS = """
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x != '') AS w,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda s: [ord(s)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) AS h
+  FROM documents
+),
+p AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
+o AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM p),
+t AS MATERIALIZED (
+  SELECT doc_id, n, row_number() OVER () AS row, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n),
+    lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM o
+),
+x AS MATERIALIZED (SELECT row, n, unnest(range(n)) AS i, unnest(w) AS word FROM t),
+e AS (
+  SELECT a.row, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.row = b.row AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+),
+s AS (
+  SELECT row, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS stretch FROM e)
+  GROUP BY row, q, stretch HAVING count(*) + q >= greatest(6, 4 * q)
+),
+r AS MATERIALIZED (SELECT row, start, length, min(q) AS period FROM s GROUP BY row, start, length),
+best AS (SELECT row, start, length, period, 1000 * length // period AS exponent_milli FROM r
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY length / period DESC, start, period) = 1),
+every AS (SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY row),
+gone AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS words FROM x ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+  sha256(coalesce(words, '')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (row) LEFT JOIN every USING (row) LEFT JOIN kept USING (row)
+"""
