@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidelog.llm import language, sql, toxicity
+from tidelog.llm import language, pii, sql, toxicity
 from tidelog.llm.bpe import round_trip
 from tidelog.llm.centroids import clusters
 from tidelog.llm.common import WORD_GAP, fold, read
@@ -103,6 +103,14 @@ def op12_periodic_runs(spark, sf_dir):
     )
 
 
+def op13_pii(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda name: F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *[number(k) for k in pii.KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def queries():
     return {
         "op1_minhash": op1_minhash,
@@ -117,6 +125,7 @@ def queries():
         "op10_exact_dedup": op10_exact_dedup,
         "op11_centroids": op11_centroids,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_pii": op13_pii,
         "pipeline": corpus_pipeline.run,
     }
 
