@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from tidelog import registry
 from tidelog.cli import main, parser
+from tidelog.fixtures import view_c
 from tidelog.sources import providers
 
 
@@ -17,7 +18,7 @@ def test_every_query_has_unique_columns_and_known_oracles():
 
 def test_entry_labels_locations(spark):
     rows = {r["label"]: r["downloads"] for r in entry.entry(spark).collect()}
-    assert sum(rows.values()) == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    assert sum(rows.values()) == view_c(spark, "/root/testdata/sf0.001").count()
 
 
 def test_feature_registry():

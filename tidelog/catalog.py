@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog import oracle as q
-from tidelog.fixtures import LOG_A, LOG_B, view_a, view_b
+from tidelog.fixtures import LOG_A, LOG_B, LOG_C, view_a, view_b, view_c
 
 from tidelog.grains import Grains
 from tidelog.operators import analytics, annotate, evaluate, models, ordered, profile, reporting, rules, scores
@@ -23,8 +23,6 @@ from tidelog.sources import readers
 
 
 LOC = "geo_location"
-#: Rule bounds on counts assume busier locations than the small fixture has.
-FACTOR = 0.05
 VIEW_B_YEAR = 1990
 
 
@@ -61,6 +59,10 @@ def b(spark, sf):
     return Grains(view_b(spark, sf), VIEW_B_YEAR)
 
 
+def c(spark, sf):
+    return Grains(view_c(spark, sf))
+
+
 def qa(*ctes: str) -> str:
     return q.ctes(LOG_A, *ctes) + " ||| "
 
@@ -69,19 +71,23 @@ def qb(*ctes: str) -> str:
     return q.ctes(LOG_B, *ctes) + " ||| "
 
 
+def qc(*ctes: str) -> str:
+    return q.ctes(LOG_C, *ctes) + " ||| "
+
+
 def labelled(spark, sf) -> DataFrame:
-    """Location profile of view A with labels by the scaled rules."""
-    g = a(spark, sf)
+    """Location profile of view C with labels by the rules."""
+    g = c(spark, sf)
     out = profile.basic(g).join(profile.time_of_day(g), LOC, "left").join(ordered.base_behavior(g).drop("unique_files"), LOC, "left")
-    return rules.classify(out, rules.scaled_taxonomy(FACTOR))
+    return rules.classify(out.join(profile.coordination(g).select(LOC, "user_coordination_score"), LOC, "left"))
 
 
-LABEL_CTES = (q.BASIC, q.HOURS, q.CLOCK, q.DENSE, q.DAYS, q.FILES, q.SESSIONS, q.sampled(50), q.BASE, q.LABELS.format(factor=FACTOR))
+LABEL_CTES = (q.BASIC, q.HOURS, q.CLOCK, q.DENSE, q.DAYS, q.FILES, q.SESSIONS, q.sampled(50), q.BASE, q.LABELS)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label every location of view A, join labels onto the log, and count events by label."""
-    log = annotate.annotate(view_a(spark, sf_dir), labelled(spark, sf_dir))
+    """Label every location of view C, join labels onto the log, and count events by label."""
+    log = annotate.annotate(view_c(spark, sf_dir), labelled(spark, sf_dir))
     rows = log.groupBy(evaluate.unified(log).alias("label"))
     return rows.agg(F.count(F.lit(1)).alias("downloads"), F.count_distinct(LOC).alias("locations"))
 
@@ -94,26 +100,25 @@ def composite_profile(spark, sf) -> DataFrame:
     return scores.composite(out)
 
 
-def small_profile(spark, sf) -> DataFrame:
-    g = a(spark, sf)
+def small_profile(g: Grains) -> DataFrame:
     return profile.basic(g).join(profile.time_of_day(g), LOC)
 
 
 def ground(spark, sf):
-    return rules.ground_truth(small_profile(spark, sf))
+    return rules.ground_truth(small_profile(c(spark, sf)))
 
 
 def judged(spark, sf) -> DataFrame:
-    """Two labellings of view A's locations: by scaled rules, and by working hours alone."""
-    rows = labelled(spark, sf)
-    other = F.when(F.col("working_hours_ratio") < 0.32, "bot").otherwise("organic")
-    third = F.when(F.col("unique_users") >= 2, "hub").otherwise("organic")
-    return rows.select(LOC, other.alias("truth"), evaluate.unified(rows).alias("predicted"), third.alias("third"), "total_downloads")
+    """Three labellings of view C's locations of certain reference label: that label, the rules, and hours and size alone."""
+    rows = rules.ground_truth(labelled(spark, sf)).where(F.col("ground_truth_label") != "uncertain")
+    third = F.when(F.col("night_activity_ratio") > 0.8, "bot").when(F.col("downloads_per_user") >= 200, "hub").otherwise("organic")
+    return rows.select(LOC, F.col("ground_truth_label").alias("truth"), evaluate.unified(rows).alias("predicted"), third.alias("third"), "total_downloads")
 
 
-JUDGED = """judged AS (SELECT geo_location, CASE WHEN working_hours_ratio < 0.32 THEN 'bot' ELSE 'organic' END AS truth,
-  CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS predicted,
-  CASE WHEN unique_users >= 2 THEN 'hub' ELSE 'organic' END AS third, total_downloads FROM labels)"""
+JUDGED = """judged AS (SELECT geo_location, ground_truth_label AS truth, CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS predicted,
+  CASE WHEN night_activity_ratio > 0.8 THEN 'bot' WHEN downloads_per_user >= 200 THEN 'hub' ELSE 'organic' END AS third, total_downloads
+  FROM labels JOIN truth USING (geo_location) WHERE ground_truth_label <> 'uncertain')"""
+JUDGED_CTES = (*LABEL_CTES, q.GROUND_TRUTH, JUDGED)
 
 
 METRICS = """c AS (SELECT l AS label, count(*) FILTER (truth = l AND predicted = l) AS tp, count(*) FILTER (truth <> l AND predicted = l) AS fp, count(*) FILTER (truth = l AND predicted <> l) AS fn, count(*) FILTER (truth = l) AS support
@@ -122,7 +127,7 @@ metrics AS (SELECT *, coalesce(2 * "precision" * recall / nullif("precision" + r
 
 
 def seeded(spark, sf) -> DataFrame:
-    g = a(spark, sf)
+    g = c(spark, sf)
     out = profile.basic(g)
     for part in (profile.time_of_day(g), profile.protocol(g), profile.burst(g), profile.coordination(g), profile.yearly(g)):
         out = out.join(part, LOC)
@@ -130,7 +135,7 @@ def seeded(spark, sf) -> DataFrame:
 
 
 def protected(spark, sf) -> DataFrame:
-    rows = labelled(spark, sf).join(profile.protocol(a(spark, sf)).select(LOC, "aspera_ratio", "globus_ratio"), LOC)
+    rows = labelled(spark, sf).join(profile.protocol(c(spark, sf)).select(LOC, "aspera_ratio", "globus_ratio"), LOC)
     return rules.protect_hubs(rows)
 
 
@@ -167,7 +172,8 @@ SERIES = """r AS (SELECT *, row_number() OVER (PARTITION BY geo_location ORDER B
           coalesce(dpu / nullif(d1, 0) - 1, 0) AS dl_per_user_rate_change, lo AS dl_rolling_min, hi AS dl_rolling_max, coalesce(sd, 0) AS dl_rolling_std, med AS dl_rolling_median,
           coalesce(CASE WHEN place >= span AND span > 1 THEN (n - CASE WHEN span = 3 THEN y2 ELSE y1 END) / (span - 1) END, 0) AS trend_slope, CASE WHEN place >= span AND mean > 0 THEN sp / mean ELSE 0 END AS volatility_cv FROM v)"""
 COUNTS = "counts AS (SELECT accession, count(*) AS downloads FROM log WHERE accession IS NOT NULL GROUP BY 1)"
-COUNTRY_ROWS = "country, count(*) AS downloads, count(DISTINCT usr) AS users, count(DISTINCT accession) AS datasets FROM log WHERE country <> '' AND country NOT LIKE '%\\%{%' ESCAPE '\\'"
+KNOWN = "country <> '' AND country NOT LIKE '%\\%{%' ESCAPE '\\'"
+COUNTRY_ROWS = f"country, count(*) AS downloads, count(DISTINCT usr) AS users, count(DISTINCT accession) AS datasets FROM log WHERE {KNOWN}"
 NATIONS = ["CHINA", "FRANCE", "GERMANY", "JAPAN", "NATION_1", "NATION_2"]
 
 
@@ -177,14 +183,17 @@ def q_region() -> str:
 
 
 def spatial(spark, sf):
-    places = view_a(spark, sf).groupBy(LOC, "country").agg(F.count(F.lit(1)).alias("total_downloads"))
+    places = view_c(spark, sf).groupBy(LOC, "country").agg(F.count(F.lit(1)).alias("total_downloads"))
     return places
 
 
-def citations(spark, sf):
-    """A stand-in table of citations: dataset numbers modulo 9."""
-    rows = view_a(spark, sf).select("accession").distinct()
-    return rows.select("accession", (F.substring("accession", 3, 6).cast("long") % 9).alias("citations"))
+def datasets(spark, sf) -> DataFrame:
+    """What the parts of the star schema tell of view B's datasets: a title, and the size as a number of citations."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    return part.select(F.concat(F.lit("P"), "p_partkey").alias("accession"), F.col("p_name").alias("title"), F.col("p_size").cast("long").alias("citations"))
+
+
+PARTS = "parts AS (SELECT 'P' || p_partkey AS accession, p_name AS title, p_size AS citations FROM part)"
 
 
 def unrolled(sequences: DataFrame) -> DataFrame:
@@ -194,10 +203,8 @@ def unrolled(sequences: DataFrame) -> DataFrame:
 
 
 def resampled(spark, sf) -> DataFrame:
-    """Macro F1 of two labellings by the clock with its bootstrap interval, from the nine cells of a confusion table."""
-    truth = F.when(F.col("working_hours_ratio") < 0.32, "bot").otherwise("organic").alias("truth")
-    other = F.when(F.col("night_activity_ratio") > 0.35, "bot").otherwise("organic").alias("predicted")
-    cells = evaluate.confusion(small_profile(spark, sf).select(truth, other)).collect()
+    """Macro F1 of the rules with its bootstrap interval, from the nine cells of a confusion table."""
+    cells = evaluate.confusion(judged(spark, sf)).collect()
     found = evaluate.bootstrap_f1({(r["truth"], r["predicted"]): r["n"] for r in cells})
     return spark.createDataFrame([found], "f1 double, low double, high double")
 
@@ -370,13 +377,13 @@ FEATURES = {
           w AS (SELECT geo_location, greatest(0, least(1, 0.30 * nf + 0.20 * 0.5 + 0.15 * latest + 0.10 * (1 - nd))) AS bad, greatest(0, least(1, 0.25 * na + 0.20 * 0.5 + 0.25 * np + 0.15 * legit)) AS good FROM z)""")
         + "SELECT geo_location, 0.5 AS geographic_stability, bad AS malicious_bot_score, good AS legitimate_automation_score, bad - good AS bot_vs_legitimate_score, (bad - good > 0.3)::INT AS is_likely_malicious, (bad - good < -0.3)::INT AS is_likely_legitimate_automation FROM w"),
     "feat_interaction": Query(
-        lambda s, d: scores.interaction(small_profile(s, d)), LOC, "", "dl_user_per_log_users user_scarcity_score download_concentration temporal_irregularity bot_composite_score",
+        lambda s, d: scores.interaction(small_profile(a(s, d))), LOC, "", "dl_user_per_log_users user_scarcity_score download_concentration temporal_irregularity bot_composite_score",
         qa(q.BASIC, q.CLOCK, q.DENSE, """x AS (SELECT geo_location, downloads_per_user / ln(unique_users + 2) AS dl_user_per_log_users, CASE WHEN downloads_per_user > 20 THEN exp(-unique_users / 100) ELSE 0 END AS user_scarcity_score,
           downloads_per_user / (unique_users + 1) AS download_concentration, 1 / (hourly_entropy + 0.1) * ln(downloads_per_user + 1) AS temporal_irregularity FROM basic JOIN tod USING (geo_location))""")
         + """SELECT *, (0.3 * greatest(0, least(1, dl_user_per_log_users / (SELECT quantile_cont(dl_user_per_log_users, 0.95) FROM x))) + 0.25 * user_scarcity_score
           + 0.25 * greatest(0, least(1, download_concentration / (SELECT quantile_cont(download_concentration, 0.95) FROM x)))) / 0.8 AS bot_composite_score FROM x"""),
     "feat_signature": Query(
-        lambda s, d: scores.signature(small_profile(s, d)), LOC, "", "access_regularity ua_per_user request_velocity ip_concentration session_anomaly request_pattern_anomaly weekend_weekday_imbalance",
+        lambda s, d: scores.signature(small_profile(a(s, d))), LOC, "", "access_regularity ua_per_user request_velocity ip_concentration session_anomaly request_pattern_anomaly weekend_weekday_imbalance",
         qa(q.BASIC, q.CLOCK, q.DENSE, "x AS (SELECT *, max(unique_users) OVER () AS top, median(downloads_per_user) OVER () AS mid FROM basic JOIN tod USING (geo_location))")
         + """SELECT geo_location, 1 / (hourly_entropy + 0.1) AS access_regularity, 1 / (unique_users / (total_downloads + 1) + 0.01) AS ua_per_user, total_downloads / (working_hours_ratio * 168 + 1) AS request_velocity,
           1 - ln(1 + unique_users) / ln(2 + top) AS ip_concentration, abs(downloads_per_user - mid) / (mid + 1) AS session_anomaly, 1 / (downloads_per_user / (ln(1 + unique_users) + 1) + 0.1) AS request_pattern_anomaly,
@@ -391,23 +398,18 @@ FEATURES = {
 }
 
 CLASSES = {
-    "class_rules": Query(labelled, f"{LOC} behavior_type automation_category is_bot is_hub is_organic", sql=qa(*LABEL_CTES) + "SELECT * FROM labels"),
+    "class_rules": Query(labelled, f"{LOC} behavior_type automation_category is_bot is_hub is_organic", sql=qc(*LABEL_CTES) + "SELECT * FROM labels"),
     "class_ground_truth": Query(
-        ground, f"{LOC} ground_truth_label ground_truth_criteria", "", "ground_truth_confidence",
-        qa(q.BASIC, q.CLOCK, q.DENSE, """g AS (SELECT geo_location, CASE WHEN unique_users >= 10000 AND downloads_per_user <= 10 THEN 1 WHEN unique_users >= 5000 AND downloads_per_user <= 25 THEN 2 WHEN unique_users >= 1000 AND downloads_per_user <= 50 AND working_hours_ratio <= 0.3 THEN 3
-          WHEN unique_users <= 5 AND downloads_per_user >= 1000 THEN 4 WHEN unique_users <= 20 AND downloads_per_user >= 500 THEN 5 WHEN unique_users BETWEEN 10 AND 200 AND downloads_per_user >= 200 AND total_downloads >= 100000 AND working_hours_ratio >= 0.2 THEN 6
-          WHEN unique_users <= 3 AND downloads_per_user <= 20 AND working_hours_ratio >= 0.4 THEN 7 WHEN unique_users BETWEEN 3 AND 30 AND downloads_per_user BETWEEN 5 AND 100 AND working_hours_ratio >= 0.35 THEN 8 WHEN unique_users <= 5 AND downloads_per_user <= 50 AND night_activity_ratio <= 0.3 THEN 9 ELSE 10 END AS c FROM basic JOIN tod USING (geo_location))""")
-        + """SELECT geo_location, ['bot','bot','bot','hub','hub','hub','organic','organic','organic','uncertain'][c] AS ground_truth_label, [0.99,0.95,0.90,0.95,0.90,0.85,0.95,0.90,0.85,0.0][c] AS ground_truth_confidence,
-          ['users>=10000 dpu<=10','users>=5000 dpu<=25','users>=1000 dpu<=50 working<=0.3','users<=5 dpu>=1000','users<=20 dpu>=500','users 10-200 dpu>=200 total>=100000 working>=0.2','users<=3 dpu<=20 working>=0.4','users 3-30 dpu 5-100 working>=0.35','users<=5 dpu<=50 night<=0.3',''][c] AS ground_truth_criteria FROM g"""),
+        ground, f"{LOC} ground_truth_label ground_truth_criteria", "", "ground_truth_confidence", qc(q.BASIC, q.CLOCK, q.DENSE, q.GROUND_TRUTH) + "SELECT * FROM truth"),
     "class_hub_protection": Query(
         protected, f"{LOC} behavior_type automation_category user_category is_protected_hub is_bot is_hub is_organic",
-        sql=qa(*LABEL_CTES, q.PROTOCOL, """h AS (SELECT *, CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'download_hub' ELSE 'normal' END AS uc, ((downloads_per_user > 500 AND unique_users <= 200) OR (unique_users <= 100 AND downloads_per_user > 100) OR (unique_users <= 1 AND downloads_per_user > 50)
+        sql=qc(*LABEL_CTES, q.PROTOCOL, """h AS (SELECT *, CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'download_hub' ELSE 'normal' END AS uc, ((downloads_per_user > 500 AND unique_users <= 200) OR (unique_users <= 100 AND downloads_per_user > 100) OR (unique_users <= 1 AND downloads_per_user > 50)
           OR (unique_users <= 10 AND downloads_per_user > 200) OR aspera_ratio > 0.3 OR globus_ratio > 0.1) AND NOT (working_hours_ratio < 0.1 AND night_activity_ratio > 0.7) AND NOT (unique_projects > 15000) AS keep FROM labels JOIN protocol USING (geo_location))""")
         + """SELECT geo_location, CASE WHEN keep THEN 'automated' ELSE behavior_type END AS behavior_type, CASE WHEN keep THEN 'legitimate_automation' ELSE automation_category END AS automation_category,
           CASE WHEN keep AND uc = 'bot' THEN 'download_hub' ELSE uc END AS user_category, keep AS is_protected_hub, NOT keep AND is_bot AS is_bot, keep OR is_hub AS is_hub, NOT keep AND is_organic AS is_organic FROM h"""),
     "class_seeds": Query(
         seeded, LOC, "", "organic_seed bot_seed hub_seed",
-        qa(q.BASIC, q.CLOCK, q.DENSE, q.PROTOCOL, q.HOURS, q.YEARLY, """bu AS (SELECT geo_location, coalesce(CASE WHEN stddev_samp(n) > 0 THEN (max(n) - avg(n)) / stddev_samp(n) END, 0) AS bp, coalesce(CASE WHEN stddev_samp(users) > 0 THEN avg(users) / stddev_samp(users) END, 0) AS uc FROM hours GROUP BY 1),
+        qc(q.BASIC, q.CLOCK, q.DENSE, q.PROTOCOL, q.HOURS, q.YEARLY, """bu AS (SELECT geo_location, coalesce(CASE WHEN stddev_samp(n) > 0 THEN (max(n) - avg(n)) / stddev_samp(n) END, 0) AS bp, coalesce(CASE WHEN stddev_samp(users) > 0 THEN avg(users) / stddev_samp(users) END, 0) AS uc FROM hours GROUP BY 1),
           s AS (SELECT *, unique_users AS u, downloads_per_user AS dp, working_hours_ratio AS wh, night_activity_ratio AS nt FROM basic JOIN tod USING (geo_location) JOIN protocol USING (geo_location) JOIN bu USING (geo_location) JOIN years USING (geo_location))""")
         + """SELECT geo_location, CASE WHEN u <= 10 AND dp <= 5 AND total_downloads < 200 AND wh > 0.3 AND nt < 0.5 AND years_span >= 2 THEN 1.0 WHEN u <= 50 AND dp <= 10 AND total_downloads < 1000 AND wh > 0.25 AND hourly_entropy > 1.5 AND bp < 0.5 THEN 0.7
           WHEN u <= 200 AND dp <= 20 AND uc < 0.3 AND protocol_legitimacy_score > 0.3 THEN 0.4 END AS organic_seed,
@@ -424,24 +426,24 @@ CLASSES = {
         qb(MONTHS, "m AS (SELECT geo_location, median(n) AS mid, count(*) AS k FROM mths GROUP BY 1), o AS (SELECT geo_location, abs(n - mid) AS off, k FROM mths JOIN m USING (geo_location)), z AS (SELECT geo_location, 0.6745 * max(off) / greatest(median(off), 1) AS z, max(k) AS k FROM o GROUP BY 1)")
         + "SELECT geo_location, CASE WHEN k >= 3 AND z > 3.5 THEN least(z / 10, 1) ELSE 0 END AS spike_score FROM z"),
     "annotate_join": Query(
-        lambda s, d: annotate.annotate(view_a(s, d), labelled(s, d)), f"{LOC} is_bot is_hub is_organic", "event_id",
-        sql=qa(*LABEL_CTES) + "SELECT geo_location, event_id, coalesce(is_bot, false) AS is_bot, coalesce(is_hub, false) AS is_hub, coalesce(is_organic, true) AS is_organic FROM log LEFT JOIN labels USING (geo_location)"),
+        lambda s, d: annotate.annotate(view_c(s, d), labelled(s, d)), f"{LOC} is_bot is_hub is_organic", "event_id",
+        sql=qc(*LABEL_CTES) + "SELECT geo_location, event_id, coalesce(is_bot, false) AS is_bot, coalesce(is_hub, false) AS is_hub, coalesce(is_organic, true) AS is_organic FROM log LEFT JOIN labels USING (geo_location)"),
     "annotate_legacy": Query(
-        lambda s, d: annotate.annotate_sets(view_a(s, d), (x := labelled(s, d)).where("is_bot"), x.where("is_hub")), f"{LOC} is_bot is_hub is_organic", "event_id",
-        sql=qa(*LABEL_CTES) + "SELECT geo_location, event_id, coalesce(is_bot, false) AS is_bot, coalesce(is_hub, false) AS is_hub, NOT coalesce(is_bot OR is_hub, false) AS is_organic FROM log LEFT JOIN labels USING (geo_location)"),
+        lambda s, d: annotate.annotate_sets(view_c(s, d), (x := labelled(s, d)).where("is_bot"), x.where("is_hub")), f"{LOC} is_bot is_hub is_organic", "event_id",
+        sql=qc(*LABEL_CTES) + "SELECT geo_location, event_id, coalesce(is_bot, false) AS is_bot, coalesce(is_hub, false) AS is_hub, NOT coalesce(is_bot OR is_hub, false) AS is_organic FROM log LEFT JOIN labels USING (geo_location)"),
     "clean_semi_join": Query(
-        lambda s, d: annotate.clean(view_a(s, d), labelled(s, d)), LOC, "event_id",
-        sql=qa(*LABEL_CTES) + "SELECT geo_location, event_id FROM log WHERE geo_location IN (SELECT geo_location FROM labels WHERE NOT is_bot)"),
+        lambda s, d: annotate.clean(view_c(s, d), labelled(s, d)), LOC, "event_id",
+        sql=qc(*LABEL_CTES) + "SELECT geo_location, event_id FROM log WHERE geo_location IN (SELECT geo_location FROM labels WHERE NOT is_bot)"),
     "flagship_labels": Query(
         flagship, "label", "downloads locations",
-        sql=qa(*LABEL_CTES) + "SELECT CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS label, count(*) AS downloads, count(DISTINCT geo_location) AS locations FROM log JOIN labels USING (geo_location) GROUP BY 1"),
+        sql=qc(*LABEL_CTES) + "SELECT CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS label, count(*) AS downloads, count(DISTINCT geo_location) AS locations FROM log JOIN labels USING (geo_location) GROUP BY 1"),
 }
 
 ANALYTICS = {
-    "ana_by_country": Query(lambda s, d: analytics.by_country(view_a(s, d)), "country region", "downloads users datasets", sql=qa() + f"SELECT {q_region()} AS region, {COUNTRY_ROWS} GROUP BY country"),
+    "ana_by_country": Query(lambda s, d: analytics.by_country(view_c(s, d)), "country region", "downloads users datasets", sql=qc() + f"SELECT {q_region()} AS region, {COUNTRY_ROWS} GROUP BY country"),
     "ana_by_region": Query(
-        lambda s, d: analytics.by_region(analytics.by_country(view_a(s, d))), "region", "downloads countries",
-        sql=qa(f"c AS (SELECT {COUNTRY_ROWS} GROUP BY country)") + f"SELECT {q_region()} AS region, sum(downloads) AS downloads, count(*) AS countries FROM c GROUP BY 1"),
+        lambda s, d: analytics.by_region(analytics.by_country(view_c(s, d))), "region", "downloads countries",
+        sql=qc(f"c AS (SELECT {COUNTRY_ROWS} GROUP BY country)") + f"SELECT {q_region()} AS region, sum(downloads) AS downloads, count(*) AS countries FROM c GROUP BY 1"),
     "ana_yearly": Query(
         lambda s, d: analytics.trend(view_b(s, d), "year", 1995, 2000), "", "yr downloads users datasets",
         sql=qb() + "SELECT year(ts) AS yr, count(*) AS downloads, count(DISTINCT usr) AS users, count(DISTINCT accession) AS datasets FROM log WHERE year(ts) BETWEEN 1995 AND 2000 GROUP BY 1"),
@@ -458,8 +460,8 @@ ANALYTICS = {
         lambda s, d: analytics.protocol_trend(view_a(s, d), None), "method", "downloads", "share",
         qa() + "SELECT method, count(*) AS downloads, count(*) / sum(count(*)) OVER () AS share FROM log GROUP BY 1"),
     "ana_top_datasets": Query(
-        lambda s, d: analytics.top_datasets(view_a(s, d), 25, citations(s, d)), "accession", "downloads users countries citations",
-        sql=qa() + "SELECT accession, count(*) AS downloads, count(DISTINCT usr) AS users, count(DISTINCT country) AS countries, substr(accession, 3, 6)::BIGINT % 9 AS citations FROM log GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25"),
+        lambda s, d: analytics.top_datasets(view_b(s, d), 25, datasets(s, d)), "accession title", "downloads users countries citations",
+        sql=qb(PARTS, "top AS (SELECT accession, count(*) AS downloads, count(DISTINCT usr) AS users, count(DISTINCT country) AS countries FROM log GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25)") + "SELECT * FROM top LEFT JOIN parts USING (accession)"),
     "ana_gini": Query(
         lambda s, d: analytics.concentration(analytics.dataset_counts(view_b(s, d))), "", "items", "gini top_1_share top_10_share top_50_share",
         qb(COUNTS, "r AS (SELECT downloads AS x, row_number() OVER (ORDER BY downloads) AS up, row_number() OVER (ORDER BY downloads DESC) AS dn, count(*) OVER () AS n, sum(downloads) OVER () AS t FROM counts)")
@@ -485,24 +487,26 @@ ANALYTICS = {
         lambda s, d: analytics.consistency(view_b(s, d)), "accession", "years downloads", "consistency_score",
         qb("y AS (SELECT accession, year(ts) AS yr, count(*) AS n FROM log GROUP BY 1, 2)") + "SELECT accession, count(*) AS years, sum(n) AS downloads, (1 - least(stddev_pop(n) / avg(n), 1)) * count(*) / 5 AS consistency_score FROM y GROUP BY 1 HAVING count(*) >= 3"),
     "ana_files_hist": Query(
-        lambda s, d: analytics.files_histogram(view_a(s, d)), "", "bin files downloads",
-        sql=qa("f AS (SELECT accession, filename, count(*) AS n FROM log GROUP BY 1, 2)") + "SELECT floor(log10(n)) AS bin, count(*) AS files, sum(n) AS downloads FROM f GROUP BY 1"),
+        lambda s, d: analytics.files_histogram(view_c(s, d)), "", "bin files downloads",
+        sql=qc("f AS (SELECT accession, filename, count(*) AS n FROM log GROUP BY 1, 2)") + "SELECT floor(log10(n)) AS bin, count(*) AS files, sum(n) AS downloads FROM f GROUP BY 1"),
     "ana_country_bubbles": Query(
-        lambda s, d: analytics.country_bubbles(view_a(s, d), 300), "country", "downloads users", "downloads_per_user",
-        qa() + f"SELECT *, downloads / users AS downloads_per_user FROM (SELECT {COUNTRY_ROWS} GROUP BY country) WHERE downloads > 300"),
+        lambda s, d: analytics.country_bubbles(view_c(s, d), 300), "country", "downloads users", "downloads_per_user",
+        qc() + f"SELECT *, downloads / users AS downloads_per_user FROM (SELECT {COUNTRY_ROWS} GROUP BY country) WHERE downloads > 300"),
     "ana_before_after": Query(
-        lambda s, d: analytics.before_after(annotate.annotate(view_a(s, d), labelled(s, d))), "country", "before after", "removed_share",
-        qa(*LABEL_CTES) + "SELECT log.country, count(*) AS before, count(*) FILTER (NOT is_bot) AS after, 1 - count(*) FILTER (NOT is_bot) / count(*) AS removed_share FROM log JOIN labels USING (geo_location) GROUP BY 1"),
+        lambda s, d: analytics.before_after(annotate.annotate(view_c(s, d), labelled(s, d))), "country", "before after", "removed_share",
+        qc(*LABEL_CTES) + f"SELECT log.country, count(*) AS before, count(*) FILTER (NOT is_bot) AS after, 1 - count(*) FILTER (NOT is_bot) / count(*) AS removed_share FROM log JOIN labels USING (geo_location) WHERE log.{KNOWN.replace('AND country', 'AND log.country')} GROUP BY 1"),
     "ana_file_types": Query(
-        lambda s, d: analytics.file_types(view_a(s, d)), "region kind", "downloads", "share",
-        qa() + f"SELECT {q_region()} AS region, 'raw' AS kind, count(*) AS downloads, 1.0 AS share FROM log GROUP BY 1"),
+        lambda s, d: analytics.file_types(view_c(s, d)), "region kind", "downloads", "share",
+        qc("x AS (SELECT country, lower(regexp_extract(filename, '\\.([A-Za-z]+)(\\.gz|\\.zip)?$', 1)) AS ending FROM log)")
+        + f"""SELECT {q_region()} AS region, CASE WHEN ending IN ('raw', 'wiff', 'd') THEN 'raw' WHEN ending IN ('mzml', 'mzxml', 'mgf') THEN 'peaks' WHEN ending IN ('mzid', 'xml', 'txt', 'csv', 'tsv') THEN 'results' ELSE 'other' END AS kind,
+          count(*) AS downloads, count(*) / sum(count(*)) OVER (PARTITION BY {q_region()}) AS share FROM x GROUP BY 1, 2"""),
     "ana_reuse": Query(
-        lambda s, d: analytics.reuse_correlation(analytics.dataset_counts(view_a(s, d)), citations(s, d)), "", "items", "spearman slope intercept",
-        qa(COUNTS, """c AS (SELECT downloads AS x, greatest(substr(accession, 3, 6)::BIGINT % 9 - 1, 0) AS y FROM counts), r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM c)""")
+        lambda s, d: analytics.reuse_correlation(analytics.dataset_counts(view_b(s, d)), datasets(s, d).select("accession", "citations")), "", "items", "spearman slope intercept",
+        qb(PARTS, COUNTS, """c AS (SELECT downloads AS x, greatest(citations - 1, 0) AS y FROM counts JOIN parts USING (accession)), r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM c)""")
         + "SELECT count(*) AS items, corr(rx, ry) AS spearman, regr_slope(log10(x), log10(y)) FILTER (y > 0) AS slope, regr_intercept(log10(x), log10(y)) FILTER (y > 0) AS intercept FROM r"),
     "ana_label_breakdown": Query(
         lambda s, d: analytics.label_breakdown(labelled(s, d)), "country", "locations bot_locations hub_locations organic_locations bot_downloads hub_downloads organic_downloads",
-        sql=qa(*LABEL_CTES) + """SELECT country, count(*) AS locations, count(*) FILTER (is_bot) AS bot_locations, count(*) FILTER (is_hub) AS hub_locations, count(*) FILTER (is_organic) AS organic_locations,
+        sql=qc(*LABEL_CTES) + """SELECT country, count(*) AS locations, count(*) FILTER (is_bot) AS bot_locations, count(*) FILTER (is_hub) AS hub_locations, count(*) FILTER (is_organic) AS organic_locations,
           coalesce(sum(total_downloads) FILTER (is_bot), 0) AS bot_downloads, coalesce(sum(total_downloads) FILTER (is_hub), 0) AS hub_downloads, coalesce(sum(total_downloads) FILTER (is_organic), 0) AS organic_downloads FROM labels GROUP BY 1"""),
     "ana_overview": Query(
         lambda s, d: analytics.overview(view_b(s, d)), "", "events first_year last_year countries locations datasets users",
@@ -510,76 +514,77 @@ ANALYTICS = {
 }
 
 EVALUATION = {
-    "eval_confusion": Query(lambda s, d: evaluate.confusion(judged(s, d)), "truth predicted", "n", sql=qa(*LABEL_CTES, JUDGED) + "SELECT truth, predicted, count(*) AS n FROM judged GROUP BY 1, 2"),
+    "eval_confusion": Query(lambda s, d: evaluate.confusion(judged(s, d)), "truth predicted", "n", sql=qc(*JUDGED_CTES) + "SELECT truth, predicted, count(*) AS n FROM judged GROUP BY 1, 2"),
     "eval_class_metrics": Query(
         lambda s, d: evaluate.class_metrics(judged(s, d)), "label", "tp fp fn support", "precision recall f1",
-        qa(*LABEL_CTES, JUDGED, METRICS) + "SELECT * FROM metrics"),
+        qc(*JUDGED_CTES, METRICS) + "SELECT * FROM metrics"),
     "eval_macro": Query(
         lambda s, d: evaluate.macro(evaluate.class_metrics(judged(s, d))), "", "", "macro_precision macro_recall macro_f1",
-        qa(*LABEL_CTES, JUDGED, METRICS) + 'SELECT avg("precision") AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM metrics'),
+        qc(*JUDGED_CTES, METRICS) + 'SELECT avg("precision") AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM metrics'),
     "eval_bootstrap_f1": Query(resampled, "", "", "f1 low high"),
     "eval_quantiles_by_label": Query(
         lambda s, d: evaluate.confidence_quantiles(labelled(s, d), "working_hours_ratio"), "label", "", "mean q25 q50 q75",
-        qa(*LABEL_CTES) + """SELECT CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS label, avg(working_hours_ratio) AS mean, quantile_cont(working_hours_ratio, 0.25) AS q25,
+        qc(*LABEL_CTES) + """SELECT CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS label, avg(working_hours_ratio) AS mean, quantile_cont(working_hours_ratio, 0.25) AS q25,
           median(working_hours_ratio) AS q50, quantile_cont(working_hours_ratio, 0.75) AS q75 FROM labels GROUP BY 1"""),
     "eval_kappa": Query(
         lambda s, d: evaluate.agreement(judged(s, d)), "", "items", "agreement kappa jaccard_bot jaccard_hub jaccard_organic",
-        qa(*LABEL_CTES, JUDGED, """p AS (SELECT count(*) AS items, avg((truth = predicted)::INT) AS agreement, avg((truth = 'bot')::INT) * avg((predicted = 'bot')::INT) + avg((truth = 'hub')::INT) * avg((predicted = 'hub')::INT) + avg((truth = 'organic')::INT) * avg((predicted = 'organic')::INT) AS c,
+        qc(*JUDGED_CTES, """p AS (SELECT count(*) AS items, avg((truth = predicted)::INT) AS agreement, avg((truth = 'bot')::INT) * avg((predicted = 'bot')::INT) + avg((truth = 'hub')::INT) * avg((predicted = 'hub')::INT) + avg((truth = 'organic')::INT) * avg((predicted = 'organic')::INT) AS c,
           coalesce(count(*) FILTER (truth = 'bot' AND predicted = 'bot') / nullif(count(*) FILTER (truth = 'bot' OR predicted = 'bot'), 0), 0) AS jaccard_bot, coalesce(count(*) FILTER (truth = 'hub' AND predicted = 'hub') / nullif(count(*) FILTER (truth = 'hub' OR predicted = 'hub'), 0), 0) AS jaccard_hub,
           coalesce(count(*) FILTER (truth = 'organic' AND predicted = 'organic') / nullif(count(*) FILTER (truth = 'organic' OR predicted = 'organic'), 0), 0) AS jaccard_organic FROM judged)""")
         + "SELECT *, CASE WHEN c < 1 THEN (agreement - c) / (1 - c) ELSE 1 END AS kappa FROM p"),
     "eval_mcnemar": Query(
-        lambda s, d: evaluate.mcnemar(judged(s, d), "predicted", "third"), "", "both_right only_a only_b neither", "chi2",
-        qa(*LABEL_CTES, JUDGED, "o AS (SELECT count(*) FILTER (predicted = truth AND third = truth) AS both_right, count(*) FILTER (predicted = truth AND third <> truth) AS only_a, count(*) FILTER (predicted <> truth AND third = truth) AS only_b, count(*) FILTER (predicted <> truth AND third <> truth) AS neither FROM judged)")
-        + "SELECT *, coalesce(greatest(abs(only_a - only_b) - 1, 0) ** 2 / nullif(only_a + only_b, 0), 0) AS chi2 FROM o"),
+        lambda s, d: evaluate.mcnemar(judged(s, d), "predicted", "third"), "", "both_right only_a only_b neither", "chi2 p_value",
+        qc(*JUDGED_CTES, "o AS (SELECT count(*) FILTER (predicted = truth AND third = truth) AS both_right, count(*) FILTER (predicted = truth AND third <> truth) AS only_a, count(*) FILTER (predicted <> truth AND third = truth) AS only_b, count(*) FILTER (predicted <> truth AND third <> truth) AS neither FROM judged)")
+        + """SELECT *, 1 - 2 / sqrt(pi()) * exp(-least(chi2 / 2, 36)) * list_reduce(list_transform(range(200), lambda i: sqrt(least(chi2 / 2, 36)) * list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(1, i + 1), lambda j: 2 * least(chi2 / 2, 36) / (2 * j + 1))), lambda a, b: a * b)), lambda a, b: a + b) AS p_value
+          FROM (SELECT *, coalesce(greatest(abs(only_a - only_b) - 1, 0) ** 2 / nullif(only_a + only_b, 0), 0)::DOUBLE AS chi2 FROM o)"""),
     "eval_discovery": Query(
         lambda s, d: evaluate.discovery(judged(s, d), ["truth", "predicted", "third"], "organic"), "", '"unique" consensus majority only_truth only_predicted only_third'.replace('"unique" ', ""), "",
-        qa(*LABEL_CTES, JUDGED, "v AS (SELECT *, (truth = 'organic')::INT + (predicted = 'organic')::INT + (third = 'organic')::INT AS votes FROM judged)")
+        qc(*JUDGED_CTES, "v AS (SELECT *, (truth = 'organic')::INT + (predicted = 'organic')::INT + (third = 'organic')::INT AS votes FROM judged)")
         + "SELECT count(*) FILTER (votes = 3) AS consensus, count(*) FILTER (votes >= 2) AS majority, count(*) FILTER (votes = 1 AND truth = 'organic') AS only_truth, count(*) FILTER (votes = 1 AND predicted = 'organic') AS only_predicted, count(*) FILTER (votes = 1 AND third = 'organic') AS only_third FROM v"),
     "eval_impact": Query(
         lambda s, d: evaluate.impact(labelled(s, d)), "label", "locations downloads", "location_share download_share",
-        qa(*LABEL_CTES, JUDGED) + "SELECT predicted AS label, count(*) AS locations, sum(total_downloads) AS downloads, count(*) / sum(count(*)) OVER () AS location_share, sum(total_downloads) / sum(sum(total_downloads)) OVER () AS download_share FROM judged GROUP BY 1"),
+        qc(*LABEL_CTES) + "SELECT CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS label, count(*) AS locations, sum(total_downloads) AS downloads, count(*) / sum(count(*)) OVER () AS location_share, sum(total_downloads) / sum(sum(total_downloads)) OVER () AS download_share FROM labels GROUP BY 1"),
     "stat_feature_quantiles": Query(
         lambda s, d: reporting.feature_statistics(labelled(s, d), ["total_downloads", "hourly_entropy", "working_hours_ratio"]), "feature", "n", "mean sd least q25 median q75 top bot_mean other_mean",
-        qa(*LABEL_CTES, "f AS (UNPIVOT (SELECT is_bot, total_downloads::DOUBLE AS total_downloads, hourly_entropy, working_hours_ratio FROM labels) ON total_downloads, hourly_entropy, working_hours_ratio INTO NAME feature VALUE x)")
+        qc(*LABEL_CTES, "f AS (UNPIVOT (SELECT is_bot, total_downloads::DOUBLE AS total_downloads, hourly_entropy, working_hours_ratio FROM labels) ON total_downloads, hourly_entropy, working_hours_ratio INTO NAME feature VALUE x)")
         + "SELECT feature, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS least, quantile_cont(x, 0.25) AS q25, median(x) AS median, quantile_cont(x, 0.75) AS q75, max(x) AS top, avg(x) FILTER (is_bot) AS bot_mean, avg(x) FILTER (NOT is_bot) AS other_mean FROM f GROUP BY 1"),
     "stat_corr": Query(
         lambda s, d: reporting.correlations(judged_flag(s, d), ["total_downloads", "hourly_entropy", "working_hours_ratio"]), "feature", "", "correlation",
-        qa(*LABEL_CTES, "f AS (UNPIVOT (SELECT (unique_users >= 2)::INT AS y, total_downloads::DOUBLE AS total_downloads, hourly_entropy, working_hours_ratio FROM labels) ON total_downloads, hourly_entropy, working_hours_ratio INTO NAME feature VALUE x)")
+        qc(*LABEL_CTES, "f AS (UNPIVOT (SELECT (unique_users >= 2)::INT AS y, total_downloads::DOUBLE AS total_downloads, hourly_entropy, working_hours_ratio FROM labels) ON total_downloads, hourly_entropy, working_hours_ratio INTO NAME feature VALUE x)")
         + "SELECT feature, corr(x, y) AS correlation FROM f GROUP BY 1"),
     "stat_effect_size": Query(
         lambda s, d: reporting.effect_sizes(judged_flag(s, d), ["total_downloads", "hourly_entropy", "working_hours_ratio"]), "feature", "", "effect_size",
-        qa(*LABEL_CTES, "f AS (UNPIVOT (SELECT unique_users >= 2 AS y, total_downloads::DOUBLE AS total_downloads, hourly_entropy, working_hours_ratio FROM labels) ON total_downloads, hourly_entropy, working_hours_ratio INTO NAME feature VALUE x)")
+        qc(*LABEL_CTES, "f AS (UNPIVOT (SELECT unique_users >= 2 AS y, total_downloads::DOUBLE AS total_downloads, hourly_entropy, working_hours_ratio FROM labels) ON total_downloads, hourly_entropy, working_hours_ratio INTO NAME feature VALUE x)")
         + "SELECT feature, (avg(x) FILTER (y) - avg(x) FILTER (NOT y)) / sqrt(((count(*) FILTER (y) - 1) * var_samp(x) FILTER (y) + (count(*) FILTER (NOT y) - 1) * var_samp(x) FILTER (NOT y)) / (count(*) - 2)) AS effect_size FROM f GROUP BY 1"),
     "stat_city_rollup": Query(
-        lambda s, d: reporting.city_rollup(profile.basic(a(s, d)), 50), "country city", "downloads users locations", "downloads_per_user",
-        qa(q.BASIC) + "SELECT country, city, sum(total_downloads) AS downloads, sum(unique_users) AS users, count(*) AS locations, sum(total_downloads) / sum(unique_users) AS downloads_per_user FROM basic GROUP BY 1, 2 HAVING sum(total_downloads) > 50 ORDER BY 6 DESC, 1, 2 LIMIT 50"),
+        lambda s, d: reporting.city_rollup(profile.basic(c(s, d)), 50), "country city", "downloads users locations", "downloads_per_user",
+        qc(q.BASIC) + f"SELECT country, city, sum(total_downloads) AS downloads, sum(unique_users) AS users, count(*) AS locations, sum(total_downloads) / sum(unique_users) AS downloads_per_user FROM basic WHERE {KNOWN} GROUP BY 1, 2 HAVING sum(total_downloads) > 50 ORDER BY 6 DESC, 1, 2 LIMIT 50"),
     "stat_hierarchy": Query(
         lambda s, d: reporting.hierarchy(labelled(s, d)), "behavior_type automation_category", "locations users downloads",
-        sql=qa(*LABEL_CTES) + "SELECT behavior_type, coalesce(automation_category, '') AS automation_category, count(*) AS locations, sum(unique_users) AS users, sum(total_downloads) AS downloads FROM labels GROUP BY 1, 2"),
+        sql=qc(*LABEL_CTES) + "SELECT behavior_type, coalesce(automation_category, '') AS automation_category, count(*) AS locations, sum(unique_users) AS users, sum(total_downloads) AS downloads FROM labels GROUP BY 1, 2"),
     "stat_histogram": Query(
-        lambda s, d: reporting.histogram(profile.basic(a(s, d)), "total_downloads", 10), "", "bin n",
-        sql=qa(q.BASIC, "e AS (SELECT min(total_downloads)::DOUBLE AS lo, max(total_downloads)::DOUBLE AS hi FROM basic)") + "SELECT least(9, floor((total_downloads - lo) / (hi - lo) * 10)) AS bin, count(*) AS n FROM basic, e GROUP BY 1"),
+        lambda s, d: reporting.histogram(profile.basic(c(s, d)), "total_downloads", 10), "", "bin n",
+        sql=qc(q.BASIC, "e AS (SELECT min(total_downloads)::DOUBLE AS lo, max(total_downloads)::DOUBLE AS hi FROM basic)") + "SELECT least(9, floor((total_downloads - lo) / (hi - lo) * 10)) AS bin, count(*) AS n FROM basic, e GROUP BY 1"),
     "stat_correlation_matrix": Query(
-        lambda s, d: reporting.correlation_matrix(small_profile(s, d), ["total_downloads", "hourly_entropy", "working_hours_ratio"]), "a b", "", "correlation",
-        qa(q.BASIC, q.CLOCK, q.DENSE, "p AS (SELECT total_downloads AS x, hourly_entropy AS y, working_hours_ratio AS z FROM basic JOIN tod USING (geo_location))")
+        lambda s, d: reporting.correlation_matrix(small_profile(c(s, d)), ["total_downloads", "hourly_entropy", "working_hours_ratio"]), "a b", "", "correlation",
+        qc(q.BASIC, q.CLOCK, q.DENSE, "p AS (SELECT total_downloads AS x, hourly_entropy AS y, working_hours_ratio AS z FROM basic JOIN tod USING (geo_location))")
         + """SELECT 'total_downloads' AS a, 'total_downloads' AS b, corr(x, x) AS correlation FROM p UNION ALL SELECT 'total_downloads', 'hourly_entropy', corr(x, y) FROM p UNION ALL SELECT 'total_downloads', 'working_hours_ratio', corr(x, z) FROM p
           UNION ALL SELECT 'hourly_entropy', 'hourly_entropy', corr(y, y) FROM p UNION ALL SELECT 'hourly_entropy', 'working_hours_ratio', corr(y, z) FROM p UNION ALL SELECT 'working_hours_ratio', 'working_hours_ratio', corr(z, z) FROM p"""),
     "geo_near_pairs": Query(
         lambda s, d: reporting.near_pairs(spatial(s, d), 120.0, 1.1), "a b", "", "km",
-        qa("p AS (SELECT DISTINCT geo_location AS g, country, radians(split_part(geo_location, ',', 1)::DOUBLE) AS la, radians(split_part(geo_location, ',', 2)::DOUBLE) AS lo FROM log), j AS (SELECT x.g AS a, y.g AS b, 2 * 6371.0 * asin(sqrt(least(1, sin((y.la - x.la) / 2) ** 2 + cos(x.la) * cos(y.la) * sin((y.lo - x.lo) / 2) ** 2))) AS km FROM p x JOIN p y ON x.country = y.country AND x.g < y.g)")
+        qc("p AS (SELECT DISTINCT geo_location AS g, country, radians(split_part(geo_location, ',', 1)::DOUBLE) AS la, radians(split_part(geo_location, ',', 2)::DOUBLE) AS lo FROM log), j AS (SELECT x.g AS a, y.g AS b, 2 * 6371.0 * asin(sqrt(least(1, sin((y.la - x.la) / 2) ** 2 + cos(x.la) * cos(y.la) * sin((y.lo - x.lo) / 2) ** 2))) AS km FROM p x JOIN p y ON x.country = y.country AND x.g < y.g)")
         + "SELECT * FROM j WHERE km <= 120"),
     "geo_proximity_groups": Query(lambda s, d: reporting.proximity_groups(spatial(s, d), 120.0), f"{LOC} country group"),
 }
 
 
 def judged_flag(spark, sf) -> DataFrame:
-    return small_profile(spark, sf).withColumn("is_bot", F.col("unique_users") >= 2)
+    return small_profile(c(spark, sf)).withColumn("is_bot", F.col("unique_users") >= 2)
 
 
 def deeply_labelled(spark, sf) -> DataFrame:
-    """The learned labels of view A's locations, at the production sizes of every model."""
-    g = a(spark, sf).keep()
+    """The learned labels of view C's locations, at the production sizes of every model."""
+    g = c(spark, sf).keep()
     out = profile.basic(g)
     parts = (
         profile.hourly_density(g, out), profile.time_of_day(g), profile.protocol(g), profile.burst(g), profile.coordination(g), profile.yearly(g),
@@ -596,16 +601,16 @@ OTHERS = {
         sql=qa() + "SELECT geo_location, event_id FROM log ORDER BY md5('42:' || event_id::VARCHAR), event_id LIMIT 500"),
     "stat_geographic": Query(
         lambda s, d: reporting.geographic(labelled(s, d), 3), "country", "locations downloads", "bot_percent",
-        qa(*LABEL_CTES) + "SELECT country, count(*) AS locations, sum(total_downloads) AS downloads, 100 * avg(is_bot::INT) AS bot_percent FROM labels GROUP BY 1 HAVING count(*) >= 3"),
+        qc(*LABEL_CTES) + "SELECT country, count(*) AS locations, sum(total_downloads) AS downloads, 100 * avg(is_bot::INT) AS bot_percent FROM labels GROUP BY 1 HAVING count(*) >= 3"),
     "stat_yearly_by_label": Query(
-        lambda s, d: reporting.yearly_by_label(annotate.annotate(view_a(s, d), labelled(s, d))), "label", "yr downloads", "share",
-        qa(*LABEL_CTES) + """SELECT year(ts) AS yr, CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS label, count(*) AS downloads,
+        lambda s, d: reporting.yearly_by_label(annotate.annotate(view_c(s, d), labelled(s, d))), "label", "yr downloads", "share",
+        qc(*LABEL_CTES) + """SELECT year(ts) AS yr, CASE WHEN is_bot THEN 'bot' WHEN is_hub THEN 'hub' ELSE 'organic' END AS label, count(*) AS downloads,
           count(*) / sum(count(*)) OVER (PARTITION BY year(ts)) AS share FROM log LEFT JOIN labels USING (geo_location) GROUP BY 1, 2"""),
     "stat_top_locations": Query(
         lambda s, d: reporting.top_locations(labelled(s, d), "is_organic", 5), LOC, "total_downloads",
-        sql=qa(*LABEL_CTES) + "SELECT geo_location, total_downloads FROM labels WHERE is_organic ORDER BY total_downloads DESC, geo_location LIMIT 5"),
+        sql=qc(*LABEL_CTES) + "SELECT geo_location, total_downloads FROM labels WHERE is_organic ORDER BY total_downloads DESC, geo_location LIMIT 5"),
     "sample_per_location": Query(lambda s, d: ordered.sampled(a(s, d), 20), LOC, "event_id", sql=qa(q.sampled(20)) + "SELECT geo_location, event_id FROM sampled"),
-    "ml_anomaly": Query(lambda s, d: models.add_anomaly(small_profile(s, d), ["unique_users", "downloads_per_user", "hourly_entropy", "working_hours_ratio"]), f"{LOC} is_anomaly", "", "anomaly_score"),
+    "ml_anomaly": Query(lambda s, d: models.add_anomaly(small_profile(c(s, d)), ["unique_users", "downloads_per_user", "hourly_entropy", "working_hours_ratio"]), f"{LOC} is_anomaly", "", "anomaly_score"),
     "ml_deep": Query(deeply_labelled, f"{LOC} behavior_type is_bot is_hub is_organic", "total_downloads", "vae_score dif_score temporal_anomaly_score prob_organic prob_bot prob_hub classification_confidence"),
     "pipeline_rules": Query(lambda s, d: pipeline.classify_by_rules(pipeline.location_profile(view_a(s, d))), f"{LOC} behavior_type automation_category is_bot is_hub is_organic", "total_downloads", "user_entropy weekly_autocorr peer_similarity"),
 }

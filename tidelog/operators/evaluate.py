@@ -67,7 +67,7 @@ def agreement(rows: DataFrame, a: str = "truth", b: str = "predicted") -> DataFr
 
 
 def mcnemar(rows: DataFrame, a: str, b: str, truth: str = "truth") -> DataFrame:
-    """One row: outcomes of two methods against the truth, and chi-squared with continuity correction."""
+    """One row: outcomes of two methods against the truth, chi-squared with continuity correction, and its p-value."""
     right_a, right_b = F.col(a) == F.col(truth), F.col(b) == F.col(truth)
     out = rows.agg(
         F.count_if(right_a & right_b).alias("both_right"),
@@ -77,7 +77,23 @@ def mcnemar(rows: DataFrame, a: str, b: str, truth: str = "truth") -> DataFrame:
     )
     off = F.abs(F.col("only_a") - F.col("only_b")) - 1
     n = F.col("only_a") + F.col("only_b")
-    return out.withColumn("chi2", F.coalesce(F.try_divide((F.greatest(off, F.lit(0)) * F.greatest(off, F.lit(0))).cast("double"), n), F.lit(0.0)))
+    out = out.withColumn("chi2", F.coalesce(F.try_divide((F.greatest(off, F.lit(0)) * F.greatest(off, F.lit(0))).cast("double"), n), F.lit(0.0)))
+    return out.withColumn("p_value", upper_tail(F.col("chi2")))
+
+
+def upper_tail(chi2: Column, terms: int = 200) -> Column:
+    """Upper tail of chi-squared with one degree of freedom: one less the error function at sqrt(chi2 / 2).
+
+    The function's series of positive terms converges within double precision up to 36; beyond,
+    the tail is below it and 0 to ten places and more.
+    """
+    half = F.least(chi2 / 2, F.lit(36.0))
+    begin = F.struct(F.sqrt(half).alias("term"), F.sqrt(half).alias("sum"))
+    grow = lambda s, i: s["term"] * 2 * half / (2 * i + 1)
+    total = F.aggregate(
+        F.sequence(F.lit(1), F.lit(terms)), begin, lambda s, i: F.struct(grow(s, i).alias("term"), (s["sum"] + grow(s, i)).alias("sum")), lambda s: s["sum"]
+    )
+    return F.greatest(1 - 2 / math.sqrt(math.pi) * F.exp(-half) * total, F.lit(0.0))
 
 
 def p_value(chi2: float) -> float:

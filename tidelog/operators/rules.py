@@ -159,7 +159,7 @@ def ground_truth(df: DataFrame) -> DataFrame:
         ((u >= 1000) & (d <= 50) & (w <= 0.3), "bot", 0.90, "users>=1000 dpu<=50 working<=0.3"),
         ((u <= 5) & (d >= 1000), "hub", 0.95, "users<=5 dpu>=1000"),
         ((u <= 20) & (d >= 500), "hub", 0.90, "users<=20 dpu>=500"),
-        (u.between(10, 200) & (d >= 200) & (t >= 100000) & (w >= 0.2), "hub", 0.85, "users 10-200 dpu>=200 total>=100000"),
+        (u.between(10, 200) & (d >= 200) & (t >= 100000) & (w >= 0.2), "hub", 0.85, "users 10-200 dpu>=200 total>=100000 working>=0.2"),
         ((u <= 3) & (d <= 20) & (w >= 0.4), "organic", 0.95, "users<=3 dpu<=20 working>=0.4"),
         (u.between(3, 30) & d.between(5, 100) & (w >= 0.35), "organic", 0.90, "users 3-30 dpu 5-100 working>=0.35"),
         ((u <= 5) & (d <= 50) & (n <= 0.3), "organic", 0.85, "users<=5 dpu<=50 night<=0.3"),

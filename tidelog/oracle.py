@@ -84,23 +84,39 @@ base_behavior AS (SELECT *, (regularity_score > (SELECT quantile_cont(regularity
     (weekend_ratio < 0.15)::INT::DOUBLE AS is_weekday_biased, (file_diversity_ratio < 0.1)::INT::DOUBLE AS is_single_file,
     (downloads_per_session > (SELECT quantile_cont(downloads_per_session, 0.75) FROM bb))::INT::DOUBLE AS is_bursty FROM bb)"""
 
-#: Labels of the location profile by the live rules; bounds on counts are divided by 20 for the small fixture.
-LABELS = """prof AS (SELECT b.*, working_hours_ratio, night_activity_ratio, hourly_entropy, interval_cv, regularity_score
-  FROM basic b LEFT JOIN tod USING (geo_location) LEFT JOIN base_behavior USING (geo_location)),
+#: Labels of the location profile by the live rules.
+LABELS = """conc AS (SELECT geo_location, CASE WHEN count(*) > 1 THEN CASE WHEN stddev_samp(users) > 0 THEN avg(users) / stddev_samp(users) ELSE 0 END END AS user_coordination_score FROM hours GROUP BY 1),
+prof AS (SELECT b.*, working_hours_ratio, night_activity_ratio, hourly_entropy, interval_cv, regularity_score, user_coordination_score
+  FROM basic b LEFT JOIN tod USING (geo_location) LEFT JOIN base_behavior USING (geo_location) LEFT JOIN conc USING (geo_location)),
 l1 AS (SELECT *, CASE
     WHEN regularity_score >= 0.7 OR (working_hours_ratio <= 0.25 AND night_activity_ratio >= 0.35)
-      OR downloads_per_user >= 500 * f OR (unique_users >= 1000 * f AND downloads_per_user <= 50 * f) THEN 'automated'
+      OR (user_coordination_score >= 0.6 AND unique_users >= 100)
+      OR downloads_per_user >= 500 OR (unique_users >= 1000 AND downloads_per_user <= 50) THEN 'automated'
     WHEN (working_hours_ratio >= 0.4 AND regularity_score <= 0.6) OR interval_cv >= 0.7
-      OR (unique_users <= 50 * f AND downloads_per_user BETWEEN 1 * f AND 200 * f) THEN 'organic'
-    WHEN unique_users <= 100 THEN 'organic' ELSE 'automated' END AS behavior_type FROM prof, (SELECT {factor} AS f)),
+      OR (unique_users <= 50 AND downloads_per_user BETWEEN 1 AND 200) THEN 'organic'
+    WHEN unique_users <= 100 THEN 'organic' ELSE 'automated' END AS behavior_type FROM prof),
 l2 AS (SELECT *, CASE WHEN behavior_type <> 'automated' THEN NULL
-    WHEN (downloads_per_user >= 500 * f AND unique_users <= 100 * f)
-      OR (total_downloads >= 100000 * f AND downloads_per_user BETWEEN 50 * f AND 500 * f AND working_hours_ratio >= 0.25)
-      OR (unique_users <= 10 * f AND regularity_score >= 0.7 AND downloads_per_user BETWEEN 20 * f AND 500 * f)
-      OR (unique_users <= 5 * f AND regularity_score >= 0.6 AND downloads_per_user >= 50 * f) THEN 'legitimate_automation'
-    WHEN (unique_users >= 1000 * f AND downloads_per_user <= 50 * f) OR (unique_users >= 10000 * f AND downloads_per_user <= 10 * f)
-      OR (night_activity_ratio >= 0.5 AND unique_users >= 500 * f AND working_hours_ratio <= 0.2) THEN 'bot'
+    WHEN (downloads_per_user >= 500 AND unique_users <= 100)
+      OR (total_downloads >= 100000 AND downloads_per_user BETWEEN 50 AND 500 AND working_hours_ratio >= 0.25)
+      OR (unique_users <= 10 AND regularity_score >= 0.7 AND downloads_per_user BETWEEN 20 AND 500)
+      OR (unique_users <= 5 AND regularity_score >= 0.6 AND downloads_per_user >= 50) THEN 'legitimate_automation'
+    WHEN (unique_users >= 1000 AND downloads_per_user <= 50) OR (unique_users >= 10000 AND downloads_per_user <= 10)
+      OR (night_activity_ratio >= 0.5 AND unique_users >= 500 AND working_hours_ratio <= 0.2) THEN 'bot'
     WHEN unique_users > 500 AND downloads_per_user < 100 THEN 'bot' WHEN downloads_per_user >= 100 THEN 'legitimate_automation'
     ELSE 'bot' END AS automation_category FROM l1),
 labels AS (SELECT *, coalesce(automation_category = 'bot', false) AS is_bot,
     coalesce(automation_category = 'legitimate_automation', false) AS is_hub, behavior_type = 'organic' AS is_organic FROM l2)"""
+
+#: Reference labels by ordered heuristics: the number of the first that holds, and what it stands for.
+GROUND_TRUTH = """chain AS (SELECT geo_location, unique_users AS u, downloads_per_user AS d, total_downloads AS t, working_hours_ratio AS w, night_activity_ratio AS n FROM basic JOIN tod USING (geo_location)),
+truth AS (SELECT geo_location, x.label AS ground_truth_label, x.sure AS ground_truth_confidence, x.why AS ground_truth_criteria FROM (SELECT geo_location, CASE
+    WHEN u >= 10000 AND d <= 10 THEN {'label': 'bot', 'sure': 0.99, 'why': 'users>=10000 dpu<=10'}
+    WHEN u >= 5000 AND d <= 25 THEN {'label': 'bot', 'sure': 0.95, 'why': 'users>=5000 dpu<=25'}
+    WHEN u >= 1000 AND d <= 50 AND w <= 0.3 THEN {'label': 'bot', 'sure': 0.90, 'why': 'users>=1000 dpu<=50 working<=0.3'}
+    WHEN u <= 5 AND d >= 1000 THEN {'label': 'hub', 'sure': 0.95, 'why': 'users<=5 dpu>=1000'}
+    WHEN u <= 20 AND d >= 500 THEN {'label': 'hub', 'sure': 0.90, 'why': 'users<=20 dpu>=500'}
+    WHEN u BETWEEN 10 AND 200 AND d >= 200 AND t >= 100000 AND w >= 0.2 THEN {'label': 'hub', 'sure': 0.85, 'why': 'users 10-200 dpu>=200 total>=100000 working>=0.2'}
+    WHEN u <= 3 AND d <= 20 AND w >= 0.4 THEN {'label': 'organic', 'sure': 0.95, 'why': 'users<=3 dpu<=20 working>=0.4'}
+    WHEN u BETWEEN 3 AND 30 AND d BETWEEN 5 AND 100 AND w >= 0.35 THEN {'label': 'organic', 'sure': 0.90, 'why': 'users 3-30 dpu 5-100 working>=0.35'}
+    WHEN u <= 5 AND d <= 50 AND n <= 0.3 THEN {'label': 'organic', 'sure': 0.85, 'why': 'users<=5 dpu<=50 night<=0.3'}
+    ELSE {'label': 'uncertain', 'sure': 0.0, 'why': ''} END AS x FROM chain))"""
