@@ -8,9 +8,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.functions.columns import gini, haversine, rank_percent, short_number
+from tidelog.functions.columns import gini, haversine, short_number
 from tidelog.grains import Grains
 from tidelog.operators import ordered, profile, reporting, rules
+from tidelog.operators.order import rank_percent
 from tidelog.schema import LogSchema, canonical, get_schema, override
 
 START = datetime(2024, 1, 1)

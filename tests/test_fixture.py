@@ -63,7 +63,7 @@ def test_cleaning_and_evaluation_have_something_to_decide(result):
 
 def test_patterns_each_decide_some_location(spark):
     """Every pattern that a profile can meet is the only one of its kind for some location, or meets one at least."""
-    rows = catalog.labelled(spark, "/root/testdata/sf0.01").persist()
+    rows = catalog.labelled(catalog.c(spark, "/root/testdata/sf0.01")).persist()
     for section in rules.TAXONOMY.values():
         for kind in section.values():
             for spec in kind["patterns"]:

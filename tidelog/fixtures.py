@@ -86,7 +86,7 @@ FROM (
   SELECT *, CAST(floor((q - head) / rate) AS BIGINT) + CASE WHEN head > 0 THEN 1 ELSE 0 END AS slot FROM (
     SELECT k.*, o.o_orderkey, CAST(floor(o.o_orderkey / 15000) AS BIGINT) AS block, o.o_orderkey * 64 + j AS event_id,
            ((o.o_orderkey % 15000 - k.low) * k.copies + j) % k.places AS part, CAST(floor(((o.o_orderkey % 15000 - k.low) * k.copies + j) / k.places) AS BIGINT) AS q
-    FROM {{orders}} o
+    FROM (SELECT {{H}} o_orderkey FROM {{orders}}) o
     JOIN (SELECT * FROM (VALUES {_values(KINDS_C)}) AS v(id, low, high, copies, places, users, first_hour, hours, days, rate, head, methods, datasets, files)) k
       ON o.o_orderkey % 15000 >= k.low AND o.o_orderkey % 15000 < k.high
     JOIN {{R}} ON j < k.copies
@@ -99,8 +99,8 @@ JOIN (VALUES {_values(enumerate(ENDINGS_C))}) AS e(place, ending) ON e.place = x
 
 TABLES = ("events", "nation", "lineitem", "orders", "customer")
 _START = "2021-01-04 00:00:00"
-_DUCK = {"S": "VARCHAR", "N": "TIMESTAMP", "A": f"TIMESTAMP '{_START}' + to_seconds(", "Z": ")", "R": "(SELECT range AS j FROM range(64)) r"} | {t: t for t in TABLES}
-_SPARK = {"S": "STRING", "N": "TIMESTAMP_NTZ", "A": "timestampadd(SECOND, ", "Z": f", TIMESTAMP_NTZ '{_START}')", "R": "(SELECT id AS j FROM range(64)) r"}
+_DUCK = {"S": "VARCHAR", "N": "TIMESTAMP", "A": f"TIMESTAMP '{_START}' + to_seconds(", "Z": ")", "R": "(SELECT range AS j FROM range(64)) r", "H": ""} | {t: t for t in TABLES}
+_SPARK = {"S": "STRING", "N": "TIMESTAMP_NTZ", "A": "timestampadd(SECOND, ", "Z": f", TIMESTAMP_NTZ '{_START}')", "R": "(SELECT id AS j FROM range(64)) r", "H": "/*+ REPARTITION(32) */"}
 
 #: One month with a fine clock, protocols and files; CTE named log.
 LOG_A = f"log AS ({_A.format(**_DUCK)})"

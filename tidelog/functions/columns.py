@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPSILON = 1e-10
@@ -59,18 +59,6 @@ def gini(sorted_values: Column) -> Column:
     return F.when((n > 1) & (total > 0), 2 * ranked / (n * total) - (n + 1) / n).otherwise(0.5)
 
 
-def rank_percent(df: DataFrame, value: str, out: str) -> DataFrame:
-    """df with the average rank of each value as a part of all rows.
-
-    Only distinct values with their counts are ordered as a whole.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    below = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    whole = F.sum("_n").over(Window.partitionBy(F.lit(0)))
-    ranks = counts.select(value, ((F.coalesce(below, F.lit(0)) + (F.col("_n") + 1) / 2) / whole).alias(out))
-    return df.join(ranks, value, "left")
-
-
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = 6371.0) -> Column:
     """Great-circle distance in kilometres."""
     a, b, c, d = (F.radians(x.cast("double")) for x in (lat1, lon1, lat2, lon2))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.order import rank_percent, running
 
 # Countries by region; all others are Other.
 REGIONS = {
@@ -73,21 +74,16 @@ def dataset_counts(events: DataFrame) -> DataFrame:
 
 
 def _ranked(counts: DataFrame, value: str) -> DataFrame:
-    """Each distinct value with its number n, the values and their sum up to and with it, and totals.
-
-    Only distinct values are ordered as a whole, so the one task that does
-    it sees far fewer rows than there are items.
-    """
+    """Each distinct value with its number n, the values and their sum up to and with it, and totals."""
     kinds = counts.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(0))
-    return kinds.select(
+    found = running(kinds.withColumn("nx", F.col("n") * F.col("x")), "x", ["n", "nx"])
+    return found.select(
         "x",
         "n",
-        F.sum("n").over(upto).alias("count"),
-        F.sum(F.col("n") * F.col("x")).over(upto).alias("sum"),
-        F.sum("n").over(every).alias("all_count"),
-        F.sum(F.col("n") * F.col("x")).over(every).alias("all_sum"),
+        (F.col("n_before") + F.col("n")).alias("count"),
+        (F.col("nx_before") + F.col("nx")).alias("sum"),
+        F.col("n_all").alias("all_count"),
+        F.col("nx_all").alias("all_sum"),
     )
 
 
@@ -115,13 +111,15 @@ def concentration(counts: DataFrame, value: str = "downloads") -> DataFrame:
 
 def lorenz(counts: DataFrame, value: str = "downloads", points: int = 101) -> DataFrame:
     """The Lorenz curve at evenly spaced shares of items, linear between them."""
-    r = _ranked(counts, value).withColumn("k", F.lit(points - 1))
-    place = F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i")
-    r = r.select("*", place).withColumn("items", F.col("i") / F.col("k") * F.col("all_count"))
-    inside = (F.col("items") > F.col("count") - F.col("n")) & (F.col("items") <= F.col("count")) | ((F.col("i") == 0) & (F.col("count") == F.col("n")))
-    below = F.col("sum") - F.col("n") * F.col("x")
-    part = (below + (F.col("items") - (F.col("count") - F.col("n"))) * F.col("x")) / F.col("all_sum")
-    return r.where(inside).select((F.col("i") / F.col("k")).alias("item_share"), part.alias("download_share"))
+    k = points - 1
+    r = _ranked(counts, value).withColumn("past", F.col("count") - F.col("n"))
+    # The points i with past < i / k * all_count <= count, in whole numbers; the first value has point 0 too.
+    first = F.when(F.col("past") == 0, F.lit(0)).otherwise(F.floor(F.col("past") * k / F.col("all_count")) + 1).cast("long")
+    last = F.floor(F.col("count") * k / F.col("all_count")).cast("long")
+    r = r.withColumn("first", first).withColumn("last", last).where("first <= last").withColumn("i", F.explode(F.sequence("first", "last")))
+    items = F.col("i") / F.lit(k) * F.col("all_count")
+    part = (F.col("sum") - F.col("n") * F.col("x") + (items - F.col("past")) * F.col("x")) / F.col("all_sum")
+    return r.select((F.col("i") / F.lit(k)).alias("item_share"), part.alias("download_share"))
 
 
 def rank_frequency(counts: DataFrame, k: int = 100, value: str = "downloads") -> DataFrame:
@@ -200,8 +198,6 @@ def reuse_correlation(counts: DataFrame, citations: DataFrame) -> DataFrame:
 
     counts has accession and downloads, citations accession and citations.
     """
-    from tidelog.functions.columns import rank_percent
-
     rows = counts.join(citations, "accession").withColumn("reuse", F.greatest(F.col("citations") - 1, F.lit(0)))
     rows = rank_percent(rank_percent(rows, "downloads", "rd"), "reuse", "rr")
     used = F.when(F.col("reuse") > 0, F.log10("reuse"))

@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelog.operators.order import exact_quantiles
+from tidelog.storage import settled
+
 CLASSES = ("bot", "hub", "organic")
 LOC = "geo_location"
 
@@ -144,5 +147,7 @@ def impact(labelled: DataFrame) -> DataFrame:
 
 
 def confidence_quantiles(labelled: DataFrame, column: str = "classification_confidence") -> DataFrame:
-    q = F.percentile(column, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-    return labelled.groupBy(unified(labelled).alias("label")).agg(F.avg(column).alias("mean"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"))
+    """(label, mean, q25, q50, q75) of a column."""
+    rows = settled(labelled.select(unified(labelled).alias("label"), F.col(column).alias("x")))
+    found = exact_quantiles(rows, "x", [0.25, 0.5, 0.75], ["label"]).select("label", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q25", "q50", "q75"))])
+    return rows.groupBy("label").agg(F.avg("x").alias("mean")).join(F.broadcast(found), "label", "left")

@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from tidelog.operators.order import quantiles_of
 from tidelog.sources.readers import sample_exact
+from tidelog.storage import settled
 
 LOC = "geo_location"
 EULER = 0.5772156649015329
@@ -135,7 +137,8 @@ def add_anomaly(df: DataFrame, columns: list[str], contamination: float = 0.15,
         return df.withColumn("anomaly_score", F.lit(0.0)).withColumn("is_anomaly", F.lit(False))
     forest = IsolationForest.fit(x, trees, seed=seed)
     scored = _scored(df, columns, forest.score, "_s")
-    offset = scored.agg(F.percentile("_s", F.lit(1 - contamination)).alias("cut")).first()["cut"]
+    scored = settled(scored)
+    ((offset,),) = quantiles_of(scored, {"_s": [1 - contamination]}).values()
     out = scored.withColumn("anomaly_score", F.coalesce(F.col("_s") - offset, F.lit(0.0))).drop("_s")
     return out.withColumn("is_anomaly", F.col("anomaly_score") > 0)
 

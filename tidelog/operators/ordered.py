@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.columns import EPSILON, ratio, seconds_between
 from tidelog.grains import Grains
+from tidelog.operators.order import quantiles_of
+from tidelog.storage import settled
 
 LOC = "geo_location"
 SESSION_GAP = 1800
@@ -216,17 +218,17 @@ def base_behavior(g: Grains, most: int = 50) -> DataFrame:
     runs = sessions(g).groupBy(LOC).agg(F.count(F.lit(1)).alias("num_sessions"))
     out = week.join(gaps, LOC, "left").join(files, LOC, "left").join(runs, LOC, "left")
     out = out.withColumn("downloads_per_session", F.col("n") / F.col("num_sessions"))
-    tops = out.agg(F.percentile("regularity_score", F.lit(0.75)).alias("_r"), F.percentile("downloads_per_session", F.lit(0.75)).alias("_d"))
-    out = out.join(F.broadcast(tops))
+    out = settled(out)
+    ((regular,), (busy,)) = quantiles_of(out, {"regularity_score": [0.75], "downloads_per_session": [0.75]}).values()
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return out.withColumns(
         {
-            "is_mechanical": flag(F.col("regularity_score") > F.col("_r")),
+            "is_mechanical": flag(F.col("regularity_score") > F.lit(regular)),
             "is_weekday_biased": flag(F.col("weekend_ratio") < 0.15),
             "is_single_file": flag(F.col("file_diversity_ratio") < 0.1),
-            "is_bursty": flag(F.col("downloads_per_session") > F.col("_d")),
+            "is_bursty": flag(F.col("downloads_per_session") > F.lit(busy)),
         }
-    ).drop("n", "_r", "_d")
+    ).drop("n")
 
 
 def weekly_autocorrelation(g: Grains) -> DataFrame:

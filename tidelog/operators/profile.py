@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.columns import EPSILON, clip, dense_entropy, rank_percent, ratio
+from tidelog.functions.columns import EPSILON, clip, dense_entropy, ratio
 from tidelog.grains import Grains
+from tidelog.operators.order import exact_quantiles, quantiles_of, rank_percent
 from tidelog.schema import LogSchema
+from tidelog.storage import settled
 
 LOC = "geo_location"
 
@@ -149,17 +151,20 @@ def protocol(g: Grains) -> DataFrame:
 
 def user_distribution(g: Grains) -> DataFrame:
     """How a location's events spread over its users."""
+    # Users of as many events are alike: a location has as many rows as there are different numbers, and m users each.
+    rows = g.users.groupBy(LOC, "n").agg(F.count(F.lit(1)).alias("m"))
     mine = Window.partitionBy(LOC)
-    rows = g.users.withColumn("total", F.sum("n").over(mine)).withColumn("kinds", F.count(F.lit(1)).over(mine))
-    rows = rows.withColumn("p", F.col("n") / F.col("total"))
-    rows = rows.withColumn("place", F.row_number().over(mine.orderBy(F.col("n").desc(), "usr")))
-    power = F.col("place") <= F.greatest(F.col("kinds") * 0.1, F.lit(1.0))
+    rows = rows.withColumn("total", F.sum(F.col("n") * F.col("m")).over(mine)).withColumn("kinds", F.sum("m").over(mine))
+    more = mine.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("above", F.coalesce(F.sum("m").over(more), F.lit(0)))
+    p = F.col("n") / F.col("total")
+    top = F.floor(F.greatest(F.col("kinds") * 0.1, F.lit(1.0)))
     found = rows.groupBy(LOC).agg(
-        (-F.sum(F.col("p") * F.log2(F.col("p") + EPSILON))).alias("user_entropy"),
-        (F.count_if(F.col("n") == 1) / F.count(F.lit(1))).alias("single_download_user_ratio"),
-        F.sum(F.when(power, F.col("p")).otherwise(0.0)).alias("power_user_ratio"),
-        # The same order gives each value its rank from below, so no array of users is built.
-        F.sum(F.col("n") * (F.col("kinds") + 1 - F.col("place"))).alias("ranked"),
+        (-F.sum(F.col("m") * p * F.log2(p + EPSILON))).alias("user_entropy"),
+        (F.sum(F.when(F.col("n") == 1, F.col("m")).otherwise(0)) / F.first("kinds")).alias("single_download_user_ratio"),
+        F.sum(F.least(F.greatest(top - F.col("above"), F.lit(0)), F.col("m")) * p).alias("power_user_ratio"),
+        # The m users hold the places above + 1 to above + m; from below that is a sum of an arithmetic series.
+        F.sum(F.col("n") * (F.col("m") * (F.col("kinds") + 1 - F.col("above")) - (F.col("m") * (F.col("m") + 1) / 2).cast("long"))).alias("ranked"),
         F.first("total").alias("total"),
         F.first("kinds").alias("kinds"),
     )
@@ -361,21 +366,22 @@ def comparative(profile: DataFrame) -> DataFrame:
     spike_ratio and years_before_latest. Deciles have exact edges, equal
     edges fall together, and bins are closed on the right.
     """
-    mine = Window.partitionBy("country")
-    sd = F.stddev_samp("downloads_per_user").over(mine)
-    rows = profile.withColumn(
-        "country_zscore",
-        F.coalesce(F.when(sd > 0, (F.col("downloads_per_user") - F.avg("downloads_per_user").over(mine)) / sd), F.lit(0.0)),
-    )
+    needed = ("country", "downloads_per_user", "unique_users", "total_downloads", "spike_ratio", "years_before_latest")
+    profile = settled(profile.select(LOC, *needed))
+    # A country's locations aren't brought together: its mean and deviation are joined back, also for those of no country.
+    own = profile.groupBy("country").agg(F.avg("downloads_per_user").alias("_m"), F.stddev_samp("downloads_per_user").alias("_s"))
+    own = own.select(F.col("country").alias("_country"), "_m", "_s")
+    rows = profile.join(own, F.col("country").eqNullSafe(F.col("_country")), "left")
+    rows = rows.withColumn("country_zscore", F.coalesce(F.when(F.col("_s") > 0, (F.col("downloads_per_user") - F.col("_m")) / F.col("_s")), F.lit(0.0)))
+    rows = rows.drop("_country", "_m", "_s")
     past = F.col("years_before_latest")
     rows = rows.withColumn(
         "temporal_trend_anomaly", F.when(past > 0, F.log1p("spike_ratio") / F.log1p(past + 1)).otherwise(0.0)
     )
-    edges = profile.agg(F.array_distinct(F.percentile("unique_users", F.array(*[F.lit(i / 10) for i in range(11)]))).alias("edges"))
-    rows = rows.join(F.broadcast(edges))
-    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    rows = rows.withColumn("bin", F.size(F.filter(inner, lambda e: F.col("unique_users") > e)))
-    peers = rows.groupBy("bin").agg(F.median("downloads_per_user").alias("peer"))
+    edges = quantiles_of(profile, {"unique_users": [i / 10 for i in range(11)]})["unique_users"]
+    inner = sorted(set(edges) - {None})[1:-1]
+    rows = rows.withColumn("bin", sum(((F.col("unique_users") > e).cast("int") for e in inner), F.lit(0)))
+    peers = exact_quantiles(rows, "downloads_per_user", [0.5], ["bin"]).select("bin", F.get("q", F.lit(0)).alias("peer"))
     rows = rows.join(F.broadcast(peers), "bin")
     rows = rows.withColumn("peer_similarity", 1 / (1 + F.abs(F.col("downloads_per_user") - F.col("peer")) / (F.col("peer") + 1)))
     rows = rank_percent(rows, "total_downloads", "global_rank_percentile")

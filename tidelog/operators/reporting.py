@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.columns import haversine, latitude, longitude, short_number
 from tidelog.operators.analytics import known_country
+from tidelog.operators.order import exact_quantiles
+from tidelog.storage import settled
 
 LOC = "geo_location"
 
@@ -17,20 +19,19 @@ def feature_statistics(profile: DataFrame, columns: list[str]) -> DataFrame:
     has_bot = "is_bot" in profile.columns
     bot = F.col("is_bot") if has_bot else F.lit(False)
     names = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]))
-    rows = profile.select(bot.alias("bot"), names.alias("f")).select("bot", "f.*")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy("feature").agg(
+    rows = settled(profile.select(bot.alias("bot"), names.alias("f")).select("bot", "f.*"))
+    quartiles = exact_quantiles(rows, "x", [0.25, 0.5, 0.75], ["feature"])
+    quartiles = quartiles.select("feature", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q25", "median", "q75"))])
+    found = rows.groupBy("feature").agg(
         F.count("x").alias("n"),
         F.avg("x").alias("mean"),
         F.stddev_samp("x").alias("sd"),
         F.min("x").alias("least"),
-        q[0].alias("q25"),
-        q[1].alias("median"),
-        q[2].alias("q75"),
         F.max("x").alias("top"),
         F.avg(F.when(F.col("bot"), F.col("x"))).alias("bot_mean"),
         F.avg(F.when(~F.col("bot"), F.col("x"))).alias("other_mean"),
     )
+    return found.join(F.broadcast(quartiles), "feature", "left")
 
 
 def correlations(profile: DataFrame, columns: list[str], label: str = "is_bot") -> DataFrame:

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.columns import EPSILON, clip
+from tidelog.operators.order import quantiles_of
+from tidelog.storage import settled
 
 
 def _scaled(df: DataFrame, columns: list[str]) -> DataFrame:
     """Each column between its 1st and 99th percentile, as _<name>; 0 where they are equal."""
-    ends = df.agg(*[F.percentile(c, F.array(F.lit(0.01), F.lit(0.99))).alias(f"_q_{c}") for c in columns])
-    out = df.join(F.broadcast(ends))
-    for c in columns:
-        low, high = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
-        value = F.when(high - low > EPSILON, clip((F.col(c) - low) / (high - low), 0.0, 1.0)).otherwise(0.0)
-        out = out.withColumn(f"_{c}", F.coalesce(value, F.lit(0.0))).drop(f"_q_{c}")
-    return out
+    ends = quantiles_of(df, {c: [0.01, 0.99] for c in columns})
+    for c, (low, high) in ends.items():
+        wide = low is not None and high - low > EPSILON
+        df = df.withColumn(f"_{c}", F.coalesce(clip((F.col(c) - low) / (high - low), 0.0, 1.0), F.lit(0.0)) if wide else F.lit(0.0))
+    return df
 
 
 def composite(profile: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def composite(profile: DataFrame) -> DataFrame:
     one, so it is cut at one. geographic_stability is 0.5 for all.
     """
     scaled = ["file_exploration_score", "bot_farm_score", "file_mirroring_score", "user_authenticity_score", "persistence_score"]
-    df = _scaled(profile, scaled).withColumn("geographic_stability", F.lit(0.5))
+    df = _scaled(settled(profile), scaled).withColumn("geographic_stability", F.lit(0.5))
     bad = (
         0.25 * F.col("_file_exploration_score")
         + 0.30 * F.col("_bot_farm_score")
@@ -68,35 +68,34 @@ def interaction(profile: DataFrame) -> DataFrame:
     if has_anomaly:
         df = df.withColumn("anomaly_dl_interaction", anomaly * dpu)
     tops = ["dl_user_per_log_users", "download_concentration"]
-    ends = df.agg(*[F.percentile(c, F.lit(0.95)).alias(f"_p_{c}") for c in tops])
-    df = df.join(F.broadcast(ends))
+    df = settled(df)
+    ends = {c: q for c, (q,) in quantiles_of(df, {c: [0.95] for c in tops}).items()}
     parts = [(0.3, "dl_user_per_log_users"), (0.25, "user_scarcity_score"), (0.25, "download_concentration")]
-    total, weights = F.lit(0.0), F.lit(0.0)
+    total, weights = F.lit(0.0), 0.0
     for weight, name in parts:
-        if name in tops:
-            usable = F.col(f"_p_{name}") > EPSILON
-            total += F.when(usable, weight * clip(F.col(name) / F.col(f"_p_{name}"), 0.0, 1.0)).otherwise(0.0)
-            weights += F.when(usable, weight).otherwise(0.0)
-        else:
+        if name not in tops:
             total, weights = total + weight * F.col(name), weights + weight
+        elif (ends[name] or 0.0) > EPSILON:
+            total, weights = total + weight * clip(F.col(name) / ends[name], 0.0, 1.0), weights + weight
     if has_anomaly:
         total, weights = total + 0.2 * anomaly, weights + 0.2
-    return df.withColumn("bot_composite_score", total / weights).drop(*[f"_p_{c}" for c in tops])
+    return df.withColumn("bot_composite_score", total / weights)
 
 
 def signature(profile: DataFrame) -> DataFrame:
     """Stand-ins for request-level signals, from aggregate columns, added to profile."""
     users, dpu, work = F.col("unique_users"), F.col("downloads_per_user"), F.col("working_hours_ratio")
-    whole = profile.agg(F.max("unique_users").alias("_top"), F.median("downloads_per_user").alias("_mid"))
-    df = profile.join(F.broadcast(whole))
+    df = settled(profile)
+    ((top,), (mid,)) = quantiles_of(df, {"unique_users": [1.0], "downloads_per_user": [0.5]}).values()
+    top, mid = F.lit(top), F.lit(mid)
     return df.withColumns(
         {
             "access_regularity": 1.0 / (F.col("hourly_entropy") + 0.1),
             "ua_per_user": 1.0 / (users / (F.col("total_downloads") + 1) + 0.01),
             "request_velocity": F.col("total_downloads") / (work * 24 * 7 + 1),
-            "ip_concentration": 1.0 - F.log1p(users) / F.log1p(F.col("_top") + 1),
-            "session_anomaly": F.abs(dpu - F.col("_mid")) / (F.col("_mid") + 1),
+            "ip_concentration": 1.0 - F.log1p(users) / F.log1p(top + 1),
+            "session_anomaly": F.abs(dpu - mid) / (mid + 1),
             "request_pattern_anomaly": 1.0 / (dpu / (F.log1p(users) + 1) + 0.1),
             "weekend_weekday_imbalance": F.abs(work - 0.5),
         }
-    ).drop("_top", "_mid")
+    )

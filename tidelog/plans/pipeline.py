@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tidelog.grains import Grains
 from tidelog.operators import models, ordered, profile, rules, scores
 from tidelog.operators.annotate import annotate
+from tidelog.operators.order import quantiles_of
 from tidelog.schema import LogSchema, canonical, get_schema
+from tidelog.storage import settled
 
 LOC = "geo_location"
 #: A plug-in takes the profile so far, the events and the schema, and returns the profile widened.
@@ -66,14 +68,15 @@ def location_profile(events: DataFrame, schema: LogSchema | None = None, deep: b
     out = _defaulted(out)
     out = _defaulted(out.join(profile.comparative(out), LOC, "left"))
     if deep:
-        top = out.agg(F.percentile("burst_pattern_score", F.lit(0.75)).alias("_b"), F.percentile("user_coordination_score", F.lit(0.75)).alias("_c"))
-        out = out.join(F.broadcast(top)).withColumns(
+        out = settled(out)
+        ((burst,), (together,)) = quantiles_of(out, {"burst_pattern_score": [0.75], "user_coordination_score": [0.75]}).values()
+        out = out.withColumns(
             {
-                "is_bursty_advanced": (F.col("burst_pattern_score") > F.col("_b")).cast("int"),
-                "is_coordinated": (F.col("user_coordination_score") > F.col("_c")).cast("int"),
+                "is_bursty_advanced": (F.col("burst_pattern_score") > F.lit(burst)).cast("int"),
+                "is_coordinated": (F.col("user_coordination_score") > F.lit(together)).cast("int"),
                 "is_nocturnal": (F.col("night_ratio_advanced") > 0.25).cast("int"),
             }
-        ).drop("_b", "_c")
+        )
         out = scores.composite(out)
     for plug_in in extra:
         out = plug_in(out, events, schema)
