@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.columns import gini, haversine, short_number
 from tidelog.grains import Grains
-from tidelog.operators import ordered, profile, reporting, rules
+from tidelog.operators import ordered, profile, proximity, rules
 from tidelog.operators.order import rank_percent
 from tidelog.schema import LogSchema, canonical, get_schema, override
 
@@ -188,7 +188,7 @@ def test_haversine(spark):
 
 def test_proximity_does_not_cross_countries(spark):
     df = spark.createDataFrame([("0,0", "A", 9), ("0,0.05", "A", 5), ("0,0.04", "B", 7), ("x", "A", 1)], "geo_location string, country string, total_downloads long")
-    groups = {(r["geo_location"], r["country"]): r["group"] for r in reporting.proximity_groups(df).collect()}
+    groups = {(r["geo_location"], r["country"]): r["group"] for r in proximity.proximity_groups(df).collect()}
     assert groups[("0,0.05", "A")] == "0,0"
     assert groups[("0,0.04", "B")] == "0,0.04"
     assert groups[("x", "A")] == "x"

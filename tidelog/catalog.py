@@ -17,10 +17,10 @@ from tidelog import oracle as q
 from tidelog.fixtures import LOG_A, LOG_B, LOG_C, view_a, view_b, view_c
 
 from tidelog.grains import Grains
-from tidelog.operators import analytics, annotate, evaluate, models, ordered, profile, reporting, rules, scores
+from tidelog.operators import analytics, annotate, evaluate, models, ordered, profile, proximity, reporting, rules, scores
 from tidelog.plans import pipeline
 from tidelog.sources import readers
-from tidelog.storage import tabled
+from tidelog.storage import settled, tabled
 
 
 LOC = "geo_location"
@@ -186,8 +186,8 @@ def q_region() -> str:
 
 
 def spatial(spark, sf):
-    places = view_c(spark, sf).groupBy(LOC, "country").agg(F.count(F.lit(1)).alias("total_downloads"))
-    return places
+    """Places of view C's log with their events."""
+    return settled(view_c(spark, sf).groupBy(LOC, "country").agg(F.count(F.lit(1)).alias("total_downloads")))
 
 
 def datasets(spark, sf) -> DataFrame:
@@ -574,10 +574,18 @@ EVALUATION = {
         + """SELECT 'total_downloads' AS a, 'total_downloads' AS b, corr(x, x) AS correlation FROM p UNION ALL SELECT 'total_downloads', 'hourly_entropy', corr(x, y) FROM p UNION ALL SELECT 'total_downloads', 'working_hours_ratio', corr(x, z) FROM p
           UNION ALL SELECT 'hourly_entropy', 'hourly_entropy', corr(y, y) FROM p UNION ALL SELECT 'hourly_entropy', 'working_hours_ratio', corr(y, z) FROM p UNION ALL SELECT 'working_hours_ratio', 'working_hours_ratio', corr(z, z) FROM p"""),
     "geo_near_pairs": Query(
-        lambda s, d: reporting.near_pairs(spatial(s, d), 120.0, 1.1), "a b", "", "km",
+        lambda s, d: proximity.near_pairs(spatial(s, d), 120.0), "a b", "", "km",
         qc("p AS (SELECT DISTINCT geo_location AS g, country, radians(split_part(geo_location, ',', 1)::DOUBLE) AS la, radians(split_part(geo_location, ',', 2)::DOUBLE) AS lo FROM log), j AS (SELECT x.g AS a, y.g AS b, 2 * 6371.0 * asin(sqrt(least(1, sin((y.la - x.la) / 2) ** 2 + cos(x.la) * cos(y.la) * sin((y.lo - x.lo) / 2) ** 2))) AS km FROM p x JOIN p y ON x.country = y.country AND x.g < y.g)")
         + "SELECT * FROM j WHERE km <= 120"),
-    "geo_proximity_groups": Query(lambda s, d: reporting.proximity_groups(spatial(s, d), 120.0), f"{LOC} country group"),
+    "geo_proximity_groups": Query(
+        lambda s, d: proximity.proximity_groups(spatial(s, d)).withColumnRenamed("group", "first_place"), f"{LOC} country first_place",
+        sql="WITH RECURSIVE" + qc("""places AS (SELECT geo_location AS g, country, radians(split_part(geo_location, ',', 1)::DOUBLE) AS la, radians(split_part(geo_location, ',', 2)::DOUBLE) AS lo,
+            row_number() OVER (PARTITION BY country ORDER BY count(*) DESC, geo_location) AS i FROM log GROUP BY geo_location, country),
+          -- One place after the other: it joins the first start within reach, or is a start itself.
+          step(country, i, starts, g, first_place) AS (SELECT country, 0::BIGINT, []::STRUCT(g VARCHAR, la DOUBLE, lo DOUBLE)[], NULL::VARCHAR, NULL::VARCHAR FROM places GROUP BY country
+            UNION ALL SELECT country, i, CASE WHEN hit IS NULL THEN list_append(starts, {'g': g, 'la': la, 'lo': lo}) ELSE starts END, g, coalesce(hit, g) FROM (
+              SELECT s.country, p.i, s.starts, p.g, p.la, p.lo, list_filter(s.starts, lambda x: 2 * 6371.0 * asin(sqrt(least(1, sin((p.la - x.la) / 2) ** 2 + cos(x.la) * cos(p.la) * sin((p.lo - x.lo) / 2) ** 2))) <= 10)[1].g AS hit
+              FROM step s JOIN places p ON p.country IS NOT DISTINCT FROM s.country AND p.i = s.i + 1))""").removeprefix("WITH") + "SELECT g AS geo_location, country, first_place FROM step WHERE i > 0"),
 }
 
 

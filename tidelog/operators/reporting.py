@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.columns import haversine, latitude, longitude, short_number
+from tidelog.functions.columns import short_number
 from tidelog.operators.analytics import known_country
 from tidelog.operators.order import exact_quantiles
 from tidelog.storage import settled
@@ -96,49 +95,6 @@ def top_locations(labelled: DataFrame, flag: str, k: int = 20) -> DataFrame:
     return labelled.where(F.col(flag)).orderBy(F.col("total_downloads").desc(), LOC).limit(k)
 
 
-def proximity_groups(locations: DataFrame, km: float = 10.0) -> DataFrame:
-    """(geo_location, group): places of a country within reach of a group's first place join it.
-
-    Places are taken by most events, then name; the first that no group
-    reaches starts one. Places that can't be parsed are groups of their own.
-    A country's places are bounded by the grid of locations, not by the log.
-    """
-    rows = locations.select(LOC, "country", "total_downloads", latitude(F.col(LOC)).alias("lat"), longitude(F.col(LOC)).alias("lon"))
-
-    def group(part: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        part = part.sort_values(["total_downloads", LOC], ascending=[False, True], kind="stable").reset_index(drop=True)
-        lat, lon = np.radians(part["lat"].to_numpy(dtype=float)), np.radians(part["lon"].to_numpy(dtype=float))
-        owner = np.full(len(part), -1)
-        for i in range(len(part)):
-            if owner[i] >= 0:
-                continue
-            owner[i] = i
-            h = np.sin((lat - lat[i]) / 2) ** 2 + np.cos(lat) * np.cos(lat[i]) * np.sin((lon - lon[i]) / 2) ** 2
-            near = 2 * 6371.0 * np.arcsin(np.sqrt(np.clip(h, 0, 1))) <= km
-            owner[near & (owner < 0)] = i
-        return pd.DataFrame({LOC: part[LOC], "country": part["country"], "group": part[LOC].to_numpy()[owner]})
-
-    return rows.groupBy("country").applyInPandas(group, f"{LOC} string, country string, group string")
-
-
-def near_pairs(locations: DataFrame, km: float = 10.0, cell: float = 0.25) -> DataFrame:
-    """(a, b, km) of places of a country within reach, by grid cells and their neighbours.
-
-    cell degrees of latitude must cover the distance; cells of longitude widen
-    towards the poles, where the distance covers more degrees.
-    """
-    rows = locations.select(LOC, "country", latitude(F.col(LOC)).alias("lat"), longitude(F.col(LOC)).alias("lon")).where("lat IS NOT NULL AND lon IS NOT NULL")
-    row = F.floor(F.col("lat") / cell)
-    rows = rows.withColumn("r", row)
-    near = rows.withColumn("r", F.explode(F.array(row - 1, row, row + 1)))
-    a, b = rows.alias("a"), near.alias("b")
-    distance = haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    pairs = a.join(b, (F.col("a.country") == F.col("b.country")) & (F.col("a.r") == F.col("b.r")) & (F.col(f"a.{LOC}") < F.col(f"b.{LOC}")))
-    return pairs.select(F.col(f"a.{LOC}").alias("a"), F.col(f"b.{LOC}").alias("b"), distance.alias("km")).where(F.col("km") <= km)
-
-
 def text_report(labelled: DataFrame, title: str = "Location report") -> str:
     """A short report from a few small aggregates."""
     total = labelled.agg(F.count(F.lit(1)).alias("n"), F.sum("total_downloads").alias("d")).first()
