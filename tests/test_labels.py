@@ -119,8 +119,45 @@ def test_isolation_forest_ranks_planted_outliers_first(spark):
     df = spark.createDataFrame([(f"L{i}", *map(float, v)) for i, v in enumerate(x)], "geo_location string, a double, b double, c double")
     out = models.add_anomaly(df, ["a", "b", "c"], 0.05, trees=60).orderBy(F.col("anomaly_score").desc()).limit(2).collect()
     assert {r["geo_location"] for r in out} == {"L400", "L401"}
-    again = models.add_anomaly(df, ["a", "b", "c"], 0.05, trees=60).orderBy(F.col("anomaly_score").desc()).limit(2).collect()
+    again = models.add_anomaly(df.repartition(7, "a"), ["a", "b", "c"], 0.05, trees=60).orderBy(F.col("anomaly_score").desc()).limit(2).collect()
     assert [r["anomaly_score"] for r in out] == [r["anomaly_score"] for r in again]
+    assert models.add_anomaly(df, ["a", "b", "c"], 0.05, trees=60).where("is_anomaly").count() == 21
+
+
+def test_deep_isolation_ranks_planted_outliers_first_on_any_partitioning(spark):
+    # The odd ones keep within the range of each column, but not to the ring.
+    rng = np.random.default_rng(3)
+    turn = rng.uniform(0, 2 * np.pi, 500)
+    x = np.vstack([np.c_[np.cos(turn), np.sin(turn)] * 5 + rng.normal(size=(500, 2)) * 0.2, [[0.0, 0.1], [9.0, 9.0]]])
+    df = spark.createDataFrame([(f"L{i}", *map(float, v)) for i, v in enumerate(x)], "geo_location string, a double, b double")
+    got = {r["geo_location"]: r["dif_score"] for r in models.add_isolation(df, ["a", "b"], networks=8, trees=25).collect()}
+    assert set(sorted(got, key=got.get)[-2:]) == {"L500", "L501"} and min(got.values()) == 0 and max(got.values()) == 1
+    again = models.add_isolation(df.repartition(9, "b"), ["a", "b"], networks=8, trees=25).collect()
+    assert {r["geo_location"]: r["dif_score"] for r in again} == got
+
+
+def test_locations_are_dealt_to_trees_by_hashes(spark):
+    from tidelog.operators import isolation
+
+    for n, size in ((50, 64), (300, 256), (3000, 64), (60_000, 32)):
+        rows = spark.range(n).select(F.concat(F.lit("L"), "id").alias("geo_location"), F.array(F.col("id").cast("double")).alias("x"))
+        found = isolation.dealt(rows, 20, size, 1).groupBy("tree").agg(F.count_distinct("geo_location").alias("k"), F.count(F.lit(1)).alias("n"), F.avg(F.col("x")[0]).alias("m")).collect()
+        assert len(found) == 20 and all(r["k"] == r["n"] for r in found)
+        assert all(min(n, size) * 0.85 <= r["n"] <= size or r["n"] == n for r in found)
+        assert abs(np.mean([r["m"] for r in found]) - n / 2) < n / 8
+
+
+def test_a_tree_isolates_as_its_cuts_say():
+    from tidelog.operators import isolation
+
+    x = np.random.default_rng(0).normal(size=(64, 3))
+    feature, cut, upper = isolation.grow(x, np.random.default_rng(1))
+    forest = isolation.Forest(isolation.Networks(np.zeros(0), np.ones(0), 0, 0), [(feature, cut, upper, 64)])
+    for row, got in zip(x, forest.score(x), strict=True):
+        at = 0
+        while feature[at] >= 0:
+            at = at + 1 if row[feature[at]] < cut[at] else upper[at]
+        assert got == pytest.approx(2 ** (-cut[at] / float(isolation.path_length(64))))
 
 
 def test_autoencoder_tells_seeds_from_others():
@@ -179,6 +216,18 @@ def test_exact_sample(spark):
     assert readers.sample_exact(df, 1000, ["id"]).count() == 100
 
 
+def test_exact_sample_of_half_a_table_equals_a_sort(spark, monkeypatch):
+    df = spark.range(20_000).select((F.col("id") % 15_000).alias("id"), F.lit("x").alias("_hash"))
+    want = sorted(r["id"] for r in df.orderBy(F.md5(F.concat_ws(":", F.lit("42"), F.col("id").cast("string"))), "id").limit(10_000).collect())
+    for signs, cell in ((3, 100_000), (1, 50), (2, 1), (3, 0)):
+        monkeypatch.setattr(readers, "SIGNS", signs)
+        monkeypatch.setattr(readers, "CELL", cell)
+        got = readers.sample_exact(df, 10_000, ["id"])
+        assert got.columns == df.columns
+        assert sorted(r["id"] for r in got.collect()) == want
+    assert readers.sample_exact(df, 0, ["id"]).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["hours", "sessions"])
 def test_stream_equals_batch(spark, tmp_path, kind):
     from tidelog.fixtures import view_a

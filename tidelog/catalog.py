@@ -593,23 +593,29 @@ def judged_flag(spark, sf) -> DataFrame:
     return small_profile(c(spark, sf)).withColumn("is_bot", F.col("unique_users") >= 2)
 
 
-def deeply_labelled(spark, sf) -> DataFrame:
-    """The learned labels of view C's locations, at the production sizes of every model."""
-    g = c(spark, sf).keep()
+def wide_profile(g: Grains) -> DataFrame:
+    """Locations with every column that the models read."""
     out = profile.basic(g)
     parts = (
         profile.hourly_density(g, out), profile.time_of_day(g), profile.protocol(g), profile.burst(g), profile.coordination(g), profile.yearly(g),
-        profile.recency(g), profile.user_distribution(g), ordered.session_behavior(g),
+        profile.recency(g), profile.user_distribution(g), ordered.session_behavior(g), ordered.timing_precision(g), profile.outburst(g),
+        ordered.weekly_autocorrelation(g), profile.trend(g), profile.shape(g),
     )
     for part in parts:
-        out = out.join(part, LOC)
-    return pipeline.classify_deep(out.persist(), g.bucket("month"))
+        out = out.join(part, LOC, "left")
+    return settled(out)
+
+
+def deeply_labelled(spark, sf) -> DataFrame:
+    """The learned labels of view C's locations, at the production sizes of every model."""
+    g = c(spark, sf)
+    return pipeline.classify_deep(wide_profile(g), g.bucket("month"))
 
 
 OTHERS = {
     "sample_exact": Query(
-        lambda s, d: readers.sample_exact(view_a(s, d), 500, ["event_id"]), LOC, "event_id",
-        sql=qa() + "SELECT geo_location, event_id FROM log ORDER BY md5('42:' || event_id::VARCHAR), event_id LIMIT 500"),
+        lambda s, d: readers.sample_exact(view_a(s, d), 5000, ["event_id"]), LOC, "event_id",
+        sql=qa() + "SELECT geo_location, event_id FROM log ORDER BY md5('42:' || event_id::VARCHAR), event_id LIMIT 5000"),
     "stat_geographic": Query(
         lambda s, d: reporting.geographic(labelled(c(s, d)), 3), "country", "locations downloads", "bot_percent",
         qc(*LABEL_CTES) + "SELECT country, count(*) AS locations, sum(total_downloads) AS downloads, 100 * avg(is_bot::INT) AS bot_percent FROM labels GROUP BY 1 HAVING count(*) >= 3"),
@@ -621,7 +627,7 @@ OTHERS = {
         lambda s, d: reporting.top_locations(labelled(c(s, d)), "is_organic", 5), LOC, "total_downloads",
         sql=qc(*LABEL_CTES) + "SELECT geo_location, total_downloads FROM labels WHERE is_organic ORDER BY total_downloads DESC, geo_location LIMIT 5"),
     "sample_per_location": Query(lambda s, d: ordered.sampled(a(s, d), 20), LOC, "event_id", sql=qa(q.sampled(20)) + "SELECT geo_location, event_id FROM sampled"),
-    "ml_anomaly": Query(lambda s, d: models.add_anomaly(small_profile(c(s, d)), ["unique_users", "downloads_per_user", "hourly_entropy", "working_hours_ratio"]), f"{LOC} is_anomaly", "", "anomaly_score"),
+    "ml_anomaly": Query(lambda s, d: pipeline.with_anomaly(wide_profile(c(s, d))), f"{LOC} is_anomaly", "", "anomaly_score"),
     "ml_deep": Query(deeply_labelled, f"{LOC} behavior_type is_bot is_hub is_organic", "total_downloads", "vae_score dif_score temporal_anomaly_score prob_organic prob_bot prob_hub classification_confidence"),
     "pipeline_rules": Query(lambda s, d: pipeline.classify_by_rules(pipeline.location_profile(view_a(s, d))), f"{LOC} behavior_type automation_category is_bot is_hub is_organic", "total_downloads", "user_entropy weekly_autocorr peer_similarity"),
 }

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
+from tidelog.operators import isolation
 from tidelog.operators.order import quantiles_of
 from tidelog.sources.readers import sample_exact
 from tidelog.storage import settled
 
 LOC = "geo_location"
-EULER = 0.5772156649015329
 
 
 def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,108 +51,33 @@ class Scaler:
         return (x - self.mean) / self.sd
 
 
-def path_length(n) -> np.ndarray:
-    """Mean depth at which a search among n random points ends."""
-    n = np.asarray(n, dtype=float)
-    full = 2 * (np.log(np.maximum(n - 1, 1)) + EULER) - 2 * (n - 1) / np.maximum(n, 1)
-    return np.where(n > 2, full, np.where(n == 2, 1.0, 0.0))
+def _isolated(df: DataFrame, columns: list[str], out: str, **forest) -> DataFrame:
+    """(geo_location, out): isolation scores of all locations, computed once."""
+    rows = settled(numeric(df.select(LOC, *columns), columns))
+    found = isolation.fit(rows.select(LOC, F.array(*columns).alias("x")), **forest)
+    return settled(isolation.scores(rows, columns, found, out).select(LOC, out))
 
 
-@dataclass(frozen=True)
-class IsolationForest:
-    """Random trees as flat arrays, a row a tree; a leaf has feature -1 and its depth in value."""
-
-    scaler: Scaler
-    feature: np.ndarray
-    value: np.ndarray
-    child: np.ndarray
-    size: int
-
-    @classmethod
-    def fit(cls, x: np.ndarray, trees: int = 200, size: int = 256, seed: int = 42) -> IsolationForest:
-        scaler = Scaler.fit(x)
-        x, draw = scaler(x), np.random.default_rng(seed)
-        size = min(size, len(x))
-        limit = max(1, math.ceil(math.log2(max(size, 2))))
-        built = []
-        for _ in range(trees):
-            nodes: list[tuple[int, float, int]] = []
-            todo = [(x[draw.choice(len(x), size, replace=False)], 0, -1)]
-            while todo:
-                rows, depth, parent = todo.pop()
-                at = len(nodes)
-                if parent >= 0 and nodes[parent][2] < 0:
-                    nodes[parent] = (*nodes[parent][:2], at)
-                spread = np.nonzero(rows.max(axis=0) > rows.min(axis=0))[0] if len(rows) > 1 else []
-                if depth >= limit or not len(spread):
-                    nodes.append((-1, depth + float(path_length(len(rows))), -1))
-                    continue
-                f = int(draw.choice(spread))
-                cut = float(draw.uniform(rows[:, f].min(), rows[:, f].max()))
-                low = rows[:, f] < cut
-                nodes.append((f, cut, -1))
-                # The lower child follows at once, the upper one where child says.
-                todo += [(rows[~low], depth + 1, at), (rows[low], depth + 1, -2)]
-            built.append(nodes)
-        width = max(map(len, built))
-        flat = np.array([n + [(-1, 0.0, -1)] * (width - len(n)) for n in built], dtype=float)
-        return cls(scaler, flat[..., 0].astype(np.int32), flat[..., 1], flat[..., 2].astype(np.int32), size)
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """0 to 1, higher for points that few cuts set apart."""
-        x = self.scaler(x)
-        depth = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, value, child in zip(self.feature, self.value, self.child, strict=True):
-            at = np.zeros(len(x), dtype=np.int64)
-            while True:
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
-                f = np.where(inner, feature[at], 0)
-                low = x[rows, f] < value[at]
-                at = np.where(inner, np.where(low, at + 1, child[at]), at)
-            depth += value[at]
-        return 2.0 ** (-(depth / len(self.feature)) / max(float(path_length(self.size)), 1e-9))
-
-
-def _scored(df: DataFrame, columns: list[str], score, out: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(score)
-
-    @pandas_udf("double")
-    def run(*parts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value(np.column_stack([p.to_numpy(dtype=float) for p in parts])))
-
-    rows = numeric(df.select(LOC, *columns), columns).select(LOC, run(*columns).alias(out))
-    return df.join(rows, LOC, "left")
-
-
-def add_anomaly(df: DataFrame, columns: list[str], contamination: float = 0.15, trees: int = 200, sample: int = 50_000, seed: int = 42) -> DataFrame:
+def add_anomaly(df: DataFrame, columns: list[str], contamination: float = 0.15, trees: int = 200, size: int = 256, seed: int = 42) -> DataFrame:
     """anomaly_score, above 0 for the most isolated part of all locations, and is_anomaly.
 
-    The forest fits on a sample; the cut-off is a quantile over every location.
+    Each tree sees size locations, drawn by hashes over all of them; the
+    cut-off is an exact quantile over every location.
     """
-    x, _ = matrix(df, columns, sample, seed)
-    if not len(x):
-        return df.withColumn("anomaly_score", F.lit(0.0)).withColumn("is_anomaly", F.lit(False))
-    forest = IsolationForest.fit(x, trees, seed=seed)
-    scored = _scored(df, columns, forest.score, "_s")
-    scored = settled(scored)
+    scored = _isolated(df, columns, "_s", trees=trees, size=size, seed=seed)
     ((offset,),) = quantiles_of(scored, {"_s": [1 - contamination]}).values()
-    out = scored.withColumn("anomaly_score", F.coalesce(F.col("_s") - offset, F.lit(0.0))).drop("_s")
+    out = df.join(scored, LOC, "left").withColumn("anomaly_score", F.coalesce(F.col("_s") - F.lit(offset), F.lit(0.0))).drop("_s")
     return out.withColumn("is_anomaly", F.col("anomaly_score") > 0)
 
 
-def add_isolation(df: DataFrame, columns: list[str], trees: int = 200, sample: int = 50_000, seed: int = 7, out: str = "dif_score") -> DataFrame:
-    """Isolation scores brought to 0..1 over all locations; the forest fits on a sample."""
-    x, _ = matrix(df, columns, sample, seed)
-    if not len(x):
-        return df.withColumn(out, F.lit(0.0))
-    forest = IsolationForest.fit(x, trees, seed=seed)
-    scored = _scored(df, columns, forest.score, "_s")
+def add_isolation(
+    df: DataFrame, columns: list[str], networks: int = 50, trees: int = 100, size: int = 256, seed: int = 7, out: str = "dif_score"
+) -> DataFrame:
+    """Isolation scores on random networks of the columns, trees for each of networks, brought to 0..1 over all locations."""
+    scored = _isolated(df, columns, "_s", trees=networks * trees, size=size, networks=networks, seed=seed)
     ends = scored.agg(F.min("_s").alias("low"), F.max("_s").alias("high")).first()
-    value = (F.col("_s") - ends["low"]) / max(ends["high"] - ends["low"], 1e-12)
-    return scored.withColumn(out, F.coalesce(value, F.lit(0.0))).drop("_s")
+    low, high = ends["low"] or 0.0, ends["high"] or 0.0
+    return df.join(scored, LOC, "left").withColumn(out, F.coalesce((F.col("_s") - low) / max(high - low, 1e-10), F.lit(0.0))).drop("_s")
 
 
 class Autoencoder:

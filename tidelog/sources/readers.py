@@ -32,10 +32,38 @@ def read_yaml(path: str) -> dict:
         return yaml.safe_load(file) or {}
 
 
+#: Signs of a hash by which rows are counted at once, and rows of a cell that are ordered.
+SIGNS, CELL = 3, 100_000
+
+
 def sample_exact(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """Exactly n rows (all where there are no more), those of lowest hash of their keys."""
+    """Exactly n rows (all where there are no more), those of lowest hash of their keys.
+
+    Rows are counted by the first signs of their hashes, and those of the
+    cell that holds the n-th again by more signs, until at most CELL rows are
+    left in it. Whole cells below are taken by a filter; only in that one
+    rows are ordered.
+    """
+    name = "_hash"
+    while name in df.columns:
+        name += "_"
     spread = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    return df.orderBy(spread, *keys).limit(n)
+    rows, prefix, left = df.withColumn(name, spread), "", n
+    while len(prefix) < 32:
+        cells = rows.where(F.col(name).startswith(prefix)).groupBy(F.substring(name, 1, len(prefix) + SIGNS).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        # At most 16 ** SIGNS rows.
+        for r in sorted(cells.collect(), key=lambda r: r["cell"]):
+            if r["n"] > left:
+                break
+            left -= r["n"]
+        else:
+            # Only the first count can come to its end: no more than n rows in all.
+            return df
+        prefix = r["cell"]
+        if r["n"] <= CELL:
+            break
+    last = rows.where(F.col(name).startswith(prefix)).orderBy(name, *keys).limit(left)
+    return rows.where(F.col(name) < prefix).unionByName(last).drop(name)
 
 
 def sample_share(df: DataFrame, share: float, seed: int = 42, most: int | None = None) -> DataFrame:
