@@ -21,10 +21,17 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
+def _unused(names: list[str], name: str) -> str:
+    """name, with underlines until no column has it in either case."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject.
 
-    A null or empty text has no feature and stays. Repeated rows are judged
+    A null text and one without words stay. Repeated rows are judged
     one by one. All columns are kept; an empty table gives no rows.
     """
     return toxicity.without_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -36,7 +43,7 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null. Of rows that repeat id and text all but one lose
     their windows. All columns are kept; an empty table gives no rows.
     """
-    return _measured(line_dedup(docs), docs.columns)
+    return _measured(line_dedup(docs, counts=tuple(_unused(docs.columns, n) for n in ("n_lines", "n_removed"))), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

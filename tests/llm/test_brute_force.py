@@ -224,6 +224,26 @@ def test_pipeline_stages_take_odd_tables(spark, tmp_path):
         assert df.where("n_tokens = 0").count() == 0 and (df.count() > 0) == bool(some)
 
 
+def test_pipeline_keeps_texts_without_words_where_most_labels_are_toxic(spark, tmp_path):
+    rng = random.Random(29)
+    texts = [sentence(rng, 60) + (" foul vile" * 10 if i < 80 else "") for i in range(100)] + [None, "", "  \n", "12 - 34", "!"]
+    df = docs(spark, texts)
+    spark.createDataFrame([(i, int(i < 80)) for i in range(100)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    model = toxicity.train(df, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    assert model.score("") >= toxicity.TOXIC
+    kept = pipeline.drop_toxic(spark, df, str(tmp_path))
+    assert kept.columns == df.columns
+    assert {r["doc_id"] for r in kept.collect()} >= {100, 101, 102, 103, 104}
+    assert kept.count() < 60
+
+
+def test_pipeline_keeps_columns_that_are_named_like_its_counts(spark, tmp_path):
+    passage = "one\ntwo\nthree\nfour"
+    df = docs(spark, [passage, passage + "\nfive"]).withColumns({c: F.lit(77) for c in ("n_lines", "N_Removed", "n_lines_")}).withColumn("n_chars", F.length("text").cast("long"))
+    rows = pipeline.cut_lines(spark, df, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r["text"], r["n_chars"], r["n_lines"], r["N_Removed"], r["n_lines_"]) for r in rows] == [(passage, 18, 77, 77, 77), ("five", 4, 77, 77, 77)]
+
+
 def test_folds_of_null_ids_are_those_of_empty_text(spark):
     df = table(spark, [(None, "a text", "en", "s"), (1, None, "en", "s")])
     got = [r["held_out"] for r in language.identify(df, ()).orderBy("doc_id").collect()]

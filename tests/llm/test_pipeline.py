@@ -27,6 +27,6 @@ def test_stages_run_and_their_decisions_take_effect(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = registry.queries()
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14))
     assert "pipeline" in names
     assert set(registry.oracle_sql()) <= set(names)

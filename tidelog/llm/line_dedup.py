@@ -47,8 +47,15 @@ def repeated_windows(docs: DataFrame, span: int, blank: bool) -> DataFrame:
     return later.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("pos")).alias("cut"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, blank: bool = False) -> DataFrame:
-    """The rows of docs with repeated passages removed, plus n_lines and n_removed.
+def line_dedup(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    span: int = SPAN,
+    blank: bool = False,
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
+) -> DataFrame:
+    """The rows of docs with repeated passages removed, plus n_lines and n_removed, by the names of counts.
 
     Lines end at newline and compare unchanged. Later occurrences in the
     same document count too. Texts of fewer than span lines stay, and so do
@@ -56,7 +63,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     0 lines. Rows that repeat an id are ordered by a hash of their text; of
     rows that repeat both, one is the first and all others lose all their
     windows. A null id comes after all others. Columns of docs keep their
-    names; n_lines and n_removed replace ones of that name in either case.
+    names; the two counts replace ones of their names in either case.
     An empty table gives no rows.
     """
     row = F.xxhash64(F.coalesce(F.col("_text"), F.lit("")))
@@ -108,9 +115,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines))
     n_left = F.aggregate(gaps, F.lit(0), lambda s, g: s + g["b"] - g["a"])
     cut_text = F.when(cut.isNull(), text).otherwise(F.array_join(left, "\n"))
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in counts}]
     return found.select(
         *[cut_text.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in kept],
-        n_lines.cast("long").alias("n_lines"),
-        F.when(cut.isNull(), 0).otherwise(n_lines - n_left).cast("long").alias("n_removed"),
+        n_lines.cast("long").alias(counts[0]),
+        F.when(cut.isNull(), 0).otherwise(n_lines - n_left).cast("long").alias(counts[1]),
     )

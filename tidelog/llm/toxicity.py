@@ -214,13 +214,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the model doesn't reject, all their columns unchanged."""
+    """The rows of docs that the model doesn't reject, all their columns unchanged.
+
+    A null text, and one without any word, tells nothing and stays, whatever the model's bias.
+    """
     from pyspark.sql.pandas.functions import pandas_udf
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @pandas_udf("double")
     def scored(text):
-        return text.map(lambda t: shared.value.score(t), na_action=None)
+        return text.map(lambda t: shared.value.score(t) if t and WORD.search(t) else 0.0, na_action=None)
 
     return docs.where(scored(docs[text_col].cast("string")) < TOXIC)
