@@ -7,6 +7,7 @@ row a location, or with Spark ML; scoring is one pass over the profile.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -163,40 +164,71 @@ def add_reconstruction(df: DataFrame, columns: list[str], seed_column: str = "or
     return df.join(found, LOC, "left")
 
 
-def fuse(df: DataFrame, columns: list[str], iterations: int = 200, depth: int = 5, seed: int = 42) -> DataFrame:
-    """prob_organic, prob_bot, prob_hub, predicted and classification_confidence.
+SEEDED = ("organic", "bot", "hub")
 
-    One boosted classifier a class learns from the weighted seeds, with a
-    sigmoid on its margin; the three are scaled to one. A class without seeds,
-    or with nothing to tell it from, has probability 0. Without any seeds all
-    rows are organic with confidence 0.
+
+def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(geo_location, _x, seeds): the columns as one vector."""
+    from pyspark.ml.feature import VectorAssembler
+
+    seeds = [f"{k}_seed" for k in SEEDED]
+    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(numeric(df, columns).select(LOC, *columns, *seeds))
+    return settled(rows.select(LOC, "_x", *seeds))
+
+
+def fit_fusion(rows: DataFrame, iterations: int = 200, depth: int = 5, seed: int = 42) -> dict[str, tuple | float]:
+    """For each class a boosted classifier of the weighted seeds and the sigmoid on its margin, or a fixed probability.
+
+    rows is what _vectors returns. A class without seeds has 0, the only one with seeds 1. The
+    classes are fitted side by side, as none of them fills a cluster.
     """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
-    kinds = ("organic", "bot", "hub")
-    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(numeric(df, columns).select(LOC, *columns, *[f"{k}_seed" for k in kinds]))
-    rows = rows.select(LOC, "_x", *[f"{k}_seed" for k in kinds]).persist()
     # A location that is a seed of two classes counts for each, as in a table of seeds.
-    seeds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"{k}_seed").alias("w")) for k in kinds]))
-    train = rows.select(LOC, "_x", seeds.alias("s")).where("s.w IS NOT NULL").select("_x", F.col("s.k").alias("k"), F.col("s.w").alias("w")).persist()
+    seeds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"{k}_seed").alias("w")) for k in SEEDED]))
+    train = settled(rows.select("_x", seeds.alias("s")).where("s.w IS NOT NULL").select("_x", F.col("s.k").alias("k"), F.col("s.w").alias("w")))
     have = {r["k"] for r in train.groupBy("k").count().collect()}
-    scored = rows.select(LOC, "_x")
-    for kind in kinds:
-        if kind not in have or len(have) < 2:
-            p = 1.0 if kind in have else 0.0
-            scored = scored.withColumn(f"prob_{kind}", F.lit(p))
-            continue
+
+    def one(kind):
         own = train.withColumn("y", (F.col("k") == kind).cast("double"))
         gbt = GBTClassifier(
             featuresCol="_x", labelCol="y", weightCol="w", maxIter=iterations, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, minInstancesPerNode=10, seed=seed, predictionCol="_y"
         )
         gbt = gbt.setRawPredictionCol("_raw").setProbabilityCol("_p").fit(own)
         sigmoid = LogisticRegression(featuresCol="_raw", labelCol="y", weightCol="w", probabilityCol="_q", rawPredictionCol="_r2", predictionCol="_y2", regParam=1e-3)
-        platt = sigmoid.fit(gbt.transform(own))
+        return gbt, sigmoid.fit(gbt.transform(own))
+
+    if len(have) < 2:
+        return {k: float(k in have) for k in SEEDED}
+    with ThreadPoolExecutor(len(SEEDED)) as pool:
+        return dict(zip(SEEDED, pool.map(lambda k: one(k) if k in have else 0.0, SEEDED), strict=True))
+
+
+def fusion_importances(fitted: dict[str, tuple | float], columns: list[str]) -> dict[str, float]:
+    """Importance of each column in the boosted classifiers, their mean over classes, the greatest first."""
+    own = [m[0].featureImportances.toArray() for m in fitted.values() if isinstance(m, tuple)]
+    mean = np.mean(own, axis=0) if own else np.zeros(len(columns))
+    return dict(sorted(zip(columns, map(float, mean), strict=True), key=lambda x: (-x[1], x[0])))
+
+
+def fuse(df: DataFrame, columns: list[str], iterations: int = 200, depth: int = 5, seed: int = 42) -> DataFrame:
+    """prob_organic, prob_bot, prob_hub, predicted and classification_confidence.
+
+    One boosted classifier a class learns from the weighted seeds, with a
+    sigmoid on its margin; the three are scaled to one. A class without seeds,
+    or with nothing to tell it from, has probability 0. Without any seeds all
+    rows are organic with confidence 0.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    kinds, rows = SEEDED, _vectors(df, columns)
+    scored = rows.select(LOC, "_x")
+    for kind, model in fit_fusion(rows, iterations, depth, seed).items():
+        if isinstance(model, float):
+            scored = scored.withColumn(f"prob_{kind}", F.lit(model))
+            continue
         keep = [c for c in scored.columns]
-        scored = platt.transform(gbt.transform(scored)).select(*keep, vector_to_array("_q")[1].alias(f"prob_{kind}"))
+        scored = model[1].transform(model[0].transform(scored)).select(*keep, vector_to_array("_q")[1].alias(f"prob_{kind}"))
     whole = sum((F.col(f"prob_{k}") for k in kinds), F.lit(0.0))
     scored = scored.withColumn("_w", whole).withColumns({f"prob_{k}": F.when(F.col("_w") > 0, F.col(f"prob_{k}") / F.col("_w")).otherwise(0.0) for k in kinds})
     top = F.greatest(*[F.col(f"prob_{k}") for k in kinds])
