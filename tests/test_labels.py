@@ -160,12 +160,84 @@ def test_a_tree_isolates_as_its_cuts_say():
         assert got == pytest.approx(2 ** (-cut[at] / float(isolation.path_length(64))))
 
 
-def test_autoencoder_tells_seeds_from_others():
+def vectors(spark, x, w=None):
+    return spark.createDataFrame([(f"L{i}", list(map(float, v)), 1.0 if w is None else float(w[i])) for i, v in enumerate(x)], "geo_location string, x array<double>, w double")
+
+
+def test_autoencoder_tells_seeds_from_others(spark):
+    from tidelog.operators import autoencoder
+
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 2)) @ rng.normal(size=(2, 8))
-    model = models.Autoencoder(8).fit(base, np.ones(300), epochs=100)
+    net = autoencoder.fit(vectors(spark, base), epochs=60, rate=5e-3)
     odd = rng.normal(size=(50, 8)) * 3
-    assert np.median(model.error(odd)) > 2 * np.median(model.error(base))
+    assert np.median(net.error(odd)) > 2 * np.median(net.error(base))
+    got = {r["geo_location"]: r for r in autoencoder.judged(vectors(spark, odd), net).collect()}
+    assert np.allclose([got[f"L{i}"]["error"] for i in range(50)], net.error(odd))
+    assert np.allclose([got[f"L{i}"]["latents"] for i in range(50)], net.latents(odd))
+
+
+def test_autoencoder_is_the_same_in_one_task_and_in_many(spark, monkeypatch):
+    from tidelog.operators import autoencoder
+
+    rng = np.random.default_rng(4)
+    rows = vectors(spark, rng.normal(size=(600, 5)), rng.random(600))
+    monkeypatch.setattr(autoencoder, "MEET", 3)
+    for dropout in (0.0, 0.1):
+        one, many = (autoencoder.fit(rows.repartition(k), epochs=4, dropout=dropout) for k in (1, 7))
+        assert all(np.allclose(one.weights[k], many.weights[k], rtol=0, atol=1e-9) for k in one.weights)
+
+
+def test_autoencoder_slopes_are_those_of_the_loss():
+    from tidelog.operators import autoencoder
+
+    rng = np.random.default_rng(5)
+    p, x, w = autoencoder.begin(4, 1), rng.normal(size=(9, 4)), rng.random(9)
+    noise, masks = autoencoder.chances(np.arange(9), 3, 1, 0.1)
+    _, slopes = autoencoder.sums(p, x, w, noise, masks, 0.3)
+    for k in p:
+        for at in [(0, 0), (1, 2), (-1, 1)]:
+            other = [{**p, k: p[k].copy()} for _ in range(2)]
+            for q, off in zip(other, (1e-6, -1e-6), strict=True):
+                q[k][at] += off
+            up, down = (autoencoder.sums(q, x, w, noise, masks, 0.3)[0] for q in other)
+            assert (up - down) / 2e-6 == pytest.approx(slopes[k][at], rel=1e-4, abs=1e-6)
+
+
+def test_areas_equal_comparisons_of_all_pairs(spark):
+    from tidelog.operators import importance
+
+    rng = np.random.default_rng(6)
+    rows_ = [(int(k), float(s), bool(y)) for k in range(3) for s, y in zip(np.round(rng.random(80), 1 + k), rng.random(80) < 0.3, strict=True)] + [(9, 0.5, True)]
+    got = {r["k"]: r["auc"] for r in importance.areas(spark.createDataFrame(rows_, "k int, s double, y boolean"), "k", "s", "y").collect()}
+    for k in range(3):
+        p, n = ([s for q, s, y in rows_ if q == k and y == want] for want in (True, False))
+        assert got[k] == pytest.approx(np.mean([(a > b) + (a == b) / 2 for a in p for b in n]))
+    assert got[9] is None
+
+
+def test_shuffling_deals_each_value_once(spark):
+    from tidelog.operators import importance
+
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.concat(F.lit("L"), F.floor(F.col("id") / 3)).alias("geo_location"), F.col("id").alias("v"))
+    got = importance.shuffled(df, "k", "v", 1).collect()
+    own = {(r["k"], r["geo_location"]): r["v"] for r in df.collect()}
+    assert sorted(r["v"] for r in got) == list(range(3000)) and len({(r["k"], r["geo_location"]) for r in got}) == 3000
+    assert all(r["v"] % 3 == r["k"] for r in got)
+    assert sum(own[r["k"], r["geo_location"]] == r["v"] for r in got) < 20
+
+
+def test_permutation_importances_find_the_column_that_decides(spark):
+    from tidelog.operators import importance
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 3))
+    df = spark.createDataFrame([(f"L{i}", *map(float, v), bool(v[1] > 0.3)) for i, v in enumerate(x)], "geo_location string, a double, b double, c double, is_bot boolean")
+    found = {r["feature"]: r["importance"] for r in importance.by_permutation(df, ["a", "b", "c"], rounds=3, trees=20, depth=4).collect()}
+    assert found["b"] == pytest.approx(0.5, abs=0.12) and abs(found["a"]) < 0.05 and abs(found["c"]) < 0.05
+    assert next(iter(importance.surrogate(df, ["a", "b", "c"], trees=10, depth=4))) == "b"
+    none = importance.by_permutation(df.withColumn("is_bot", F.lit(True)), ["a", "b"]).collect()
+    assert [tuple(r) for r in none] == [("a", 0.0), ("b", 0.0)]
 
 
 def test_deep_pipeline_labels_planted_kinds(spark):

@@ -17,7 +17,7 @@ from tidelog import oracle as q
 from tidelog.fixtures import LOG_A, LOG_B, LOG_C, view_a, view_b, view_c
 
 from tidelog.grains import Grains
-from tidelog.operators import analytics, annotate, evaluate, models, ordered, profile, proximity, reporting, rules, scores
+from tidelog.operators import analytics, annotate, evaluate, importance, ordered, profile, proximity, reporting, rules, scores
 from tidelog.plans import pipeline
 from tidelog.sources import readers
 from tidelog.storage import settled, tabled
@@ -612,6 +612,15 @@ def deeply_labelled(spark, sf) -> DataFrame:
     return pipeline.classify_deep(wide_profile(g), g.bucket("month"))
 
 
+def important(spark, sf) -> DataFrame:
+    """(feature, gini, permutation): what the models' columns are worth for the rules' label of bots, by a surrogate forest."""
+    g = c(spark, sf)
+    rows = settled(wide_profile(g).join(labelled(g).select(LOC, "is_bot"), LOC))
+    columns = [name for name in pipeline.ANOMALY_COLUMNS if name in rows.columns]
+    gini = spark.createDataFrame(list(importance.surrogate(rows, columns).items()), "feature string, gini double")
+    return gini.join(importance.by_permutation(rows, columns).withColumnRenamed("importance", "permutation"), "feature")
+
+
 OTHERS = {
     "sample_exact": Query(
         lambda s, d: readers.sample_exact(view_a(s, d), 5000, ["event_id"]), LOC, "event_id",
@@ -628,6 +637,7 @@ OTHERS = {
         sql=qc(*LABEL_CTES) + "SELECT geo_location, total_downloads FROM labels WHERE is_organic ORDER BY total_downloads DESC, geo_location LIMIT 5"),
     "sample_per_location": Query(lambda s, d: ordered.sampled(a(s, d), 20), LOC, "event_id", sql=qa(q.sampled(20)) + "SELECT geo_location, event_id FROM sampled"),
     "ml_anomaly": Query(lambda s, d: pipeline.with_anomaly(wide_profile(c(s, d))), f"{LOC} is_anomaly", "", "anomaly_score"),
+    "ml_importances": Query(important, "feature", "", "gini permutation"),
     "ml_deep": Query(deeply_labelled, f"{LOC} behavior_type is_bot is_hub is_organic", "total_downloads", "vae_score dif_score temporal_anomaly_score prob_organic prob_bot prob_hub classification_confidence"),
     "pipeline_rules": Query(lambda s, d: pipeline.classify_by_rules(pipeline.location_profile(view_a(s, d))), f"{LOC} behavior_type automation_category is_bot is_hub is_organic", "total_downloads", "user_entropy weekly_autocorr peer_similarity"),
 }

@@ -1,24 +1,19 @@
 """Models over the location profile.
 
-Models fit on the driver from bounded samples of the profile, which has one
-row a location, or with Spark ML; scoring is one pass over the profile.
+Trees and networks are fitted in tasks, classifiers with Spark ML; scoring is
+one pass over the profile, which has one row a location.
 """
 
 from __future__ import annotations
 
-import math
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
-from tidelog.operators import isolation
-from tidelog.operators.order import quantiles_of
-from tidelog.sources.readers import sample_exact
+from tidelog.operators import autoencoder, isolation
+from tidelog.operators.order import quantiles_of, running
 from tidelog.storage import settled
 
 LOC = "geo_location"
@@ -30,28 +25,6 @@ def numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(sound(c), F.col(c).cast("double")).otherwise(0.0) for c in columns})
 
 
-def matrix(df: DataFrame, columns: list[str], most: int, seed: int = 42, also: tuple[str, ...] = ()) -> tuple[np.ndarray, pd.DataFrame]:
-    """At most so many rows, drawn by a hash of the location, as an array, and further columns."""
-    rows = sample_exact(numeric(df, columns).select(LOC, *columns, *also), most, [LOC], seed).toPandas()
-    return rows[columns].to_numpy(dtype=float), rows
-
-
-@dataclass(frozen=True)
-class Scaler:
-    """Mean and population deviation of each column; constant columns stay at 0."""
-
-    mean: np.ndarray
-    sd: np.ndarray
-
-    @classmethod
-    def fit(cls, x: np.ndarray) -> Scaler:
-        sd = x.std(axis=0)
-        return cls(x.mean(axis=0), np.where(sd > 0, sd, 1.0))
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.sd
-
-
 def _isolated(df: DataFrame, columns: list[str], out: str, **forest) -> DataFrame:
     """(geo_location, out): isolation scores of all locations, computed once."""
     rows = settled(numeric(df.select(LOC, *columns), columns))
@@ -81,86 +54,21 @@ def add_isolation(
     return df.join(scored, LOC, "left").withColumn(out, F.coalesce((F.col("_s") - low) / max(high - low, 1e-10), F.lit(0.0))).drop("_s")
 
 
-class Autoencoder:
-    """A variational autoencoder in NumPy: one hidden layer each way, Gaussian latents, Adam."""
-
-    def __init__(self, inputs: int, hidden: int = 64, latents: int = 16, seed: int = 42):
-        self.draw = np.random.default_rng(seed)
-        shapes = {"w1": (inputs, hidden), "wm": (hidden, latents), "wv": (hidden, latents), "w2": (latents, hidden), "w3": (hidden, inputs)}
-        self.p = {k: self.draw.normal(0, math.sqrt(2 / s[0]), s) * (0.1 if k == "wv" else 1.0) for k, s in shapes.items()}
-        self.p |= {"b" + k[1:]: np.zeros(s[1]) for k, s in shapes.items()}
-
-    def encode(self, x):
-        h = np.maximum(x @ self.p["w1"] + self.p["b1"], 0)
-        return h, h @ self.p["wm"] + self.p["bm"], np.clip(h @ self.p["wv"] + self.p["bv"], -8, 8)
-
-    def decode(self, z):
-        h = np.maximum(z @ self.p["w2"] + self.p["b2"], 0)
-        return h, h @ self.p["w3"] + self.p["b3"]
-
-    def fit(self, x: np.ndarray, weights: np.ndarray, epochs: int = 100, patience: int = 15, rate: float = 1e-3, decay: float = 1e-5) -> Autoencoder:
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(a) for k, a in self.p.items()}
-        best, kept, waited = math.inf, None, 0
-        w = (weights / weights.mean())[:, None]
-        for epoch in range(1, epochs + 1):
-            beta = min(1.0, epoch / 20) / x.shape[1]
-            h, mean, log_var = self.encode(x)
-            noise = self.draw.standard_normal(mean.shape)
-            sd = np.exp(log_var / 2)
-            g, out = self.decode(mean + sd * noise)
-            off = out - x
-            kl = -0.5 * (1 + log_var - mean**2 - sd**2)
-            loss = float((w * (off**2).mean(axis=1, keepdims=True)).mean() + beta * (w * kl.sum(axis=1, keepdims=True)).mean())
-            if loss < best - 1e-5:
-                best, kept, waited = loss, {k: a.copy() for k, a in self.p.items()}, 0
-            else:
-                waited += 1
-                if waited >= patience:
-                    break
-            d_out = 2 * w * off / off.size
-            d_g = (d_out @ self.p["w3"].T) * (g > 0)
-            d_z = d_g @ self.p["w2"].T
-            d_mean = d_z + beta * w * mean / len(x)
-            d_var = d_z * noise * sd / 2 + beta * w * 0.5 * (sd**2 - 1) / len(x)
-            d_h = (d_mean @ self.p["wm"].T + d_var @ self.p["wv"].T) * (h > 0)
-            slopes = {"w3": g.T @ d_out, "b3": d_out.sum(0), "w2": (mean + sd * noise).T @ d_g, "b2": d_g.sum(0)}
-            slopes |= {"wm": h.T @ d_mean, "bm": d_mean.sum(0), "wv": h.T @ d_var, "bv": d_var.sum(0), "w1": x.T @ d_h, "b1": d_h.sum(0)}
-            for k, s in slopes.items():
-                s = s + decay * self.p[k]
-                m[k], v[k] = 0.9 * m[k] + 0.1 * s, 0.999 * v[k] + 0.001 * s**2
-                self.p[k] -= rate * (m[k] / (1 - 0.9**epoch)) / (np.sqrt(v[k] / (1 - 0.999**epoch)) + 1e-8)
-        self.p = kept or self.p
-        return self
-
-    def error(self, x: np.ndarray) -> np.ndarray:
-        return ((self.decode(self.encode(x)[1])[1] - x) ** 2).mean(axis=1)
-
-
-def add_reconstruction(df: DataFrame, columns: list[str], seed_column: str = "organic_seed", least: int = 30, sample: int = 20_000, epochs: int = 100) -> DataFrame:
+def add_reconstruction(df: DataFrame, columns: list[str], seed_column: str = "organic_seed", least: int = 30, epochs: int = 100) -> DataFrame:
     """vae_score, 0 to 1 by rank among the seeds' errors, and latents; zeros with too few seeds.
 
     The model learns what organic locations look like, so high errors mark others.
     """
-    seeds = df.where(F.col(seed_column).isNotNull())
-    x, rows = matrix(seeds, columns, sample, also=(seed_column,))
-    latents = [f"latent_{i}" for i in range(16)]
-    if len(x) < least:
+    latents = [f"latent_{i}" for i in range(autoencoder.LATENTS)]
+    rows = settled(numeric(df.select(LOC, seed_column, *columns), columns).select(LOC, F.array(*columns).alias("x"), F.col(seed_column).cast("double").alias("w")))
+    seeds = rows.where("w IS NOT NULL")
+    if seeds.count() < least:
         return df.withColumns({c: F.lit(0.0) for c in ["vae_score", *latents]})
-    scaler = Scaler.fit(x)
-    model = Autoencoder(len(columns)).fit(scaler(x), rows[seed_column].to_numpy(dtype=float), epochs=epochs)
-    known = np.sort(model.error(scaler(x)))
-    shared = df.sparkSession.sparkContext.broadcast((scaler, model, known))
-
-    @pandas_udf("array<double>")
-    def run(*parts: pd.Series) -> pd.Series:
-        scale, net, errors = shared.value
-        z = np.clip(scale(np.column_stack([p.to_numpy(dtype=float) for p in parts])), -50, 50)
-        place = np.searchsorted(errors, net.error(z)) / len(errors)
-        return pd.Series(list(np.column_stack([place, net.encode(z)[1]])))
-
-    found = numeric(df.select(LOC, *columns), columns).select(LOC, run(*columns).alias("_v"))
-    found = found.select(LOC, *[F.col("_v")[i].alias(c) for i, c in enumerate(["vae_score", *latents])])
+    net = autoencoder.fit(seeds, epochs=epochs)
+    found = settled(autoencoder.judged(rows, net).join(rows.select(LOC, F.col("w").isNotNull().cast("long").alias("seed")), LOC))
+    places = running(found.groupBy("error").agg(F.sum("seed").alias("n")), "error", ["n"])
+    places = places.select("error", (F.col("n_before") / F.col("n_all")).alias("vae_score"))
+    found = found.join(places, "error").select(LOC, "vae_score", *[F.col("latents")[i].alias(c) for i, c in enumerate(latents)])
     return df.join(found, LOC, "left")
 
 
@@ -237,41 +145,6 @@ def fuse(df: DataFrame, columns: list[str], iterations: int = 200, depth: int =
     return df.join(scored, LOC, "left")
 
 
-def importances(df: DataFrame, columns: list[str], label: str = "is_bot", trees: int = 100, depth: int = 10, seed: int = 42) -> dict[str, float]:
-    """Importance of each feature in a random forest for a flag."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = numeric(df, columns).withColumn("_y", F.col(label).cast("double"))
-    rows = VectorAssembler(inputCols=columns, outputCol="_x").transform(rows).select("_x", "_y")
-    model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
-    found = model.featureImportances.toArray()
-    return dict(sorted(zip(columns, map(float, found), strict=True), key=lambda x: -x[1]))
-
-
-def permutation_importances(df: DataFrame, columns: list[str], label: str = "is_bot", rounds: int = 5, sample: int = 20_000, seed: int = 42) -> dict[str, float]:
-    """Loss of the area under the curve when a feature is shuffled, on a bounded sample."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import VectorAssembler
-
-    spark = df.sparkSession
-    x, rows = matrix(df.withColumn("_y", F.col(label).cast("double")), columns, sample, seed, also=("_y",))
-    gather = VectorAssembler(inputCols=columns, outputCol="_x")
-    frame = lambda m: gather.transform(spark.createDataFrame(pd.DataFrame(m, columns=columns).assign(_y=rows["_y"])))
-    model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=50, seed=seed).fit(frame(x))
-    area = BinaryClassificationEvaluator(labelCol="_y")
-    base, draw, out = area.evaluate(model.transform(frame(x))), np.random.default_rng(seed), {}
-    for i, c in enumerate(columns):
-        losses = []
-        for _ in range(rounds):
-            other = x.copy()
-            other[:, i] = draw.permutation(other[:, i])
-            losses.append(base - area.evaluate(model.transform(frame(other))))
-        out[c] = float(np.mean(losses))
-    return out
-
-
 def feature_usage(values: dict[str, float], behavioral: list[str], least: float = 0.7) -> dict:
     """Share of importance that behavioural features hold, and whether it is enough."""
     total = sum(values.values())
