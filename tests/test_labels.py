@@ -317,3 +317,48 @@ def test_stream_equals_batch(spark, tmp_path, kind):
     assert got and got <= want
     if kind == "hours":
         assert got == want
+
+
+def test_a_kept_log_is_profiled_without_shuffling_its_events_and_replaced_by_years(spark, tmp_path):
+    from tidelog.grains import Grains
+    from tidelog.operators import profile
+
+    events = spark.range(4000).select(
+        F.concat(F.lit("L"), F.col("id") % 9).alias("geo_location"), F.lit("A").alias("country"), F.lit("c").alias("city"), F.concat(F.lit("u"), F.col("id") % 31).alias("usr"),
+        F.concat(F.lit("d"), F.col("id") % 7).alias("accession"), F.lit("http").alias("method"), F.lit("f.raw").alias("filename"),
+        F.timestamp_add("HOUR", F.col("id") * 7, F.lit("2021-01-01").cast("timestamp_ntz")).alias("ts"), F.col("id").alias("event_id"),
+    )
+    name = "kept_log"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    try:
+        kept = readers.keep_log(events, name, buckets=4, path=str(tmp_path / name))
+        grains = Grains(kept)
+        text = grains.hour_user._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in text and "Bucketed: true" in text
+        assert rows(profile.basic(grains), "unique_users", "total_downloads", "active_hours", "unique_projects") == rows(
+            profile.basic(Grains(events)), "unique_users", "total_downloads", "active_hours", "unique_projects"
+        )
+        years = {r["y"]: r["n"] for r in kept.groupBy(F.year("ts").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        files = {y: {f for f in kept.where(F.year("ts") == y).select(F.input_file_name().alias("f")).distinct().toPandas()["f"]} for y in years}
+        # Half of one year goes, as an overwritten annotation would have it.
+        kept = readers.replace_years(kept.where("year(ts) = 2022 AND event_id % 2 = 0"), name, buckets=4)
+        after = {r["y"]: r["n"] for r in kept.groupBy(F.year("ts").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert set(after) == set(years) and 0 < after[2022] < years[2022]
+        assert all(after[y] == years[y] for y in years if y != 2022)
+        for y in years:
+            same = files[y] == {f for f in kept.where(F.year("ts") == y).select(F.input_file_name().alias("f")).distinct().toPandas()["f"]}
+            assert same == (y != 2022)
+        assert "Exchange" not in Grains(kept).hour_user._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_importances_of_the_boosted_classifiers(spark):
+    from tidelog.operators import models as m
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 2))
+    df = spark.createDataFrame([(f"L{i}", *map(float, v), 1.0 if v[1] > 0 else None, 0.7 if v[1] <= 0 else None, None) for i, v in enumerate(x)], "geo_location string, a double, b double, organic_seed double, bot_seed double, hub_seed double")
+    fitted = m.fit_fusion(m._vectors(df, ["a", "b"]), iterations=2)
+    assert fitted["hub"] == 0.0 and next(iter(m.fusion_importances(fitted, ["a", "b"]))) == "b"
+    assert m.fusion_importances({"organic": 1.0}, ["a"]) == {"a": 0.0}

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.storage import settled
+
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
@@ -110,3 +112,42 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_json(values: dict, path: str) -> None:
     with open(path, "w", encoding="utf-8") as file:
         json.dump(values, file, indent=2, default=str)
+
+
+#: The column by which a kept log is partitioned.
+YEAR = "log_year"
+
+
+def keep_log(
+    events: DataFrame, table: str, buckets: int = 64, location: str = "geo_location", at: str = "ts", path: str | None = None
+) -> DataFrame:
+    """Write canonical events as a table, partitioned by year and in buckets by location; the table.
+
+    Profiles of the table need no shuffle of its events, as a location's rows
+    are in one bucket. A row without a time stays, in a partition of its own. It
+    lies in the warehouse, or at path. An existing table of that name is an error.
+    """
+    rows = events.withColumn(YEAR, F.year(at)).repartition(buckets, location)
+    writer = rows.write.format("parquet").partitionBy(YEAR).bucketBy(buckets, location).sortBy(location)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return events.sparkSession.table(table)
+
+
+def replace_years(events: DataFrame, table: str, buckets: int = 64, location: str = "geo_location", at: str = "ts") -> DataFrame:
+    """Replace the years of a kept log that occur in events by their rows; other years stay as they are.
+
+    Events may be derived from the table: what they read is settled before
+    any of it is replaced.
+    """
+    spark = events.sparkSession
+    old = spark.table(table)
+    rows = settled(events.withColumn(YEAR, F.year(at)).select(*old.columns))
+    name = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "dynamic")
+    try:
+        rows.repartition(buckets, location).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(name, before)
+    spark.catalog.refreshTable(table)
+    return spark.table(table)
