@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 import zstandard
 from pyspark.sql import functions as F
 from test_operators import brute_components, docs, folded, sentence, table
@@ -110,15 +111,52 @@ def test_the_three_statistics_match_a_direct_computation():
         assert np.allclose(got, [plain_joint_p(r, k) for r in rows], rtol=1e-6, atol=1e-12)
 
 
-def test_cut_offs_follow_the_rule_over_all_runs():
+def test_discoveries_follow_the_rule_over_all_runs():
     rng = random.Random(24)
-    nulls = [min(int(rng.betavariate(1, 6) * 1000), 999) for _ in range(3000)]
-    runs = [min(int(rng.betavariate(1, 6) * 1000), 999) for _ in range(400)] + [rng.randrange(900, 1000) for _ in range(30)]
-    count = lambda cells: np.bincount(cells, minlength=secrets_scan.CELLS).astype(float)
-    cut = secrets_scan.cut_offs({0: count(runs)}, {0: count(nulls)})[0]
-    p = sorted((1 + sum(x >= r for x in nulls)) / (1 + len(nulls)) for r in runs)
-    most = max((i for i, x in enumerate(p, 1) if x <= secrets_scan.FALSE_DISCOVERIES * i / len(p)), default=0)
-    assert most and sum(r >= cut for r in runs) == most
+    classes, kinds = len(secrets_scan.LENGTHS) + 1, len(secrets_scan.ENCODINGS)
+    nulls, runs = (np.zeros((classes, kinds, secrets_scan.CELLS), dtype=np.int64) for _ in range(2))
+    text = [(rng.choice([3, 3, 3, 7, 8]), min(int(rng.betavariate(2, 3) * 1000), 999)) for _ in range(3000)]
+    found = [(rng.choice([3, 7]), min(int(rng.betavariate(2, 3) * 1000), 999)) for _ in range(400)] + [(8, rng.randrange(700, 1000)) for _ in range(30)]
+    for where, rows in ((nulls, text), (runs, found)):
+        for kind, cell in rows:
+            where[2, kind, cell] += 1
+    passes = secrets_scan.accepted(runs, secrets_scan.p_values(nulls))
+    p = lambda kind, cell: (1 + sum(k == kind and c >= cell for k, c in text)) / (1 + len(text))
+    every = sorted(p(*r) for r in found)
+    most = max((i for i, x in enumerate(every, 1) if x <= secrets_scan.FALSE_DISCOVERIES * i / len(every)), default=0)
+    assert 20 < most < 200
+    # 0.005 is the score up from which the tests don't reject randomness.
+    bound = int((1 + math.log10(0.005) / 20) * 999)
+    for r in set(found):
+        assert passes[2, *r] == (p(*r) <= every[most - 1] and r[1] >= bound)
+    assert not passes[[0, 1, 3, 4, 5]].any()
+
+
+def test_null_strings_are_counted_in_their_own_encodings():
+    rng = random.Random(25)
+    text = "".join(rng.choice(["the", "Nation", "ATE", "2024", "and", "heard"]) for _ in range(400))
+    got = secrets_scan.null_counts([secrets_scan.CODES[np.frombuffer(text.encode(), dtype=np.uint8)]])
+    want = np.zeros_like(got)
+    for n in secrets_scan.NULL_LENGTHS:
+        for at in range(0, len(text) - n + 1, n):
+            piece = text[at : at + n]
+            name = secrets_scan.encoding(piece)
+            index = [secrets_scan.ALPHABETS[name].index(c) for c in piece]
+            cell = int((1 + max(math.log10(max(plain_joint_p(index, len(secrets_scan.ALPHABETS[name])), 1e-20)), -20) / 20) * 999)
+            want[secrets_scan.length_class(n), secrets_scan.ENCODINGS.index(name), cell] += 1
+    assert (got.sum(axis=2) == want.sum(axis=2)).all()
+    assert np.abs(got.cumsum(axis=2) - want.cumsum(axis=2)).max() <= 1
+
+
+def test_drawn_strings_follow_the_text():
+    words = ["abab", "abab", "Cd9"] * 50
+    drawn = secrets_scan.drawn_strings(secrets_scan.neighbours(words), number=50)
+    text = "".join(secrets_scan.BASE[c] for row in drawn for c in row)
+    pairs = collections.Counter(itertools.pairwise(text))
+    # b ends a word or goes on to a; words begin with a twice as often as with C.
+    assert pairs["a", "b"] > 0.95 * text.count("a") and pairs["C", "d"] > 0.95 * text.count("C") * 0.99
+    assert pairs["9", "a"] / pairs["9", "C"] == pytest.approx(2, rel=0.1)
+    assert len(secrets_scan.drawn_strings(np.zeros((secrets_scan.GAP + 1) ** 2), number=3)) == 3
 
 
 def test_languages_are_the_smallest_of_plain_compressions(spark):

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -381,6 +382,38 @@ def test_a_lone_secret_among_many_runs_is_found(spark):
     assert {i: x for i, x in random_spans(spark, texts).items() if x} == {100: ["random:4:44"]}
 
 
+@pytest.mark.parametrize("texts", [1, 5, 50])
+def test_a_lone_secret_in_few_texts_is_found(spark, texts):
+    rng = random.Random(15)
+    for n in (24, 32, 40):
+        given = prose(rng, texts, 60)
+        given[0] = f"key {drawn(rng, n)} {given[0]}"
+        assert {i: x for i, x in random_spans(spark, given).items() if x} == {0: [f"random:4:{4 + n}"]}
+
+
+@pytest.mark.parametrize("kind", ["base62", "base64", "base64-url", "base36", "base32"])
+def test_recall_of_short_secrets(spark, kind):
+    rng = random.Random(16)
+    texts = prose(rng, 300, 150)
+    # Names and numbers as text has them.
+    texts = [t.replace(" the ", " The ", 2) + f" in {rng.randrange(1990, 2030)}" for t in texts]
+    want = {}
+    for i, n in zip(range(0, 300, 5), itertools.cycle((20, 24, 28, 32, 64, 128))):
+        texts[i] = f"key {''.join(rng.choice(secrets_scan.ALPHABETS[kind]) for _ in range(n))} {texts[i]}"
+        want[i] = [f"random:4:{4 + n}"]
+    got = {i: x for i, x in random_spans(spark, texts).items() if x}
+    assert set(got) <= set(want) and sum(got.get(i) == x for i, x in want.items()) >= 0.9 * len(want)
+
+
+def test_structured_runs_are_left_alone(spark):
+    rng = random.Random(17)
+    texts = prose(rng, 100, 200)
+    runs = ("usr/local/lib/python3/site-packages/numpy/core", "2024-01-15T10_30_00-2024-01-16T11_45_00", "item-0001-item-0002-item-0003", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "a" * 40, "31415926535897932384626433", "------------------------")
+    for i, run in enumerate(runs):
+        texts[3 * i] += f" see {run} there"
+    assert not any(random_spans(spark, texts).values())
+
+
 def test_every_part_of_a_run_is_tested(spark):
     rng = random.Random(12)
     texts = prose(rng, 300, 400)
