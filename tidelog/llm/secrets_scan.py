@@ -86,7 +86,7 @@ NULL_BLOCK = 1 << 18
 LETTERS = re.compile(r"[A-Za-z0-9]+")
 FALSE_DISCOVERIES = 0.01
 #: A run is taken for structured if random ones score as low in this part of cases, or have as many signs between in that part.
-REJECTED, TOO_MANY = 0.005, 0.03
+REJECTED, TOO_MANY = 0.002, 0.03
 #: Share of signs between in the widest alphabet.
 SIGN_SHARE = 4 / len(ALPHABETS["base64-mixed"])
 
