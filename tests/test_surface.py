@@ -53,3 +53,26 @@ def test_command_line(spark, tmp_path):
     out = main([log, str(tmp_path / "out"), "--providers-dir", str(tmp_path / "p"), "--provider", "own", "--html"])
     assert spark.read.parquet(out["output"]).count() == spark.read.parquet(log).count()
     assert json.loads((tmp_path / "out" / "summary.json").read_text())["locations"] == out["locations"]
+
+
+def test_public_names_and_views(spark):
+    import tidelog
+
+    assert all(callable(getattr(tidelog, name)) for name in tidelog.__all__)
+    tidelog.register({"clean_places": spark.createDataFrame([("L",)], "geo_location string")})
+    assert spark.sql("SELECT geo_location FROM clean_places").first()[0] == "L"
+
+
+def test_least_year_applies_to_the_operators_it_is_asked_for(spark):
+    from tidelog.plans import pipeline
+    from tidelog.schema import get_schema, override
+
+    rows = [("L", "C", "x", f"u{i % 3}", "A", "http", f"f{i}.raw", f"{2018 + i % 4}-0{1 + i % 9}-11 0{i % 10}:00:00", i) for i in range(40)] + [("old", "C", "x", "u", "A", "http", "f", "2011-01-01", 99)]
+    names = "geo_location string, country string, city string, usr string, accession string, method string, filename string, ts string, event_id long"
+    events, schema = spark.createDataFrame(rows, names), override(get_schema("canonical"), min_year=2020)
+    by_default = pipeline.location_profile(events, schema).collect()
+    assert [(r["geo_location"], r["total_downloads"], r["years_span"]) for r in by_default] == [("L", 20, 2)]
+    everywhere = frozenset({*pipeline.RECENT, "base_behavior"})
+    since = pipeline.location_profile(events, schema, recent=everywhere).first()
+    assert since["num_sessions"] < by_default[0]["num_sessions"]
+    assert pipeline.location_profile(events, schema, recent=frozenset()).count() == 2

@@ -36,32 +36,40 @@ ANOMALY_COLUMNS = (
 )
 
 
+#: Operators to which a schema's least year applies; the others read a location's whole log.
+RECENT = frozenset({"basic", "hourly_density", "yearly", "time_of_day", "protocol", "window_sequence"})
+
+
 def _defaulted(df: DataFrame) -> DataFrame:
     kinds = dict(df.dtypes)
     plain = {c: DEFAULTS.get(c, 0) for c, kind in kinds.items() if kind in ("double", "bigint", "int", "float")}
     return df.fillna(plain)
 
 
-def location_profile(events: DataFrame, schema: LogSchema | None = None, deep: bool = False, extra: tuple[Extractor, ...] = (), strict: bool = False) -> DataFrame:
+def location_profile(events: DataFrame, schema: LogSchema | None = None, deep: bool = False, extra: tuple[Extractor, ...] = (), strict: bool = False, recent: frozenset[str] = RECENT) -> DataFrame:
     """One wide row a location.
 
     strict leaves out the base behaviour columns, so that rules over them
     never fire. deep adds burst, circadian, coordination, file and composite
-    columns. extra plug-ins run last, in order.
+    columns. extra plug-ins run last, in order. recent names the operators to
+    which the schema's least year applies; the others read all years of the
+    locations that have events since.
     """
     schema = schema or get_schema("canonical")
-    g = Grains(canonical(events, schema), schema.min_year).keep()
-    base = profile.basic(g, schema.min_location_downloads)
-    years = profile.yearly(g)
-    parts = [profile.hourly_density(g, base), years, profile.time_of_day(g, schema), profile.protocol(g)]
-    parts += [ordered.timing_precision(g), profile.user_distribution(g), ordered.session_behavior(g), ordered.access_pattern(g)]
-    parts += [profile.statistical(g), profile.outburst(g), ordered.periodicity(g), profile.trend(g), profile.recency(g), profile.shape(g)]
-    parts += [ordered.window_sequence(g), profile.country_context(base, years)]
-    if not strict:
-        parts.append(ordered.base_behavior(g).drop("unique_files"))
+    log = canonical(events, schema)
+    since, ever = Grains(log, schema.min_year), Grains(log)
+    of = lambda operator: since if operator.__name__ in recent else ever
+    base = profile.basic(of(profile.basic), schema.min_location_downloads)
+    years = profile.yearly(of(profile.yearly))
+    parts = [profile.hourly_density(of(profile.hourly_density), base), years, profile.time_of_day(of(profile.time_of_day), schema)]
+    plain = [profile.protocol, ordered.timing_precision, profile.user_distribution, ordered.session_behavior, ordered.access_pattern]
+    plain += [profile.statistical, profile.outburst, ordered.periodicity, profile.trend, profile.recency, profile.shape, ordered.window_sequence]
     if deep:
-        parts += [profile.burst(g), profile.circadian(g), profile.coordination(g), ordered.file_diversity(g)]
-        parts += [ordered.user_authenticity(g), ordered.version_targeting(g), profile.persistence(g)]
+        plain += [profile.burst, profile.circadian, profile.coordination, ordered.file_diversity]
+        plain += [ordered.user_authenticity, ordered.version_targeting, profile.persistence]
+    parts += [operator(of(operator)) for operator in plain] + [profile.country_context(base, years)]
+    if not strict:
+        parts.append(ordered.base_behavior(of(ordered.base_behavior)).drop("unique_files"))
     out = base
     for part in parts:
         out = out.join(part, LOC, "left")

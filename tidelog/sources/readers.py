@@ -27,6 +27,12 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def register(frames: dict[str, DataFrame]) -> None:
+    """Make frames known to SQL by their names, as temporary views; earlier ones of those names are replaced."""
+    for name, df in frames.items():
+        df.createOrReplaceTempView(name)
+
+
 def read_yaml(path: str) -> dict:
     import yaml
 
