@@ -16,6 +16,10 @@ from tidelog.llm.minhash import without_near_duplicates
 from tidelog.llm.mixing import mixed_documents
 
 
+#: Words that a worker of the last stage remembers; the pipeline's executors hold the caches of all stages.
+REMEMBERED = 40_000
+
+
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
     """n_chars follows the text."""
     return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
@@ -68,7 +72,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each row; a null text counts as empty."""
-    return round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    return round_trip(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import json
 import math
 import random
 
@@ -286,3 +287,16 @@ def test_folds_of_null_ids_are_those_of_empty_text(spark):
     df = table(spark, [(None, "a text", "en", "s"), (1, None, "en", "s")])
     got = [r["held_out"] for r in language.identify(df, ()).orderBy("doc_id").collect()]
     assert got == [folded("", 3) == 1, folded(1, 3) == 1]
+
+
+def test_what_the_encoder_forgets_bears_on_no_result(spark):
+    rng = random.Random(30)
+    texts = [sentence(rng, 120, kinds=900) + " Ünïted " + sentence(rng, 5) for _ in range(40)]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        text = file.read()
+    few, many = bpe.Codec(text, 4), bpe.Codec(text)
+    assert all((few.encode(t) == many.encode(t)).all() for t in texts)
+    assert max(len(few.words) + len(few.old_words), len(few.chunks) + len(few.old_chunks), len(few.apart) + len(few.old_apart)) <= 4
+    for name in ("normalizer", "pre_tokenizer", "decoder"):
+        with pytest.raises(ValueError, match=name):
+            bpe.Codec(json.dumps(json.loads(text) | {name: {"type": "Other"}}))

@@ -27,11 +27,20 @@ from pyspark.sql import DataFrame
 from tidelog.llm.common import map_texts, pick
 
 END = "</w>"
-#: Entries that a worker remembers of words, of chunks between white space, and of pairs.
-CACHE = 40_000
-
-# Fixed values of the tokenizer file's pre-tokenizer: contractions, letters, one digit, other signs.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Entries that a worker remembers, at most, of words, of chunks between white space, and of pairs.
+REMEMBERED = 400_000
+
+# Fixed values of the tokenizer file: contractions, letters, one digit, other signs; and what is done to a text before.
+PIECES_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECES = regex.compile(PIECES_PATTERN)
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PIECES_PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 # White space of Unicode; str.split() takes four control characters more.
 SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
 NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -46,11 +55,18 @@ def byte_letters() -> dict[int, str]:
 
 
 class Codec:
-    """Encoder and decoder of a byte-level BPE vocabulary with word ends."""
+    """Encoder and decoder of a byte-level BPE vocabulary with word ends.
+
+    It remembers up to the given number of words, chunks and pairs each, in
+    two halves: when the younger one is full, the older one is forgotten.
+    """
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, remembered: int = REMEMBERED):
         spec = json.loads(text)
         model = spec["model"]
+        for name, known in (("normalizer", NORMALIZER), ("pre_tokenizer", PRE_TOKENIZER), ("decoder", None), ("post_processor", None)):
+            if spec.get(name) != known:
+                raise ValueError(f"this encoder doesn't know the file's {name}")
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -84,15 +100,20 @@ class Codec:
         shown = [(named.get(i, "") + " ").encode() for i in range(max(named) + 1)]
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in shown])]).astype(np.int64)
         self.bytes = np.frombuffer(b"".join(shown), dtype=np.uint8)
+        self.half = max(1, remembered // 2)
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.apart: dict[tuple[int, int], bool] = {}
+        self.old_words, self.old_chunks, self.old_apart = {}, {}, {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges, in rank order, never join the texts of two neighbouring tokens."""
         known = self.apart.get((left, right))
         if known is not None:
             return known
+        known = self.old_apart.get((left, right))
+        if known is not None:
+            return self._keep("apart", (left, right), known)
         a, b, bound, fits = left, right, len(self.ids), True
         while True:
             if self.pairs.get((a, b), bound) < bound:
@@ -105,10 +126,17 @@ class Codec:
                 bound, a = a, self.parts[a][1]
             else:
                 bound, b = b + 1, self.parts[b][0]
-        if len(self.apart) >= CACHE:
-            self.apart.clear()
-        self.apart[left, right] = fits
-        return fits
+        return self._keep("apart", (left, right), fits)
+
+    def _keep(self, name: str, key, value):
+        """Remember a value as one of the younger half."""
+        young = getattr(self, name)
+        if len(young) >= self.half:
+            setattr(self, f"old_{name}", young)
+            young = {}
+            setattr(self, name, young)
+        young[key] = value
+        return value
 
     def merge(self, key: str) -> list[int]:
         """Own tokens of one word."""
@@ -135,19 +163,21 @@ class Codec:
 
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
+        if found is not None:
+            return found
+        found = self.old_words.get(word)
         if found is None:
             signs = word.encode().decode("latin-1")
             own = self.merge(signs[:-1] + chr(ord(signs[-1]) + 256))
             found = np.array([self.ids[t] for t in own], dtype="<u4").tobytes()
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            if len(word) <= 64:
-                self.words[word] = found
-        return found
+        return self._keep("words", word, found) if len(word) <= 64 else found
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a text without white space."""
         found = self.chunks.get(chunk)
+        if found is not None:
+            return found
+        found = self.old_chunks.get(chunk)
         if found is None:
             parts = self.split_special.split(chunk) if self.split_special and "<" in chunk else [chunk]
             out = []
@@ -160,11 +190,7 @@ class Codec:
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
                 out += map(self.word, PIECES.findall(part.lower()))
             found = b"".join(out)
-            if len(self.chunks) >= CACHE:
-                self.chunks.clear()
-            if len(chunk) <= 64:
-                self.chunks[chunk] = found
-        return found
+        return self._keep("chunks", chunk, found) if len(chunk) <= 64 else found
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text as unsigned 32-bit integers; none for null."""
@@ -184,8 +210,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(text: str) -> Codec:
-    return Codec(text)
+def codec(text: str, remembered: int = REMEMBERED) -> Codec:
+    return Codec(text, remembered)
 
 
 def tokenizer_text(path: str) -> str:
@@ -221,15 +247,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_texts(encoded, ["doc_id", "ids"], work, {"doc_id": ("long", pa.int64()), "decoded": ("string", pa.string())})
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remembered: int = REMEMBERED
+) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ids if asked for: each text encoded and decoded in one pass.
 
-    A null text counts as empty; an empty table gives no rows.
+    A null text counts as empty; an empty table gives no rows. A worker
+    remembers the ids of words up to a number, at about 200 bytes each; that
+    bears on time only.
     """
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_text(path))
 
     def work(doc_id, text):
-        c = codec(spec.value)
+        c = codec(spec.value, remembered)
         ids = [c.encode(t) for t in text]
         return {
             "doc_id": doc_id,
