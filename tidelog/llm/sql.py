@@ -172,7 +172,7 @@ WITH d AS (
   FROM documents
 ),
 p AS (SELECT *, len(w) AS n, h // 10 AS g FROM d),
-o AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM p),
+o AS (SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM p),
 t AS MATERIALIZED (
   SELECT doc_id, n, row_number() OVER () AS row, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n),
     lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM o
