@@ -96,3 +96,14 @@ def test_user_distribution_of_a_skewed_location_by_a_sort_of_its_users(spark):
         assert got[loc]["power_user_ratio"] == pytest.approx(sum(ns[::-1][: int(max(k * 0.1, 1))]) / total)
         gini = 2 * sum((i + 1) * n for i, n in enumerate(ns)) / (k * total) - (k + 1) / k if k > 1 else 0.5
         assert got[loc]["user_gini_coefficient"] == pytest.approx(gini)
+
+
+def test_places_of_names_in_a_large_group(spark):
+    rng = random.Random(7)
+    rows = [("big", f"f{rng.randrange(5000)}") for _ in range(9000)] + [("one", "x"), ("one", "x"), ("few", "b"), ("few", "a"), ("few", "É"), (None, "a"), ("few", None)]
+    found = order.places(spark.createDataFrame(rows, "g string, v string").repartition(3), "g", "v")
+    got = {(r["g"], r["v"]): r["place"] for r in found.collect()}
+    for g in ("big", "one", "few"):
+        names = sorted({v for h, v in rows if h == g and v is not None}, key=lambda v: v.encode())
+        assert [got[g, v] for v in names] == list(range(1, len(names) + 1))
+    assert len(got) == len({r for r in rows if None not in r})

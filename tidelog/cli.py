@@ -33,6 +33,7 @@ def main(argv: list[str] | None = None) -> dict:
     from tidelog.plans import pipeline
     from tidelog.schema import override
     from tidelog.sources import providers, readers
+    from tidelog.storage import settled
 
     args = parser().parse_args(argv)
     if args.providers_dir:
@@ -46,7 +47,7 @@ def main(argv: list[str] | None = None) -> dict:
         events = readers.sample_exact(events, args.sample_size, [schema.location_field, schema.timestamp_field], args.seed)
     options = {"iterations": args.iterations} if args.method == "deep" else {}
     result = pipeline.run(events, schema, args.method, provider.taxonomy, **options)
-    locations = result["locations"].persist()
+    locations = settled(result["locations"])
     written = readers.write_annotated(result["annotated"], args.log, args.output_strategy, sampled=bool(args.sample_size))
     folder = Path(args.out)
     folder.mkdir(parents=True, exist_ok=True)

@@ -12,9 +12,11 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.storage import settled
+
 
 class Grains:
-    """Lazy grains of canonical events; keep() caches the hour grain for many readers."""
+    """Lazy grains of canonical events; keep() has the hour grain computed once for many readers."""
 
     def __init__(self, events: DataFrame, min_year: int | None = None):
         sound = F.col("geo_location").isNotNull() & F.col("ts").isNotNull()
@@ -33,7 +35,7 @@ class Grains:
         """geo_location, usr, hour: n events."""
         rows = self.events.groupBy("geo_location", "usr", F.date_trunc("hour", "ts").alias("hour"))
         out = rows.agg(F.count(F.lit(1)).alias("n"), F.max("city").alias("city"))
-        return out.persist() if self._kept else out
+        return settled(out) if self._kept else out
 
     @cached_property
     def hours(self) -> DataFrame:

@@ -56,6 +56,24 @@ def running(df: DataFrame, value: str, sums: Iterable[str]) -> DataFrame:
     return rows.withColumns(found).drop("_cell", *[f"_{c}" for c in sums])
 
 
+def places(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, value, place): the place of each different value among those of its group, from 1; nulls are left out.
+
+    Pairs are dealt to ranges of (by, value), so that a large group lies in
+    many. A pair's place is that within its range and group, moved by how many the group
+    has in the ranges before.
+    """
+    pairs = df.select(by, value).where(F.col(by).isNotNull() & F.col(value).isNotNull()).distinct()
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written with the number of the range, since a range dealt anew may have other bounds.
+    rows = settled(pairs.repartitionByRange(ranges, by, value).withColumn("_range", F.spark_partition_id()))
+    sizes = rows.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(by, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(by, "_range").orderBy(value))
+    return rows.withColumn("_own", own).join(sizes, [by, "_range"]).select(by, value, (F.col("_before") + F.col("_own")).alias("place"))
+
+
 def rank_percent(df: DataFrame, value: str, out: str) -> DataFrame:
     """df with the average rank of each value as a part of all rows; null for null.
 

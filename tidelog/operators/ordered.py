@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.columns import EPSILON, ratio, seconds_between
 from tidelog.grains import Grains
-from tidelog.operators.order import quantiles_of
+from tidelog.operators.order import places, quantiles_of
 from tidelog.storage import settled
 
 LOC = "geo_location"
@@ -113,7 +113,7 @@ def access_pattern(g: Grains) -> DataFrame:
     """
     digits = F.regexp_extract("filename", "([0-9]+)", 1)
     # Names are ranked once a file; events are ordered a day at a time and moved by the count of earlier days.
-    names = g.files.select(LOC, "filename", F.dense_rank().over(Window.partitionBy(LOC).orderBy("filename")).alias("place"))
+    names = places(g.events, LOC, "filename")
     rows = g.events.where("filename IS NOT NULL").select(LOC, "filename", "ts", "event_id", F.to_date("ts").alias("day"))
     rows = rows.withColumn("digits", digits).withColumn("number", F.col("digits").try_cast("int"))
     days = rows.groupBy(LOC, "day").agg(

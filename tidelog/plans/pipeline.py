@@ -57,7 +57,7 @@ def location_profile(events: DataFrame, schema: LogSchema | None = None, deep: b
     """
     schema = schema or get_schema("canonical")
     log = canonical(events, schema)
-    since, ever = Grains(log, schema.min_year), Grains(log)
+    since, ever = Grains(log, schema.min_year).keep(), Grains(log).keep()
     of = lambda operator: since if operator.__name__ in recent else ever
     base = profile.basic(of(profile.basic), schema.min_location_downloads)
     years = profile.yearly(of(profile.yearly))
