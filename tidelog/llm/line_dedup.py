@@ -40,10 +40,12 @@ def repeated_windows(docs: DataFrame, span: int, blank: bool) -> DataFrame:
     # A column of its own, so that the text is split once and not for each window.
     split = docs.select("_id", "_row", F.split("_text", "\n").alias("lines"))
     windows = split.select("_id", "_row", F.explode(_windows(F.col("lines"), span, blank)).alias("w"))
-    windows = windows.select("_id", "_row", F.col("w.pos").alias("pos"), F.col("w.key").alias("key"))
+    # Windows and first occurrences are written before they meet: texts are hashed once, and both sides of
+    # the join are plain shuffles, of which adaptive execution can split a window that very many texts hold.
+    windows = checkpoint(windows.select("_id", "_row", F.col("w.pos").alias("pos"), F.col("w.key").alias("key")))
     at = F.struct(F.col("_id").isNull().alias("last"), "_id", "_row", "pos")
     firsts = windows.groupBy("key").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = windows.join(firsts.select("key", "first"), "key").where(at > F.col("first"))
+    later = windows.join(checkpoint(firsts.select("key", "first")), "key").where(at > F.col("first"))
     return later.groupBy("_id", "_row").agg(F.sort_array(F.collect_set("pos")).alias("cut"))
 
 
