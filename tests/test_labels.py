@@ -362,3 +362,20 @@ def test_importances_of_the_boosted_classifiers(spark):
     fitted = m.fit_fusion(m._vectors(df, ["a", "b"]), iterations=2)
     assert fitted["hub"] == 0.0 and next(iter(m.fusion_importances(fitted, ["a", "b"]))) == "b"
     assert m.fusion_importances({"organic": 1.0}, ["a"]) == {"a": 0.0}
+
+
+def test_bootstrap_of_tables_with_a_closed_form():
+    from math import comb
+
+    # One cell: every draw is the table itself, and two classes never occur.
+    assert evaluate.bootstrap_f1({("bot", "bot"): 40}) == pytest.approx((1 / 3,) * 3)
+    # Two cells: the hits are binomial, and F1 of the one class rises with them.
+    n, hits = 60, 45
+    f1 = lambda h: 2 * h / (n + h) / 3
+    whole, low, high = evaluate.bootstrap_f1({("bot", "bot"): hits, ("bot", "hub"): n - hits}, rounds=20_000)
+    upto = np.cumsum([comb(n, h) * (hits / n) ** h * (1 - hits / n) ** (n - h) for h in range(n + 1)])
+    assert whole == pytest.approx(f1(hits))
+    # Cells are steps, so a quantile lies within one hit of the exact one.
+    for got, part in ((low, 0.025), (high, 0.975)):
+        exact = int(np.searchsorted(upto, part))
+        assert f1(exact - 1) <= got <= f1(exact + 1)
