@@ -71,14 +71,26 @@ def surrogate(df: DataFrame, columns: list[str], label: Column | str = "is_bot",
     return dict(sorted(zip(columns, map(float, found), strict=True), key=lambda x: (-x[1], x[0])))
 
 
+def _dealt(rows: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """(r, geo_location, y, x, other): each row once a round, other being x of the row it is dealt; only names are dealt."""
+    names = rows.select(F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r"), LOC, F.col(LOC).alias("_from"))
+    others = rows.select(F.col(LOC).alias("_from"), F.col("x").alias("other"))
+    # As many parts as the session asks for: each row is scored once a column, which its bytes don't tell.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = shuffled(names, "r", "_from", seed).join(others, "_from").drop("_from")
+    return rows.join(dealt.repartition(parts, LOC), LOC)
+
+
 def by_permutation(
     df: DataFrame, columns: list[str], label: Column | str = "is_bot", rounds: int = 5, trees: int = 100, depth: int = 10, seed: int = 42
 ) -> DataFrame:
     """(feature, importance): how much of the area under the curve a forest for a flag loses when a column is shuffled.
 
-    Every column and round is a copy of the rows with one value replaced;
-    all copies are scored in one pass and meet in one aggregate. The
-    importance is the mean over rounds. With one class only it is 0.
+    Rows are dealt anew once a round, for all columns, so that what is shuffled
+    grows with rows and rounds only; where a row meets its other one, each
+    column is a copy with one value replaced. All copies are scored in one
+    pass and meet in one aggregate. The importance is the mean over rounds.
+    With one class only it is 0.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -87,11 +99,9 @@ def by_permutation(
         return rows.sparkSession.createDataFrame([(c, 0.0) for c in columns], "feature string, importance double")
     model = _forest(rows, trees, depth, seed)
     # Copy 0 is unchanged; copy 1 + c * rounds + r has column c shuffled for the r-th time.
-    copies = rows.select(LOC, F.posexplode("x").alias("c", "v")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    copies = copies.select(LOC, "v", (1 + F.col("c") * rounds + F.col("r")).alias("k"))
-    dealt = shuffled(copies, "k", "v", seed)
-    changed = rows.join(dealt, LOC).withColumn("c", F.floor((F.col("k") - 1) / rounds))
-    changed = changed.select("k", "y", F.transform("x", lambda e, i: F.when(i == F.col("c"), F.col("v")).otherwise(e)).alias("x"))
+    changed = _dealt(rows, rounds, seed).select("r", "y", "x", "other", F.explode(F.sequence(F.lit(0), F.lit(len(columns) - 1))).alias("c"))
+    swapped = F.transform("x", lambda e, i: F.when(i == F.col("c"), F.get("other", i)).otherwise(e))
+    changed = changed.select((1 + F.col("c") * rounds + F.col("r")).alias("k"), "y", swapped.alias("x"))
     every = rows.select(F.lit(0).cast("int").alias("k"), "y", "x").unionByName(changed)
     scored = model.transform(every.select("k", "y", array_to_vector("x").alias("_x"))).select("k", "y", vector_to_array("probability")[1].alias("s"))
     found = settled(areas(scored, "k", "s", "y"))
