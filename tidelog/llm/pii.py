@@ -12,23 +12,25 @@ regression, and a kind's threshold is the least score of enough
 probability. Candidates over it that meet no base span are added, the best
 first where they overlap.
 
-Texts are read twice, for the samples and with the trees. Tasks keep the rows
-of lowest hash only, and score candidates in blocks, so a text that is all
-numbers needs no more memory than any other of its length.
+Texts are read twice, to learn and with the trees. Every candidate of both
+folds counts: those of the same features are one row with their number, and
+each level of a tree adds up slopes over all rows. Tasks score candidates in
+blocks, so a text that is all numbers needs no more memory than any other of
+its length.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import SLICE, checkpoint, fold, pick
@@ -69,6 +71,12 @@ AROUND = 40
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 MODULUS, LEARN, CALIBRATE = 3, 0, 1
 BLOCK = 8192
+#: Slopes are whole numbers of this part, so that sums don't depend on the order of rows.
+UNIT = 1 << 24
+#: Different candidates that a task counts before it passes them on.
+COUNTED = 20_000
+#: Cells of scores: only those of one cell are ordered in one task.
+SCORE_CELLS, SCORE_END = 16, 64
 
 
 def luhn(digits: str) -> bool:
@@ -211,20 +219,19 @@ def spellings(kind: str, span: str) -> list[str]:
     return out + ([rest, "-".join(groups[1:]), ".".join(groups[1:])] if sum(map(len, groups[1:])) >= 9 else [])
 
 
-def labelled(text: str, doc_id, base: list):
-    """(kind, label, hash, features) of the text's candidates, and of the base spans in other spellings."""
+def labelled(text: str, base: list):
+    """(kind, label, where) of the text's candidates, and of the base spans in other spellings; where is what features take."""
     own = {(k, s, e) for s, e, k in base}
-    key = lambda *what: xxhash.xxh3_64_intdigest(repr((doc_id, *what))) >> 1
     for k, s, e in proposals(text):
-        yield k, int((k, s, e) in own), key(k, s, e), (text, s, e)
+        yield k, int((k, s, e) in own), (text, s, e)
     for s, e, k in base:
         left, right = text[max(0, s - 2 * AROUND) : s], text[e : e + 2 * AROUND]
-        for i, other in enumerate(spellings(k, text[s:e])):
+        for other in spellings(k, text[s:e]):
             written = left + other + right
             place = len(left), len(left) + len(other)
             for kind, a, b in proposals(written):
                 if a < place[1] and place[0] < b:
-                    yield kind, int(kind == k and (a, b) == place), key(k, s, e, i, kind, a, b), (written, a, b)
+                    yield kind, int(kind == k and (a, b) == place), (written, a, b)
 
 
 @dataclass(frozen=True)
@@ -248,38 +255,84 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
-    """Gradient boosting of the logistic loss by Newton steps, splits between at most bins quantiles of a feature."""
-    n, m = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for j in range(m)]
-    cell = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
-    rate0 = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-    start = float(np.log(rate0 / (1 - rate0)))
-    score, width = np.full(n, start), bins + 1
+def slopes(code, label, n, score, node, nodes: int, width: int) -> np.ndarray:
+    """Slope and bend of the logistic loss in units, added up by label, node, feature and cell; n is how often a row counts."""
+    m = code.shape[1]
+    p = 1 / (1 + np.exp(-score))
+    place = (((label * nodes + node)[:, None] * m + np.arange(m)) * width + code).ravel()
+    out = [np.bincount(place, weights=np.repeat(np.rint(v * UNIT) * n, m), minlength=2 * nodes * m * width) for v in (label - p, p * (1 - p))]
+    return np.stack(out).astype(np.int64).reshape(2, 2, nodes, m, width)
+
+
+def placed(code, feature, above, level: int) -> np.ndarray:
+    """Each row's place among the nodes of a level of a tree."""
+    node, row = np.zeros(len(code), dtype=np.int64), np.arange(len(code))
+    for _ in range(level):
+        node = 2 * node + 1 + (code[row, feature[node]] > above[node])
+    return node - ((1 << level) - 1)
+
+
+def grow(sums: Callable, edges: dict, starts: dict, weights: dict, trees: int, depth: int, rate: float, ridge: float) -> dict[str, Trees]:
+    """Boosted trees of each kind on cells, by Newton steps; sums(models, grown, level) has what slopes returns, over all rows of each kind.
+
+    edges has the edges between cells by kind and feature, starts the first
+    scores, weights how much a row of each label counts.
+    """
     nodes = (1 << depth) - 1
-    features, values, leaves = [], [], []
+    models = {k: Trees(np.zeros((0, nodes), np.int64), np.zeros((0, nodes)), np.zeros((0, nodes + 1)), starts[k]) for k in edges}
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-score))
-        slope, bend = y - p, p * (1 - p)
-        feature, above, node = np.zeros(nodes, np.int64), np.full(nodes, np.inf), np.zeros(n, np.int64)
+        grown = {k: (np.zeros(nodes, np.int64), np.full(nodes, np.inf), np.zeros(nodes + 1)) for k in edges}
         for level in range(depth):
             first = (1 << level) - 1
-            place = (((node - first)[:, None] * m + np.arange(m)) * width + cell).ravel()
-            sums = [np.bincount(place, weights=np.repeat(v, m), minlength=(1 << level) * m * width).reshape(1 << level, m, width) for v in (slope, bend)]
-            g, h = (s.cumsum(axis=2)[:, :, :-1] for s in sums)
-            whole_g, whole_h = (s.sum(axis=2)[:, :, None] for s in sums)
-            gain = g**2 / (h + ridge) + (whole_g - g) ** 2 / (whole_h - h + ridge) - whole_g**2 / (whole_h + ridge)
-            best = gain.reshape(1 << level, -1).argmax(axis=1)
-            for i, at in enumerate(best):
-                j, b = divmod(int(at), width - 1)
-                if gain[i, j, b] > 1e-6 and b < len(edges[j]):
-                    feature[first + i], above[first + i] = j, edges[j][b]
-            node = 2 * node + 1 + (x[np.arange(n), feature[node]] > above[node])
-        at = node - nodes
-        leaf = rate * np.bincount(at, weights=slope, minlength=nodes + 1) / (np.bincount(at, weights=bend, minlength=nodes + 1) + ridge)
-        score += leaf[at]
-        features.append(feature), values.append(above), leaves.append(leaf)
-    return Trees(np.array(features), np.array(values), np.array(leaves), start)
+            for k, found in sums(models, {k: g[:2] for k, g in grown.items()}, level).items():
+                feature, above, leaf = grown[k]
+                g, h = ((v * np.reshape(weights[k], (2, 1, 1, 1))).sum(axis=0) / UNIT for v in found)
+                left_g, left_h = g.cumsum(axis=2)[:, :, :-1], h.cumsum(axis=2)[:, :, :-1]
+                whole_g, whole_h = g[:, :1].sum(axis=2, keepdims=True), h[:, :1].sum(axis=2, keepdims=True)
+                gain = left_g**2 / (left_h + ridge) + (whole_g - left_g) ** 2 / (whole_h - left_h + ridge) - whole_g**2 / (whole_h + ridge)
+                for i, at in enumerate(gain.reshape(1 << level, -1).argmax(axis=1)):
+                    j, b = divmod(int(at), gain.shape[2])
+                    a_g, a_h = whole_g[i, 0, 0], whole_h[i, 0, 0]
+                    if gain[i, j, b] > 1e-6 and b < len(edges[k][j]):
+                        feature[first + i], above[first + i] = j, b
+                        a_g, a_h = left_g[i, j, b], left_h[i, j, b]
+                    if level == depth - 1:
+                        leaf[2 * i : 2 * i + 2] = rate * a_g / (a_h + ridge), rate * (whole_g[i, 0, 0] - a_g) / (whole_h[i, 0, 0] - a_h + ridge)
+        models = {k: Trees(*(np.vstack([old, new]) for old, new in zip((m.feature, m.above, m.leaf), grown[k], strict=True)), m.start) for k, m in models.items()}
+    return models
+
+
+def valued(trees: Trees, edges: list[np.ndarray]) -> Trees:
+    """Trees on cells as trees on values."""
+    above = [[edges[j][int(b)] if math.isfinite(b) else math.inf for j, b in zip(*own, strict=True)] for own in zip(trees.feature, trees.above, strict=True)]
+    return Trees(trees.feature, np.array(above, dtype=float).reshape(trees.above.shape), trees.leaf, trees.start)
+
+
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
+    """Gradient boosting of rows at hand, splits between at most bins quantiles of a feature."""
+    edges = [np.unique(np.quantile(v, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for v in x.T]
+    code = coded(x, edges)
+    label = y.astype(np.int64)
+
+    def sums(models, grown, level):
+        return {k: slopes(code, label, 1, m.score(code), placed(code, *grown[k], level), 1 << level, bins + 1) for k, m in models.items()}
+
+    mean = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+    found = grow(sums, {"": edges}, {"": float(np.log(mean / (1 - mean)))}, {"": (1.0, 1.0)}, trees, depth, rate, ridge)
+    return valued(found[""], edges)
+
+
+def coded(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """The cell of each value: how many of its feature's edges it is above."""
+    return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1).astype(np.uint8)
+
+
+def edged(values: np.ndarray, weight: np.ndarray, bins: int) -> np.ndarray:
+    """Edges between cells: all values if they are few, else their weighted quantiles; values are in order."""
+    if len(values) <= bins:
+        return values
+    whole = weight.cumsum()
+    return np.unique(values[np.minimum(np.searchsorted(whole, np.linspace(0, 1, bins + 1)[1:-1] * whole[-1]), len(values) - 1)])
 
 
 def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -307,6 +360,25 @@ def threshold(score, y, weight, least: float) -> float:
     return float(starts[enough][0]) if enough.any() else math.inf
 
 
+def thresholds(scored: DataFrame, least: float) -> dict[str, float]:
+    """The threshold of each kind in (kind, score, hits, total), as threshold has it, whatever the number of scores.
+
+    The scores of a calibrated probability of least or more are those above
+    the one from which on hits exceed their part of all cases by most.
+    """
+    part = Fraction(least).limit_denominator(10**6)
+    rows = scored.select("kind", "score", (F.col("hits") * part.denominator - F.col("total") * part.numerator).alias("gain"))
+    rows = rows.withColumn("cell", F.floor(F.greatest(F.least("score", F.lit(SCORE_END)), F.lit(-SCORE_END)) * SCORE_CELLS))
+    cells = rows.groupBy("kind", "cell").agg(F.sum("gain").alias("own"))
+    beyond = Window.partitionBy("kind").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("kind", "cell", F.coalesce(F.sum("own").over(beyond), F.lit(0)).alias("beyond"))
+    within = Window.partitionBy("kind", "cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(cells, ["kind", "cell"]).withColumn("gain", F.sum("gain").over(within) + F.col("beyond"))
+    best = rows.groupBy("kind").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "score")).alias("b")).select("kind", "b.loss", "b.score").collect()
+    # One more case against counts at the top.
+    return {kind: score if -loss >= part.numerator else math.inf for kind, loss, score in best}
+
+
 @dataclass(frozen=True)
 class Model:
     """Trees and threshold of each kind that has both."""
@@ -314,81 +386,110 @@ class Model:
     kinds: dict[str, tuple[Trees, float]]
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """(part, kind, label, x, n): the features of all candidates of (doc_id, text, part), and how many have them."""
+    schema = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("label", pa.int32()), ("x", pa.list_(pa.int32())), ("n", pa.int64())])
+
+    def run(batches):
+        n: Counter = Counter()
+
+        def rows():
+            columns = [list(c) for c in zip(*n, strict=True)] or [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, list(n.values())], schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, part = batch.column(0)[i].as_py() or "", batch.column(1)[i].as_py()
+                for kind, label, where in labelled(text, base_spans(text)):
+                    n[part, kind, label, tuple(map(int, features(*where)))] += 1
+                    if len(n) >= COUNTED:
+                        yield rows()
+                        n.clear()
+        yield rows()
+
+    found = docs.select("text", "part").mapInArrow(run, "part int, kind string, label int, x array<int>, n long")
+    return found.groupBy("part", "kind", "label", "x").agg(F.sum("n").alias("n"))
+
+
 def train(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_docs: int = 200_000,
-    max_rows: int = 8000,
     least: float = 0.95,
     trees: int = 60,
+    depth: int = 3,
+    rate: float = 0.2,
+    bins: int = 32,
+    ridge: float = 1.0,
 ) -> Model:
     """Trees from one fold of the documents, thresholds from another.
 
-    Of crc32 of the id as text modulo 3, 0 learns and 1 calibrates. About
-    max_docs documents, by a hash of the id, are read. Of each kind and label
-    of a fold the max_rows candidates of lowest hash among theirs count,
-    weighted in calibration by how many there are. least is the calibrated
-    probability of a redaction. A kind without candidates of both labels in
-    both folds has no trees.
+    Of crc32 of the id as text modulo 3, 0 learns and 1 calibrates; all
+    candidates of both count. Both labels of a kind weigh the same in its
+    trees. least is the calibrated probability of a redaction. A kind without
+    candidates of both labels in both folds has no trees. Each level of a tree
+    is a job over all kinds; the driver sees sums only.
     """
     rows = pick(docs, id_col, text_col).withColumn("part", fold(F.col("doc_id"), MODULUS).cast("int")).where(F.col("part").isin(LEARN, CALIBRATE))
-    share = min(1.0, max_docs * MODULUS / 2 / max(docs.count(), 1))
-    rows = rows.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    found = checkpoint(counted(rows))
+    many = {(r["part"], r["kind"], r["label"]): r["n"] for r in found.groupBy("part", "kind", "label").agg(F.sum("n").alias("n")).collect()}
+    kinds = [k for k in KINDS if all((part, k, label) in many for part in (LEARN, CALIBRATE) for label in (0, 1))]
+    if not kinds:
+        return Model({})
+    weights = {k: tuple((many[LEARN, k, 0] + many[LEARN, k, 1]) / (2 * many[LEARN, k, label]) for label in (0, 1)) for k in kinds}
+    # Features are small whole numbers, so their different values are few.
+    values = found.where(F.col("part") == LEARN).select("kind", "label", "n", F.posexplode("x").alias("j", "v")).groupBy("kind", "j", "v", "label").agg(F.sum("n").alias("n"))
+    sizes: dict[tuple, Counter] = {}
+    for r in values.collect():
+        if r["kind"] in weights:
+            sizes.setdefault((r["kind"], r["j"]), Counter())[r["v"]] += r["n"] * weights[r["kind"]][r["label"]]
+    edges = {k: [edged(*(np.array(c, dtype=float) for c in zip(*sorted(sizes[k, j].items()), strict=True)), bins) for j in range(len(FEATURES))] for k in kinds}
+    blocks = checkpoint(found.where(F.col("kind").isin(kinds)).mapInArrow(_packed(edges), "part int, kind string, label binary, n binary, code binary"))
+    learn = blocks.where(F.col("part") == LEARN).select("kind", "label", "n", "code").rdd
+
+    def sums(models, grown, level):
+        def added_up(some):
+            out = {k: np.zeros((2, 2, 1 << level, len(FEATURES), bins + 1), dtype=np.int64) for k in kinds}
+            for kind, label, n, code in some:
+                label, n, code = _unpacked(label, n, code)
+                out[kind] += slopes(code, label, n, models[kind].score(code), placed(code, *grown[kind], level), 1 << level, bins + 1)
+            yield out
+
+        return learn.mapPartitions(added_up).treeReduce(lambda a, b: {k: a[k] + b[k] for k in a})
+
+    models = grow(sums, edges, dict.fromkeys(kinds, 0.0), weights, trees, depth, rate, ridge)
+
+    def judged(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                label, n, code = _unpacked(r["label"], r["n"], r["code"])
+                yield pa.RecordBatch.from_pydict({"kind": [r["kind"]] * len(n), "score": models[r["kind"]].score(code), "hits": label * n, "total": n})
 
-    def sample(batches):
-        kept: dict[tuple, list] = {}
-        n: Counter = Counter()
+    scored = blocks.where(F.col("part") == CALIBRATE).select("kind", "label", "n", "code").mapInArrow(judged, "kind string, score double, hits long, total long")
+    bounds = thresholds(checkpoint(scored.groupBy("kind", "score").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))), least)
+    return Model({k: (valued(models[k], edges[k]), bounds[k]) for k in kinds if math.isfinite(bounds[k])})
+
+
+def _packed(edges: dict):
+    """Rows of counted as blocks of one part and kind, features as cells."""
+
+    def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                doc_id, text, part = (batch.column(c)[i].as_py() for c in range(3))
-                for kind, label, key, where in labelled(text or "", doc_id, base_spans(text or "")):
-                    own = part, KINDS.index(kind), label
-                    n[own] += 1
-                    heap = kept.setdefault(own, [])
-                    # The root is the largest hash that is kept.
-                    if len(heap) < max_rows:
-                        heapq.heappush(heap, (-key, n[own], features(*where)))
-                    elif -key > heap[0][0]:
-                        heapq.heapreplace(heap, (-key, n[own], features(*where)))
-        for (part, kind, label), heap in kept.items():
-            for at in range(0, len(heap), BLOCK):
-                some = heap[at : at + BLOCK]
-                size = len(some)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": [part] * size, "kind": [kind] * size, "label": [label] * size, "key": [-k for k, *_ in some],
-                        "x": [[float(v) for v in x] for *_, x in some], "n": [n[part, kind, label] * (at == 0 and i == 0) for i in range(size)],
-                    },
-                    schema=pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("label", pa.int32()), ("key", pa.int64()), ("x", pa.list_(pa.float64())), ("n", pa.int64())]),
-                )
-
-    found = checkpoint(rows.select("doc_id", "text", "part").mapInArrow(sample, "part int, kind int, label int, key long, x array<double>, n long"))
-    many = {(r["part"], r["kind"], r["label"]): r["n"] for r in found.groupBy("part", "kind", "label").agg(F.sum("n").alias("n")).collect()}
+            rows: dict[tuple, list] = {}
+            for r in batch.to_pylist():
+                rows.setdefault((r["part"], r["kind"]), []).append((r["label"], r["n"], r["x"]))
+            for (part, kind), some in rows.items():
+                label, n, x = zip(*some, strict=True)
+                own = np.array(label, np.int8).tobytes(), np.array(n, np.int64).tobytes(), coded(np.array(x, dtype=float), edges[kind]).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([kind]), *(pa.array([v], pa.binary()) for v in own)], names=["part", "kind", "label", "n", "code"]
+                )
+
+    return run
+
 
-    def side(part, kind):
-        x, y, w = [], [], []
-        for label in (0, 1):
-            if (part, kind, label) in many:
-                # Hashes are spread evenly, so a bound holds all that count and few others.
-                bound = (1 << 63) * min(1.0, (1.5 * max_rows + 200) / many[part, kind, label])
-                own = (F.col("part") == part) & (F.col("kind") == kind) & (F.col("label") == label) & (F.col("key") <= F.lit(min(int(bound), (1 << 63) - 1)))
-                got = sorted((r["key"], r["x"]) for r in found.where(own).select("key", "x").collect())
-                got = [x for _, x in got[:max_rows]]
-                x += got
-                y += [label] * len(got)
-                w += [many[part, kind, label] / len(got)] * len(got)
-        return np.array(x, dtype=float).reshape(-1, len(FEATURES)), np.array(y, dtype=float), np.array(w)
-
-    kinds = {}
-    for i, kind in enumerate(KINDS):
-        if all((part, i, label) in many for part in (LEARN, CALIBRATE) for label in (0, 1)):
-            x, y, _ = side(LEARN, i)
-            model = boost(x, y, trees)
-            x, y, w = side(CALIBRATE, i)
-            if math.isfinite(bound := threshold(model.score(x), y, w, least)):
-                kinds[kind] = model, bound
-    return Model(kinds)
+def _unpacked(label: bytes, n: bytes, code: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(label, np.int8).astype(np.int64), np.frombuffer(n, np.int64), np.frombuffer(code, np.uint8).reshape(-1, len(FEATURES))
 
 
 def added(texts: list[str], base: list[list], model: Model) -> list[list[tuple[int, int, str]]]:
