@@ -75,6 +75,8 @@ BLOCK = 8192
 UNIT = 1 << 24
 #: Different candidates that a task counts before it passes them on.
 COUNTED = 20_000
+#: Different candidates that one task holds at the levels of trees, and tasks whose sums the driver adds up itself.
+LEVEL_ROWS, LEVEL_TASKS = 20_000, 16
 #: Cells of scores: only those of one cell are ordered in one task.
 SCORE_CELLS, SCORE_END = 16, 64
 
@@ -432,7 +434,8 @@ def train(
     """
     rows = pick(docs, id_col, text_col).withColumn("part", fold(F.col("doc_id"), MODULUS).cast("int")).where(F.col("part").isin(LEARN, CALIBRATE))
     found = checkpoint(counted(rows))
-    many = {(r["part"], r["kind"], r["label"]): r["n"] for r in found.groupBy("part", "kind", "label").agg(F.sum("n").alias("n")).collect()}
+    sums_of = found.groupBy("part", "kind", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different")).collect()
+    many = {(r["part"], r["kind"], r["label"]): r["n"] for r in sums_of}
     kinds = [k for k in KINDS if all((part, k, label) in many for part in (LEARN, CALIBRATE) for label in (0, 1))]
     if not kinds:
         return Model({})
@@ -444,7 +447,10 @@ def train(
         if r["kind"] in weights:
             sizes.setdefault((r["kind"], r["j"]), Counter())[r["v"]] += r["n"] * weights[r["kind"]][r["label"]]
     edges = {k: [edged(*(np.array(c, dtype=float) for c in zip(*sorted(sizes[k, j].items()), strict=True)), bins) for j in range(len(FEATURES))] for k in kinds}
-    blocks = checkpoint(found.where(F.col("kind").isin(kinds)).mapInArrow(_packed(edges), "part int, kind string, label binary, n binary, code binary"))
+    # A job a level: its tasks go by the number of rows, not by that of the session's shuffle partitions.
+    tasks = -(-sum(r["different"] for r in sums_of if r["kind"] in kinds) // LEVEL_ROWS)
+    packed = found.where(F.col("kind").isin(kinds)).coalesce(tasks).mapInArrow(_packed(edges), "part int, kind string, label binary, n binary, code binary")
+    blocks = checkpoint(packed)
     learn = blocks.where(F.col("part") == LEARN).select("kind", "label", "n", "code").rdd
 
     def sums(models, grown, level):
@@ -455,7 +461,7 @@ def train(
                 out[kind] += slopes(code, label, n, models[kind].score(code), placed(code, *grown[kind], level), 1 << level, bins + 1)
             yield out
 
-        return learn.mapPartitions(added_up).treeReduce(lambda a, b: {k: a[k] + b[k] for k in a})
+        return learn.mapPartitions(added_up).treeReduce(lambda a, b: {k: a[k] + b[k] for k in a}, depth=1 if tasks <= LEVEL_TASKS else 2)
 
     models = grow(sums, edges, dict.fromkeys(kinds, 0.0), weights, trees, depth, rate, ridge)
 
