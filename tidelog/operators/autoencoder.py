@@ -1,9 +1,11 @@
 """A variational autoencoder whose slopes are added up over tasks.
 
-Rows are dealt to batches by a hash of the location. For each step every
-task runs its rows of the batch forward and back and returns one sum of
-losses and slopes; sums meet in a few groups before they come to the driver,
-which holds the weights and takes the step. Noise and dropout of a row follow
+Rows are dealt to batches by a hash of the location, and a batch's rows to
+blocks of which each is one task's and kept in memory. A step is a job over the blocks
+of its batch alone; their number goes by the rows of a batch, not by how many
+partitions the rows came in. A task runs its rows forward and back and
+returns one sum of losses and slopes; sums of many tasks meet in a few groups before they
+come to the driver, which holds the weights and takes the step. Noise and dropout of a row follow
 from its hash and the epoch, so training doesn't depend on how rows lie in
 partitions, but for the order of additions.
 """
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
@@ -26,7 +28,9 @@ LOC = "geo_location"
 HIDDEN, LATENTS, DROPOUT = (128, 64), 16, 0.1
 #: Rows of a batch at least, and batches of an epoch at most: each is a job.
 BATCH, MOST_BATCHES = 256, 8
-#: Groups in which sums of tasks meet.
+#: Rows for which a batch gets another task, as long as there are cores for it, and rows of a task on average at most.
+SHARE, MOST_ROWS = 256, 1 << 16
+#: Tasks of a batch beyond which their sums meet in groups.
 MEET = 16
 BOUND = 8.0
 ROWS = 512
@@ -120,6 +124,31 @@ class Autoencoder:
         return ((decode(self.weights, self.latents(x))[2] - self.scaled(x)) ** 2).mean(axis=1)
 
 
+def dealt(rows: DataFrame, seed: int) -> list[RDD]:
+    """The blocks (lots, x, w) of each batch, a task's each, of rows (geo_location, x, w)."""
+    lot = F.xxhash64(F.lit(seed), LOC)
+    n = rows.count()
+    batches = max(1, min(MOST_BATCHES, n // BATCH))
+    each = n / batches
+    tasks = max(1, min(math.ceil(each / SHARE), rows.sparkSession.sparkContext.defaultParallelism), math.ceil(each / MOST_ROWS))
+    # The batch takes a lot's last signs, the block others.
+    rows = rows.select(lot.alias("lot"), F.pmod(lot, F.lit(batches)).alias("batch"), F.pmod(F.shiftright(lot, 16), F.lit(tasks)).cast("int").alias("block"), "x", "w")
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("lot")
+        found = {"lots": part["lot"].to_numpy(), "x": np.stack(part["x"].to_numpy()), "w": part["w"].to_numpy()}
+        return pd.DataFrame({k: [part[k].iloc[0]] for k in ("batch", "block")} | {k: [np.ascontiguousarray(v).tobytes()] for k, v in found.items()})
+
+    packed = settled(rows.groupBy("batch", "block").applyInPandas(pack, "batch long, block int, lots binary, x binary, w binary"))
+
+    def unpack(r):
+        lots, x, w = (np.frombuffer(r[k], kind) for k, kind in (("lots", np.int64), ("x", np.float64), ("w", np.float64)))
+        return r["block"], (lots, x.reshape(len(lots), -1), w)
+
+    own = [packed.where(F.col("batch") == batch).rdd.map(unpack) for batch in range(batches)]
+    return [blocks.partitionBy(tasks, lambda block: block).values().persist(StorageLevel.MEMORY_AND_DISK) for blocks in own]
+
+
 def fit(
     rows: DataFrame, epochs: int = 100, patience: int = 15, rate: float = 1e-3, decay: float = 1e-5, dropout: float = DROPOUT, seed: int = 42
 ) -> Autoencoder:
@@ -132,48 +161,32 @@ def fit(
     # Nine digits, so that the order in which rows are added up moves nothing.
     cut = lambda v: float(f"{v:.9g}")
     net = Autoencoder(begin(len(entries), seed), np.array([cut(r["m"]) for r in entries]), np.array([cut(r["s"]) or 1.0 for r in entries]))
-    lot = F.xxhash64(F.lit(seed), LOC)
-    n = rows.count()
-    batches = max(1, min(MOST_BATCHES, n // BATCH))
-    rows = settled(rows.select(lot.alias("lot"), F.pmod(lot, F.lit(batches)).alias("batch"), "x", "w"))
-    tasks = rows.rdd.getNumPartitions()
-    context = rows.sparkSession.sparkContext
+    batches = dealt(rows, seed)
     p = net.weights
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     best, kept, waited, step = math.inf, p, 0, 0
 
-    def total(batch: int, epoch: int, beta: float) -> np.ndarray:
-        shared = context.broadcast((net, p))
-
-        def run(parts):
-            from pyspark import TaskContext
-
-            model, weights = shared.value
-            found = np.zeros(2 + sum(v.size for v in weights.values()))
-            for part in parts:
-                for at in range(0, part.num_rows, ROWS):
-                    some = part.slice(at, ROWS)
-                    x = model.scaled(some.column("x").flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, -1))
-                    w = some.column("w").to_numpy(zero_copy_only=False)
-                    noise, masks = chances(some.column("lot").to_numpy(zero_copy_only=False), epoch, seed, dropout)
-                    loss, slopes = sums(weights, x, w, noise, masks, beta)
-                    found += _flat(loss, float(w.sum()), slopes)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % MEET], pa.int32()), "sums": pa.array([found.tobytes()], pa.binary())})
-
-        def meet(part: pd.DataFrame) -> pd.DataFrame:
-            added = sum(np.frombuffer(b) for b in part["sums"])
-            return pd.DataFrame({"part": [part["part"].iloc[0]], "sums": [added.tobytes()]})
-
-        found = rows.where(F.col("batch") == batch).select("lot", "x", "w").mapInArrow(run, "part int, sums binary")
-        if tasks > MEET:
-            found = found.groupBy("part").applyInPandas(meet, "part int, sums binary")
-        return sum(np.frombuffer(r["sums"]) for r in sorted(found.collect(), key=lambda r: r["part"]))
+    def total(blocks: RDD, epoch: int, beta: float) -> np.ndarray:
+        # The weights go with the job, which spares each step a broadcast of its own.
+        model = Autoencoder(p, net.mean, net.sd)
+
+        def run(block) -> np.ndarray:
+            found = 0.0
+            for at in range(0, len(block[0]), ROWS):
+                lots, x, w = (part[at : at + ROWS] for part in block)
+                noise, masks = chances(lots, epoch, seed, dropout)
+                loss, slopes = sums(model.weights, model.scaled(x), w, noise, masks, beta)
+                found = found + _flat(loss, float(w.sum()), slopes)
+            return found
+
+        found, zero = blocks.map(run), np.zeros(2 + sum(v.size for v in p.values()))
+        return sum(found.collect(), zero) if blocks.getNumPartitions() <= MEET else found.treeAggregate(zero, np.add, np.add)
 
     for epoch in range(1, epochs + 1):
         beta, losses, weights = min(1.0, epoch / 20) / len(entries), 0.0, 0.0
         before = p
-        for batch in range(batches):
-            loss, weight, *slopes = total(batch, epoch, beta)
+        for blocks in batches:
+            loss, weight, *slopes = total(blocks, epoch, beta)
             if not weight:
                 continue
             losses, weights, step, at = losses + loss, weights + weight, step + 1, 0
@@ -190,6 +203,8 @@ def fit(
             waited += 1
             if waited >= patience:
                 break
+    for blocks in batches:
+        blocks.unpersist()
     return Autoencoder(kept, net.mean, net.sd)
 
 
